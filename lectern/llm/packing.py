@@ -29,7 +29,8 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
         a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
         both = max(0, len(a) + len(b) - k)
         cut = len(a) - both
-        parts = a[:cut] + [(x + y, p + q) for (x, p), (y, q) in zip(reversed(a[cut:]), b[:both])] + b[both:]
+        rest = len(b) - both
+        parts = a[:cut] + [(x + y, p + q) for (x, p), (y, q) in zip(a[cut:], reversed(b[rest:]))] + b[:rest]
         parts.sort(key=lambda p: -p[0])
         least = parts[-1][0] if len(parts) == k else 0
         if least:
