@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-_MODULES = ("simhash", "secrets", "mixing", "language", "packing", "huffman", "mpeg")
+_MODULES = ("simhash", "secrets", "mixing", "language", "packing", "huffman", "mpeg", "quality")
 
 
 def queries() -> dict[str, Callable]:
