@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-_MODULES = ("chat", "simhash", "secrets", "mixing", "language", "packing", "huffman", "mpeg", "quality")
+_MODULES = ("chat", "simhash", "secrets", "mixing", "language", "packing", "huffman", "mpeg", "quality", "lm")
 
 
 def queries() -> dict[str, Callable]:
