@@ -1,5 +1,191 @@
-"""Queries."""
+"""Queries over draft answers: claims, their features, verdicts, repair, scores."""
 
-from .common import registry
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import claims as C
+from ..functions import fixed
+from ..functions import text as T
+from ..operators import grounding, retrieval
+from ..sources.tables import chunks, table
+from .common import CHUNKS, any_in, quoted, re2, registry, sentences, significant
 
 REGISTRY, register = registry()
+
+DRAFTS = (
+    "The system uses FastAPI, Qdrant, PostgreSQL, and Redis [p. 3].\n\nI couldn't find more.", "In total 50 pupils passed [p. 4]. Exactly 100 users joined [p. 4].", "Recall was 92% [p. 5]. Precision was 92% [p. 5].",
+    "The service is not encrypted [p. 6]. It is encrypted [p. 6].", "See [P. 3] and [p. 10-12] and [p. 99].\n- a point. Another one!\n\n\n\nNode runs here because of that.", "It costs $1,200.50 or 3.5 usd. v1.2.3 was out in 1999; 42 is more than 41.",
+    "Overall, this is defined as x = y. It always works? Never mind the table.", "لا يوجد شيء. نعم!", "", "ok. a? The end is near.",
+)
+EVIDENCE = (
+    (3, "The system uses FastAPI for its interface and PostgreSQL for storage. Redis is the cache."), (4, "20 boys and 30 girls passed the pupils' test. Approximately 100 users joined the service."),
+    (5, "Precision was 92% on the held-out set."), (6, "The service is encrypted. Bananas are not blue."), (7, "Node runs here. 42 is more than 41."),
+)
+_D = ", ".join(f"('d{i}', {quoted(x)})" for i, x in enumerate(DRAFTS))
+_A = f"a AS (SELECT 'c' || conv_id || '-' || turn AS answer_id, text AS draft FROM conversations WHERE role = 'assistant' UNION ALL SELECT * FROM (VALUES {_D}) t(answer_id, draft))"
+_MARK = r"\[[pP]\.\s*([^\]]+)\]"
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_CLAIMS = f"""ln AS (SELECT answer_id, unnest(p) AS line, generate_subscripts(p, 1) - 1 AS line_index FROM (SELECT answer_id, string_split(draft, chr(10)) AS p FROM a)),
+  st AS (SELECT answer_id, line_index, {sentences(f"regexp_replace(trim(line, {_WS}), '{chr(92)}[([pP]){chr(92)}.({chr(92)}s*[^{chr(92)}]]+){chr(92)}]', '[{chr(92)}1' || chr(1) || '{chr(92)}2]', 'g')", fixed.SENTENCE_END)} AS s FROM ln),
+  cl0 AS (SELECT answer_id, line_index, unnest(s) AS m, generate_subscripts(s, 1) - 1 AS claim_index FROM st),
+  cl1 AS (SELECT answer_id, line_index, claim_index, replace(m, chr(1), '.') AS text FROM cl0),
+  claims AS (SELECT *, trim(regexp_replace(text, '{_MARK}', '', 'g'), {_WS}) AS bare, list_transform(regexp_extract_all(text, '{_MARK}', 1), lambda x: trim(x)) AS cited FROM cl1 WHERE length(text) >= 3 AND trim(regexp_replace(text, '{_MARK}', '', 'g'), {_WS}) <> '')"""
+
+
+def drafts(spark, d):
+    turns = table(spark, d, "conversations").where("role = 'assistant'").select(F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("answer_id"), F.col("text").alias("draft"))
+    return turns.union(fixed_drafts(spark))
+
+
+def fixed_drafts(spark):
+    return spark.createDataFrame([(f"d{i}", x) for i, x in enumerate(DRAFTS)], "answer_id string, draft string")
+
+
+def fixed_context(spark):
+    own = spark.createDataFrame([(i, str(p), p, 1000 + p, x) for i, (p, x) in enumerate(EVIDENCE)], "pos int, label string, page int, id long, text string")
+    return fixed_drafts(spark).select("answer_id").join(F.broadcast(own))
+
+
+_NUMBERS = (fixed.PERCENT, fixed.MONEY, fixed.PLAIN_NUMBER, fixed.DECIMAL)
+_KIND = (
+    "CASE WHEN " + " OR ".join(f"regexp_matches(bare, {re2(p)})" for p in _NUMBERS) + " THEN 'numerical' "
+    + " ".join(f"WHEN {any_in('bare' if n == 'formula' else 'lower(bare)', c)}" + (r" OR regexp_matches(lower(bare), '\b[\p{L}\p{N}_]+er\s+than\b')" if p else "") + f" THEN '{n}'" for n, c, p in fixed.KINDS)
+    + " ELSE 'factual' END"
+)
+
+
+@register(f"WITH {_A}, {_CLAIMS} SELECT answer_id, line_index::BIGINT AS line_index, claim_index::BIGINT AS claim_index, text, bare, array_to_string(cited, '|') AS cited FROM claims")
+def claim_extraction(spark, d):
+    c = grounding.extract(drafts(spark, d))
+    return c.select("answer_id", F.col("line_index").cast("bigint").alias("line_index"), F.col("claim_index").cast("bigint").alias("claim_index"), "text", "bare", F.array_join("cited", "|").alias("cited"))
+
+
+@register(f"WITH {_A}, {_CLAIMS} SELECT answer_id, line_index::BIGINT AS line_index, claim_index::BIGINT AS claim_index, CASE WHEN regexp_matches(bare, {re2(fixed.CONVERSATIONAL)}) THEN 'conversational' ELSE {_KIND} END AS kind, regexp_matches(bare, {re2(fixed.MAJOR_CLAIM)}) AS major FROM claims")
+def claim_kind(spark, d):
+    c = grounding.extract(drafts(spark, d))
+    return c.select("answer_id", F.col("line_index").cast("bigint").alias("line_index"), F.col("claim_index").cast("bigint").alias("claim_index"), "kind", C.is_major(F.col("bare")).alias("major"))
+
+
+def _nums(column: str) -> str:
+    rules = (fixed.PERCENT, fixed.MONEY, fixed.VERSION, fixed.DECIMAL, fixed.CLAIM_YEAR, fixed.PLAIN_NUMBER)
+    return "flatten([" + ", ".join(f"regexp_extract_all({column}, {re2(r)})" for r in rules) + "])"
+
+
+@register(
+    f"""WITH n AS (SELECT doc_id, {_nums('text')} AS t FROM documents), u AS (SELECT doc_id, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM n),
+    k AS (SELECT doc_id, regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}_.%]', '', 'g') AS k, arg_min(x, i) AS x, min(i) AS i FROM u GROUP BY doc_id, k)
+    SELECT n.doc_id, coalesce(string_agg(x, '|' ORDER BY k.i), '') AS numbers FROM n LEFT JOIN k USING (doc_id) GROUP BY n.doc_id"""
+)
+def numeric_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(C.numeric_tokens(F.col("text")), "|").alias("numbers"))
+
+
+@register(
+    f"""WITH {CHUNKS}, b AS (SELECT item_id, {significant('text')} AS s FROM benchmark), c AS (SELECT id, chat_id, {significant('text')} AS s FROM chunks),
+    o AS (SELECT item_id, id, CASE WHEN len(b.s) = 0 THEN 0::DOUBLE ELSE len(list_intersect(b.s, c.s)) / len(b.s) END AS o FROM b JOIN c ON c.chat_id = item_id % 20)
+    SELECT item_id, id, round(o, 6) AS overlap FROM o WHERE o >= 0.12::DOUBLE"""
+)
+def lexical_overlap(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 20).alias("chat_id"), T.significant(F.col("text")).alias("b"))
+    c = chunks(spark, d).select("id", "chat_id", T.significant(F.col("text")).alias("c"))
+    share = F.when(F.size("b") == 0, 0.0).otherwise(F.size(F.array_intersect("b", "c")) / F.size("b"))
+    return b.join(c, "chat_id").select("item_id", "id", share.alias("o")).where("o >= 0.12").select("item_id", "id", F.round("o", 6).alias("overlap"))
+
+
+_NEG = "(" + " OR ".join(f"contains(' ' || lower(x) || ' ', {quoted(w if any('؀' <= c <= 'ۿ' for c in w) else f' {w} ')}) OR starts_with(trim(lower(x), {_WS}), {quoted(w)})" for w in fixed.NEGATIONS) + ")"
+
+
+@register(
+    f"""WITH s AS (SELECT doc_id, {sentences('text', fixed.SENTENCE_END)} AS s FROM documents), p AS (SELECT doc_id, s[1] AS claim, CASE WHEN len(s) <= 1 THEN s ELSE list_filter(s, lambda y: list_has_any({significant('y')}, {significant('s[1]')})) END AS near, s AS every FROM s WHERE len(s) > 0),
+    e AS (SELECT doc_id, claim, array_to_string(CASE WHEN len(near) = 0 THEN every ELSE near END, ' ') AS ev FROM p)
+    SELECT doc_id, (SELECT {_NEG} FROM (SELECT claim AS x)) AS claim_negated, (SELECT {_NEG} FROM (SELECT ev AS x)) AS evidence_negated FROM e"""
+)
+def negation_scope(spark, d):
+    """The first sentence of each document as a claim against the sentences that share a word with it."""
+    s = table(spark, d, "documents").select("doc_id", "text", F.get(T.sentences(F.col("text"), fixed.SENTENCE_END), F.lit(0)).alias("claim")).where("claim IS NOT NULL")
+    return s.select("doc_id", C.has_negation(F.col("claim")).alias("claim_negated"), C.has_negation(C.relevant(F.col("claim"), F.col("text"))).alias("evidence_negated"))
+
+
+@register(
+    f"""WITH {_A}, l AS (SELECT answer_id, list_transform(regexp_extract_all(draft, '{_MARK}', 1), lambda x: trim(x)) AS c FROM a)
+    SELECT answer_id, array_to_string(list_filter(c, lambda x: list_contains(['3', '4', '5', '6', '7'], lower(x))), '|') AS valid, array_to_string(list_filter(c, lambda x: NOT list_contains(['3', '4', '5', '6', '7'], lower(x))), '|') AS invalid,
+    CASE WHEN len(c) > 0 THEN 0.5::DOUBLE * len(list_filter(c, lambda x: NOT list_contains(['3', '4', '5', '6', '7'], lower(x)))) / len(c) ELSE 0::DOUBLE END AS penalty FROM l"""
+)
+def citation_validation(spark, d):
+    a = drafts(spark, d)
+    labels = a.select("answer_id").join(F.broadcast(spark.createDataFrame([(str(p),) for p, _ in EVIDENCE], "label string")))
+    v = grounding.validate_citations(a, labels)
+    return v.select("answer_id", F.array_join("valid", "|").alias("valid"), F.array_join("invalid", "|").alias("invalid"), "penalty")
+
+
+def _benchmark(spark, d):
+    """Benchmark items as drafts, the first four chunks of a chat as their context."""
+    a = table(spark, d, "benchmark").select(F.col("item_id").alias("answer_id"), (F.col("item_id") % 20).alias("chat_id"), F.col("text").alias("draft"), F.lit(0.8).alias("retrieval_score"))
+    c = chunks(spark, d).where("ord < 4").select("chat_id", F.col("ord").alias("pos"), F.col("page").cast("string").alias("label"), "page", "id", "text")
+    return a, a.select("answer_id", "chat_id").join(c, "chat_id").drop("chat_id")
+
+
+@register(
+    f"""WITH {CHUNKS}, {{BENCH}}, w AS (SELECT answer_id, claim_index, chat_id, bare FROM claims c JOIN benchmark b ON b.item_id = c.answer_id, LATERAL (SELECT item_id % 20 AS chat_id)),
+    o AS (SELECT answer_id, claim_index, k.id, k.ord, CASE WHEN len(sw) = 0 THEN 0::DOUBLE ELSE len(list_intersect(sw, sk)) / len(sw) END AS o FROM (SELECT *, {significant('bare')} AS sw FROM w) w JOIN (SELECT id, ord, chat_id, {significant('text')} AS sk FROM chunks WHERE ord >= 4) k USING (chat_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY answer_id, claim_index ORDER BY o DESC, ord) AS rank FROM o) SELECT answer_id, claim_index::BIGINT AS claim_index, id, round(o, 6) AS overlap, rank FROM r WHERE rank <= 3 AND o >= 0.12::DOUBLE""".replace("{BENCH}", "a AS (SELECT item_id AS answer_id, text AS draft FROM benchmark), " + _CLAIMS)
+)
+def secondary_evidence(spark, d):
+    a, _ = _benchmark(spark, d)
+    want = grounding.extract(a).join(a.select("answer_id", "chat_id"), "answer_id")
+    pairs = want.join(chunks(spark, d).where("ord >= 4").select("chat_id", "id", "ord", F.col("text").alias("body")), "chat_id").withColumn("o", T.overlap(F.col("bare"), F.col("body")))
+    top = retrieval.ranked(pairs, ["answer_id", "claim_index"], F.desc("o"), F.col("ord")).where("rank <= 3 AND o >= 0.12")
+    return top.select("answer_id", F.col("claim_index").cast("bigint").alias("claim_index"), "id", F.round("o", 6).alias("overlap"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@register(
+    f"""WITH {CHUNKS}, {{BENCH}}, ev AS (SELECT chat_id, string_agg(text, chr(10) ORDER BY ord) AS ev FROM chunks WHERE ord < 4 GROUP BY 1),
+    f AS (SELECT c.*, ev, {_KIND} AS kind, list_filter({_nums('bare')}, lambda x: true) AS nums FROM claims c JOIN ev ON ev.chat_id = c.answer_id % 20),
+    g AS (SELECT *, {significant('bare')} AS sb, {sentences('ev', fixed.SENTENCE_END)} AS es FROM f),
+    h AS (SELECT *, CASE WHEN len(sb) = 0 THEN 0::DOUBLE ELSE len(list_intersect(sb, {significant('ev')})) / len(sb) END AS ov, list_filter(es, lambda y: list_has_any({significant('y')}, sb)) AS near,
+      list_filter(nums, lambda x: NOT contains(regexp_replace(lower(ev), '[,\\s]', '', 'g'), regexp_replace(lower(x), '[,\\s]', '', 'g'))) AS missing, kind IN ('causal', 'comparison', 'conclusion') OR regexp_matches(bare, {re2(fixed.MAJOR_CLAIM)}) AS risky FROM g),
+    i AS (SELECT *, (SELECT {_NEG} FROM (SELECT bare AS x)) OR (SELECT {_NEG} FROM (SELECT CASE WHEN len(sb) = 0 OR len(es) <= 1 OR len(near) = 0 THEN ev ELSE array_to_string(near, ' ') END AS x)) AS negated FROM h)
+    SELECT answer_id, claim_index::BIGINT AS claim_index, CASE WHEN len(missing) > 0 THEN 'UNSUPPORTED' WHEN len(nums) > 0 THEN CASE WHEN ov >= 0.5::DOUBLE AND NOT negated THEN 'SUPPORTED' WHEN negated THEN 'UNCERTAIN' ELSE 'PARTIALLY_SUPPORTED' END
+      WHEN NOT negated AND NOT risky AND ov >= 0.6::DOUBLE THEN 'SUPPORTED' WHEN negated THEN 'UNCERTAIN' WHEN risky AND ov < 0.6::DOUBLE THEN 'UNCERTAIN' WHEN ov >= 0.12::DOUBLE OR len(list_filter(string_split_regex(bare, '\\s+'), lambda x: x <> '')) <= 4 THEN 'SUPPORTED'
+      WHEN ov >= 0.05::DOUBLE THEN 'PARTIALLY_SUPPORTED' ELSE 'UNSUPPORTED' END AS status FROM i""".replace("{BENCH}", "a AS (SELECT item_id AS answer_id, text AS draft FROM benchmark), " + _CLAIMS)
+)
+def claim_status_stage1(spark, d):
+    a, ctx = _benchmark(spark, d)
+    v = grounding.verify(grounding.extract(a), ctx)
+    return v.select("answer_id", F.col("claim_index").cast("bigint").alias("claim_index"), "status")
+
+
+@register()
+def claim_verdicts(spark, d):
+    """Rows only: the scenario drafts, with listings, sums, hedges, metrics and negations."""
+    v = grounding.verify(grounding.extract(fixed_drafts(spark)), fixed_context(spark))
+    return v.select(*grounding.KEY, "kind", "status", F.round("score", 6).alias("score"), "reason", "repaired")
+
+
+@register()
+def answer_repair(spark, d):
+    """Rows only: what stays of the scenario drafts and of benchmark items, after a second search."""
+    a, ctx = _benchmark(spark, d)
+    claims, report = grounding.ground(a, ctx, chunks(spark, d))
+    return report.select("answer_id", "grounded_answer")
+
+
+_V = (("a", "SUPPORTED", "It always works.", "3"), ("a", "UNSUPPORTED", "It flies.", ""), ("a", "PARTIALLY_SUPPORTED", "It may float.", "9"), ("b", "NOT_FACTUAL", "Hope this helps.", ""), ("c", "SUPPORTED", "Ten of 12.", "4"), ("c", "UNCERTAIN", "Never.", "4"), ("d", "UNSUPPORTED", "No.", "1"))
+
+
+@register(
+    "WITH v AS (SELECT * FROM (VALUES " + ", ".join(str(x) for x in _V) + f""") t(answer_id, status, text, cited)), c AS (SELECT *, CASE WHEN regexp_matches(text, {re2(fixed.MAJOR_CLAIM)}) THEN 2::DOUBLE ELSE 1::DOUBLE END AS w,
+    CASE status WHEN 'SUPPORTED' THEN 1::DOUBLE WHEN 'PARTIALLY_SUPPORTED' THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS s FROM v), g AS (SELECT answer_id, coalesce(sum(w * s) FILTER (status <> 'NOT_FACTUAL') / sum(w) FILTER (status <> 'NOT_FACTUAL'), 1) AS cov,
+    coalesce(avg(CASE WHEN cited IN ('3', '4') THEN 1::DOUBLE ELSE 0::DOUBLE END) FILTER (s > 0), 1) AS cit, 0.8::DOUBLE AS r FROM c GROUP BY 1)
+    SELECT answer_id, r AS retrieval_score, round_even(cov, 4) AS evidence_coverage, round_even(cit, 4) AS citation_score, round_even(0.5::DOUBLE * cov + 0.25::DOUBLE * cit + 0.25::DOUBLE * r, 4) AS grounding_score FROM g"""
+)
+def grounding_scores(spark, d):
+    rows = [(a, 0, i, t, None if k == "NOT_FACTUAL" else "factual", k, [c] if c else []) for i, (a, k, t, c) in enumerate(_V)]
+    v = spark.createDataFrame(rows, "answer_id string, line_index int, claim_index int, text string, kind string, status string, cited array<string>")
+    empty = "array<struct<pos:int,label:string,page:int,id:bigint,text:string>>"
+    v = v.withColumns({"kind": F.coalesce("kind", F.lit("conversational")), "repaired": F.lit(None).cast("string"), "evidence": F.from_json(F.lit("[]"), empty), "supporting": F.lit(None).cast("array<string>")})
+    answers = v.groupBy("answer_id").agg(F.lit(0.8).alias("retrieval_score"))
+    shown = v.groupBy("answer_id").agg(F.array_join(F.collect_list("text"), " ").alias("grounded_answer"))
+    labels = answers.select("answer_id").join(F.broadcast(spark.createDataFrame([("3",), ("4",)], "label string")))
+    return grounding.scores(answers, v, shown, labels)

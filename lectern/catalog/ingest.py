@@ -1,5 +1,91 @@
-"""Queries."""
+"""Queries from layout blocks to chunks: web pages stand in for a PDF parser's output."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import parsing
+from ..sources.tables import html_blocks, table
 from .common import registry
 
 REGISTRY, register = registry()
+
+
+def blocks(spark, d):
+    found = html_blocks(table(spark, d, "pages"))
+    y = F.col("block_index") * 12.0
+    return found.withColumn("bbox", F.struct(F.lit(50.0).alias("x0"), y.alias("y0"), F.lit(550.0).alias("x1"), (y + 10).alias("y1")))
+
+
+def document_blocks(spark, d):
+    """Documents as blocks, a line each: the first line of every fourth document is set larger."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("block_index", "text")).where("trim(text) <> ''")
+    size = F.when((F.col("block_index") == 0) & (F.col("document_id").cast("long") % 4 == 0), 16.0).when(F.col("block_index") % 9 == 5, 13.5).otherwise(10.0)
+    y = F.col("block_index") * 12.0
+    return lines.select(
+        "document_id", F.floor(F.col("block_index") / 12).cast("int").alias("page"), "block_index", "text", F.struct(F.lit(50.0).alias("x0"), y.alias("y0"), F.lit(550.0).alias("x1"), (y + 10).alias("y1")).alias("bbox"),
+        size.alias("max_font_size"), size.alias("avg_font_size"), F.lit(False).alias("is_bold"),
+    )
+
+
+@register()
+def html_blocks_to_text(spark, d):
+    """Rows only: blocks of raw web pages."""
+    return blocks(spark, d).select("document_id", "block_index", "tag", "text", "max_font_size", "is_bold")
+
+
+_LINES = """l AS (SELECT doc_id, i - 1 AS b, line FROM (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)) WHERE trim(line, ' ') <> ''),
+  z AS (SELECT *, CASE WHEN b = 0 AND doc_id % 4 = 0 THEN 16::DOUBLE WHEN b % 9 = 5 THEN 13.5::DOUBLE ELSE 10::DOUBLE END AS size, len(list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '')) AS words FROM l),
+  n AS (SELECT doc_id, size, count(*) AS n, min(b) AS b0 FROM z GROUP BY ALL), body AS (SELECT doc_id, arg_max(size, (n, -b0)) AS body FROM n GROUP BY 1),
+  k AS (SELECT z.*, size / body AS ratio, CASE WHEN regexp_matches(trim(line), '^\\s*(([-•*–]|[0-9]+[.)]|[a-zA-Z][.)])\\s+)') THEN 'list_item' WHEN regexp_matches(trim(line), '(?i)^\\s*(chapter|الفصل|فصل)\\s+\\S+') AND words <= 20 THEN 'chapter'
+    WHEN NOT (size / body >= 1.15::DOUBLE AND words <= 20) THEN 'paragraph' WHEN size / body >= 1.8::DOUBLE THEN 'title' WHEN size / body >= 1.5::DOUBLE THEN 'chapter' WHEN size / body >= 1.3::DOUBLE THEN 'section' ELSE 'subsection' END AS level FROM z JOIN body USING (doc_id))"""
+
+
+@register(f"WITH {_LINES} SELECT doc_id::VARCHAR AS document_id, b::BIGINT AS block_index, level FROM k")
+def block_levels(spark, d):
+    return parsing.classify_blocks(document_blocks(spark, d)).select("document_id", F.col("block_index").cast("bigint").alias("block_index"), "level")
+
+
+@register(
+    f"""WITH {_LINES}, o AS (SELECT doc_id, b, level, row_number() OVER (PARTITION BY doc_id ORDER BY b) AS node, CASE level WHEN 'title' THEN 0 WHEN 'chapter' THEN 1 WHEN 'section' THEN 2 WHEN 'subsection' THEN 3 WHEN 'heading' THEN 4 ELSE 5 END AS rank FROM k)
+    SELECT x.doc_id::VARCHAR AS document_id, x.node AS node_id, max(y.node) AS parent_id, x.rank AS rank FROM o x LEFT JOIN o y ON y.doc_id = x.doc_id AND y.node < x.node AND y.rank < x.rank AND y.rank < 5 GROUP BY x.doc_id, x.node, x.rank"""
+)
+def hierarchy_tree(spark, d):
+    h = parsing.hierarchy(parsing.classify_blocks(document_blocks(spark, d)))
+    return h.select("document_id", F.col("node_id").cast("bigint").alias("node_id"), F.col("parent_id").cast("bigint").alias("parent_id"), "rank")
+
+
+@register(
+    f"""WITH {_LINES}, c AS (SELECT *, count(*) FILTER (level = 'chapter') OVER w AS c, count(*) FILTER (level IN ('chapter', 'section')) OVER w AS s FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY b))
+    SELECT doc_id::VARCHAR AS document_id, b::BIGINT AS block_index, md5(last_value(CASE WHEN level = 'chapter' THEN trim(line) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY b)) AS chapter,
+    md5(last_value(CASE WHEN level = 'section' THEN trim(line) END IGNORE NULLS) OVER (PARTITION BY doc_id, c ORDER BY b)) AS section, md5(last_value(CASE WHEN level = 'subsection' THEN trim(line) END IGNORE NULLS) OVER (PARTITION BY doc_id, s ORDER BY b)) AS subsection FROM c"""
+)
+def heading_context(spark, d):
+    c = parsing.contexts(parsing.classify_blocks(document_blocks(spark, d)))
+    return c.select("document_id", F.col("block_index").cast("bigint").alias("block_index"), *(F.md5(F.col(x).cast("binary")).alias(x) for x in ("chapter", "section", "subsection")))
+
+
+@register()
+def semantic_chunks(spark, d):
+    """Rows only: a fold over each document's blocks."""
+    c = parsing.chunk_blocks(parsing.classify_blocks(document_blocks(spark, d)))
+    return c.select("document_id", "ord", "page", "chapter", "section", "chunk_type", "word_count", "paragraph_index", "previous_chunk_id", "next_chunk_id")
+
+
+@register(
+    """WITH b AS (SELECT page_id, w.i AS i, CASE WHEN (page_id * 31 + w.i * 17) % 5 = 0 THEN 40 ELSE 320 * ((page_id + w.i) % 2) + 20 END::DOUBLE AS x0, (page_id * 13 + w.i * 7) % 700::DOUBLE AS y0, CASE WHEN (page_id * 31 + w.i * 17) % 5 = 0 THEN 500 ELSE 250 END::DOUBLE AS width FROM pages, range(9) w(i)),
+    c AS (SELECT *, x0 + width <= 330 AS l, x0 + width > 330 AND x0 >= 270 AS r FROM b), n AS (SELECT *, count(*) FILTER (l) OVER p AS nl, count(*) FILTER (r) OVER p AS nr, count(*) OVER p AS nn FROM c WINDOW p AS (PARTITION BY page_id)),
+    t AS (SELECT *, nl >= 2 AND nr >= 2 AND nn - nl - nr <= greatest(2, nn // 4) AS two FROM n), k AS (SELECT *, CASE WHEN two AND x0 >= 270 THEN 1 ELSE 0 END AS col FROM t)
+    SELECT page_id::VARCHAR AS document_id, i AS block_index, two AS is_two_column, col AS "column", row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN two THEN col ELSE 0 END, CASE WHEN two THEN y0 ELSE 0 END, CASE WHEN two THEN x0 ELSE 0 END, i) AS reading_order FROM k"""
+)
+def column_detection(spark, d):
+    p = table(spark, d, "pages").select("page_id")
+    b = p.select("page_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))).alias("i"))
+    wide = (F.col("page_id") * 31 + F.col("i") * 17) % 5 == 0
+    x0 = F.when(wide, 40).otherwise(320 * ((F.col("page_id") + F.col("i")) % 2) + 20).cast("double")
+    y0 = ((F.col("page_id") * 13 + F.col("i") * 7) % 700).cast("double")
+    box = F.struct(x0.alias("x0"), y0.alias("y0"), (x0 + F.when(wide, 500).otherwise(250)).alias("x1"), (y0 + 10).alias("y1"))
+    b = b.select(F.col("page_id").cast("string").alias("document_id"), F.lit(1).alias("page"), F.col("i").alias("block_index"), box.alias("bbox"))
+    geometry = p.select(F.col("page_id").cast("string").alias("document_id"), F.lit(1).alias("page"), F.lit(600.0).alias("width"))
+    out = parsing.two_columns(b, geometry)
+    return out.select("document_id", "block_index", "is_two_column", "column", F.col("reading_order").cast("bigint").alias("reading_order"))

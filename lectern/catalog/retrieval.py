@@ -1,5 +1,310 @@
-"""Queries."""
+"""Queries over the chunk view: search, fusion, filters, neighbours, scopes, context."""
 
-from .common import registry
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..config import DEFAULTS
+from ..functions import fixed
+from ..functions import text as T
+from ..functions.query import understand
+from ..operators import context, retrieval, scope
+from ..sources.tables import chunks, table
+from .common import CHUNKS, first_of, keywords, registry, tokens
 
 REGISTRY, register = registry()
+
+_QUERY = "the reader of those onion and the tion"
+
+
+def asked(spark, d):
+    """Benchmark items as questions, each to the chat of its number modulo 20, with the vector of its number."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), (F.col("item_id") % 20).alias("chat_id"), F.col("text").alias("question"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    return q.join(v, "question_id").withColumn("search_text", F.col("question"))
+
+
+def one_question(spark, text=_QUERY):
+    """One question to every chat."""
+    return spark.range(20).select(F.col("id").alias("question_id"), F.col("id").alias("chat_id"), F.lit(text).alias("search_text"))
+
+
+def _rounded(df, *names):
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+_Q = "q AS (SELECT item_id AS question_id, item_id % 20 AS chat_id, b.text AS question, CAST(embedding AS DOUBLE[]) AS vector FROM benchmark b JOIN embeddings ON vec_id = item_id)"
+_INDEX = f"""toks AS (SELECT chat_id, id, ord, {tokens('text')} AS t FROM chunks), corpus AS (SELECT chat_id, count(*) AS n, avg(len(t)) AS avgdl FROM toks GROUP BY 1),
+  post AS (SELECT chat_id, id, ord, len, term, count(*) AS tf FROM (SELECT chat_id, id, ord, len(t) AS len, unnest(t) AS term FROM toks) GROUP BY ALL), df AS (SELECT chat_id, term, count(*) AS df FROM post GROUP BY ALL)"""
+_BM25 = """bm AS (SELECT question_id, id, ord, sum(times * greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1), 1e-9::DOUBLE) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))) AS bm25
+  FROM terms JOIN post USING (chat_id, term) JOIN df USING (chat_id, term) JOIN corpus USING (chat_id) GROUP BY ALL)"""
+
+
+def _terms(source: str) -> str:
+    return f"terms AS (SELECT question_id, chat_id, term, count(*) AS times FROM (SELECT question_id, chat_id, unnest({tokens('question')}) AS term FROM {source}) GROUP BY ALL)"
+
+
+_ONE = f"one AS (SELECT range AS question_id, range AS chat_id, '{_QUERY}' AS question FROM range(20))"
+
+
+@register(
+    f"""WITH {CHUNKS}, {_ONE}, {_INDEX}, {_terms('one')}, {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(bm25, 9) DESC, ord) AS rank FROM bm WHERE bm25 > 0)
+    SELECT question_id, id, round(bm25 / max(bm25) OVER (PARTITION BY question_id), 6) AS keyword_score, rank FROM r WHERE rank <= 8"""
+)
+def bm25_search_topk(spark, d):
+    found = retrieval.keyword_search(one_question(spark), chunks(spark, d), 8)
+    return _rounded(found.select("question_id", "id", "keyword_score", F.col("rank").cast("bigint").alias("rank")), "keyword_score")
+
+
+@register(
+    f"""WITH {CHUNKS}, {_Q}, {_INDEX}, {_terms('q')}, {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(bm25, 9) DESC, ord) AS rank FROM bm)
+    SELECT question_id, id, round(bm25, 6) AS bm25, rank FROM r WHERE rank <= 30"""
+)
+def bm25_batch_queries(spark, d):
+    found = retrieval.bm25(asked(spark, d), chunks(spark, d))
+    found = retrieval.ranked(found, ["question_id"], retrieval.tied("bm25"), F.col("ord")).where("rank <= 30")
+    return _rounded(found.select("question_id", "id", "bm25", F.col("rank").cast("bigint").alias("rank")), "bm25")
+
+
+@register(
+    """SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)), 6) AS score
+    FROM embeddings ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)) DESC, vec_id LIMIT 10"""
+)
+def cosine_topk(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    q = e.where("vec_id = 7").select(F.col("embedding").alias("vector"))
+    scored = e.join(F.broadcast(q)).select("vec_id", T.cosine(F.col("embedding"), F.col("vector")).alias("s"))
+    return scored.orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", F.round("s", 6).alias("score"))
+
+
+_NEAR = f"""near AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(s, 9) DESC, ord) AS rank FROM (SELECT question_id, c.id, c.ord, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.vector) AS s
+  FROM q JOIN chunks c USING (chat_id) JOIN embeddings e ON e.vec_id = c.id))"""
+
+
+@register(f"WITH {CHUNKS}, {_Q}, {_NEAR} SELECT question_id, id, round(s, 6) AS semantic_score, rank FROM near WHERE rank <= 8")
+def cosine_batch_topk(spark, d):
+    found = retrieval.semantic_search(asked(spark, d), chunks(spark, d, vectors=True), 8, -2.0)
+    return _rounded(found.select("question_id", "id", "semantic_score", F.col("rank").cast("bigint").alias("rank")), "semantic_score")
+
+
+@register(f"WITH {CHUNKS}, {_Q}, {_NEAR} SELECT question_id, id, round(s, 6) AS semantic_score FROM near WHERE rank <= 8 AND s >= 0.1::DOUBLE")
+def semantic_threshold(spark, d):
+    found = retrieval.semantic_search(asked(spark, d), chunks(spark, d, vectors=True), 8, 0.1)
+    return _rounded(found.select("question_id", "id", "semantic_score"), "semantic_score")
+
+
+_SIDES = f"""sem AS (SELECT question_id, id, ord, s, rank FROM near WHERE rank <= most AND s >= 0),
+  kw0 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(bm25, 9) DESC, ord) AS r0 FROM bm WHERE bm25 > 0),
+  kw AS (SELECT question_id, id, ord, bm25 / max(bm25) OVER (PARTITION BY question_id) AS k, r0 AS rank FROM kw0 JOIN plan USING (question_id) WHERE r0 <= most),
+  fused AS (SELECT question_id, id, ord, sum(s) AS semantic_score, max(k) AS keyword_score, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (SELECT question_id, id, ord, s, 0::DOUBLE AS k, rank FROM sem UNION ALL SELECT question_id, id, ord, 0::DOUBLE, k, rank FROM kw) GROUP BY ALL)"""
+_PLAN30 = "plan AS (SELECT question_id, 30 AS most FROM q)"
+_NEARP = _NEAR.replace("SELECT *, row_number()", "SELECT x.*, most, row_number()").replace("JOIN embeddings e ON e.vec_id = c.id)", "JOIN embeddings e ON e.vec_id = c.id) x JOIN plan USING (question_id)")
+
+
+@register(f"WITH {CHUNKS}, {_Q}, {_PLAN30}, {_NEARP}, {_INDEX}, {_terms('q')}, {_BM25}, {_SIDES} SELECT question_id, id, round(semantic_score, 6) AS semantic_score, round(keyword_score, 6) AS keyword_score, round(rrf, 6) AS rrf FROM fused")
+def rrf_fusion(spark, d):
+    q, c = asked(spark, d), chunks(spark, d, vectors=True)
+    both = retrieval.fuse(retrieval.semantic_search(q, c, 30), retrieval.keyword_search(q, c, 30))
+    return _rounded(both.drop("ord"), "semantic_score", "keyword_score", "rrf")
+
+
+_INTENT = first_of("question", fixed.INTENTS, fixed.DEFAULT_INTENT)
+_DEEP = "intent IN (" + ", ".join(f"'{i}'" for i in fixed.DEEP_INTENTS) + ")"
+_UNDERSTOOD = f"""u AS (SELECT question_id, {keywords('question')} AS kws, regexp_extract_all(question, '\\p{{Nd}}+(?:\\.\\p{{Nd}}+)?') AS nums, {_INTENT} AS intent FROM q),
+  plan AS (SELECT question_id, kws, nums, CASE WHEN {_DEEP} THEN 8 ELSE 4 END AS k, CAST(floor(30 * CASE intent WHEN 'page_request' THEN 0.5::DOUBLE WHEN 'comparison' THEN 1.5::DOUBLE ELSE 1 END) AS INTEGER) AS most FROM u)"""
+_RERANKED = f"""rr AS (SELECT f.*, plan.k AS topk, least(1::DOUBLE, CASE WHEN len(nums) > 0 THEN 0.35::DOUBLE * len(list_filter(nums, lambda n: contains(c.text, n))) / len(nums) ELSE 0 END
+    + CASE WHEN len(kws) > 0 THEN 0.35::DOUBLE * least(1::DOUBLE, len(list_filter(kws, lambda w: contains(lower(c.text), w))) / len(kws)) ELSE 0 END) AS rerank_score FROM fused f JOIN plan USING (question_id) JOIN chunks c USING (id)),
+  best AS (SELECT *, 0.3::DOUBLE * semantic_score + 0.2::DOUBLE * keyword_score + 0.5::DOUBLE * rerank_score AS score, row_number() OVER (PARTITION BY question_id ORDER BY round(0.3::DOUBLE * semantic_score + 0.2::DOUBLE * keyword_score + 0.5::DOUBLE * rerank_score, 9) DESC, round(rrf, 9) DESC, ord) AS rank FROM rr)"""
+HYBRID_SQL = f"{CHUNKS}, {_Q}, {_UNDERSTOOD}, {_NEARP}, {_INDEX}, {_terms('q')}, {_BM25}, {_SIDES}, {_RERANKED}, top AS (SELECT * FROM best WHERE rank <= topk)"
+
+
+def hybrid(spark, d):
+    return retrieval.hybrid_search(understand(asked(spark, d)), chunks(spark, d, vectors=True))
+
+
+@register(f"WITH {HYBRID_SQL} SELECT question_id, id, round(semantic_score, 6) AS semantic_score, round(keyword_score, 6) AS keyword_score, round(rerank_score, 6) AS rerank_score, round(score, 6) AS score, rank FROM top")
+def hybrid_rerank_topk(spark, d):
+    found = hybrid(spark, d).select("question_id", "id", "semantic_score", "keyword_score", "rerank_score", "score", F.col("rank").cast("bigint").alias("rank"))
+    return _rounded(found, "semantic_score", "keyword_score", "rerank_score", "score")
+
+
+@register(f"WITH {HYBRID_SQL} SELECT q.question_id, round(max(semantic_score), 6) AS best, coalesce(max(semantic_score) < 0.25::DOUBLE, true) AS is_out_of_scope FROM q LEFT JOIN top USING (question_id) GROUP BY 1")
+def out_of_scope_flag(spark, d):
+    q = understand(asked(spark, d))
+    return _rounded(retrieval.out_of_scope(q, retrieval.hybrid_search(q, chunks(spark, d, vectors=True))), "best")
+
+
+@register(f"WITH {CHUNKS} SELECT chat_id, id, page FROM chunks WHERE contains(lower(chapter), 'chapter 3') AND contains(lower(section), 'section') AND document_id = 'src3'")
+def metadata_filter(spark, d):
+    keep = retrieval.metadata_filter(F.lit("src3"), F.lit(" Chapter 3 "), F.lit("section"), F.lit(0))
+    return chunks(spark, d).where(keep).select("chat_id", "id", "page")
+
+
+_HINTS = "h AS (SELECT * FROM (VALUES (0, 0, 'chapter 2', NULL), (1, 1, 'chapter 99', NULL), (2, 2, NULL, 3), (3, 3, 'chapter 1', 2), (4, 4, NULL, NULL), (5, 5, 'chapter 1', 77)) t(question_id, chat_id, hint, p))"
+
+
+def hints(spark):
+    rows = [(0, 0, "chapter 2", None), (1, 1, "chapter 99", None), (2, 2, None, 3), (3, 3, "chapter 1", 2), (4, 4, None, None), (5, 5, "chapter 1", 77)]
+    return spark.createDataFrame(rows, "question_id int, chat_id long, hint string, p int")
+
+
+@register(
+    f"""WITH {CHUNKS}, {_HINTS}, m AS (SELECT question_id, id, (hint IS NULL OR coalesce(contains(lower(chapter), hint), false)) AND (p IS NULL OR page = p) AS ok FROM h JOIN chunks USING (chat_id))
+    SELECT question_id, id FROM (SELECT *, bool_or(ok) OVER (PARTITION BY question_id) AS hit FROM m) WHERE ok OR NOT hit"""
+)
+def metadata_filter_fallback(spark, d):
+    pairs = chunks(spark, d).join(hints(spark), "chat_id")
+    return retrieval.with_fallback(pairs, retrieval.metadata_filter(None, F.col("hint"), None, F.col("p"))).select("question_id", "id")
+
+
+@register(
+    f"""WITH {CHUNKS}, {_ONE}, {_INDEX}, {_terms('one')}, {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(bm25, 9) DESC, ord) AS rank FROM bm)
+    SELECT question_id, r.id, rank FROM r JOIN chunks c ON c.id = r.id WHERE rank <= 15 AND contains(lower(chapter), 'chapter 2')"""
+)
+def limit_then_filter(spark, d):
+    c = chunks(spark, d)
+    pool = c.where(retrieval.contains(F.col("chapter"), F.lit("chapter 2"))).select("id")
+    found = retrieval.keyword_search(one_question(spark), c, 15).join(pool, "id", "left_semi")
+    return found.select("question_id", "id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@register(f"WITH {HYBRID_SQL} SELECT DISTINCT question_id, n.id, n.ord FROM top t JOIN chunks c ON c.id = t.id JOIN chunks n ON n.chat_id = c.chat_id AND n.ord BETWEEN c.ord - 1 AND c.ord + 1")
+def neighbor_expansion(spark, d):
+    c = chunks(spark, d)
+    picked = hybrid(spark, d).select("question_id", "id").join(c.select("id", "chat_id", "ord"), "id")
+    return retrieval.neighbours(picked, c, 1).select("question_id", "id", "ord")
+
+
+@register(f"WITH {CHUNKS} SELECT id, previous_chunk_id, next_chunk_id FROM chunks")
+def prev_next_links(spark, d):
+    return chunks(spark, d).select("id", "previous_chunk_id", "next_chunk_id")
+
+
+@register(f"WITH {CHUNKS} SELECT chat_id, id, page, row_number() OVER (PARTITION BY chat_id ORDER BY page, paragraph_index, ord) AS position FROM chunks WHERE page BETWEEN 4 AND 9")
+def page_range_scope(spark, d):
+    rows = scope.page_range(chunks(spark, d), 4, 9)
+    return retrieval.ranked(rows, ["chat_id"], *scope.reading_order(), name="position").select("chat_id", "id", "page", F.col("position").cast("bigint").alias("position"))
+
+
+@register(f"WITH {CHUNKS} SELECT chat_id, id FROM chunks WHERE CAST(regexp_extract(chapter, '[0-9]+') AS INTEGER) = 3")
+def chapter_scope(spark, d):
+    c = chunks(spark, d)
+    wanted = c.select("chat_id").distinct().select(F.col("chat_id").alias("question_id"), "chat_id", F.lit(0).alias("ref_pos"), F.lit("3").alias("ref"))
+    return scope.chapters(wanted, c).select(F.col("question_id").alias("chat_id"), "id")
+
+
+@register(f"WITH {CHUNKS}, w AS (SELECT * FROM (VALUES (0, '2'), (1, '5'), (2, '77')) t(ref_pos, ref)) SELECT chat_id, ref_pos, ref, id FROM w JOIN chunks ON TRY_CAST(regexp_extract(chapter, '[0-9]+') AS INTEGER) = CAST(ref AS INTEGER)")
+def multi_chapter_scope(spark, d):
+    c = chunks(spark, d)
+    refs = spark.createDataFrame([(0, "2"), (1, "5"), (2, "77")], "ref_pos int, ref string")
+    wanted = c.select("chat_id").distinct().join(F.broadcast(refs)).select(F.col("chat_id").alias("question_id"), "chat_id", "ref_pos", "ref")
+    return scope.chapters(wanted, c).select(F.col("question_id").alias("chat_id"), "ref_pos", "ref", "id")
+
+
+@register(f"WITH {CHUNKS} SELECT chat_id, id FROM chunks WHERE contains(lower(section), 'section 4')")
+def section_scope(spark, d):
+    c = chunks(spark, d)
+    wanted = c.select("chat_id").distinct().select(F.col("chat_id").alias("question_id"), "chat_id", F.lit(" Section 4").alias("hint"))
+    return scope.sections(wanted, c).select(F.col("question_id").alias("chat_id"), "id")
+
+
+_REL = "(id % 13)::DOUBLE / 13"
+
+
+def _selected(spark, d):
+    c = chunks(spark, d).where("id % 3 = 0")
+    return c.select(F.col("chat_id").alias("question_id"), "chat_id", F.col("ord").alias("pos"), "ord", "id", "local_id", "previous_chunk_id", "chapter", "section", "heading", "page", "text", ((F.col("id") % 13).cast("double") / 13).alias("relevance"))
+
+
+@register(
+    f"""WITH {CHUNKS}, s AS (SELECT chat_id AS question_id, ord AS pos, id, chapter, section, page, max({_REL}) OVER g AS best, min(ord) OVER g AS first FROM chunks WHERE id % 3 = 0 WINDOW g AS (PARTITION BY chat_id, chapter, section))
+    SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY best DESC, first, page, pos) AS place FROM s"""
+)
+def context_ordering(spark, d):
+    return context.order_context(_selected(spark, d)).select("question_id", "id", F.col("place").cast("bigint").alias("place"))
+
+
+_RUNS = f"""r AS (SELECT *, sum(CASE WHEN chapter = pc AND section = ps THEN 0 ELSE 1 END) OVER (PARTITION BY chat_id ORDER BY page, paragraph_index, ord) AS run FROM
+  (SELECT *, lag(chapter) OVER w AS pc, lag(section) OVER w AS ps FROM chunks WINDOW w AS (PARTITION BY chat_id ORDER BY page, paragraph_index, ord)))"""
+
+
+@register(f"WITH {CHUNKS}, {_RUNS} SELECT chat_id, run::BIGINT AS run, any_value(chapter) AS chapter, any_value(section) AS section, count(*) AS n, min(id) AS first_id FROM r GROUP BY chat_id, run")
+def section_runs(spark, d):
+    r = scope.section_runs(chunks(spark, d))
+    return r.groupBy("chat_id", "run").agg(F.max("chapter").alias("chapter"), F.max("section").alias("section"), F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+@register(
+    f"""WITH {CHUNKS}, {_RUNS}, b AS (SELECT *, (row_number() OVER (PARTITION BY chat_id, run ORDER BY page, paragraph_index, ord) - 1) // 10 AS batch, sum(length(text)) OVER (PARTITION BY chat_id) AS total FROM r)
+    SELECT chat_id, run::BIGINT AS run, batch::BIGINT AS batch, count(*) AS n, sum(length(text))::BIGINT AS chars, any_value(total) <= 300000 AS single_shot FROM b GROUP BY ALL"""
+)
+def map_reduce_batches(spark, d):
+    b = scope.summary_batches(chunks(spark, d))
+    return b.groupBy("chat_id", "run", "batch").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max("single_shot").alias("single_shot"))
+
+
+@register(f"WITH {CHUNKS}, c AS (SELECT *, count(*) OVER (PARTITION BY chat_id) AS n FROM chunks) SELECT chat_id, id, substr(text, 1, 300) AS snippet FROM c WHERE n <= 40 OR ord % greatest(1, n // 40) = 0")
+def overview_sample(spark, d):
+    return scope.overview_sample(chunks(spark, d)).select("chat_id", "id", F.substring("text", 1, 300).alias("snippet"))
+
+
+@register(
+    f"""WITH {CHUNKS}, f AS (SELECT *, row_number() OVER (PARTITION BY chat_id, chapter, section ORDER BY page, paragraph_index, ord) AS n FROM chunks WHERE section IS NOT NULL)
+    SELECT chat_id, chapter, 'section' AS level, section AS text, page, row_number() OVER w AS position, row_number() OVER w AS number FROM f WHERE n = 1 WINDOW w AS (PARTITION BY chat_id, chapter ORDER BY page, paragraph_index, ord)"""
+)
+def chapter_outline(spark, d):
+    o = context.outline(chunks(spark, d), ["chat_id", "chapter"])
+    return o.select("chat_id", "chapter", "level", "text", "page", F.col("position").cast("bigint").alias("position"), "number")
+
+
+@register(
+    f"""WITH {CHUNKS}, f AS (SELECT *, row_number() OVER (PARTITION BY chat_id, page, section, heading ORDER BY ord) AS n FROM chunks), g AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY ord) AS r FROM f WHERE n = 1)
+    SELECT chat_id, document_id, page, chapter, section, r AS citation_rank FROM g WHERE r <= 12"""
+)
+def citations_distinct(spark, d):
+    c = context.distinct_citations(chunks(spark, d), ["chat_id"], "ord")
+    return c.select("chat_id", "document_id", "page", "chapter", "section", F.col("citation_rank").cast("bigint").alias("citation_rank"))
+
+
+@register()
+def containment_dedupe(spark, d):
+    """Rows only: a fold over each chat's texts in order."""
+    return context.dedupe(_selected(spark, d)).select("question_id", "id")
+
+
+@register()
+def merge_adjacent(spark, d):
+    """Rows only: gaps and islands along the links of selected chunks."""
+    c = chunks(spark, d).where("id % 4 <> 0").withColumn("pos", F.pmod(F.col("id") * 7, F.lit(31)).cast("int"))
+    m = context.merge_adjacent(c.withColumn("question_id", F.col("chat_id")))
+    return m.select("question_id", "id", "merged", F.length("text").cast("bigint").alias("chars"))
+
+
+@register(
+    f"""WITH {CHUNKS}, t AS (SELECT chat_id AS question_id, id, ord, CAST(floor(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) * 1.3::DOUBLE) AS BIGINT) AS tokens FROM chunks WHERE id % 3 = 0)
+    SELECT question_id, id, tokens, sum(tokens) OVER (PARTITION BY question_id ORDER BY ord) <= 3000 AS kept FROM t"""
+)
+def context_budget(spark, d):
+    """Without search terms nothing is compressed: chunks are dropped from the end."""
+    none = F.array().cast("array<string>")
+    rows = _selected(spark, d).withColumns({"place": F.col("pos"), "keywords": none, "numbers": none})
+    return context.fit_budget(rows, 3000).select("question_id", "id", "tokens", "kept")
+
+
+@register()
+def context_compression(spark, d):
+    """Rows only: with terms, the last chunks are compressed to their best sentences first."""
+    rows = _selected(spark, d).withColumns({"place": F.col("pos"), "keywords": T.literals(("the", "tion")), "numbers": T.literals(("12",))})
+    return context.fit_budget(rows, 3000).select("question_id", "id", "tokens", "compressed", "kept")
+
+
+@register()
+def prepared_context(spark, d):
+    """Rows only: retrieved chunks and their neighbours through dedupe, merge, cleaning, order and budget."""
+    c = chunks(spark, d)
+    q = understand(asked(spark, d))
+    found = retrieval.hybrid_search(q, chunks(spark, d, vectors=True))
+    near = retrieval.neighbours(found.select("question_id", "id").join(c.select("id", "chat_id", "ord"), "id"), c, DEFAULTS.explain_window)
+    rows = near.select("question_id", "id").join(c, "id").join(found.select("question_id", "id", F.col("score").alias("relevance")), ["question_id", "id"], "left")
+    rows = rows.withColumn("pos", F.col("ord")).join(q.select("question_id", "keywords", "numbers"), "question_id")
+    return context.prepare(rows).where("kept").select("question_id", "id", "place", "tokens", "compressed", "merged")

@@ -74,7 +74,7 @@ def verify(claims: DataFrame, context: DataFrame, replies: DataFrame | None = No
     weak = (F.col("said.status") == "SUPPORTED") & (F.size("evidence") > 0) & (F.size("seen") == 0)
     told = F.struct(
         F.when(weak, F.lit("PARTIALLY_SUPPORTED")).otherwise(F.col("said.status")).alias("status"), F.when(weak, F.least("said.score", F.lit(0.6))).otherwise(F.col("said.score")).alias("score"),
-        F.substring(F.coalesce(F.nullif("said.reason", F.lit("")), F.lit("semantic verifier")), 1, 300).alias("reason"), ~F.col("said.status").isin(*ACCEPTED).alias("second"), F.col("said.status").isin(*ACCEPTED).alias("listing"),
+        F.substring(F.coalesce(F.nullif("said.reason", F.lit("")), F.lit("semantic verifier")), 1, 300).alias("reason"), (~F.col("said.status").isin(*ACCEPTED)).alias("second"), F.col("said.status").isin(*ACCEPTED).alias("listing"),
     )
     said = F.col("said").isNotNull()
     cue = text.any_in(F.lower(bare), fixed.AGGREGATION_CUES)

@@ -14,6 +14,11 @@ def ranked(df: DataFrame, by: list[str], *order: Column, name: str = "rank") ->
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
 
 
+def tied(score: str) -> Column:
+    """Descending; scores that differ by the order of a sum only are ties, which the place in the document decides."""
+    return F.desc(F.round(score, 9))
+
+
 def doc_terms(chunks: DataFrame) -> DataFrame:
     """(chat_id, id, ord, len, toks): tokens of each chunk and their number."""
     return chunks.select("chat_id", "id", "ord", text.tokens(F.col("text")).alias("toks")).withColumn("len", F.size("toks"))
@@ -59,7 +64,7 @@ def bm25(questions: DataFrame, chunks: DataFrame, cfg: EngineConfig = DEFAULTS)
 
 def keyword_search(questions: DataFrame, chunks: DataFrame, k: Column | int = 8, cfg: EngineConfig = DEFAULTS) -> DataFrame:
     """The k best by BM25, their score as a share of the best one's: (question_id, id, ord, keyword_score, rank)."""
-    found = ranked(bm25(questions, chunks, cfg), ["question_id"], F.desc("bm25"), F.col("ord"))
+    found = ranked(bm25(questions, chunks, cfg), ["question_id"], tied("bm25"), F.col("ord"))
     if isinstance(k, Column):
         found = found.join(questions.select("question_id", k.alias("__k")), "question_id").where("rank <= __k").drop("__k")
     else:
@@ -76,7 +81,7 @@ def semantic_search(questions: DataFrame, chunks: DataFrame, k: Column | int = 8
     q = questions.select("question_id", F.col("chat_id").alias("__chat"), "vector", (k if isinstance(k, Column) else F.lit(k)).alias("__k"))
     pool = chunks.where("embedding IS NOT NULL").select("chat_id", "id", "ord", "embedding")
     pairs = pool.join(q, F.col("chat_id") == F.col("__chat")).select("question_id", "id", "ord", "__k", text.cosine(F.col("embedding"), F.col("vector")).alias("semantic_score"))
-    return ranked(pairs, ["question_id"], F.desc("semantic_score"), F.col("ord")).where((F.col("rank") <= F.col("__k")) & (F.col("semantic_score") >= threshold)).drop("__k")
+    return ranked(pairs, ["question_id"], tied("semantic_score"), F.col("ord")).where((F.col("rank") <= F.col("__k")) & (F.col("semantic_score") >= threshold)).drop("__k")
 
 
 def contains(haystack: Column, needle: Column) -> Column:
@@ -159,17 +164,17 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, cfg: EngineConfig = D
     vectors = chunks.where("embedding IS NOT NULL").select("id", "ord", "embedding")
     q = sized.select("question_id", "vector", "most")
     near = pool.join(vectors, "id").join(q, "question_id").select("question_id", "id", "ord", "most", text.cosine(F.col("embedding"), F.col("vector")).alias("semantic_score"))
-    near = ranked(near, ["question_id"], F.desc("semantic_score"), F.col("ord")).where("rank <= most AND semantic_score >= 0").drop("most")
-    words = ranked(bm25(sized, chunks, cfg), ["question_id"], F.desc("bm25"), F.col("ord")).join(q.drop("vector"), "question_id").where("rank <= most")
+    near = ranked(near, ["question_id"], tied("semantic_score"), F.col("ord")).where("rank <= most AND semantic_score >= 0").drop("most")
+    words = ranked(bm25(sized, chunks, cfg), ["question_id"], tied("bm25"), F.col("ord")).join(q.drop("vector"), "question_id").where("rank <= most")
     words = words.select("question_id", "id", "ord", (F.col("bm25") / F.max("bm25").over(W.partitionBy("question_id"))).alias("keyword_score"), "rank")
     words = words.join(pool, ["question_id", "id"], "left_semi")
-    words = ranked(words.drop("rank"), ["question_id"], F.desc("keyword_score"), F.col("ord"))
+    words = ranked(words.drop("rank"), ["question_id"], tied("keyword_score"), F.col("ord"))
     both = fuse(near, words, cfg)
     asked = questions.select("question_id", "keywords", "numbers", "page_references", "chapter_hint", "section_hint", "depth")
     rows = both.join(chunks.select("id", "text", "page", "chapter", "section"), "id").join(asked, "question_id").withColumn("rerank_score", local_rerank())
     rows = rows.withColumn("score", combined(cfg))
     k = F.when(F.col("depth") == "explain", cfg.explain_chunks).otherwise(cfg.specific_chunks)
-    best = ranked(rows, ["question_id"], F.desc("score"), F.desc("rrf"), F.col("ord")).where(F.col("rank") <= k)
+    best = ranked(rows, ["question_id"], tied("score"), tied("rrf"), F.col("ord")).where(F.col("rank") <= k)
     return best.select("question_id", "id", "ord", "semantic_score", "keyword_score", "rrf", "rerank_score", "score", "rank")
 
 
@@ -198,4 +203,4 @@ def lsh_search(questions: DataFrame, chunks: DataFrame, k: int = 8, bucket: floa
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=1).fit(right)
     near = model.approxSimilarityJoin(left, right, 2.0, "d").where("datasetA.__chat = datasetB.chat_id")
     rows = near.select("datasetA.question_id", "datasetB.id", "datasetB.ord", (1 - F.col("d") * F.col("d") / 2).alias("semantic_score"))
-    return ranked(rows, ["question_id"], F.desc("semantic_score"), F.col("ord")).where(F.col("rank") <= k)
+    return ranked(rows, ["question_id"], tied("semantic_score"), F.col("ord")).where(F.col("rank") <= k)
