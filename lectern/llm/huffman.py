@@ -115,10 +115,10 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(tokenizer)
-        width = 2 if ids.code == "H" else 4
+        width = ids.width
         end = end_id.to_bytes(width, "little")
         for b in batches:
-            found = [ids(t or "") + end for t in b.column(1).to_pylist()]
+            found = [x + end for x in ids.many(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // width for x in found], pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")

@@ -62,7 +62,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, code = ids_of(tokenizer), np.dtype(f"<u{2 if ids_of(tokenizer).code == 'H' else 4}")
+        ids = ids_of(tokenizer)
         base, made = TaskContext.get().partitionId() << 36, 0
         pool: list[tuple] = []
         pooled = volume = 0
@@ -84,8 +84,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
             return batch
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                all_ids = np.append(np.frombuffer(ids(text or ""), code).astype("<u4"), np.uint32(end_id)).astype("<u4")
+            for doc, data in zip(b.column(0).to_pylist(), ids.many(b.column(1).to_pylist())):
+                all_ids = np.append(np.frombuffer(data, ids.kind).astype("<u4"), np.uint32(end_id)).astype("<u4")
                 n = len(all_ids)
                 for start in range(0, n - capacity + 1, capacity):
                     out.append((doc, start, capacity, n, base + made, 0, all_ids[start : start + capacity].tobytes()))

@@ -4,38 +4,27 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
+from collections.abc import Iterator
+
+import numpy as np
 
 #: White space of any kind other than the six ASCII characters that Python, Unicode and the tokenizers all agree on.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _CHUNKS = re.compile(r"\s*\S+|\s+")
 #: Chunks kept in each of two generations; memory stays bounded however many different ones a task meets.
 _KEEP = 300_000
-
-
-class _Chunks(dict):
-    """Chunk to its ids as 16-bit (or 32-bit) bytes. Full: the older half goes."""
-
-    def __init__(self, encode, prefix: str = ""):
-        self.encode, self.old, self.prefix = encode, {}, prefix
-
-    def __missing__(self, chunk: str) -> bytes:
-        found = self.old.get(chunk)
-        if found is None:
-            found = self.encode(chunk if chunk[:1] == "\n" else self.prefix + chunk)
-        if len(self) >= _KEEP:
-            self.old = dict(self)
-            self.clear()
-        self[chunk] = found
-        return found
+#: Texts whose new chunks are encoded together, and how many chunks at a time.
+_TEXTS, _JOINED = 64, 2000
 
 
 class Ids:
-    """ids(text) as little-endian bytes of `code` ('H' or 'I'), equal to the library's ids of the whole text.
+    """many(texts): each text's ids as little-endian bytes, 16 or 32 bits each (`width` bytes), equal to the library's ids of
+    the whole text.
 
     Both kinds of vocabulary here cut a text before white space that follows something else, whatever stands on either side
-    (byte-level ones keep the white space with what follows, word-end ones drop it), so such chunks can be encoded one by
-    one. Where odd white space might be cut otherwise, the whole text is encoded at once.
+    (byte-level ones keep the white space with what follows, word-end ones drop it), so a text's ids are those of its chunks.
+    The new chunks of some texts are encoded in one call, as a text of their own, and told apart by their offsets. Where odd
+    white space might be cut otherwise, the whole text is encoded at once.
     """
 
     def __init__(self, path: str):
@@ -44,23 +33,78 @@ class Ids:
 
         self.tokenizer = t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        self.code = code = "H" if t.get_vocab_size() <= 1 << 16 else "I"
+        self.width = 2 if t.get_vocab_size() <= 1 << 16 else 4
+        self.kind = np.dtype(f"<u{self.width}")
         self.spaces = t.normalizer is None
-        self.encode = lambda s: array(code, t.encode(s, add_special_tokens=False).ids).tobytes()
-        self.chunks, self.spaced = _Chunks(self.encode), _Chunks(self.encode, " ")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _chunks(self, text: str) -> list[str] | None:
         if _ODD.search(text):
-            return self.encode(text)
+            return None
         if not self.spaces:
-            return b"".join(map(self.chunks.__getitem__, text.split()))
-        plain = not any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c"))
-        if not plain or text[0] in " \n" or text[-1] in " \n":
-            return b"".join(map(self.chunks.__getitem__, _CHUNKS.findall(text)))
+            return text.split()
+        if any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")) or text[0] in " \n" or text[-1] in " \n":
+            first, *rest = _CHUNKS.findall(text)
+            return [first if first[0].isspace() else "\0" + first, *rest]
+        # Spaces are left out and put back before what needs one: a key that starts with white space has its own.
         first, *rest = text.replace("\n", " \n").split(" ")
-        return self.chunks[first] + b"".join(map(self.spaced.__getitem__, rest))
+        return ["\0" + first, *rest]
+
+    def _spelled(self, key: str) -> str:
+        """The text of a key. Byte-level keys: after a zero byte as it is (a text's first chunk), else with a space unless
+        white space leads."""
+        if not self.spaces:
+            return key
+        return key[1:] if key[0] == "\0" else key if key[0].isspace() else " " + key
+
+    def _learn(self, keys: list[str]) -> None:
+        texts = [self._spelled(k) for k in keys]
+        joined = [i for i, x in enumerate(texts) if not self.spaces or (x[0].isspace() and not x[-1].isspace())]
+        alone = set(range(len(keys))).difference(joined)
+        for i in range(0, len(joined), _JOINED):
+            part = joined[i : i + _JOINED]
+            glue = "" if self.spaces else " "
+            sizes = np.array([len(texts[j]) + len(glue) for j in part])
+            found = self.tokenizer.encode(glue.join(texts[j] for j in part), add_special_tokens=False)
+            ids = np.array(found.ids, self.kind)
+            begins = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
+            cuts = np.searchsorted(begins, np.cumsum(sizes)).tolist()
+            data, a, w = ids.tobytes(), 0, self.width
+            for j, z in zip(part, cuts):
+                if z == a:
+                    alone.add(j)  # no token of its own starts here: it is asked alone
+                self.young[keys[j]] = data[a * w : z * w]
+                a = z
+        for j in alone:
+            self.young[keys[j]] = self.encode(texts[j])
+
+    def many(self, texts: list[str | None]) -> Iterator[bytes]:
+        for i in range(0, len(texts), _TEXTS):
+            part = [self._keys(t) for t in texts[i : i + _TEXTS]]
+            new = {k for keys in part if keys for k in keys if k not in self.young}
+            if new:
+                if len(self.young) + len(new) > _KEEP:
+                    self.old, self.young = self.young, {}
+                    new = {k for keys in part if keys for k in keys}
+                unknown = []
+                for k in new:
+                    if (known := self.old.get(k)) is None:
+                        unknown.append(k)
+                    else:
+                        self.young[k] = known
+                self._learn(unknown)
+            for t, keys in zip(texts[i : i + _TEXTS], part):
+                yield self.encode(t) if keys is None else b"".join(map(self.young.__getitem__, keys))
+
+    def _keys(self, text: str | None) -> list[str] | None:
+        if not text:
+            return []
+        # A chunk that itself starts with the zero byte would be taken for a first one.
+        return None if self.spaces and "\0" in text else self._chunks(text)
 
 
 _loaded: dict[str, Ids] = {}

@@ -1,6 +1,7 @@
 import random
 from array import array
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -12,14 +13,16 @@ TEXTS = [None, "", " ", "\n", "a", "Hello  world\n\nfoo \n bar\tbaz\r\n end ", "
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_chunks_give_the_library_ids(name):
+def test_chunks_give_the_library_ids(name, monkeypatch):
     ids = tokens.Ids(public_tokenizers.path(name))
     t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True
     rng = random.Random(3)
     bits = ["a", "B", "é", "'s", " ", "  ", "\n", "\t", "\r", "\x0b", "1", "!", "́", "\x1c", "\xa0", "<|endoftext|>", "ß", "漢"]
-    for text in [x or "" for x in TEXTS] + ["".join(rng.choices(bits, k=rng.randrange(1, 30))) for _ in range(3000)]:
-        assert list(array(ids.code, ids(text))) == t.encode(text, add_special_tokens=False).ids, repr(text)
+    texts = [x or "" for x in TEXTS] + ["\0a b\0 c", "İ İx", "e\u0301 \u0301a a\u0301"] + ["".join(rng.choices(bits, k=rng.randrange(1, 30))) for _ in range(4000)]
+    monkeypatch.setattr(tokens, "_KEEP", 500)
+    for text, data in zip(texts, ids.many(texts), strict=True):
+        assert np.frombuffer(data, ids.kind).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_windows():
