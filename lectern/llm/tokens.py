@@ -9,10 +9,12 @@ from collections.abc import Iterator
 import numpy as np
 
 #: White space of any kind other than the six ASCII characters that Python, Unicode and the tokenizers all agree on.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ODD = tuple(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _CHUNKS = re.compile(r"\s*\S+|\s+")
 #: Chunks kept in each of two generations; memory stays bounded however many different ones a task meets.
-_KEEP = 300_000
+_KEEP = 500_000
+#: A word and its punctuation are cut from each other by both kinds of vocabulary: letters, then marks, never a contraction.
+_MARKED = re.compile("([\0\n]?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|]+)").fullmatch
 #: Texts whose new chunks are encoded together, and how many chunks at a time.
 _TEXTS, _JOINED = 64, 2000
 
@@ -36,6 +38,7 @@ class Ids:
         self.width = 2 if t.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.spaces = t.normalizer is None
+        self.lower = not self.spaces and t.normalizer.normalize_str("AÀ") == "aà"
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -43,10 +46,11 @@ class Ids:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _chunks(self, text: str) -> list[str] | None:
-        if _ODD.search(text):
+        if any(c in text for c in _ODD):
             return None
         if not self.spaces:
-            return text.split()
+            # Lower case is these vocabularies' own. Within Latin-1 no composition can come between, so it is taken first.
+            return (text.lower() if self.lower and (text.isascii() or len(text.encode("latin-1", "ignore")) == len(text)) else text).split()
         if any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")) or text[0] in " \n" or text[-1] in " \n":
             first, *rest = _CHUNKS.findall(text)
             return [first if first[0].isspace() else "\0" + first, *rest]
@@ -61,7 +65,26 @@ class Ids:
             return key
         return key[1:] if key[0] == "\0" else key if key[0].isspace() else " " + key
 
-    def _learn(self, keys: list[str]) -> None:
+    def _learn(self, keys: set[str]) -> None:
+        """Takes what is known from the older generation, puts words and marks together, and has the rest encoded."""
+        parts, rest = {}, set()
+        for k in keys:
+            if (known := self.old.get(k)) is not None:
+                self.young[k] = known
+            elif m := _MARKED(k):
+                parts[k] = m[1], ("\0" + m[2] if self.spaces else m[2])
+            else:
+                rest.add(k)
+        for k in {x for both in parts.values() for x in both}.difference(self.young):
+            if (known := self.old.get(k)) is not None:
+                self.young[k] = known
+            else:
+                rest.add(k)
+        self._encode_all(list(rest))
+        for k, (word, marks) in parts.items():
+            self.young[k] = self.young[word] + self.young[marks]
+
+    def _encode_all(self, keys: list[str]) -> None:
         texts = [self._spelled(k) for k in keys]
         joined = [i for i, x in enumerate(texts) if not self.spaces or (x[0].isspace() and not x[-1].isspace())]
         alone = set(range(len(keys))).difference(joined)
@@ -85,18 +108,11 @@ class Ids:
     def many(self, texts: list[str | None]) -> Iterator[bytes]:
         for i in range(0, len(texts), _TEXTS):
             part = [self._keys(t) for t in texts[i : i + _TEXTS]]
-            new = {k for keys in part if keys for k in keys if k not in self.young}
-            if new:
+            every = set().union(*(keys for keys in part if keys))
+            if new := every.difference(self.young):
                 if len(self.young) + len(new) > _KEEP:
-                    self.old, self.young = self.young, {}
-                    new = {k for keys in part if keys for k in keys}
-                unknown = []
-                for k in new:
-                    if (known := self.old.get(k)) is None:
-                        unknown.append(k)
-                    else:
-                        self.young[k] = known
-                self._learn(unknown)
+                    self.old, self.young, new = self.young, {}, every
+                self._learn(new)
             for t, keys in zip(texts[i : i + _TEXTS], part):
                 yield self.encode(t) if keys is None else b"".join(map(self.young.__getitem__, keys))
 

@@ -18,7 +18,7 @@ def test_chunks_give_the_library_ids(name, monkeypatch):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True
     rng = random.Random(3)
-    bits = ["a", "B", "é", "'s", " ", "  ", "\n", "\t", "\r", "\x0b", "1", "!", "́", "\x1c", "\xa0", "<|endoftext|>", "ß", "漢"]
+    bits = ["a", "B", ".", ",", "Foo.", "àÉ", "J", "\u030c", "Σ", "é", "'s", " ", "  ", "\n", "\t", "\r", "\x0b", "1", "!", "́", "\x1c", "\xa0", "<|endoftext|>", "ß", "漢"]
     texts = [x or "" for x in TEXTS] + ["\0a b\0 c", "İ İx", "e\u0301 \u0301a a\u0301"] + ["".join(rng.choices(bits, k=rng.randrange(1, 30))) for _ in range(4000)]
     monkeypatch.setattr(tokens, "_KEEP", 500)
     for text, data in zip(texts, ids.many(texts), strict=True):
