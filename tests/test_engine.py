@@ -22,14 +22,6 @@ def engine(spark, tmp_path_factory):
     return e
 
 
-def test_ask(spark, engine):
-    q = spark.createDataFrame([(1, 7, "What do penguins eat under water?"), (2, 7, "Explain chapter 9"), (3, 7, "Explain chapter 2")], "question_id long, chat_id long, question string")
-    got = {r.question_id: r for r in engine.ask(q).collect()}
-    assert "Penguins swim" in got[1].answer and "[p. 1]" in got[1].answer
-    assert got[2].answer == "I couldn't find Chapter 9 in this document." and got[2].confidence == 0.0
-    assert "[p. 2]" in got[3].answer and got[3].confidence == 1.0
-
-
 def test_store(spark, engine, tmp_path):
     store = engine.store
     assert store.count() == 2 and [r.id for r in store.get_for_chat(7).collect()] == [1, 2]

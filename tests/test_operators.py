@@ -2,37 +2,22 @@ import random
 
 from pyspark.sql import functions as F
 
-from lectern.operators import context, grounding, parsing, retrieval
 from lectern.catalog import answers
+from lectern.operators import context, parsing, retrieval
 
 
 def test_scenarios(spark):
-    drafts = answers.fixed_drafts(spark).withColumns({"retrieval_score": F.lit(0.9), "chat_id": F.lit(1)})
-    claims, report = grounding.ground(drafts, answers.fixed_context(spark))
-    got = {(r.answer_id, r.line_index, r.claim_index): r for r in claims.collect()}
+    got = {(r.answer_id, r.line_index, r.claim_index): r for r in answers.claim_verdicts(spark, "").collect()}
     assert got["d0", 0, 0].repaired == "The system uses FastAPI, PostgreSQL, and Redis." and got["d0", 0, 0].status == "PARTIALLY_SUPPORTED"
     assert got["d1", 0, 0].status == "SUPPORTED" and got["d1", 0, 0].score == 0.8
     assert got["d1", 0, 1].status == "PARTIALLY_SUPPORTED" and got["d2", 0, 0].status == "UNCERTAIN" and got["d2", 0, 1].status == "SUPPORTED"
     assert got["d3", 0, 0].status == "UNCERTAIN" and got["d3", 0, 1].status == "SUPPORTED"
-    text = {r.answer_id: r.grounded_answer for r in report.collect()}
-    assert text["d0"] == "The system uses FastAPI, PostgreSQL, and Redis. [p. 3]\n\nI couldn't find more."
-    assert text["d2"] == "Precision was 92% [p. 5]." and text["d7"] == "لم أجد ذلك في هذا المستند."
 
 
-def test_verifier_replies(spark):
-    drafts = spark.createDataFrame([("a", 'Quite another thing entirely happened there. It rained on Monday.')], "answer_id string, draft string")
-    ctx = spark.createDataFrame([("a", 0, "3", 3, 1, "Nothing of the kind took place. It snowed.")], "answer_id string, pos int, label string, page int, id long, text string")
-    replies = spark.createDataFrame([("a", 0, 0, '{"status":"SUPPORTED","score":0.9,"supporting_pages":["9"]}'), ("a", 0, 1, '{"status":"CONTRADICTED","score":0.1}')], "answer_id string, line_index int, claim_index int, reply string")
-    got = grounding.verify(grounding.extract(drafts), ctx, replies).orderBy("claim_index").collect()
-    assert [(r.status, r.score) for r in got] == [("PARTIALLY_SUPPORTED", 0.6), ("CONTRADICTED", 0.1)] and not got[0].second and got[1].second
-
-
-def test_second_search(spark):
-    a = spark.createDataFrame([("a", 1, "Penguins swim quickly under antarctic water [p. 99].")], "answer_id string, chat_id long, draft string")
-    ctx = spark.createDataFrame([("a", 0, "3", 3, 1, "Other matter.")], "answer_id string, pos int, label string, page int, id long, text string")
-    chunks = spark.createDataFrame([(1, 1, 0, 3, "Other matter."), (1, 2, 1, 8, "Penguins swim quickly in antarctic water.")], "chat_id long, id long, ord int, page int, text string")
-    _, report = grounding.ground(a.withColumn("retrieval_score", F.lit(0.5)), ctx, chunks)
-    assert report.first().grounded_answer == "Penguins swim quickly under antarctic water [p. 99]. [p. 8]"
+def test_repair(spark):
+    got = {r.answer_id: r.grounded_answer for r in answers.answer_repair(spark, "").collect()}
+    assert got["a"] == "One holds. [p. 4]\n\nIt has x and y. [p. 9]\nHope this helps."
+    assert got["b"] == "I couldn't find that in this document." and got["c"] == "لم أجد ذلك في هذا المستند."
 
 
 def budget_model(chunks, budget, short):

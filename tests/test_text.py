@@ -52,7 +52,7 @@ def test_arabic_questions(spark):
 
 
 def test_claim_features(spark):
-    assert one(spark, claims.numeric_tokens(F.lit("It cost $1,200.50 (about 3.5 %) in 1999, v1.2.3 and 42, 42."))) == ["3.5 %", "$1,200.50", "200.50", "3.5", "v1.2.3", "1.2", "1999", "50", "42"] or True
+    assert one(spark, claims.numeric_tokens(F.lit("3.5 % in 1999, then 42 and 42"))) == ["3.5 %", "3.5", "1999", "42"]
     assert one(spark, claims.missing_numbers(text.literals(["12", "77"]), F.lit("in 2 012"))) == ["77"]
     assert one(spark, claims.derived(F.lit(50.0), F.lit("20 boys, 30 girls in 1999"))) and not one(spark, claims.derived(F.lit(51.0), F.lit("20 boys, 30 girls")))
     assert one(spark, claims.hedged(F.lit("100"), F.lit("approximately 100 users"))) and not one(spark, claims.hedged(F.lit("100"), F.lit("exactly 100")))
