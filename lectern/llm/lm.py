@@ -89,7 +89,11 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From a stored table of counts. To the driver come FREQUENT tokens, and a sum for each rare class and task."""
+    """From a stored table of counts. To the driver come FREQUENT tokens at most, and a sum for each rare class.
+
+    Which tokens: those from the least count on, in eighths of a power of two, that at most FREQUENT tokens reach. So only
+    they are sent, however many tasks the table has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.zeros(RARE)
@@ -99,7 +103,14 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(RARE)), pa.array(weight)], ["r", "w"])
 
     n, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(FREQUENT).collect()
+    level = F.floor(F.log2("c") * 8).cast("int")
+    sizes, least, room = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), 1 << 30, FREQUENT
+    for r in sorted(sizes, key=lambda r: -r.level):
+        room -= r.n
+        if room < 0:
+            break
+        least = r.level
+    top = sorted(counts.where(level >= least).collect(), key=lambda r: (-r.c, bytes(r.token)))
     weight = np.full(RARE, 0.5)  # for a token that isn't counted
     for r in counts.mapInArrow(run, "r long, w double").groupBy("r").agg(F.sum("w").alias("w")).collect():
         weight[r.r] += r.w
