@@ -24,6 +24,8 @@ FREQUENT = 1 << 17
 #: one have the shares that their smoothed counts give them.
 WORDS, PER, RARE = 2048, 32, 64
 HIDDEN, LANES, STEPS = 32, 64, 16
+#: The pass over all tokens: lanes of a learner, tokens it holds at once, about the tokens of a learner, weights in a row.
+WIDE, PORTION, OWN, SLICE = 256, 1 << 20, 1 << 21, 1 << 12
 
 
 def tokens(data: bytes | None) -> list[bytes]:
@@ -123,6 +125,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+class Adam:
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.i = p, 0
+        self.m = {name: np.zeros_like(v) for name, v in p.items()}
+        self.s = {name: np.zeros_like(v) for name, v in p.items()}
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        """The gradients' norm is cut to 1."""
+        self.i += 1
+        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+        for name, v in g.items():
+            v *= min(1.0, 1 / (norm + 1e-9))
+            self.m[name] += 0.1 * (v - self.m[name])
+            self.s[name] += 0.001 * (v * v - self.s[name])
+            self.p[name] -= (rate * self.m[name] / (1 - 0.9**self.i) / (np.sqrt(self.s[name] / (1 - 0.999**self.i)) + 1e-8)).astype(np.float32)
+
+
 class Recurrent:
     """A gated recurrent unit that reads ids (words, rare classes, and last the start) and predicts the next id: first its
     class, of `classes` word classes and RARE others, then the word within its class."""
@@ -229,23 +248,45 @@ class Recurrent:
         before = np.where(first, self.start, np.roll(ids, 1)).astype(np.int32)
         at = np.linspace(0, len(ids), LANES, endpoint=False).astype(int)
         h = np.zeros((LANES, HIDDEN), np.float32)
-        m = {name: np.zeros_like(v) for name, v in self.p.items()}
-        s = {name: np.zeros_like(v) for name, v in self.p.items()}
+        adam = Adam(self.p)
         losses = []
         for i in range(1, updates + 1):
             where = (at + np.arange(STEPS)[:, None]) % len(ids)
             at = (at + STEPS) % len(ids)
             g, loss, h = self.gradients(before[where], ids[where], first[where], h)
             losses.append(loss)
-            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            now = rate * min(1.0, i / 50) * (1 - 0.9 * i / updates)
-            for name, v in g.items():
-                v *= min(1.0, 1 / (norm + 1e-9))
-                m[name] += 0.1 * (v - m[name])
-                s[name] += 0.001 * (v * v - s[name])
-                self.p[name] -= (now * m[name] / (1 - 0.9**i) / (np.sqrt(s[name] / (1 - 0.999**i)) + 1e-8)).astype(np.float32)
+            adam.step(g, rate * min(1.0, i / 50) * (1 - 0.9 * i / updates))
         return losses
 
+    def read(self, texts: Iterator[np.ndarray], rate: float = 0.003) -> int:
+        """One pass of Adam over every token of texts, PORTION of them in memory at once, a longer text in several portions.
+        Returns the number of tokens."""
+        adam, total, held, waiting = Adam(self.p), 0, [], 0
+
+        def learn() -> None:
+            ids, before, first = (np.concatenate(c) for c in zip(*held))
+            lanes = max(1, min(WIDE, len(ids) // (64 * STEPS)))
+            at, h = np.linspace(0, len(ids), lanes, endpoint=False).astype(int), np.zeros((lanes, HIDDEN), np.float32)
+            for t in range(0, -(-len(ids) // lanes), STEPS):
+                where = (at + t + np.arange(STEPS)[:, None]) % len(ids)
+                g, _, h = self.gradients(before[where], ids[where], first[where], h)
+                adam.step(g, rate * min(1.0, (adam.i + 1) / 50))
+
+        for text in texts:
+            for i in range(0, len(text), PORTION):
+                ids = text[i : i + PORTION].astype(np.int32)
+                first = np.zeros(len(ids), bool)
+                first[0] = i == 0
+                held.append((ids, np.concatenate([[text[i - 1] if i else self.start], ids[:-1]]).astype(np.int32), first))
+                total, waiting = total + len(ids), waiting + len(ids)
+                if waiting >= PORTION:
+                    learn()
+                    held.clear()
+                    waiting = 0
+        if held:
+            learn()
+        return total
+
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural log-likelihood of each whole text. Texts run side by side, longest first, window after window, and those
         that have ended drop out; a state is carried from a text's first token to its last."""
@@ -273,24 +314,69 @@ class Recurrent:
         return out
 
 
-def training_ids(docs: DataFrame, shared, share: float, id_col: str, text_col: str) -> list[np.ndarray]:
-    """Model ids of whole texts chosen by a hash of the id: about `share` of them come to the driver."""
+def model_ids(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
+    """(h, ids): a hash of the row, and the model ids of its whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value.prepare()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([v.look_up(tokens(t))[0].astype("<u2").tobytes() for t in byte_texts(b.column(0))], pa.binary())], ["ids"])
+            ids = pa.array([v.look_up(tokens(t))[0].astype("<u2").tobytes() for t in byte_texts(b.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["h", "ids"])
+
+    return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text")).mapInArrow(run, "h long, ids binary")
+
 
+def training_ids(docs: DataFrame, shared, share: float, id_col: str, text_col: str) -> list[np.ndarray]:
+    """Model ids of whole texts chosen by a hash of the id: about `share` of them come to the driver."""
     some = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("lm")), F.lit(1_000_000)) < int(share * 1_000_000))
-    got = some.select(F.col(text_col).alias("text")).mapInArrow(run, "ids binary").collect()
-    return [np.frombuffer(x, "<u2") for x in sorted(bytes(r.ids) for r in got)]
+    return [np.frombuffer(x, "<u2") for x in sorted(bytes(r.ids) for r in model_ids(some, shared, id_col, text_col).select("ids").collect())]
+
+
+def pass_over(docs: DataFrame, shared, model: Recurrent, total: int, id_col: str, text_col: str) -> int:
+    """Every token of docs goes through truncated backpropagation once; returns how many did.
+
+    Learners, one for about OWN of the `total` tokens, start from the model and read their rows, which a hash gives them
+    whatever the split of the input. The model becomes the mean of theirs, each weighing as its tokens: summed slice by
+    slice, so that one model's worth of rows comes to the driver.
+    """
+    if not total:
+        return 0
+    start = docs.sparkSession.sparkContext.broadcast(model)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Recurrent(start.value.words)
+        own.p = {name: v.copy() for name, v in start.value.p.items()}
+        n = own.read(np.frombuffer(x, "<u2") for b in batches for x in b.column(0).to_pylist())
+        if n:
+            flat = np.concatenate([v.reshape(-1) for v in own.p.values()])
+            parts = [flat[i : i + SLICE].astype("<f4").tobytes() for i in range(0, len(flat), SLICE)]
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([part] * len(parts), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["slice", "learner", "n", "w"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for b in batches:
+            for i, n, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                own = sums.setdefault(i, [0, 0.0])
+                own[0], own[1] = own[0] + n, own[1] + np.frombuffer(w, "<f4").astype(np.float64) * n
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([w.tobytes() for _, w in sums.values()], pa.binary())], ["slice", "n", "w"])
+
+    rows = model_ids(docs, shared, id_col, text_col).repartition(-(-total // OWN), "h").sortWithinPartitions("h", "ids").select("ids")
+    learned = stored(rows.mapInArrow(learn, "slice int, learner int, n long, w binary"), "lm-learned")
+    summed = learned.repartition("slice").sortWithinPartitions("slice", "learner").select("slice", "n", "w").mapInArrow(add, "slice int, n long, w binary")
+    got = sorted(summed.collect(), key=lambda r: r.slice)
+    flat, at = np.concatenate([np.frombuffer(r.w, "<f8") / r.n for r in got]).astype(np.float32), 0
+    for name, v in model.p.items():
+        model.p[name] = flat[at : at + v.size].reshape(v.shape)
+        at += v.size
+    return got[0].n
 
 
 def scored(docs: DataFrame, learn: Column, sample_tokens: int = 400_000, id_col: str = "doc_id", text_col: str = "text", updates: int = 1500) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
 
-    learn: which rows are learned from. Their tokens are all counted; the recurrent model is fitted on `sample_tokens` of
-    them in expectation. A null text is an empty one, whose end alone is scored. Repeated rows stay; other columns are not
+    learn: which rows are learned from. Their tokens are all counted; the recurrent model is first fitted on `sample_tokens`
+    of them in expectation, and then reads all of them once. A null text is an empty one, whose end alone is scored. Repeated rows stay; other columns are not
     read. Nothing to learn from: counts of zero and an untrained model. A word outside the model's own has its rare class's
     probability times its share (c + 0.5) of the class, one place of 0.5 standing for all that is unseen.
     """
@@ -300,6 +386,7 @@ def scored(docs: DataFrame, learn: Column, sample_tokens: int = 400_000, id_col:
     spread = spark.sparkContext.broadcast(v)
     model = Recurrent(v.words)
     model.fit(training_ids(docs.where(learn), spread, min(1.0, sample_tokens / max(1, v.total)), id_col, text_col), updates)
+    pass_over(docs.where(learn), spread, model, v.total, id_col, text_col)
     both = spark.sparkContext.broadcast((v, model))
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["row", "doc_id", "n_tokens", "known", "base", "score", "token", "n"]

@@ -93,3 +93,27 @@ def test_tail_counts_and_edges(spark, monkeypatch):
     none = lm.scored(df, F.lit(False), updates=5).collect()
     assert all(r.n_known == r.train_tokens == 0 and np.isfinite(r.score) for r in none)
     assert lm.scored(df.limit(0), F.lit(True), updates=5).count() == 0
+
+
+def test_every_token_is_learned_from(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    common = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(common, 40))) for i in range(300)]
+    rows += [(None, "odd pair " * 20) for _ in range(3)] + [(400, "long tail " * 4000), (401, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    total = sum(len(words(t)) for _, t in rows)
+    for name, value in (("OWN", 3000), ("PORTION", 1000)):
+        monkeypatch.setattr(lm, name, value)
+    v = lm.vocabulary(lm.stored(lm.token_counts(df, "text"), "lm-counts"))
+    spread = spark.sparkContext.broadcast(v)
+    found = []
+    for parts in (2, 5):
+        model = lm.Recurrent(v.words)
+        assert lm.pass_over(df.repartition(parts), spread, model, v.total, "doc_id", "text") == total == v.total
+        found.append(model.p)
+    assert all(np.allclose(found[0][k], found[1][k], atol=1e-5) for k in found[0])
+    # Of a sample of nothing, the scores still tell what was read.
+    got = lm.scored(df, F.lit(True), sample_tokens=0).where("doc_id = 400").first()
+    monkeypatch.setattr(lm, "pass_over", lambda *a: 0)
+    blind = lm.scored(df, F.lit(True), sample_tokens=0).where("doc_id = 400").first()
+    assert got.score > blind.score + 0.1 * got.n_tokens
