@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import byte_texts, connected_components, documents, stored
 
@@ -125,11 +126,35 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, **options: object) -> DataFrame:
-    """docs without near-duplicates: of each component the row whose id is the component's; of rows that repeat an id, one."""
-    keep = components(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    left = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi")
-    return left.dropDuplicates(["doc_id"])
+def _marked(docs: DataFrame, mark: Callable[[bytes | None], bytes], name: str) -> DataFrame:
+    """docs as a stored table, with a number for each row (__row) and mark(text) (__mark)."""
+    at = docs.schema.fieldNames().index("text")
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    schema = T.StructType([*numbered.schema.fields, T.StructField("__mark", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = pa.array([mark(t) for t in byte_texts(b.column(at))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, marks], schema.fieldNames())
+
+    return stored(numbered.mapInArrow(run, schema), name)
+
+
+def _first_of_each(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Of each component of rows (__row, __node; edges: links of nodes) exactly one: that with the least id, nulls last, then
+    with the least hash of its text. A shared id takes no row away."""
+    roots = connected_components(edges).withColumnRenamed("node", "__node")
+    named = rows.select("__row", "__node", "doc_id", F.xxhash64("text").alias("h")).join(roots, "__node", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "__row")).alias("first")
+    keep = named.groupBy(F.coalesce("root", "__node").alias("c")).agg(first).select("first.__row")
+    return rows.join(keep, "__row", "left_semi").drop("__row", "__node", "__mark")
+
+
+def one_of_each(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
+    """docs without near-duplicates: of each component of near fingerprints one row."""
+    rows = _marked(docs, lambda t: fingerprint(t, width), "simhash-rows")
+    rows = rows.withColumn("__node", F.conv(F.hex("__mark"), 16, -10).cast("long"))
+    return _first_of_each(rows, close_pairs(stored(rows.select(F.col("__node").alias("fp")).distinct(), "simhash-classes"), distance))
 
 
 def _query(spark, sf_dir: str) -> DataFrame:

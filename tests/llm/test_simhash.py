@@ -70,3 +70,12 @@ def test_fixture_rows(spark):
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
     out = simhash.components(df.withColumn("fp", F.lit(1)))
     assert {tuple(r) for r in out.collect()} == brute(rows)
+
+
+def test_one_row_of_each_group_whatever_its_id(spark):
+    texts = ["one two three four five six seven", "eight nine ten eleven twelve thirteen", "a b c d e f g h", "q r s t u v w x", "k l m n o p"]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (3, texts[3]), (None, texts[4]), (9, texts[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for keep in (simhash.one_of_each,):
+        got = sorted((r.text, r.doc_id) for r in keep(df).collect())
+        assert got == sorted(zip(texts, [None, None, 7, 3, 9]))
