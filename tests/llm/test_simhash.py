@@ -72,10 +72,34 @@ def test_fixture_rows(spark):
     assert {tuple(r) for r in out.collect()} == brute(rows)
 
 
+def test_similar_texts_go(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    shingles = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    texts, copies, apart = [], 0, 0
+    for i in range(300):
+        base = [rng.choice(words) for _ in range(300)]
+        new = list(base)
+        for _ in range(rng.randrange(1, 30)):
+            new[rng.randrange(300)] = rng.choice(words)
+        a, b = " ".join(base), " ".join(new)
+        j = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        texts += [(2 * i, a, j), (2 * i + 1, b, j)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, j double")
+    left = {r.doc_id for r in simhash.one_of_similar(df).collect()}
+    assert all(2 * i in left for i in range(300))
+    sure = [i for i, _, j in texts if i % 2 and j >= 0.85]
+    clear = [i for i, _, j in texts if i % 2 and j <= 0.72]
+    assert len(sure) > 40 and len(clear) > 40
+    assert sum(i not in left for i in sure) >= 0.98 * len(sure) and sum(i in left for i in clear) >= 0.98 * len(clear)
+    old = {r.doc_id for r in simhash.one_of_each(df).collect()}
+    assert sum(i not in old for i in sure) < 0.9 * len(sure)
+
+
 def test_one_row_of_each_group_whatever_its_id(spark):
     texts = ["one two three four five six seven", "eight nine ten eleven twelve thirteen", "a b c d e f g h", "q r s t u v w x", "k l m n o p"]
     rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (3, texts[3]), (None, texts[4]), (9, texts[4])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for keep in (simhash.one_of_each,):
+    for keep in (simhash.one_of_each, simhash.one_of_similar):
         got = sorted((r.text, r.doc_id) for r in keep(df).collect())
         assert got == sorted(zip(texts, [None, None, 7, 3, 9]))
