@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -88,6 +89,13 @@ class Model:
         if not known or not self.families:
             return names, scores
         margins = means([texts[i] for i in known], self.weights[:-1]) * _SCALE + self.weights[-1]
+        for i, (name, score) in zip(known, self.decide(margins)):
+            names[i], scores[i] = name, score
+        return names, scores
+
+    def decide(self, margins: np.ndarray) -> list[tuple[str, float]]:
+        """Language and score for each row of the machines' margins."""
+        found = [("und", 0.0)] * len(margins)
         p = 1 / (1 + np.exp(-np.clip(margins * self.slopes, -500, 500)))
         top = p[:, : len(self.families)]
         family = top.argmax(axis=1)
@@ -103,8 +111,8 @@ class Model:
             best = wins.argmax(axis=1)
             share = wins.max(axis=1, initial=0) / (len(languages) - 1) if len(languages) > 1 else np.ones(len(rows))
             for r, lang, s in zip(rows, best, share):
-                names[known[r]], scores[known[r]] = languages[lang], round(float(min(1.0, top[r] * s)), 6)
-        return names, scores
+                found[r] = languages[lang], round(float(min(1.0, top[r] * s)), 6)
+        return found
 
 
 def _machine(x: np.ndarray, y: np.ndarray, rounds: int = 150, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -126,16 +134,21 @@ def _machine(x: np.ndarray, y: np.ndarray, rounds: int = 150, decay: float = 1e-
     return w, slope
 
 
+def _unpacked(rows: list[tuple[str, bytes]]) -> np.ndarray:
+    x = np.zeros((len(rows), 1 << BITS), np.float32)
+    for i, (_, packed) in enumerate(rows):
+        cells = np.frombuffer(packed, np.dtype([("at", "<u2"), ("n", "<f4")]))
+        x[i, cells["at"]] = cells["n"] * _SCALE
+    return x
+
+
 def train(rows: list[tuple[str, bytes]]) -> Model:
     """rows: (language, packed n-gram counts) as `sampled` gives them."""
     languages = sorted({lang for lang, _ in rows})
     families = sorted({FAMILY.get(lang, lang) for lang in languages})
     groups = [[lang for lang in languages if FAMILY.get(lang, lang) == f] for f in families]
     pairs = [(f, a, b) for f, g in enumerate(groups) for a, b in combinations(range(len(g)), 2)]
-    x = np.zeros((len(rows), 1 << BITS), np.float32)
-    for i, (_, packed) in enumerate(rows):
-        cells = np.frombuffer(packed, np.dtype([("at", "<u2"), ("n", "<f4")]))
-        x[i, cells["at"]] = cells["n"] * _SCALE
+    x = _unpacked(rows)
     lang = np.array([lang for lang, _ in rows])
     family = np.array([FAMILY.get(name, name) for name in lang])
     columns = [_machine(x, np.where(family == f, 1.0, -1.0)) for f in families] if len(families) > 1 else [(np.append(np.zeros(1 << BITS), 1.0), 20.0)] * len(families)
@@ -195,17 +208,28 @@ def predict(docs: DataFrame, learn: Column, sample: int = 3200, id_col: str = "d
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, least: float = 0.5, **options: object) -> DataFrame:
-    """docs whose language is told with a score of at least `least`; what has no letter goes. Learns from all labelled rows."""
+def undecided(model: Model, rows: list[tuple[str, bytes]]) -> float:
+    """Half the least score that the model gives to a row whose language it tells right: no clean text should be below."""
+    found = model.decide(_unpacked(rows) @ model.weights[:-1] + model.weights[-1]) if rows and model.families else []
+    return 0.5 * min((score for (lang, _), (name, score) in zip(rows, found) if name == lang), default=0.0)
+
+
+def identified(docs: DataFrame, sample: int = 3200) -> DataFrame:
+    """docs without those that have no letter and those whose language is undecided: that score less than half of what the
+    least certain of the labelled rows held out from training does. With no language to learn, all that have a letter stay."""
     kept = docs.schema
-    model = train(sampled(docs, F.lit(True), int(options.get("sample", 3200)), "doc_id", "text", "lang"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = sampled(docs, F.lit(True), sample * 5 // 4, "doc_id", "text", "lang")
+    held_out = [zlib.crc32(packed) % 5 == 1 for _, packed in rows]
+    model = train([r for r, out in zip(rows, held_out) if not out])
+    shared = docs.sparkSession.sparkContext.broadcast((model, undecided(model, [r for r, out in zip(rows, held_out) if out])))
     at = kept.fieldNames().index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, least = shared.value
         for b in batches:
-            names, scores = shared.value.predict(byte_texts(b.column(at)))
-            yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores)], pa.bool_()))
+            texts = byte_texts(b.column(at))
+            scores = model.predict(texts)[1]
+            yield b.filter(pa.array([bool(t) and has_letter(t) and s >= least for t, s in zip(texts, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, kept)
 

@@ -37,3 +37,14 @@ def test_long_texts_score_as_one():
     whole = language._hashed(b" " + t + b"  ")
     assert np.allclose(language.means([b"a", t, b"bc"], w)[1], w[whole].mean(axis=(0, 1)))
     assert np.allclose(language.means([b"abc", b"", b"de"], w)[2], language.means([b"de"], w)[0])
+
+
+def test_clean_documents_stay(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = df.where(F.col("lang").isNotNull() & F.col("text").rlike("[A-Za-z]"))
+    lost = clean.count() - language.identified(df).where(F.col("lang").isNotNull() & F.col("text").rlike("[A-Za-z]")).count()
+    assert lost <= 1
+    print("lost", lost, "of", clean.count())
+    few = df.limit(50).select("doc_id", "text", F.lit(None).cast("string").alias("lang"))
+    few = few.union(spark.createDataFrame([(-1, None, None), (-2, "12 !", None)], few.schema))
+    assert language.identified(few).count() == few.where(F.col("text").rlike(r"\p{L}")).count() > 0
