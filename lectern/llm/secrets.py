@@ -39,6 +39,9 @@ ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i:example|placeholder|changeme|redacted|dummy|xxxxx|0123456789|1234567890|abcdefgh)",
 )
+#: Runs of one class, so that no name or path is a part of them: hex digits of one case, and letters with digits.
+RUN = r"[A-Za-z0-9]{16,}"
+RUN_RULES = (Rule(RUN, r"^(?:[0-9a-f]+|[0-9A-F]+)$", 16, 2.95), Rule(RUN, r"^[A-Za-z0-9]+$", 20, 3.4))
 
 
 def entropy(candidate: Column, window: int) -> Column:
@@ -86,9 +89,9 @@ def _found(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), spans).otherwise(empty)
 
 
-def _high(span: Column) -> Column:
+def _high(span: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     value, verdict = span["value"], F.lit(False)
-    for rule in reversed(RULES):
+    for rule in reversed(rules):
         verdict = F.when(value.rlike(rule.only), entropy(value, rule.window) > rule.bits).otherwise(verdict)
     allowed = F.lit(False)
     for pattern in ALLOWED:
@@ -107,7 +110,7 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     base = F.array_sort(F.concat(assign, _found(text, ACCESS, "access"), _found(text, HEX, "hex")))
     with_base = docs.withColumn("__base", base)
     more = F.filter(_found(text, CANDIDATE, "entropy"), lambda x: ~F.exists(F.col("__base"), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return with_base.withColumn("__all", F.array_sort(F.concat(F.col("__base"), F.filter(more, _high))))
+    return with_base.withColumn("__all", F.array_sort(F.concat(F.col("__base"), F.filter(more, lambda x: _high(x)))))
 
 
 def _joined(array: str) -> Column:
@@ -125,7 +128,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with each span, overlapping ones as one, replaced by the mark. Texts without a secret stay as they are, null too."""
+    """docs with each span, overlapping ones as one, replaced by the mark. Besides the spans of `scan`, runs of letters and
+    digits are judged by themselves, whatever they are glued to and whichever span they touch. Texts without a secret stay as they are, null too."""
     text = F.col(text_col)
 
     def step(acc: Column, x: Column) -> Column:
@@ -134,8 +138,10 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    runs = F.filter(_found(F.coalesce(text, F.lit("")), RUN, "entropy"), lambda x: _high(x, RUN_RULES))
+    found = spans(docs, text_col).withColumn("__all", F.array_sort(F.concat("__all", runs)))
     clean = F.aggregate(F.col("__all"), start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    return spans(docs, text_col).withColumn(text_col, F.when(F.size("__all") > 0, clean).otherwise(text)).drop("__base", "__all")
+    return found.withColumn(text_col, F.when(F.size("__all") > 0, clean).otherwise(text)).drop("__base", "__all")
 
 
 def _query(spark, sf_dir: str) -> DataFrame:

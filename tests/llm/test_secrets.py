@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import string
 from collections import Counter
 
 from lectern.llm import secrets
@@ -50,3 +52,21 @@ def test_redact(spark):
     got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
     assert got[0] is None and got[1] == "" and got[3] == "é" * 40 + " [secret] PASSWORD : 'short' [secret]"
     assert got[6] == "😀 [secret] [secret]" and got[8] == TEXTS[8]
+
+
+def test_redact_finds_secrets_glued_to_names(spark):
+    rng = random.Random(5)
+    kinds = {"hex": ("0123456789abcdef", 24), "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24), "alnum": (string.ascii_letters + string.digits, 20)}
+    rows = []
+    for name, (letters, n) in kinds.items():
+        for i in range(200):
+            value = "".join(rng.choice(letters) for _ in range(n - 2)) + "D7"[:: rng.choice((1, -1))].lower()  # letters alone are allowed
+            value = value if name != "base32" else value.upper()
+            rows += [(name, value, f"see {glue}{value} here") for glue in ("key=", "sk_", "example_key=", "/srv/")]
+    df = spark.createDataFrame(rows, "lang string, value string, text string")
+    missed = Counter(r.lang for r in secrets.redact(df).collect() if r.value in r.text)
+    print(missed)
+    assert all(missed[k] <= 0.04 * 800 for k in kinds), missed
+    calm = ["id 123e4567-e89b-42d3-a456-426614174000", "01234567890123456789", "AAAAAAAAAAAAAAAAAAAA1", "internationalization of version20"]
+    df = spark.createDataFrame([(t,) for t in calm], "text string")
+    assert [r.text for r in secrets.redact(df).collect()] == calm
