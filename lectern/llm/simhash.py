@@ -10,7 +10,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import byte_texts, connected_components, documents, stored
 
@@ -126,35 +125,36 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _marked(docs: DataFrame, mark: Callable[[bytes | None], bytes], name: str) -> DataFrame:
-    """docs as a stored table, with a number for each row (__row) and mark(text) (__mark)."""
-    at = docs.schema.fieldNames().index("text")
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    schema = T.StructType([*numbered.schema.fields, T.StructField("__mark", T.BinaryType())])
+def _marked(docs: DataFrame, mark: Callable[[bytes | None], bytes], name: str) -> tuple[DataFrame, DataFrame]:
+    """docs as a stored table with a number for each row (__row); and (__row, doc_id, __h, __mark), a hash and the mark of each
+    text. No text comes back from Python."""
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            marks = pa.array([mark(t) for t in byte_texts(b.column(at))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, marks], schema.fieldNames())
+            marks = pa.array([mark(t) for t in byte_texts(b.column(3))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], marks], ["__row", "doc_id", "__h", "__mark"])
 
-    return stored(numbered.mapInArrow(run, schema), name)
+    read = rows.select("__row", "doc_id", F.xxhash64("text").alias("__h"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows, stored(read.mapInArrow(run, f"__row long, doc_id {kind}, __h long, __mark binary"), f"{name}-marks")
 
 
-def _first_of_each(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """Of each component of rows (__row, __node; edges: links of nodes) exactly one: that with the least id, nulls last, then
+def _first_of_each(rows: DataFrame, marks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Of each component (marks: __row, __node; edges: links of nodes) exactly one of rows: that with the least id, nulls last, then
     with the least hash of its text. A shared id takes no row away."""
     roots = connected_components(edges).withColumnRenamed("node", "__node")
-    named = rows.select("__row", "__node", "doc_id", F.xxhash64("text").alias("h")).join(roots, "__node", "left")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "__row")).alias("first")
+    named = marks.select("__row", "__node", "doc_id", "__h").join(roots, "__node", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__h", "__row")).alias("first")
     keep = named.groupBy(F.coalesce("root", "__node").alias("c")).agg(first).select("first.__row")
-    return rows.join(keep, "__row", "left_semi").drop("__row", "__node", "__mark")
+    return rows.join(keep, "__row", "left_semi").drop("__row")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
     """docs without near-duplicates: of each component of near fingerprints one row."""
-    rows = _marked(docs, lambda t: fingerprint(t, width), "simhash-rows")
-    rows = rows.withColumn("__node", F.conv(F.hex("__mark"), 16, -10).cast("long"))
-    return _first_of_each(rows, close_pairs(stored(rows.select(F.col("__node").alias("fp")).distinct(), "simhash-classes"), distance))
+    rows, marks = _marked(docs, lambda t: fingerprint(t, width), "simhash-rows")
+    marks = marks.withColumn("__node", F.conv(F.hex("__mark"), 16, -10).cast("long"))
+    return _first_of_each(rows, marks, close_pairs(stored(marks.select(F.col("__node").alias("fp")).distinct(), "simhash-classes"), distance))
 
 
 #: Minima of a signature; those of the first BANDS * EACH make up the keys of blocks. Two texts of similarity 0.8 share one of
@@ -216,9 +216,10 @@ def similar_pairs(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
 
 def one_of_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """docs without near copies: of each component of texts whose shingles of `width` words are similar, one row."""
-    rows = _marked(docs, lambda t: signature(t, width), "minhash-rows").withColumn("__node", F.xxhash64("__mark"))
-    classes = stored(rows.groupBy("__node").agg(F.min("__mark").alias("__mark")), "minhash-classes")
-    return _first_of_each(rows, similar_pairs(classes, similarity))
+    rows, marks = _marked(docs, lambda t: signature(t, width), "minhash-rows")
+    marks = marks.withColumn("__node", F.xxhash64("__mark"))
+    classes = stored(marks.groupBy("__node").agg(F.min("__mark").alias("__mark")), "minhash-classes")
+    return _first_of_each(rows, marks, similar_pairs(classes, similarity))
 
 
 def _query(spark, sf_dir: str) -> DataFrame:
