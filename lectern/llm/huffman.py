@@ -18,7 +18,7 @@ from .tokens import ids_of
 LIMIT = 16
 #: Ids between checkpoints, and about the ids of a block.
 EVERY, BLOCK = 64, 1 << 18
-MAGIC = b"HUFB"
+MAGIC, TABLE = b"HUFB", b"HUFT"
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -156,8 +156,20 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
 BLOCK_DDL = "part int, block int, doc_ids array<long>, lengths array<long>, start long, n_ids long, data binary"
 
 
+def table_bytes(lengths: np.ndarray) -> bytes:
+    """TABLE, LIMIT, number of ids, then a byte for each id: its code's length. The codes are canonical."""
+    return TABLE + struct.pack("<II", LIMIT, len(lengths)) + lengths.astype(np.uint8).tobytes()
+
+
+def table_lengths(data: bytes) -> np.ndarray:
+    limit, n = struct.unpack_from("<II", data, 4)
+    if data[:4] != TABLE or limit != LIMIT or len(data) != 12 + n:
+        raise ValueError("not a table of code lengths")
+    return np.frombuffer(data, np.uint8, n, 12)
+
+
 def write_blocks(tokens: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """A stored table of blocks, documents in ascending doc_id order (nulls first; rows of one id in order of their ids).
+    """A stored table of blocks, and of one row more, part -1, whose data are the code lengths; documents in ascending doc_id order (nulls first; rows of one id in order of their ids).
 
     Each part is a range of doc_ids. A block holds whole documents, about BLOCK ids of them, and can be decoded alone;
     `start` counts the ids before it in its part. Columns: part, block, doc_ids, lengths, start, n_ids, data.
@@ -187,12 +199,15 @@ def write_blocks(tokens: DataFrame, lengths: np.ndarray) -> DataFrame:
 
     n = max(1, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = tokens.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n", "ids")
-    return stored(ordered.mapInArrow(run, BLOCK_DDL), "token-blocks", compression="none")
+    table = tokens.sparkSession.createDataFrame([(-1, 0, [], [], 0, 0, table_bytes(lengths))], BLOCK_DDL)
+    return stored(ordered.mapInArrow(run, BLOCK_DDL).union(table), "token-blocks", compression="none")
 
 
-def read_blocks(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """(doc_id, start, ids) of every document in the blocks; start: ids of all documents before it; ids little-endian 32-bit."""
+def read_blocks(blocks: DataFrame) -> DataFrame:
+    """(doc_id, start, ids) of every document in a table of blocks, from that table alone; start: ids of all documents before it; ids little-endian 32-bit."""
     spark = blocks.sparkSession
+    lengths = table_lengths(bytes(blocks.where("part = -1").first().data))
+    blocks = blocks.where("part >= 0")
     # One row per part: as many as there are partitions, whatever the data's size.
     sums = sorted(tuple(r) for r in blocks.groupBy("part").agg(F.sum("n_ids")).collect())
     starts, total = {}, 0
@@ -221,7 +236,7 @@ def write_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFram
     """
     tokens = stored(tokenized(docs, tokenizer, end_id), "token-ids", compression="zstd")
     lengths = code_lengths(id_counts(tokens))
-    return read_blocks(write_blocks(tokens, lengths), lengths)
+    return read_blocks(write_blocks(tokens, lengths))
 
 
 def _query(spark, sf_dir: str) -> DataFrame:

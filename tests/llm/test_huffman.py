@@ -70,3 +70,13 @@ def test_round_trip(spark, monkeypatch):
         assert (r.doc_id, r.start) == (i, at) and list(array("I", bytes(r.ids))) == want
         at += len(want)
     assert huffman.write_and_read(df.limit(0), path).count() == 0
+
+
+def test_blocks_are_read_from_their_files_alone(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    df = spark.createDataFrame([(1, "a b c"), (2, None), (3, "one two")], "doc_id long, text string")
+    tokens = huffman.tokenized(df, path, 2)
+    blocks = huffman.write_blocks(tokens, huffman.code_lengths(huffman.id_counts(tokens)))
+    files = spark.read.schema(huffman.BLOCK_DDL).parquet(blocks.inputFiles()[0].rsplit("/", 1)[0])
+    want = {r.doc_id: list(np.frombuffer(r.ids, "<u2")) for r in tokens.collect()}
+    assert {r.doc_id: list(np.frombuffer(r.ids, "<u4")) for r in huffman.read_blocks(files).collect()} == want
