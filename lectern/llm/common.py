@@ -19,10 +19,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where it is unset (tests, one machine) a local folder is set."""
+    """The folder that all executors share: spark.checkpoint.dir. Only where it is unset and the session runs in one process
+    (tests), a local folder is set; a cluster without it is an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if where is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="lectern-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
@@ -38,6 +41,14 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The column's UTF-8 bytes, without decoding."""
     if isinstance(column, pa.ChunkedArray):
@@ -60,8 +71,8 @@ def by_volume(texts: list[bytes | None], most: int) -> Iterator[tuple[int, int]]
 
 
 def crc_mod(id_column: str, n: int):
-    """crc32 of the id's decimal digits, modulo n: the folds of the learned operators."""
-    return F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(n))
+    """crc32 of the id's decimal digits, modulo n: the folds of the learned operators. A null id has no digits: its fold is 0."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

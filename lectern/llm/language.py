@@ -48,14 +48,12 @@ def _hashed(joined: bytes) -> np.ndarray:
     return (grams * np.uint32(2654435761)) >> np.uint32(32 - BITS)
 
 
-def _grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, starts) of joined texts; starts: where each text's n-grams begin. Two spaces stand between texts."""
-    ends = np.cumsum([len(t) + 2 for t in texts])
-    yield _hashed(b" " + b"  ".join(texts) + b"  "), np.concatenate([[0], ends[:-1]])
-
-
 def means(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
-    """For each text the mean over its n-grams of their weights (a column per machine); whole texts, in bounded memory."""
+    """For each text the mean over its n-grams of their weights (a column per machine); whole texts, in bounded memory.
+
+    A text's n-grams start at the space before it and at each of its bytes, len(text) + 1 places. Joined texts are told apart
+    by two spaces; the place of the second, whose trigram reaches into the next text, is in no text's sum. So a text gets the
+    same number, bit for bit, whatever stands beside it."""
     out = np.zeros((len(texts), weights.shape[1]))
     for i, j in by_volume(texts, _STEP):
         part = texts[i:j]
@@ -65,11 +63,12 @@ def means(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
                 total += weights[_hashed(line[k : k + _STEP + 2])].sum(axis=(0, 1))
             out[i] = total / (2 * (len(line) - 2))
             continue
-        for buckets, starts in _grams(part):
-            sums = np.add.reduceat(weights[buckets[0]] + weights[buckets[1]], starts, axis=0)
-            counts = np.diff(np.append(starts, buckets.shape[1]))
-            # The separators' last position belongs to no text but adds the same to all.
-            out[i:j] = sums / (2 * counts)[:, None]
+        sizes = np.array([len(t) + 1 for t in part])
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        buckets = _hashed(b" " + b"  ".join(part) + b"  ")
+        cuts = np.stack([starts, starts + sizes], axis=1).ravel()[:-1]
+        sums = np.add.reduceat(weights[buckets[0]] + weights[buckets[1]], cuts, axis=0)[::2]
+        out[i:j] = sums / (2 * sizes)[:, None]
     return out
 
 
@@ -161,8 +160,8 @@ def train(rows: list[tuple[str, bytes]]) -> Model:
 
 
 def sampled(docs: DataFrame, learn: Column, sample: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, bytes]]:
-    """At most `sample` labelled rows in expectation, an equal share for each language, chosen by a hash of the id. What comes
-    to the driver is their n-gram counts (1 << BITS cells at most each), not their texts."""
+    """About `sample` labelled rows, an equal share for each language, chosen by a hash of id and text, never more than twice as
+    many. What comes to the driver is their n-gram counts (1 << BITS cells at most each), not their texts."""
     labelled = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
     share = sample / max(1, len(counts))
@@ -170,12 +169,13 @@ def sampled(docs: DataFrame, learn: Column, sample: int, id_col: str, text_col:
     if not odds:
         return []
     most = F.create_map(*[F.lit(v) for pair in odds for v in pair])
-    chosen = labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1_000_000)) < most[F.col(lang_col)])
+    key = F.xxhash64(F.col(id_col), F.col(text_col), F.lit("language"))
+    chosen = labelled.where(F.pmod(key, F.lit(1_000_000)) < most[F.col(lang_col)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             packed = []
-            for t in byte_texts(b.column(1)):
+            for t in byte_texts(b.column(2)):
                 n = np.zeros(1 << BITS)
                 line = b" " + t + b"  "
                 for k in range(0, len(line) - 2, _STEP):
@@ -184,17 +184,19 @@ def sampled(docs: DataFrame, learn: Column, sample: int, id_col: str, text_col:
                 cells = np.zeros(len(at), np.dtype([("at", "<u2"), ("n", "<f4")]))
                 cells["at"], cells["n"] = at, n[at] / n.sum()
                 packed.append(cells.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["lang", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], ["h", "lang", "packed"])
 
-    got = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, packed binary")
-    return sorted((r.lang, bytes(r.packed)) for r in got.collect())
+    got = chosen.select(key.alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "h long, lang string, packed binary")
+    # Repeated rows share a hash and come together: the order and the limit bound them all the same.
+    return sorted((r.lang, bytes(r.packed)) for r in got.orderBy("h", "lang", "packed").limit(2 * sample).collect())
 
 
 def predict(docs: DataFrame, learn: Column, sample: int = 3200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang_pred, score) of every row of docs, from its whole text alone.
 
     learn: which rows may be learned from. A null text and one without a letter get `und` and score 0; so does every row if
-    no language can be learned. Equal texts get equal predictions; repeated rows stay; other columns are not read.
+    no language can be learned. Equal texts get equal predictions, whatever rows stand beside them; repeated rows stay; other
+    columns are not read. An empty table gives an empty result.
     """
     model = train(sampled(docs, learn, sample, id_col, text_col, lang_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # (1 << BITS) rows by the number of machines

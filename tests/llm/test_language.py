@@ -48,3 +48,57 @@ def test_clean_documents_stay(spark):
     few = df.limit(50).select("doc_id", "text", F.lit(None).cast("string").alias("lang"))
     few = few.union(spark.createDataFrame([(-1, None, None), (-2, "12 !", None)], few.schema))
     assert language.identified(few).count() == few.where(F.col("text").rlike(r"\p{L}")).count() > 0
+
+
+def test_predictions_are_of_the_text_alone(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL AND lang IS NOT NULL")
+    model = language.train(language.sampled(df, F.lit(True), 800, "doc_id", "text", "lang"))
+    texts = [r.text.encode() for r in df.select("text").collect()]
+    texts = [x for t in texts[:60] for x in (t, *t.split()[:8])] + [b"word " * 500_000, b"", b"a", b"\xc3\xb1"]
+    rng = np.random.default_rng(7)
+    alone = [language.means([t], model.weights[:-1])[0] for t in texts]
+    told = [model.predict([t]) for t in texts]
+    for _ in range(3):
+        order = rng.permutation(len(texts))
+        found = language.means([texts[i] for i in order], model.weights[:-1])
+        assert all(np.array_equal(found[k], alone[i]) for k, i in enumerate(order))
+        names, scores = model.predict([texts[i] for i in order])
+        assert all(([names[k]], [scores[k]]) == told[i] for k, i in enumerate(order))
+
+
+def brute_margins(text, weights):
+    line = b" " + bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in text) + b"  "
+    total = 0
+    for i in range(len(line) - 2):
+        for gram in (int.from_bytes(line[i : i + 3], "big"), int.from_bytes(line[i : i + 2], "big") | 1 << 24):
+            total = total + weights[(gram * 2654435761 & 0xFFFFFFFF) >> 32 - language.BITS]
+    return total / (2 * (len(line) - 2))
+
+
+def test_against_brute_force(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learn = crc_mod("doc_id", 3) != 1
+    model = language.train(language.sampled(df, learn, 3200, "doc_id", "text", "lang"))
+    got = {r.doc_id: r for r in language.predict(df, learn).collect()}
+    few = [r for r in df.where("length(text) < 600 AND text IS NOT NULL").collect()][:40]
+    assert len(few) == 40
+    for r in few:
+        margin = brute_margins(r.text.encode(), model.weights[:-1]) * language._SCALE + model.weights[-1]
+        p = [1 / (1 + np.exp(-m * s)) for m, s in zip(margin, model.slopes)]
+        f = max(range(len(model.families)), key=lambda i: p[i])
+        wins = [0.0] * len(model.languages[f])
+        for k, (g, a, b) in enumerate(model.pairs, len(model.families)):
+            if g == f:
+                wins[a] += p[k]
+                wins[b] += 1 - p[k]
+        best = max(range(len(wins)), key=lambda i: wins[i])
+        share = wins[best] / (len(wins) - 1) if len(wins) > 1 else 1.0
+        want = ("und", 0.0) if not language.has_letter(r.text.encode()) else (model.languages[f][best], p[f] / sum(p[: len(model.families)]) * share)
+        assert got[r.doc_id].lang_pred == want[0] and abs(got[r.doc_id].score - want[1]) < 1e-5
+
+
+def test_a_null_id_and_repeats_bound_the_sample(spark):
+    df = spark.createDataFrame([(None, "the cat sat", "en")] * 500 + [(1, "le chat est la", "fr")], "doc_id long, text string, lang string")
+    rows = language.sampled(df, crc_mod("doc_id", 3) != 1, 100, "doc_id", "text", "lang")
+    assert len(rows) <= 200
+    assert df.select((crc_mod("doc_id", 3) == 1).alias("x")).where("x IS NULL").count() == 0
