@@ -7,14 +7,14 @@ import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, documents, stored
+from .common import by_volume, byte_texts, documents, stored
 
 #: Fixed values of ISO/IEC 11172-3 and 13818-3: kilobits a second by header index, for MPEG-1 and for MPEG-2 and 2.5.
 RATES_1 = {
@@ -27,6 +27,8 @@ RATES_2 = {
     2: (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
     3: (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
+#: The longest free-format frame that is looked for, in bytes.
+FREE = 6000
 #: Samples a second by version bits and header index.
 HERTZ = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 
@@ -46,11 +48,11 @@ class Header:
 
 @lru_cache(4096)
 def header(four: bytes) -> Header | None:
-    """None unless the four bytes can start a frame. A free-format frame (bitrate 0) has no length of its own: None."""
+    """None unless the four bytes can start a frame. A free-format frame (bitrate 0) has no length of its own: 0."""
     if len(four) < 4 or four[0] != 0xFF or four[1] & 0xE0 != 0xE0:
         return None
     version, layer, rate, hz = four[1] >> 3 & 3, 4 - (four[1] >> 1 & 3), four[2] >> 4, four[2] >> 2 & 3
-    if version == 1 or layer == 4 or rate in (0, 15) or hz == 3 or four[3] & 3 == 2:
+    if version == 1 or layer == 4 or rate == 15 or hz == 3 or four[3] & 3 == 2:
         return None
     first = version == 3
     kbps, hertz, mono, pad = (RATES_1 if first else RATES_2)[layer][rate], HERTZ[version][hz], four[3] >> 6 == 3, four[2] >> 1 & 1
@@ -59,6 +61,8 @@ def header(four: bytes) -> Header | None:
     else:
         samples = 1152 if layer == 2 or first else 576
         length = samples // 8 * 1000 * kbps // hertz + pad
+    if not rate:
+        length = 0
     side = (17 if mono else 32) if first else (9 if mono else 17)
     return Header({3: 10, 2: 20, 0: 25}[version], layer, not four[1] & 1, kbps, hertz, mono, length, samples, side if layer == 3 else 0)
 
@@ -93,8 +97,13 @@ class Scan:
     def hertz(self) -> int:
         return self.frames[0][1].hertz if self.frames else 0
 
-    def seconds(self) -> float:
-        return sum(h.samples / h.hertz for _, h in self.frames)
+    @property
+    def durations(self) -> list[tuple[int, int]]:
+        """Samples by rate, in order of the rates: the exact duration is the sum of samples / rate."""
+        out: dict[int, int] = {}
+        for _, h in self.frames:
+            out[h.hertz] = out.get(h.hertz, 0) + h.samples
+        return sorted(out.items())
 
 
 def _syncsafe(b: bytes) -> int:
@@ -102,24 +111,56 @@ def _syncsafe(b: bytes) -> int:
 
 
 def _id3v2(data: bytes, at: int, tags: dict[str, str]) -> int:
-    """Bytes of the ID3v2 tag at `at`, 0 if there is none; text frames go to tags."""
+    """Bytes of the ID3v2 tag at `at`, 0 if there is none; text frames of versions 2.2 to 2.4 go to tags, bytes that were put in
+    against false syncs are taken out first. Compressed and encrypted frames are passed over."""
     if data[at : at + 3] != b"ID3" or len(data) < at + 10 or any(x & 0x80 for x in data[at + 6 : at + 10]):
         return 0
     major, flags, size = data[at + 3], data[at + 5], _syncsafe(data[at + 6 : at + 10])
-    end, i = min(at + 10 + size, len(data)), at + 10
-    if flags & 0x40 and i + 4 <= end:
-        i += _syncsafe(data[i : i + 4]) if major == 4 else 4 + int.from_bytes(data[i : i + 4], "big")
-    while major in (3, 4) and i + 10 <= end and data[i]:
-        name, n = data[i : i + 4].decode("latin-1"), (_syncsafe if major == 4 else lambda b: int.from_bytes(b, "big"))(data[i + 4 : i + 8])
-        body = data[i + 10 : min(i + 10 + n, end)]
-        if name[0] == "T" and body:
+    end, i = min(at + 10 + size, len(data)), 0
+    part = data[at + 10 : end]
+    if flags & 0x80 and major < 4:
+        part = part.replace(b"\xff\0", b"\xff")
+    if flags & 0x40 and major > 2 and len(part) >= 4:
+        i = _syncsafe(part[:4]) if major == 4 else 4 + int.from_bytes(part[:4], "big")
+    head, name_size = (6, 3) if major == 2 else (10, 4)
+    while major in (2, 3, 4) and i + head <= len(part) and part[i]:
+        name, raw = part[i : i + name_size].decode("latin-1"), part[i + name_size : i + 2 * name_size]
+        n = _syncsafe(raw) if major == 4 else int.from_bytes(raw, "big")
+        how = part[i + 9] if major > 2 else 0
+        body = part[i + head : i + head + n]
+        if major == 4 and how & 1:
+            body = body[4:]
+        if major == 4 and (how & 2 or flags & 0x80):
+            body = body.replace(b"\xff\0", b"\xff")
+        if name[0] == "T" and body and not how & (0x0C if major == 4 else 0xC0):
             text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace").rstrip("\0")
-            key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
+            key, _, value = text.partition("\0") if name in ("TXXX", "TXX") else (name, "", text)
             tags[key] = value
-        i += 10 + n
+        i += head + n
     return end - at + (10 if flags & 0x10 else 0)
 
 
+def _ape(data: bytes, at: int, tags: dict[str, str]) -> int:
+    """Bytes of the APE tag at `at`, 0 if there is none; its text items go to tags. A footer alone has no items after it."""
+    if data[at : at + 8] != b"APETAGEX" or len(data) < at + 32:
+        return 0
+    size, count, flags = struct.unpack_from("<III", data, at + 12)
+    if not flags & 1 << 29:
+        return 32
+    end, i = min(at + 32 + size, len(data)), at + 32
+    for _ in range(count):
+        if i + 8 > end or data[i : i + 8] == b"APETAGEX":
+            break
+        n, kind = struct.unpack_from("<II", data, i)
+        zero = data.find(b"\0", i + 8, min(end, i + 264))
+        if zero < 0:
+            break
+        if kind >> 1 & 3 == 0:
+            tags[data[i + 8 : zero].decode("latin-1")] = data[zero + 1 : min(zero + 1 + n, end)].decode("utf-8", "replace")
+        i = zero + 1 + n
+    return end - at
+
+
 def _table(frame: bytes, h: Header) -> dict | None:
     """The variable-bitrate table in a frame that holds one instead of sound."""
     at = 4 + 2 * h.checked + h.side
@@ -143,8 +184,33 @@ def _table(frame: bytes, h: Header) -> dict | None:
 
 def scan(data: bytes) -> Scan:
     """All frames, tags and tables of a stream. Where no frame starts, the next place is sought at which one does and which
-    another frame, a tag or the end follows; the bytes between are counted as skipped."""
+    another frame, a tag or the end follows; the bytes between are counted as skipped. A free-format frame reaches to the next
+    frame of its kind, within FREE bytes. The places of the next tags are kept, so a pass over any bytes takes time in
+    proportion to them."""
     out, at, n = Scan(), 0, len(data)
+    last = n - 128 if data[-128:-125] == b"TAG" else n
+    marks = {b"ID3": -1, b"APETAGEX": -1}
+    free: dict[bytes, int] = {}
+
+    def next_tag(i: int) -> int:
+        for mark, place in marks.items():
+            if place < i:
+                found = data.find(mark, i)
+                marks[mark] = found if found >= 0 else n
+        return min(*marks.values(), last if last >= i else n)
+
+    def free_length(i: int, h: Header) -> int:
+        """The distance to the next header that differs in padding at most, without this frame's own padding."""
+        kind = data[i + 1 : i + 2] + bytes([data[i + 2] & 0xFD])
+        if kind not in free:
+            j = i + 4
+            while 0 <= (j := data.find(data[i : i + 2], j, min(n, i + FREE))):
+                if j + 4 <= n and data[j + 2] & 0xFD == data[i + 2] & 0xFD and header(data[j : j + 4]):
+                    break
+                j += 1
+            unit = (4 if h.layer == 1 else 1) * (data[i + 2] >> 1 & 1)
+            free[kind] = j - i - unit if j > 0 else 0
+        return free[kind] + (4 if h.layer == 1 else 1) * (data[i + 2] >> 1 & 1) if free[kind] else 0
 
     def ends(i: int) -> bool:
         return i == n or data[i : i + 3] in (b"TAG", b"ID3") or data[i : i + 8] == b"APETAGEX"
@@ -159,16 +225,18 @@ def scan(data: bytes) -> Scan:
                 if value := data[at + i : at + j].split(b"\0")[0].decode("latin-1").strip():
                     out.tags.setdefault(name, value)
             break
-        if data[at : at + 8] == b"APETAGEX" and n - at >= 32:
-            at += 32 + (int.from_bytes(data[at + 12 : at + 16], "little") if data[at + 23] & 0x20 else 0)
+        if size := _ape(data, at, out.tags):
+            at, synced = at + size, False
             continue
         h = header(data[at : at + 4])
-        if h and not synced and not (ends(at + h.length) or header(data[at + h.length : at + h.length + 4])):
+        if h and not h.length:
+            size = free_length(at, h)
+            h = replace(h, length=size, kbps=size * 8 * h.hertz // (h.samples * 1000)) if size else None
+        if h and not synced and not (ends(at + h.length) or header(data[at + h.length : at + h.length + 4]) or (free and at + h.length > n)):
             h = None
         if h is None:
             nxt = data.find(b"\xff", at + 1)
-            tag = min((i for i in (data.find(b"ID3", at + 1), data.find(b"APETAGEX", at + 1), n - 128 if data[-128:-125] == b"TAG" else -1) if i > at), default=n)
-            to = min(nxt if nxt > 0 else n, tag)
+            to = min(nxt if nxt > 0 else n, next_tag(at + 1))
             out.skipped, at, synced = out.skipped + to - at, to, False
             continue
         if at + h.length > n:
@@ -272,29 +340,30 @@ def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([encode(t or b"") for t in byte_texts(part.column(1))], pa.binary())], ["doc_id", "media"])
+            texts = byte_texts(b.column(1))
+            for i, j in by_volume(texts, 1 << 24):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([encode(t or b"") for t in texts[i:j]], pa.binary())], ["doc_id", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return stored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, media binary"), "mpeg", compression="zstd")
 
 
 def features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Per stream: feature, frames, samples, hertz (the exact duration is samples / hertz), crc_bad, and seek_offsets, the
-    byte offset of each frame. Any bytes are taken: what is no stream has no frame. A null stream gives nulls."""
+    """Per stream: feature, frames, samples, hertz (of the first frame), durations (samples by rate: the exact duration is the
+    sum of samples / hertz), crc_bad, and seek_offsets, the byte offset of each frame. Any bytes are taken: what is no stream
+    has no frame. A null stream gives nulls."""
     kind = media.schema[id_col].dataType.simpleString()
-    ddl = f"doc_id {kind}, feature string, frames long, samples long, hertz int, crc_bad long, seek_offsets array<long>"
+    ddl = f"doc_id {kind}, feature string, frames long, samples long, hertz int, crc_bad long, seek_offsets array<long>, durations array<struct<hertz:int,samples:long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for data in b.column(1).to_pylist():
                 s = scan(data) if data is not None else None
-                rows.append((feature(data, s), len(s.frames), s.samples, s.hertz, s.bad, [at for at, _ in s.frames]) if s else (None,) * 6)
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-            columns = zip(*rows) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], ["doc_id", "feature", "frames", "samples", "hertz", "crc_bad", "seek_offsets"])
+                rows.append((feature(data, s), len(s.frames), s.samples, s.hertz, s.bad, [at for at, _ in s.frames], [{"hertz": z, "samples": m} for z, m in s.durations]) if s else (None,) * 7)
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("hertz", pa.int32()), ("samples", pa.int64())]))]
+            columns = zip(*rows) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], ["doc_id", "feature", "frames", "samples", "hertz", "crc_bad", "seek_offsets", "durations"])
 
     return media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, ddl)
 

@@ -20,7 +20,7 @@ def test_headers():
     assert (h.version, h.layer, h.kbps, h.hertz, h.length, h.samples, h.mono) == (20, 3, 64, 22050, 209, 576, True)
     h = mpeg.header(bytes([0xFF, 0xFF, 0x54, 0x00]))
     assert (h.layer, h.kbps, h.length, h.samples) == (1, 160, 160, 384)
-    for bad in (b"", b"\xff\xfb\xf0\x00", b"\xff\xfb\x00\x00", b"\xff\xeb\x90\x00", b"\xff\xf9\x9c\x00", b"\xfe\xfb\x90\x00", b"\xff\xfb\x90\x02"):
+    for bad in (b"", b"\xff\xfb\xf0\x00", b"\xff\xeb\x90\x00", b"\xff\xf9\x9c\x00", b"\xfe\xfb\x90\x00", b"\xff\xfb\x90\x02"):
         assert mpeg.header(bad) is None
 
 
@@ -51,6 +51,34 @@ def test_resync_tags_and_damage():
         pass
 
 
+def test_other_tags_and_free_format():
+    v22 = b"TT2\0\0\6\0Hello" + b"TXX\0\0\5\0a\0bc"
+    tag = b"ID3\2\0\0" + bytes([0, 0, 0, len(v22)]) + v22
+    assert mpeg.scan(tag + frame() + frame()).tags == {"TT2": "Hello", "a": "bc"}
+    body = b"TIT2" + (4).to_bytes(4, "big") + b"\0\0\0" + b"\xff\xfbx"
+    guarded = body.replace(b"\xff", b"\xff\0")
+    s = mpeg.scan(b"ID3\3\0\x80" + bytes([0, 0, 0, len(guarded)]) + guarded + frame())
+    assert s.tags == {"TIT2": "\xff\xfbx"} and len(s.frames) == 1
+    item = (5).to_bytes(4, "little") + bytes(4) + b"Title\0" + "höh!".encode()[:5]
+    head = lambda flags: b"APETAGEX" + (2000).to_bytes(4, "little") + (len(item) + 32).to_bytes(4, "little") + (1).to_bytes(4, "little") + flags.to_bytes(4, "little") + bytes(8)
+    s = mpeg.scan(frame() + frame() + head(5 << 29) + item + head(4 << 29))
+    assert s.tags == {"Title": "höh!"} and len(s.frames) == 2 and s.skipped == 0
+    free = lambda pad: bytes([0xFF, 0xFB, pad << 1, 0xC4]) + bytes(496 + pad)
+    s = mpeg.scan(b"junk" + free(0) + free(1) + free(0) + free(0))
+    assert [at for at, _ in s.frames] == [4, 504, 1005, 1505] and s.frames[0][1].kbps == 153 and s.skipped == 4
+    joined = mpeg.scan(frame() + frame() + frame(hz=1) + frame(hz=1))
+    assert joined.durations == [(44100, 2 * 1152), (48000, 2 * 1152)]
+
+
+def test_any_bytes_in_linear_time():
+    import time
+
+    for data in (b"\xff" * 400_000, b"ID3" * 100_000, b"\xff\xfb\0\0" * 100_000, b"APETAGEX" * 30_000):
+        start = time.process_time()
+        mpeg.scan(data)
+        assert time.process_time() - start < 20
+
+
 def test_round_trip(spark):
     fixture = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     texts = [*TEXTS, *TEXTS, *fixture]
