@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, free
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Fewer characters than these fail; for runs of one class a failing match and a match that isn't tried are the same.
@@ -99,8 +99,8 @@ def _high(span: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(verdict)
 
 
-def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with __base and __all: sorted arrays of spans (start, rank, kind, end, value) in code points, end exclusive.
+def spans(docs: DataFrame, text_col: str = "text", base_col: str = "__base", all_col: str = "__all") -> DataFrame:
+    """docs with base_col and all_col: sorted arrays of spans (start, rank, kind, end, value) in code points, end exclusive.
 
     A null text is an empty one and has none. Base kinds may overlap each other; an entropy span that overlaps a base span
     is that secret again and is not added. The whole text is searched, however long.
@@ -108,9 +108,9 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     assign = F.filter(_found(text, ASSIGN, "assign", 1), lambda x: F.length(x["value"]) >= 8)
     base = F.array_sort(F.concat(assign, _found(text, ACCESS, "access"), _found(text, HEX, "hex")))
-    with_base = docs.withColumn("__base", base)
-    more = F.filter(_found(text, CANDIDATE, "entropy"), lambda x: ~F.exists(F.col("__base"), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return with_base.withColumn("__all", F.array_sort(F.concat(F.col("__base"), F.filter(more, lambda x: _high(x)))))
+    with_base = docs.withColumn(base_col, base)
+    more = F.filter(_found(text, CANDIDATE, "entropy"), lambda x: ~F.exists(F.col(base_col), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    return with_base.withColumn(all_col, F.array_sort(F.concat(F.col(base_col), F.filter(more, lambda x: _high(x)))))
 
 
 def _joined(array: str) -> Column:
@@ -129,8 +129,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with each span, overlapping ones as one, replaced by the mark. Besides the spans of `scan`, runs of letters and
-    digits are judged by themselves, whatever they are glued to and whichever span they touch. Texts without a secret stay as they are, null too."""
+    digits are judged by themselves, whatever they are glued to and whichever span they touch. Texts without a secret stay as
+    they are, null too. A span ends with the secret's last character: a quote that closes it stays. Other columns stay,
+    whatever their names."""
     text = F.col(text_col)
+    base_col, all_col = free(docs, "__base"), free(docs, "__all")
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
@@ -139,9 +142,9 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     runs = F.filter(_found(F.coalesce(text, F.lit("")), RUN, "entropy"), lambda x: _high(x, RUN_RULES))
-    found = spans(docs, text_col).withColumn("__all", F.array_sort(F.concat("__all", runs)))
-    clean = F.aggregate(F.col("__all"), start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("__all") > 0, clean).otherwise(text)).drop("__base", "__all")
+    found = spans(docs, text_col, base_col, all_col).withColumn(all_col, F.array_sort(F.concat(all_col, runs)))
+    clean = F.aggregate(F.col(all_col), start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    return found.withColumn(text_col, F.when(F.size(all_col) > 0, clean).otherwise(text)).drop(base_col, all_col)
 
 
 def _query(spark, sf_dir: str) -> DataFrame:

@@ -50,8 +50,12 @@ def test_brute_force(spark):
 def test_redact(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
-    assert got[0] is None and got[1] == "" and got[3] == "é" * 40 + " [secret] PASSWORD : 'short' [secret]"
+    assert got[0] is None and got[1] == "" and got[3] == "é" * 40 + " [secret] PASSWORD : 'short' [secret]\""  # a closing quote is no part of a span
     assert got[6] == "😀 [secret] [secret]" and got[8] == TEXTS[8]
+    clash = spark.createDataFrame([(TEXTS[7], "a", "b", "c")], "text string, __base string, __all string, __all_ string")
+    row = secrets.redact(clash).first()
+    assert row.text == "key [secret] here and [secret]" and tuple(row)[1:] == ("a", "b", "c")
+    assert secrets.redact(clash.limit(0)).count() == 0
 
 
 def test_redact_finds_secrets_glued_to_names(spark):
