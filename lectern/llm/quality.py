@@ -181,12 +181,14 @@ def boost(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 60, depth
 
 
 def train(stats: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: str = "doc_id", label_col: str = "quality") -> Trees:
-    """Learns from at most `sample` labelled rows in expectation, chosen by a hash of the id; their statistics, FEATURES
-    numbers each, come to the driver. No label, or one kind only: every text gets the same verdict."""
-    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y"))
+    """Learns from about `sample` labelled rows, chosen by a hash of the id, never more than twice as many; their statistics,
+    FEATURES numbers each, come to the driver. Labels of one id count as their mean. No label, or one kind only: every text
+    gets the same verdict."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
+    known = known.withColumn("h", F.xxhash64("doc_id", F.lit("quality")))
     n = known.count()
-    some = known.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, n))))
-    got = some.join(stats.select("doc_id", *FEATURES), "doc_id").toPandas().sort_values(["doc_id", "y", *FEATURES])
+    some = known.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, n))))
+    got = some.join(stats.select("doc_id", *FEATURES), "doc_id").orderBy("h", "doc_id", *FEATURES).limit(2 * sample).toPandas().sort_values(["doc_id", "y", *FEATURES])
     return boost(got[list(FEATURES)].to_numpy(float), got["y"].to_numpy(float), [MONOTONE.get(f, 0) for f in FEATURES])
 
 
