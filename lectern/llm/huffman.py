@@ -18,6 +18,8 @@ from .tokens import ids_of
 LIMIT = 16
 #: Ids between checkpoints, and about the ids of a block.
 EVERY, BLOCK = 64, 1 << 18
+#: Ids of a part at most, about, where there are `total` of them: more ids, more parts.
+PART = 1 << 26
 MAGIC, TABLE = b"HUFB", b"HUFT"
 
 
@@ -168,10 +170,10 @@ def table_lengths(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8, n, 12)
 
 
-def write_blocks(tokens: DataFrame, lengths: np.ndarray) -> DataFrame:
+def write_blocks(tokens: DataFrame, lengths: np.ndarray, total: int = 0) -> DataFrame:
     """A stored table of blocks, and of one row more, part -1, whose data are the code lengths; documents in ascending doc_id order (nulls first; rows of one id in order of their ids).
 
-    Each part is a range of doc_ids. A block holds whole documents, about BLOCK ids of them, and can be decoded alone;
+    Each part is a range of doc_ids; rows that repeat an id may lie in several, in the order of their numbers of ids. A block holds whole documents, about BLOCK ids of them, and can be decoded alone;
     `start` counts the ids before it in its part. Columns: part, block, doc_ids, lengths, start, n_ids, data.
     """
     shared = tokens.sparkSession.sparkContext.broadcast(lengths)
@@ -197,8 +199,9 @@ def write_blocks(tokens: DataFrame, lengths: np.ndarray) -> DataFrame:
         if held:
             yield made()
 
-    n = max(1, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = tokens.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n", "ids")
+    n = max(1, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
+    place = tokens.withColumn("place", F.spark_partition_id())
+    ordered = place.repartitionByRange(n, "doc_id", "n", "place").sortWithinPartitions("doc_id", "n", "place", "ids").drop("place")
     table = tokens.sparkSession.createDataFrame([(-1, 0, [], [], 0, 0, table_bytes(lengths))], BLOCK_DDL)
     return stored(ordered.mapInArrow(run, BLOCK_DDL).union(table), "token-blocks", compression="none")
 
@@ -235,8 +238,8 @@ def write_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFram
     A null or empty text is end_id alone; repeated rows stay; other columns are not read; an empty table has no block.
     """
     tokens = stored(tokenized(docs, tokenizer, end_id), "token-ids", compression="zstd")
-    lengths = code_lengths(id_counts(tokens))
-    return read_blocks(write_blocks(tokens, lengths))
+    counts = id_counts(tokens)
+    return read_blocks(write_blocks(tokens, code_lengths(counts), int(counts.sum())))
 
 
 def _query(spark, sf_dir: str) -> DataFrame:

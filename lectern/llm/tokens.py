@@ -21,7 +21,8 @@ _TEXTS, _JOINED = 64, 2000
 
 class Ids:
     """many(texts): each text's ids as little-endian bytes, 16 or 32 bits each (`width` bytes), equal to the library's ids of
-    the whole text.
+    the whole text, add_special_tokens=False. A special token's string in a text is that token, as the library has it, or
+    ordinary text with special_as_text.
 
     Both kinds of vocabulary here cut a text before white space that follows something else, whatever stands on either side
     (byte-level ones keep the white space with what follows, word-end ones drop it), so a text's ids are those of its chunks.
@@ -29,12 +30,14 @@ class Ids:
     white space might be cut otherwise, the whole text is encoded at once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        t.encode_special_tokens = special_as_text
+        added = [] if special_as_text else list(t.get_added_tokens_decoder().values())
+        self.marks, self.whole = [x.content for x in added], any(x.normalized for x in added)
         self.width = 2 if t.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.spaces = t.normalizer is None
@@ -119,6 +122,8 @@ class Ids:
     def _keys(self, text: str | None) -> list[str] | None:
         if not text:
             return []
+        if self.whole or any(m in text for m in self.marks):
+            return None
         # A chunk that itself starts with the zero byte would be taken for a first one.
         return None if self.spaces and "\0" in text else self._chunks(text)
 

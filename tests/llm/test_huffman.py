@@ -59,13 +59,13 @@ def test_blocks():
 def test_round_trip(spark, monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    rows += [(1000, None), (1001, ""), (1002, "a " * 300_000), (1003, "x"), (1003, "x")]
+    rows += [(1000, None), (1001, ""), (1002, "a " * 300_000), (1003, "x"), (1003, "x"), (1004, "a <|endoftext|> b<|startoftext|>"), (1005, "longer text of one id"), (1005, "b")]
     df = spark.createDataFrame([(i, x, "p", "q", "r") for i, x in rows], DDL).repartition(3)
     got = sorted(huffman.write_and_read(df, path).collect(), key=lambda r: (r.doc_id, r.start))
     at = 0
-    for (i, text), r in zip(sorted(rows, key=lambda r: r[0]), got, strict=True):
+    size = lambda x: len(t.encode(x or "", add_special_tokens=False).ids)
+    for (i, text), r in zip(sorted(rows, key=lambda r: (r[0], size(r[1]))), got, strict=True):
         want = [*t.encode(text or "", add_special_tokens=False).ids, 2]
         assert (r.doc_id, r.start) == (i, at) and list(array("I", bytes(r.ids))) == want
         at += len(want)

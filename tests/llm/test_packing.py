@@ -16,10 +16,9 @@ TEXTS = [None, "", " ", "\n", "a", "Hello  world\n\nfoo \n bar\tbaz\r\n end ", "
 def test_chunks_give_the_library_ids(name, monkeypatch):
     ids = tokens.Ids(public_tokenizers.path(name))
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     rng = random.Random(3)
     bits = ["a", "B", ".", ",", "Foo.", "àÉ", "J", "\u030c", "Σ", "é", "'s", " ", "  ", "\n", "\t", "\r", "\x0b", "1", "!", "́", "\x1c", "\xa0", "<|endoftext|>", "ß", "漢"]
-    texts = [x or "" for x in TEXTS] + ["\0a b\0 c", "İ İx", "e\u0301 \u0301a a\u0301"] + ["".join(rng.choices(bits, k=rng.randrange(1, 30))) for _ in range(4000)]
+    texts = [x or "" for x in TEXTS] + ["\0a b\0 c", "İ İx", "e\u0301 \u0301a a\u0301", "a <|endoftext|> b", "x<|endoftext|>", "<|ENDOFTEXT|> <|startoftext|>a b"] + ["".join(rng.choices(bits, k=rng.randrange(1, 30))) for _ in range(4000)]
     monkeypatch.setattr(tokens, "_KEEP", 500)
     for text, data in zip(texts, ids.many(texts), strict=True):
         assert np.frombuffer(data, ids.kind).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
@@ -41,7 +40,6 @@ def test_windows():
 def test_round_trip(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     fixture = [(r.doc_id + 100, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     rows = [*enumerate(TEXTS), *fixture]
     df = spark.createDataFrame([(i, x, "p", "q", "r") for i, x in rows], DDL).repartition(2)
