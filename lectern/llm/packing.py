@@ -21,23 +21,44 @@ DDL = "doc_id long, start long, length long, doc_tokens long, sequence_id long,
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """k near-equal groups of the sizes' indexes (Karmarkar-Karp): a heap of partial partitions; the two with the largest
     spread are merged, large parts with small ones, and only the difference to the least part is kept. Parts of zero aren't
-    listed while there are fewer items than k."""
-    heap = [(-n, i, [(n, [i])]) for i, n in enumerate(sizes)]
+    listed while there are fewer items than k.
+
+    A part is one number, its size above its node's; a node is an item or a pair of nodes. So parts sort as numbers, and no
+    list of members is copied before the end.
+    """
+    bits = (2 * len(sizes)).bit_length()
+    low = (1 << bits) - 1
+    heap = [(-n, i, [n << bits | i]) for i, n in enumerate(sizes)]
     heapq.heapify(heap)
-    made = len(heap)
+    pairs: list[tuple[int, int]] = []
+    made = node = len(heap)
     while len(heap) > 1:
         a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-        both = max(0, len(a) + len(b) - k)
-        cut = len(a) - both
-        rest = len(b) - both
-        parts = a[:cut] + [(x + y, p + q) for (x, p), (y, q) in zip(a[cut:], reversed(b[rest:]))] + b[:rest]
-        parts.sort(key=lambda p: -p[0])
-        least = parts[-1][0] if len(parts) == k else 0
-        if least:
-            parts = [(n - least, p) for n, p in parts]
-        heapq.heappush(heap, (-parts[0][0], made, parts))
+        # Ascending lists: the largest of one meet the other's zeros, which aren't listed, and stay as they are.
+        both = len(a) + len(b) - k
+        if both > 0:
+            parts = a[both:] + b[both:]
+            for x, y in zip(a[:both], reversed(b[:both])):
+                pairs.append((x & low, y & low))
+                parts.append(x - (x & low) + y - (y & low) | node)
+                node += 1
+        else:
+            parts = a + b
+        parts.sort()
+        if len(parts) == k and (least := parts[0] >> bits << bits):
+            parts = [x - least for x in parts]
+        heapq.heappush(heap, (-(parts[-1] >> bits), made, parts))
         made += 1
-    return [p for _, p in heap[0][2]] if heap else []
+    groups = []
+    for part in reversed(heap[0][2] if heap else []):
+        group, stack = [], [part & low]
+        while stack:
+            if (x := stack.pop()) < len(sizes):
+                group.append(x)
+            else:
+                stack.extend(pairs[x - len(sizes)])
+        groups.append(group)
+    return groups
 
 
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
