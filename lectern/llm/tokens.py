@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +16,7 @@ _CHUNKS = re.compile(r"\s*\S+|\s+")
 #: Chunks kept in each of two generations; memory stays bounded however many different ones a task meets.
 _KEEP = 500_000
 #: A word and its punctuation are cut from each other by both kinds of vocabulary: letters, then marks, never a contraction.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _MARKED = re.compile("([\0\n]?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|]+)").fullmatch
 #: Texts whose new chunks are encoded together, and how many chunks at a time.
 _TEXTS, _JOINED = 64, 2000
@@ -27,7 +30,7 @@ class Ids:
     Both kinds of vocabulary here cut a text before white space that follows something else, whatever stands on either side
     (byte-level ones keep the white space with what follows, word-end ones drop it), so a text's ids are those of its chunks.
     The new chunks of some texts are encoded in one call, as a text of their own, and told apart by their offsets. Where odd
-    white space might be cut otherwise, the whole text is encoded at once.
+    white space might be cut otherwise, or a special token's string stands in the text, the whole text is encoded at once.
     """
 
     def __init__(self, path: str, special_as_text: bool = False):
@@ -40,10 +43,15 @@ class Ids:
         self.marks, self.whole = [x.content for x in added], any(x.normalized for x in added)
         self.width = 2 if t.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
+        self.code = "H" if self.width == 2 else "I"
         self.spaces = t.normalizer is None
         self.lower = not self.spaces and t.normalizer.normalize_str("AÀ") == "aà"
+        # Vocabularies of bytes spell each byte as a character of its own.
+        self.model, self.letters, self.direct = t.model, _spelled_letters(), False
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        words = ("a", "Word", "UPPER", "straße", "àéîõü", "ÀÉ", "qzxj", "internationalization", "ÿþ")
+        self.direct = sys.byteorder == "little" and all(self._word(w) == self.encode(self._spelled(w)) for w in words)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -68,21 +76,33 @@ class Ids:
             return key
         return key[1:] if key[0] == "\0" else key if key[0].isspace() else " " + key
 
+    def _word(self, word: str) -> bytes:
+        """The ids of a word of letters, which no vocabulary of these kinds cuts: the library's model is asked directly."""
+        if self.lower:
+            word = word.lower()
+        if not word.isascii():
+            word = word.translate(self.letters)
+        return array(self.code, [x.id for x in self.model.tokenize("\u0120" + word if self.spaces else word)]).tobytes()
+
+    def _known(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None:
+            if (found := self.old.get(key)) is None and self.direct and _LETTERS(key):
+                found = self._word(key)
+            if found is not None:
+                self.young[key] = found
+        return found
+
     def _learn(self, keys: set[str]) -> None:
-        """Takes what is known from the older generation, puts words and marks together, and has the rest encoded."""
+        """Takes what is known from the older generation, asks for words, puts words and marks together, and has the rest encoded."""
         parts, rest = {}, set()
         for k in keys:
-            if (known := self.old.get(k)) is not None:
-                self.young[k] = known
-            elif m := _MARKED(k):
-                parts[k] = m[1], ("\0" + m[2] if self.spaces else m[2])
-            else:
-                rest.add(k)
-        for k in {x for both in parts.values() for x in both}.difference(self.young):
-            if (known := self.old.get(k)) is not None:
-                self.young[k] = known
-            else:
-                rest.add(k)
+            if self._known(k) is None:
+                if m := _MARKED(k):
+                    parts[k] = both = m[1], ("\0" + m[2] if self.spaces else m[2])
+                    rest.update(x for x in both if self._known(x) is None)
+                else:
+                    rest.add(k)
         self._encode_all(list(rest))
         for k, (word, marks) in parts.items():
             self.young[k] = self.young[word] + self.young[marks]
@@ -111,13 +131,17 @@ class Ids:
     def many(self, texts: list[str | None]) -> Iterator[bytes]:
         for i in range(0, len(texts), _TEXTS):
             part = [self._keys(t) for t in texts[i : i + _TEXTS]]
-            every = set().union(*(keys for keys in part if keys))
-            if new := every.difference(self.young):
+            found = [None if keys is None else list(map(self.young.get, keys)) for keys in part]
+            open_ = [j for j, got in enumerate(found) if got and None in got]
+            if open_:
+                new = {k for j in open_ for k, x in zip(part[j], found[j]) if x is None}
                 if len(self.young) + len(new) > _KEEP:
-                    self.old, self.young, new = self.young, {}, every
+                    self.old, self.young = self.young, {}
                 self._learn(new)
-            for t, keys in zip(texts[i : i + _TEXTS], part):
-                yield self.encode(t) if keys is None else b"".join(map(self.young.__getitem__, keys))
+                for j in open_:
+                    found[j] = [self.young[k] if x is None else x for k, x in zip(part[j], found[j])]
+            for t, got in zip(texts[i : i + _TEXTS], found):
+                yield self.encode(t) if got is None else b"".join(got)
 
     def _keys(self, text: str | None) -> list[str] | None:
         if not text:
@@ -128,6 +152,14 @@ class Ids:
         return None if self.spaces and "\0" in text else self._chunks(text)
 
 
+def _spelled_letters() -> dict[int, str]:
+    """Letters of Latin-1 beyond ASCII as the characters that stand for their UTF-8 bytes: printable bytes are themselves, others
+    are counted from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    table = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+    return {c: "".join(table[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
 _loaded: dict[str, Ids] = {}
 
 
