@@ -87,10 +87,9 @@ def numeric_tokens(spark, d):
     SELECT item_id, id, round(o, 6) AS overlap FROM o WHERE o >= 0.12::DOUBLE"""
 )
 def lexical_overlap(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 20).alias("chat_id"), T.significant(F.col("text")).alias("b"))
-    c = chunks(spark, d).select("id", "chat_id", T.significant(F.col("text")).alias("c"))
-    share = F.when(F.size("b") == 0, 0.0).otherwise(F.size(F.array_intersect("b", "c")) / F.size("b"))
-    return b.join(c, "chat_id").select("item_id", "id", share.alias("o")).where("o >= 0.12").select("item_id", "id", F.round("o", 6).alias("overlap"))
+    b = table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 20).alias("chat_id"), T.significant(F.col("text")).alias("own"))
+    shares = retrieval.token_overlap(b, ["item_id"], chunks(spark, d))
+    return shares.where("overlap >= 0.12").select("item_id", "id", F.round("overlap", 6).alias("overlap"))
 
 
 _NEG = "(" + " OR ".join(f"contains(' ' || lower(x) || ' ', {quoted(w if any('؀' <= c <= 'ۿ' for c in w) else f' {w} ')}) OR starts_with(trim(lower(x), {_WS}), {quoted(w)})" for w in fixed.NEGATIONS) + ")"
@@ -119,80 +118,99 @@ def citation_validation(spark, d):
     return v.select("answer_id", F.array_join("valid", "|").alias("valid"), F.array_join("invalid", "|").alias("invalid"), "penalty")
 
 
+_CITED = "regexp_replace(text, '([.!?]?)\\s*$', CASE WHEN item_id % 2 = 0 THEN ' [p. ' || (1 + (item_id // 2) % 3) || ']' ELSE '' END || '\\1')"
+
+
 def _benchmark(spark, d):
-    """Benchmark items as drafts, the first four chunks of a chat as their context."""
-    a = table(spark, d, "benchmark").select(F.col("item_id").alias("answer_id"), (F.col("item_id") % 20).alias("chat_id"), F.col("text").alias("draft"), F.lit(0.8).alias("retrieval_score"))
+    """Benchmark items as drafts, every other one ending in a mark for page 1, 2 or 3; their context is the first four chunks of
+    a chat, which are pages 1 and 2, so marks for page 3 are invalid."""
+    mark = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit(" [p. "), (1 + F.floor(F.col("item_id") / 2) % 3).cast("string"), F.lit("]"))).otherwise("")
+    draft = F.concat(F.regexp_replace("text", r"([.!?]?)\s*$", ""), mark, F.regexp_extract("text", r"([.!?]?)\s*$", 1))
+    a = table(spark, d, "benchmark").select(F.col("item_id").alias("answer_id"), (F.col("item_id") % 20).alias("chat_id"), draft.alias("draft"), F.lit(0.8).alias("retrieval_score"))
     c = chunks(spark, d).where("ord < 4").select("chat_id", F.col("ord").alias("pos"), F.col("page").cast("string").alias("label"), "page", "id", "text")
     return a, a.select("answer_id", "chat_id").join(c, "chat_id").drop("chat_id")
 
 
+_BENCH = f"a AS (SELECT item_id AS answer_id, {_CITED} AS draft FROM benchmark), " + _CLAIMS
+
+
 @register(
-    f"""WITH {CHUNKS}, {{BENCH}}, w AS (SELECT answer_id, claim_index, chat_id, bare FROM claims c JOIN benchmark b ON b.item_id = c.answer_id, LATERAL (SELECT item_id % 20 AS chat_id)),
-    o AS (SELECT answer_id, claim_index, k.id, k.ord, CASE WHEN len(sw) = 0 THEN 0::DOUBLE ELSE len(list_intersect(sw, sk)) / len(sw) END AS o FROM (SELECT *, {significant('bare')} AS sw FROM w) w JOIN (SELECT id, ord, chat_id, {significant('text')} AS sk FROM chunks WHERE ord >= 4) k USING (chat_id)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY answer_id, claim_index ORDER BY o DESC, ord) AS rank FROM o) SELECT answer_id, claim_index::BIGINT AS claim_index, id, round(o, 6) AS overlap, rank FROM r WHERE rank <= 3 AND o >= 0.12::DOUBLE""".replace("{BENCH}", "a AS (SELECT item_id AS answer_id, text AS draft FROM benchmark), " + _CLAIMS)
+    f"""WITH {CHUNKS}, {_BENCH}, w AS (SELECT *, answer_id % 20 AS chat_id, {significant('bare')} AS sw FROM claims),
+    o AS (SELECT answer_id, line_index, claim_index, k.id, k.ord, len(list_intersect(sw, sk)) / len(sw) AS o FROM w JOIN (SELECT id, ord, chat_id, {significant('text')} AS sk FROM chunks WHERE ord >= 4) k USING (chat_id) WHERE len(sw) > 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY answer_id, line_index, claim_index ORDER BY o DESC, ord) AS rank FROM o WHERE o >= 0.12::DOUBLE) SELECT answer_id, claim_index::BIGINT AS claim_index, id, round(o, 6) AS overlap, rank FROM r WHERE rank <= 3"""
 )
 def secondary_evidence(spark, d):
-    a, _ = _benchmark(spark, d)
-    want = grounding.extract(a).join(a.select("answer_id", "chat_id"), "answer_id")
-    pairs = want.join(chunks(spark, d).where("ord >= 4").select("chat_id", "id", "ord", F.col("text").alias("body")), "chat_id").withColumn("o", T.overlap(F.col("bare"), F.col("body")))
-    top = retrieval.ranked(pairs, ["answer_id", "claim_index"], F.desc("o"), F.col("ord")).where("rank <= 3 AND o >= 0.12")
-    return top.select("answer_id", F.col("claim_index").cast("bigint").alias("claim_index"), "id", F.round("o", 6).alias("overlap"), F.col("rank").cast("bigint").alias("rank"))
+    a, ctx = _benchmark(spark, d)
+    ids = ctx.groupBy("answer_id").agg(F.collect_list(F.struct("id")).alias("evidence"))  # four of each
+    top = grounding.other_evidence(grounding.extract(a).join(ids, "answer_id"), a, chunks(spark, d))
+    return top.select("answer_id", F.col("claim_index").cast("bigint").alias("claim_index"), "id", F.round("overlap", 6).alias("overlap"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@register(
-    f"""WITH {CHUNKS}, {{BENCH}}, ev AS (SELECT chat_id, string_agg(text, chr(10) ORDER BY ord) AS ev FROM chunks WHERE ord < 4 GROUP BY 1),
-    f AS (SELECT c.*, ev, {_KIND} AS kind, list_filter({_nums('bare')}, lambda x: true) AS nums FROM claims c JOIN ev ON ev.chat_id = c.answer_id % 20),
+_FEATURES = f"""ctx AS (SELECT chat_id, ord, page::VARCHAR AS label, text FROM chunks WHERE ord < 4),
+    cv AS (SELECT *, list_filter(cited, lambda x: list_contains(['1', '2'], lower(x))) AS valid FROM claims),
+    f AS (SELECT c.*, len(cited) > 0 AND len(valid) = 0 AS wrong, len(valid) > 0 AS has, {_KIND} AS kind, {_nums('bare')} AS nums,
+      CASE WHEN len(cited) > 0 AND len(valid) = 0 THEN '' ELSE (SELECT string_agg(text, chr(10) ORDER BY ord) FROM ctx WHERE ctx.chat_id = c.answer_id % 20 AND (len(c.valid) = 0 OR list_contains(c.valid, label))) END AS ev FROM cv c),
     g AS (SELECT *, {significant('bare')} AS sb, {sentences('ev', fixed.SENTENCE_END)} AS es FROM f),
     h AS (SELECT *, CASE WHEN len(sb) = 0 THEN 0::DOUBLE ELSE len(list_intersect(sb, {significant('ev')})) / len(sb) END AS ov, list_filter(es, lambda y: list_has_any({significant('y')}, sb)) AS near,
       list_filter(nums, lambda x: NOT contains(regexp_replace(lower(ev), '[,\\s]', '', 'g'), regexp_replace(lower(x), '[,\\s]', '', 'g'))) AS missing, kind IN ('causal', 'comparison', 'conclusion') OR regexp_matches(bare, {re2(fixed.MAJOR_CLAIM)}) AS risky FROM g),
-    i AS (SELECT *, (SELECT {_NEG} FROM (SELECT bare AS x)) OR (SELECT {_NEG} FROM (SELECT CASE WHEN len(sb) = 0 OR len(es) <= 1 OR len(near) = 0 THEN ev ELSE array_to_string(near, ' ') END AS x)) AS negated FROM h)
-    SELECT answer_id, claim_index::BIGINT AS claim_index, CASE WHEN len(missing) > 0 THEN 'UNSUPPORTED' WHEN len(nums) > 0 THEN CASE WHEN ov >= 0.5::DOUBLE AND NOT negated THEN 'SUPPORTED' WHEN negated THEN 'UNCERTAIN' ELSE 'PARTIALLY_SUPPORTED' END
-      WHEN NOT negated AND NOT risky AND ov >= 0.6::DOUBLE THEN 'SUPPORTED' WHEN negated THEN 'UNCERTAIN' WHEN risky AND ov < 0.6::DOUBLE THEN 'UNCERTAIN' WHEN ov >= 0.12::DOUBLE OR len(list_filter(string_split_regex(bare, '\\s+'), lambda x: x <> '')) <= 4 THEN 'SUPPORTED'
-      WHEN ov >= 0.05::DOUBLE THEN 'PARTIALLY_SUPPORTED' ELSE 'UNSUPPORTED' END AS status FROM i""".replace("{BENCH}", "a AS (SELECT item_id AS answer_id, text AS draft FROM benchmark), " + _CLAIMS)
-)
-def claim_status_stage1(spark, d):
+    i AS (SELECT *, (SELECT {_NEG} FROM (SELECT bare AS x)) OR (SELECT {_NEG} FROM (SELECT CASE WHEN len(sb) = 0 OR len(es) <= 1 OR len(near) = 0 THEN ev ELSE array_to_string(near, ' ') END AS x)) AS negated,
+      CASE WHEN has THEN greatest(ov, 0.6::DOUBLE) ELSE ov END AS trusted, len(list_filter(string_split_regex(bare, '\\s+'), lambda x: x <> '')) AS n_words FROM h),
+    v AS (SELECT *, CASE WHEN wrong THEN 'cited page is not part of the supplied evidence' WHEN len(missing) > 0 THEN 'figure not present in evidence'
+      WHEN len(nums) > 0 THEN CASE WHEN (has OR ov >= 0.5::DOUBLE) AND NOT negated THEN 'figure matches evidence exactly (Stage 1)' WHEN negated THEN 'negation cue present; cannot verify polarity without semantic check' ELSE 'figure present but low overall overlap (Stage 2 unavailable)' END
+      WHEN NOT negated AND NOT risky AND (has AND ov >= 0.5::DOUBLE OR ov >= 0.6::DOUBLE) THEN 'high lexical overlap with cited evidence (Stage 1)' WHEN negated THEN 'negation cue present; cannot verify polarity without semantic check'
+      WHEN risky AND ov < 0.6::DOUBLE THEN ''' || kind || ''' claims require semantic verification to accept' WHEN has OR ov >= 0.12::DOUBLE OR n_words <= 4 THEN 'lexical overlap heuristic (Stage 2 unavailable)'
+      WHEN ov >= 0.05::DOUBLE THEN 'partial lexical overlap heuristic (Stage 2 unavailable)' ELSE 'no lexical overlap with evidence' END AS reason FROM i),
+    verdicts AS (SELECT *, CASE WHEN reason IN ('cited page is not part of the supplied evidence', 'figure not present in evidence', 'no lexical overlap with evidence') THEN 'UNSUPPORTED' WHEN starts_with(reason, 'negation') OR ends_with(reason, 'to accept') THEN 'UNCERTAIN'
+      WHEN starts_with(reason, 'partial') OR starts_with(reason, 'figure present') THEN 'PARTIALLY_SUPPORTED' ELSE 'SUPPORTED' END AS status,
+      CASE WHEN wrong OR len(missing) > 0 OR starts_with(reason, 'negation') THEN 0::DOUBLE WHEN starts_with(reason, 'figure matches') THEN greatest(ov, 0.6::DOUBLE) WHEN starts_with(reason, 'high') OR starts_with(reason, 'lexical') THEN trusted ELSE ov END AS score FROM v)"""
+
+
+def _verdicts(spark, d):
     a, ctx = _benchmark(spark, d)
-    v = grounding.verify(grounding.extract(a), ctx)
-    return v.select("answer_id", F.col("claim_index").cast("bigint").alias("claim_index"), "status")
+    return a, ctx, grounding.verify(grounding.extract(a), ctx)
 
 
-@register()
+@register(f"WITH {CHUNKS}, {_BENCH}, {_FEATURES} SELECT answer_id, claim_index::BIGINT AS claim_index, status FROM verdicts")
+def claim_status_stage1(spark, d):
+    """Cited and uncited claims against their pages, without a verifier."""
+    return _verdicts(spark, d)[2].select("answer_id", F.col("claim_index").cast("bigint").alias("claim_index"), "status")
+
+
+@register(f"WITH {CHUNKS}, {_BENCH}, {_FEATURES} SELECT answer_id, line_index::BIGINT AS line_index, claim_index::BIGINT AS claim_index, kind, status, round(score, 6) AS score, reason, NULL::VARCHAR AS repaired FROM verdicts")
 def claim_verdicts(spark, d):
-    """Rows only: the scenario drafts, with listings, sums, hedges, metrics and negations."""
-    v = grounding.verify(grounding.extract(fixed_drafts(spark)), fixed_context(spark))
-    return v.select(*grounding.KEY, "kind", "status", F.round("score", 6).alias("score"), "reason", "repaired")
+    """With scores and reasons. The benchmark's items list nothing, so nothing is cut out of a claim; tests have listings."""
+    v = _verdicts(spark, d)[2]
+    numbers = [F.col(x).cast("bigint").alias(x) for x in ("line_index", "claim_index")]
+    return v.select("answer_id", *numbers, "kind", "status", F.round("score", 6).alias("score"), "reason", "repaired")
 
 
-@register()
-def answer_repair(spark, d):
-    """Rows only: drafts put together again from verdicts that are given here, with page marks and the not-found message."""
-    kind = "array<struct<pos:int,label:string,page:int,id:bigint,text:string>>"
-    page = lambda n: [(0, str(n), n, n, "e")]
-    rows = [
-        ("a", 0, 0, "One holds.", "factual", "SUPPORTED", [], None, page(4)), ("a", 0, 1, "Two fails.", "factual", "UNSUPPORTED", [], None, page(4)), ("a", 2, 0, "It has x, y, and z [p. 9].", "factual", "PARTIALLY_SUPPORTED", ["9"], "It has x and y.", page(9)),
-        ("a", 3, 0, "Hope this helps.", "conversational", "NOT_FACTUAL", [], None, []), ("b", 0, 0, "Nothing is so.", "factual", "UNCERTAIN", [], None, []), ("c", 0, 0, "لا شيء هنا.", "factual", "UNSUPPORTED", [], None, []),
-    ]
-    v = spark.createDataFrame(rows, f"answer_id string, line_index int, claim_index int, text string, kind string, status string, cited array<string>, repaired string, evidence {kind}")
-    v = v.withColumn("supporting", F.lit(None).cast("array<string>"))
-    drafts = spark.createDataFrame([("a", "One holds. Two fails.\n\nIt has x, y, and z [p. 9].\nHope this helps."), ("b", "Nothing is so."), ("c", "لا شيء هنا.")], "answer_id string, draft string")
-    return grounding.repair(drafts, v)
+_REPAIRED = f"""mk AS (SELECT chat_id, ' ' || string_agg('[p. ' || label || ']', '' ORDER BY label) AS marks FROM (SELECT DISTINCT chat_id, label FROM ctx) GROUP BY 1),
+    sh AS (SELECT v.*, status IN ('SUPPORTED', 'PARTIALLY_SUPPORTED') AS good, CASE WHEN status IN ('SUPPORTED', 'PARTIALLY_SUPPORTED') THEN CASE WHEN len(cited) > 0 THEN text ELSE text || marks END END AS shown FROM verdicts v JOIN mk ON mk.chat_id = answer_id % 20),
+    lj AS (SELECT answer_id, line_index, coalesce(string_agg(shown, ' ' ORDER BY claim_index), '') AS line FROM sh GROUP BY 1, 2),
+    bd AS (SELECT l.answer_id, string_agg(coalesce(lj.line, ''), chr(10) ORDER BY l.line_index) FILTER (lj.line <> '' OR lj.line IS NULL AND trim(l.line, {_WS}) = '') AS g FROM ln l LEFT JOIN lj USING (answer_id, line_index) GROUP BY 1),
+    ft AS (SELECT answer_id, count(*) AS facts, count(*) FILTER (good) AS good FROM sh GROUP BY 1),
+    repaired AS (SELECT a.answer_id, CASE WHEN coalesce(facts, 0) > 0 AND ft.good = 0 OR coalesce(g, '') = '' THEN CASE WHEN regexp_matches(draft, '[؀-ۿ]') THEN {quoted(fixed.NOT_FOUND_AR)} ELSE {quoted(fixed.NOT_FOUND_EN)} END
+      ELSE regexp_replace(trim(g, {_WS}), '\\n{{3,}}', chr(10) || chr(10), 'g') END AS grounded_answer FROM a LEFT JOIN bd USING (answer_id) LEFT JOIN ft USING (answer_id))"""
 
 
-_V = (("a", "SUPPORTED", "It always works.", "3"), ("a", "UNSUPPORTED", "It flies.", ""), ("a", "PARTIALLY_SUPPORTED", "It may float.", "9"), ("b", "NOT_FACTUAL", "Hope this helps.", ""), ("c", "SUPPORTED", "Ten of 12.", "4"), ("c", "UNCERTAIN", "Never.", "4"), ("d", "UNSUPPORTED", "No.", "1"))
+@register(f"WITH {CHUNKS}, {_BENCH}, {_FEATURES}, {_REPAIRED} SELECT answer_id, grounded_answer FROM repaired")
+def answer_repair(spark, d):
+    """Drafts put together again from what was accepted of them, with page marks, or the message that nothing was found."""
+    a, _, v = _verdicts(spark, d)
+    return grounding.repair(a, v)
 
 
 @register(
-    "WITH v AS (SELECT * FROM (VALUES " + ", ".join(str(x) for x in _V) + f""") t(answer_id, status, text, cited)), c AS (SELECT *, CASE WHEN regexp_matches(text, {re2(fixed.MAJOR_CLAIM)}) THEN 2::DOUBLE ELSE 1::DOUBLE END AS w,
-    CASE status WHEN 'SUPPORTED' THEN 1::DOUBLE WHEN 'PARTIALLY_SUPPORTED' THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS s FROM v), g AS (SELECT answer_id, coalesce(sum(w * s) FILTER (status <> 'NOT_FACTUAL') / sum(w) FILTER (status <> 'NOT_FACTUAL'), 1) AS cov,
-    coalesce(avg(CASE WHEN cited IN ('3', '4') THEN 1::DOUBLE ELSE 0::DOUBLE END) FILTER (s > 0), 1) AS cit, 0.8::DOUBLE AS r FROM c GROUP BY 1)
-    SELECT answer_id, r AS retrieval_score, round_even(cov, 4) AS evidence_coverage, round_even(cit, 4) AS citation_score, round_even(0.5::DOUBLE * cov + 0.25::DOUBLE * cit + 0.25::DOUBLE * r, 4) AS grounding_score FROM g"""
+    f"""WITH {CHUNKS}, {_BENCH}, {_FEATURES}, {_REPAIRED}, sc AS (SELECT *, CASE WHEN regexp_matches(text, {re2(fixed.MAJOR_CLAIM)}) THEN 2::DOUBLE ELSE 1::DOUBLE END AS w, CASE status WHEN 'SUPPORTED' THEN 1::DOUBLE WHEN 'PARTIALLY_SUPPORTED' THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS s FROM sh),
+    sg AS (SELECT answer_id, sum(w * s) / sum(w) AS cov, avg(CASE WHEN len(cited) = 0 OR len(valid) > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) FILTER (good) AS cit FROM sc GROUP BY 1),
+    sf AS (SELECT a.answer_id, 0.8::DOUBLE AS r, coalesce(cov, 1) AS cov, coalesce(cit, 1) AS cit FROM a LEFT JOIN sg USING (answer_id))
+    SELECT answer_id, r AS retrieval_score, round_even(cov, 4) AS evidence_coverage, round_even(cit, 4) AS citation_score, round_even(0.5::DOUBLE * cov + 0.25::DOUBLE * cit + 0.25::DOUBLE * r, 4) AS grounding_score FROM sf"""
 )
 def grounding_scores(spark, d):
-    rows = [(a, 0, i, t, None if k == "NOT_FACTUAL" else "factual", k, [c] if c else []) for i, (a, k, t, c) in enumerate(_V)]
-    v = spark.createDataFrame(rows, "answer_id string, line_index int, claim_index int, text string, kind string, status string, cited array<string>")
-    empty = "array<struct<pos:int,label:string,page:int,id:bigint,text:string>>"
-    v = v.withColumns({"kind": F.coalesce("kind", F.lit("conversational")), "repaired": F.lit(None).cast("string"), "evidence": F.from_json(F.lit("[]"), empty), "supporting": F.lit(None).cast("array<string>")})
-    answers = v.groupBy("answer_id").agg(F.lit(0.8).alias("retrieval_score"))
-    shown = v.groupBy("answer_id").agg(F.array_join(F.collect_list("text"), " ").alias("grounded_answer"))
-    labels = answers.select("answer_id").join(F.broadcast(spark.createDataFrame([("3",), ("4",)], "label string")))
-    return grounding.scores(answers, v, shown, labels)
+    a, ctx, v = _verdicts(spark, d)
+    return grounding.scores(a, v, grounding.repair(a, v), ctx)
+
+
+def scenario_verdicts(spark):
+    """The scenario drafts, with listings, sums, hedges, metrics and negations."""
+    return grounding.verify(grounding.extract(fixed_drafts(spark)), fixed_context(spark))

@@ -11,6 +11,8 @@ CHUNKS = """chunks AS (SELECT CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIG
   CAST(NULL AS VARCHAR) AS heading, CAST((o - 1) % 2 AS INTEGER) AS paragraph_index, text, CAST(lag(doc_id) OVER w AS VARCHAR) AS previous_chunk_id, CAST(lead(doc_id) OVER w AS VARCHAR) AS next_chunk_id
   FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS o FROM documents) WINDOW w AS (PARTITION BY source ORDER BY doc_id))"""
 
+#: The characters that trim() is to take off.
+TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 RE_TOKEN = r"[\p{L}\p{N}_\x{0600}-\x{06FF}]+"
 
 

@@ -47,13 +47,14 @@ def detect_language(spark, d):
 
 
 @register(
-    f"""WITH {CHUNKS}, l AS (SELECT document_id, CASE id % 5 WHEN 0 THEN 'ar' WHEN 1 THEN 'mixed' WHEN 2 THEN NULL ELSE 'en' END AS language FROM chunks WHERE chat_id % 4 <> 0 OR id % 5 <> 1)
+    f"""WITH {CHUNKS}, l AS (SELECT document_id || '/' || (ord // 6) AS document_id, CASE id % 7 WHEN 0 THEN 'ar' WHEN 1 THEN 'mixed' WHEN 2 THEN NULL WHEN 3 THEN 'ar' ELSE 'en' END AS language FROM chunks)
     SELECT document_id, CASE WHEN m = 0 AND a > 0 AND e > 0 THEN 'mixed' WHEN greatest(m, a, e) = 0 THEN NULL WHEN m = greatest(m, a, e) THEN 'mixed' WHEN a = greatest(m, a, e) THEN 'ar' ELSE 'en' END AS language
     FROM (SELECT document_id, count(*) FILTER (language = 'mixed') AS m, count(*) FILTER (language = 'ar') AS a, count(*) FILTER (language = 'en') AS e FROM l GROUP BY 1)"""
 )
 def document_language_vote(spark, d):
-    pages = chunks(spark, d).where("chat_id % 4 <> 0 OR id % 5 <> 1").withColumn("language", F.expr("CASE id % 5 WHEN 0 THEN 'ar' WHEN 1 THEN 'mixed' WHEN 2 THEN NULL ELSE 'en' END"))
-    return parsing.document_language(pages)
+    """Every six chunks of a chat are a document's pages; their languages are dealt by id, so that votes of all kinds occur."""
+    pages = chunks(spark, d, body=False).withColumn("language", F.expr("CASE id % 7 WHEN 0 THEN 'ar' WHEN 1 THEN 'mixed' WHEN 2 THEN NULL WHEN 3 THEN 'ar' ELSE 'en' END"))
+    return parsing.document_language(pages.withColumn("document_id", F.concat("document_id", F.lit("/"), F.floor(F.col("ord") / 6).cast("string"))))
 
 
 @register(f"SELECT doc_id, CAST(floor(len({words('text')}) * 1.3::DOUBLE) AS BIGINT) AS tokens, sum(CAST(floor(len({words('text')}) * 1.3::DOUBLE) AS BIGINT)) OVER (PARTITION BY source)::BIGINT AS source_tokens FROM documents")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import parsing
-from ..sources.tables import html_blocks, table
-from .common import registry
+from ..sources.tables import HTML_BLOCK, HTML_HIDDEN, html_blocks, table
+from .common import TRIM, quoted, registry
 
 REGISTRY, register = registry()
 
@@ -28,10 +28,24 @@ def document_blocks(spark, d):
     )
 
 
-@register()
+_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def _put_back(column: str) -> str:
+    for entity, char in _ENTITIES:
+        column = f"replace({column}, '{entity}', {quoted(char)})"
+    return column
+
+
+@register(
+    f"""WITH c AS (SELECT page_id, string_split(regexp_replace(regexp_replace(html, {quoted(HTML_HIDDEN)}, ' ', 'g'), {quoted(HTML_BLOCK)}, chr(30) || '<\1\2>', 'g'), chr(30)) AS p FROM pages),
+    b AS (SELECT page_id, unnest(p) AS raw, generate_subscripts(p, 1) - 1 AS i FROM c),
+    t AS (SELECT *, lower(regexp_extract(raw, '(?i)^<([a-z0-9]+)', 1)) AS tag, trim(regexp_replace({_put_back("regexp_replace(raw, '(?s)<[^>]*>', ' ', 'g')")}, '[\\s\\x0b]+', ' ', 'g'), {TRIM}) AS text FROM b)
+    SELECT page_id::VARCHAR AS document_id, i::BIGINT AS block_index, tag, text, CASE WHEN tag = 'title' THEN 24::DOUBLE WHEN regexp_matches(tag, '^h[1-6]$') THEN 22::DOUBLE - 2::DOUBLE * CAST(substr(tag, 2, 1) AS DOUBLE) ELSE 10::DOUBLE END AS max_font_size,
+    regexp_matches(tag, '^(h[1-6]|title)$') AS is_bold FROM t WHERE text <> ''"""
+)
 def html_blocks_to_text(spark, d):
-    """Rows only: blocks of raw web pages."""
-    return blocks(spark, d).select("document_id", "block_index", "tag", "text", "max_font_size", "is_bold")
+    return blocks(spark, d).select("document_id", F.col("block_index").cast("bigint").alias("block_index"), "tag", "text", "max_font_size", "is_bold")
 
 
 _LINES = """l AS (SELECT doc_id, i - 1 AS b, line FROM (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)) WHERE trim(line, ' ') <> ''),
@@ -65,11 +79,30 @@ def heading_context(spark, d):
     return c.select("document_id", F.col("block_index").cast("bigint").alias("block_index"), *(F.md5(F.col(x).cast("binary")).alias(x) for x in ("chapter", "section", "subsection")))
 
 
-@register()
+_HEADS = "('title', 'chapter', 'section', 'subsection', 'heading')"
+
+
+@register(
+    f"""WITH RECURSIVE {_LINES}, c AS (SELECT *, count(*) FILTER (level = 'chapter') OVER w AS c, count(*) FILTER (level IN ('chapter', 'section')) OVER w AS s, row_number() OVER w AS j, level IN {_HEADS} AS head FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY b)),
+    x AS (SELECT *, last_value(CASE WHEN level = 'chapter' THEN trim(line) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY b) AS chapter, last_value(CASE WHEN level = 'section' THEN trim(line) END IGNORE NULLS) OVER (PARTITION BY doc_id, c ORDER BY b) AS section FROM c),
+    f AS (SELECT doc_id, 0::BIGINT AS j, 0::BIGINT AS held, 0::BIGINT AS par, -1::BIGINT AS chunk, true AS fresh, 0::BIGINT AS own FROM (SELECT DISTINCT doc_id FROM x)
+      UNION ALL SELECT f.doc_id, f.j + 1, CASE WHEN NOT head AND now * 1.3::DOUBLE >= 300 THEN 0 ELSE now END, f.par + CASE WHEN head THEN 0 ELSE 1 END, f.chunk + CASE WHEN f.fresh OR ends THEN 1 ELSE 0 END, NOT head AND now * 1.3::DOUBLE >= 300, f.par
+      FROM f JOIN x ON x.doc_id = f.doc_id AND x.j = f.j + 1, LATERAL (SELECT NOT f.fresh AND head AND floor(f.held * 1.3::DOUBLE) >= 150 AS ends), LATERAL (SELECT words + CASE WHEN ends THEN 0 ELSE f.held END AS now)),
+    r AS (SELECT x.*, f.chunk, f.own, x.b // 12 AS page, lead(f.chunk) OVER (PARTITION BY x.doc_id ORDER BY x.j) AS next_chunk, lead(head) OVER (PARTITION BY x.doc_id ORDER BY x.j) AS next_head, lead(chapter) OVER (PARTITION BY x.doc_id ORDER BY x.j) AS nc, lead(section) OVER (PARTITION BY x.doc_id ORDER BY x.j) AS ns, f.fresh AS closed FROM x JOIN f ON f.doc_id = x.doc_id AND f.j = x.j),
+    raw AS (SELECT doc_id, chunk, arg_min(page, j) AS page, arg_min(own, j) AS paragraph_index, CASE WHEN count(DISTINCT level) = 1 THEN min(level) ELSE 'mixed' END AS chunk_type, sum(words) AS words, bool_or(closed) AS closed, max(j) AS last,
+      arg_max(CASE WHEN next_chunk IS NOT NULL AND NOT closed THEN nc ELSE chapter END, j) AS chapter0, arg_max({{'v': CASE WHEN next_chunk IS NOT NULL AND NOT closed THEN nc ELSE chapter END}}, j) AS ch, arg_max({{'v': CASE WHEN next_chunk IS NOT NULL AND NOT closed THEN ns ELSE section END}}, j) AS se FROM r GROUP BY doc_id, chunk),
+    g AS (SELECT doc_id, -1::BIGINT AS chunk, -1::BIGINT AS page, -1::BIGINT AS ord FROM (SELECT DISTINCT doc_id FROM raw)
+      UNION ALL SELECT g.doc_id, g.chunk + 1, CASE WHEN joins THEN g.page ELSE raw.page END, g.ord + CASE WHEN joins THEN 0 ELSE 1 END
+      FROM g JOIN raw ON raw.doc_id = g.doc_id AND raw.chunk = g.chunk + 1, LATERAL (SELECT g.ord >= 0 AND floor(raw.words * 1.3::DOUBLE) < 60 AND g.page = raw.page AS joins)),
+    m AS (SELECT raw.doc_id, g.ord, arg_min(raw.page, raw.chunk) AS page, arg_min(ch, raw.chunk).v AS chapter, arg_min(se, raw.chunk).v AS section, arg_min(chunk_type, raw.chunk) AS chunk_type, sum(words) AS word_count, arg_min(paragraph_index, raw.chunk) AS paragraph_index FROM raw JOIN g ON g.doc_id = raw.doc_id AND g.chunk = raw.chunk GROUP BY raw.doc_id, g.ord)
+    SELECT doc_id::VARCHAR AS document_id, ord::BIGINT AS ord, page::BIGINT AS page, md5(chapter) AS chapter, md5(section) AS section, chunk_type, word_count::BIGINT AS word_count, paragraph_index::BIGINT AS paragraph_index,
+    CASE WHEN ord > 0 THEN doc_id || '-' || (ord - 1) END AS previous_chunk_id, CASE WHEN ord < max(ord) OVER (PARTITION BY doc_id) THEN doc_id || '-' || (ord + 1) END AS next_chunk_id FROM m"""
+)
 def semantic_chunks(spark, d):
-    """Rows only: a fold over each document's blocks."""
+    """The chunker over each document's lines."""
     c = parsing.chunk_blocks(parsing.classify_blocks(document_blocks(spark, d)))
-    return c.select("document_id", "ord", "page", "chapter", "section", "chunk_type", "word_count", "paragraph_index", "previous_chunk_id", "next_chunk_id")
+    numbers = [F.col(x).cast("bigint").alias(x) for x in ("ord", "page", "word_count", "paragraph_index")]
+    return c.select("document_id", *numbers, *(F.md5(F.col(x).cast("binary")).alias(x) for x in ("chapter", "section")), "chunk_type", "previous_chunk_id", "next_chunk_id")
 
 
 @register(

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS
 from ..functions import fixed
 from ..functions import text as T
 from ..functions.query import understand
 from ..operators import context, retrieval, scope
 from ..sources.tables import chunks, table
-from .common import CHUNKS, first_of, keywords, registry, tokens
+from .common import CHUNKS, TRIM, first_of, keywords, registry, sentences, tokens, words
 
 REGISTRY, register = registry()
 
@@ -18,22 +17,23 @@ _QUERY = "the reader of those onion and the tion"
 
 
 def asked(spark, d):
-    """Benchmark items as questions, each to the chat of its number modulo 20, with the vector of its number."""
+    """Benchmark items as questions, each to the chat of its number modulo 20, with the vector of its number, if there is one."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), (F.col("item_id") % 20).alias("chat_id"), F.col("text").alias("question"))
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
-    return q.join(v, "question_id").withColumn("search_text", F.col("question"))
+    return q.join(v, "question_id", "left").withColumn("search_text", F.col("question"))
 
 
-def one_question(spark, text=_QUERY):
+def one_question(spark, d, text=_QUERY):
     """One question to every chat."""
-    return spark.range(20).select(F.col("id").alias("question_id"), F.col("id").alias("chat_id"), F.lit(text).alias("search_text"))
+    chats = chunks(spark, d, body=False).select("chat_id").distinct()
+    return chats.select(F.col("chat_id").alias("question_id"), "chat_id", F.lit(text).alias("search_text"))
 
 
 def _rounded(df, *names):
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
-_Q = "q AS (SELECT item_id AS question_id, item_id % 20 AS chat_id, b.text AS question, CAST(embedding AS DOUBLE[]) AS vector FROM benchmark b JOIN embeddings ON vec_id = item_id)"
+_Q = "q AS (SELECT item_id AS question_id, item_id % 20 AS chat_id, b.text AS question, CAST(embedding AS DOUBLE[]) AS vector FROM benchmark b LEFT JOIN embeddings ON vec_id = item_id)"
 _INDEX = f"""toks AS (SELECT chat_id, id, ord, {tokens('text')} AS t FROM chunks), corpus AS (SELECT chat_id, count(*) AS n, avg(len(t)) AS avgdl FROM toks GROUP BY 1),
   post AS (SELECT chat_id, id, ord, len, term, count(*) AS tf FROM (SELECT chat_id, id, ord, len(t) AS len, unnest(t) AS term FROM toks) GROUP BY ALL), df AS (SELECT chat_id, term, count(*) AS df FROM post GROUP BY ALL)"""
 _BM25 = """bm AS (SELECT question_id, id, ord, sum(times * greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1), 1e-9::DOUBLE) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))) AS bm25
@@ -44,7 +44,7 @@ def _terms(source: str) -> str:
     return f"terms AS (SELECT question_id, chat_id, term, count(*) AS times FROM (SELECT question_id, chat_id, unnest({tokens('question')}) AS term FROM {source}) GROUP BY ALL)"
 
 
-_ONE = f"one AS (SELECT range AS question_id, range AS chat_id, '{_QUERY}' AS question FROM range(20))"
+_ONE = f"one AS (SELECT DISTINCT chat_id AS question_id, chat_id, '{_QUERY}' AS question FROM chunks)"
 
 
 @register(
@@ -52,7 +52,7 @@ _ONE = f"one AS (SELECT range AS question_id, range AS chat_id, '{_QUERY}' AS qu
     SELECT question_id, id, round(bm25 / max(bm25) OVER (PARTITION BY question_id), 6) AS keyword_score, rank FROM r WHERE rank <= 8"""
 )
 def bm25_search_topk(spark, d):
-    found = retrieval.keyword_search(one_question(spark), chunks(spark, d), 8)
+    found = retrieval.keyword_search(one_question(spark, d), chunks(spark, d), 8)
     return _rounded(found.select("question_id", "id", "keyword_score", F.col("rank").cast("bigint").alias("rank")), "keyword_score")
 
 
@@ -78,7 +78,7 @@ def cosine_topk(spark, d):
 
 
 _NEAR = f"""near AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(s, 9) DESC, ord) AS rank FROM (SELECT question_id, c.id, c.ord, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.vector) AS s
-  FROM q JOIN chunks c USING (chat_id) JOIN embeddings e ON e.vec_id = c.id))"""
+  FROM q JOIN chunks c USING (chat_id) JOIN embeddings e ON e.vec_id = c.id WHERE q.vector IS NOT NULL))"""
 
 
 @register(f"WITH {CHUNKS}, {_Q}, {_NEAR} SELECT question_id, id, round(s, 6) AS semantic_score, rank FROM near WHERE rank <= 8")
@@ -98,7 +98,7 @@ _SIDES = f"""sem AS (SELECT question_id, id, ord, s, rank FROM near WHERE rank <
   kw AS (SELECT question_id, id, ord, bm25 / max(bm25) OVER (PARTITION BY question_id) AS k, r0 AS rank FROM kw0 JOIN plan USING (question_id) WHERE r0 <= most),
   fused AS (SELECT question_id, id, ord, sum(s) AS semantic_score, max(k) AS keyword_score, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (SELECT question_id, id, ord, s, 0::DOUBLE AS k, rank FROM sem UNION ALL SELECT question_id, id, ord, 0::DOUBLE, k, rank FROM kw) GROUP BY ALL)"""
 _PLAN30 = "plan AS (SELECT question_id, 30 AS most FROM q)"
-_NEARP = _NEAR.replace("SELECT *, row_number()", "SELECT x.*, most, row_number()").replace("JOIN embeddings e ON e.vec_id = c.id)", "JOIN embeddings e ON e.vec_id = c.id) x JOIN plan USING (question_id)")
+_NEARP = _NEAR.replace("SELECT *, row_number()", "SELECT x.*, most, row_number()").replace("c.id WHERE q.vector IS NOT NULL)", "c.id WHERE q.vector IS NOT NULL) x JOIN plan USING (question_id)")
 
 
 @register(f"WITH {CHUNKS}, {_Q}, {_PLAN30}, {_NEARP}, {_INDEX}, {_terms('q')}, {_BM25}, {_SIDES} SELECT question_id, id, round(semantic_score, 6) AS semantic_score, round(keyword_score, 6) AS keyword_score, round(rrf, 6) AS rrf FROM fused")
@@ -134,18 +134,24 @@ def out_of_scope_flag(spark, d):
     return _rounded(retrieval.out_of_scope(q, retrieval.hybrid_search(q, chunks(spark, d, vectors=True))), "best")
 
 
-@register(f"WITH {CHUNKS} SELECT chat_id, id, page FROM chunks WHERE contains(lower(chapter), 'chapter 3') AND contains(lower(section), 'section') AND document_id = 'src3'")
+@register(f"WITH {CHUNKS} SELECT chat_id, id, page FROM chunks WHERE contains(lower(chapter), 'chapter 3') AND contains(lower(section), 'section') AND contains(document_id, CAST(chat_id AS VARCHAR))")
 def metadata_filter(spark, d):
-    keep = retrieval.metadata_filter(F.lit("src3"), F.lit(" Chapter 3 "), F.lit("section"), F.lit(0))
-    return chunks(spark, d).where(keep).select("chat_id", "id", "page")
+    """Each chat's question names its own document; page 0 names none."""
+    own = chunks(spark, d, body=False)
+    wanted = own.groupBy("chat_id").agg(F.min("document_id").alias("wanted"))
+    keep = retrieval.metadata_filter(F.col("wanted"), F.lit(" Chapter 3 "), F.lit("section"), F.lit(0))
+    return own.join(wanted, "chat_id").where(keep).select("chat_id", "id", "page")
 
 
-_HINTS = "h AS (SELECT * FROM (VALUES (0, 0, 'chapter 2', NULL), (1, 1, 'chapter 99', NULL), (2, 2, NULL, 3), (3, 3, 'chapter 1', 2), (4, 4, NULL, NULL), (5, 5, 'chapter 1', 77)) t(question_id, chat_id, hint, p))"
+_HINTS = "h AS (SELECT c.chat_id * 10 + k AS question_id, c.chat_id, hint, p FROM (SELECT DISTINCT chat_id FROM chunks) c, (VALUES (0, 'chapter 2', NULL), (1, 'chapter 99', NULL), (2, NULL, 3), (3, 'chapter 1', 2), (4, NULL, NULL), (5, 'chapter 1', 77)) t(k, hint, p))"
 
 
-def hints(spark):
-    rows = [(0, 0, "chapter 2", None), (1, 1, "chapter 99", None), (2, 2, None, 3), (3, 3, "chapter 1", 2), (4, 4, None, None), (5, 5, "chapter 1", 77)]
-    return spark.createDataFrame(rows, "question_id int, chat_id long, hint string, p int")
+def hints(spark, d):
+    """Six questions to every chat; some hints are found nowhere."""
+    rows = ((0, "chapter 2", None), (1, "chapter 99", None), (2, None, 3), (3, "chapter 1", 2), (4, None, None), (5, "chapter 1", 77))
+    every = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(h).cast("string").alias("hint"), F.lit(p).cast("int").alias("p")) for k, h, p in rows))
+    chats = chunks(spark, d, body=False).select("chat_id").distinct()
+    return chats.select("chat_id", F.explode(every).alias("h")).select((F.col("chat_id") * 10 + F.col("h.k")).alias("question_id"), "chat_id", "h.hint", "h.p")
 
 
 @register(
@@ -153,7 +159,7 @@ def hints(spark):
     SELECT question_id, id FROM (SELECT *, bool_or(ok) OVER (PARTITION BY question_id) AS hit FROM m) WHERE ok OR NOT hit"""
 )
 def metadata_filter_fallback(spark, d):
-    pairs = chunks(spark, d).join(hints(spark), "chat_id")
+    pairs = chunks(spark, d, body=False).join(hints(spark, d), "chat_id")
     return retrieval.with_fallback(pairs, retrieval.metadata_filter(None, F.col("hint"), None, F.col("p"))).select("question_id", "id")
 
 
@@ -163,47 +169,46 @@ def metadata_filter_fallback(spark, d):
 )
 def limit_then_filter(spark, d):
     c = chunks(spark, d)
-    pool = c.where(retrieval.contains(F.col("chapter"), F.lit("chapter 2"))).select("id")
-    found = retrieval.keyword_search(one_question(spark), c, 15).join(pool, "id", "left_semi")
+    pool = chunks(spark, d, body=False).where(retrieval.contains(F.col("chapter"), F.lit("chapter 2"))).select("id")
+    found = retrieval.keyword_search(one_question(spark, d), c, 15).join(pool, "id", "left_semi")
     return found.select("question_id", "id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @register(f"WITH {HYBRID_SQL} SELECT DISTINCT question_id, n.id, n.ord FROM top t JOIN chunks c ON c.id = t.id JOIN chunks n ON n.chat_id = c.chat_id AND n.ord BETWEEN c.ord - 1 AND c.ord + 1")
 def neighbor_expansion(spark, d):
-    c = chunks(spark, d)
+    c = chunks(spark, d, body=False)
     picked = hybrid(spark, d).select("question_id", "id").join(c.select("id", "chat_id", "ord"), "id")
     return retrieval.neighbours(picked, c, 1).select("question_id", "id", "ord")
 
 
 @register(f"WITH {CHUNKS} SELECT id, previous_chunk_id, next_chunk_id FROM chunks")
 def prev_next_links(spark, d):
-    return chunks(spark, d).select("id", "previous_chunk_id", "next_chunk_id")
+    return chunks(spark, d, body=False).select("id", "previous_chunk_id", "next_chunk_id")
 
 
 @register(f"WITH {CHUNKS} SELECT chat_id, id, page, row_number() OVER (PARTITION BY chat_id ORDER BY page, paragraph_index, ord) AS position FROM chunks WHERE page BETWEEN 4 AND 9")
 def page_range_scope(spark, d):
-    rows = scope.page_range(chunks(spark, d), 4, 9)
+    rows = scope.page_range(chunks(spark, d, body=False), 4, 9)
     return retrieval.ranked(rows, ["chat_id"], *scope.reading_order(), name="position").select("chat_id", "id", "page", F.col("position").cast("bigint").alias("position"))
 
 
 @register(f"WITH {CHUNKS} SELECT chat_id, id FROM chunks WHERE CAST(regexp_extract(chapter, '[0-9]+') AS INTEGER) = 3")
 def chapter_scope(spark, d):
     c = chunks(spark, d)
-    wanted = c.select("chat_id").distinct().select(F.col("chat_id").alias("question_id"), "chat_id", F.lit(0).alias("ref_pos"), F.lit("3").alias("ref"))
+    wanted = chunks(spark, d, body=False).select("chat_id").distinct().select(F.col("chat_id").alias("question_id"), "chat_id", F.lit(0).alias("ref_pos"), F.lit("3").alias("ref"))
     return scope.chapters(wanted, c).select(F.col("question_id").alias("chat_id"), "id")
 
 
 @register(f"WITH {CHUNKS}, w AS (SELECT * FROM (VALUES (0, '2'), (1, '5'), (2, '77')) t(ref_pos, ref)) SELECT chat_id, ref_pos, ref, id FROM w JOIN chunks ON TRY_CAST(regexp_extract(chapter, '[0-9]+') AS INTEGER) = CAST(ref AS INTEGER)")
 def multi_chapter_scope(spark, d):
     c = chunks(spark, d)
-    refs = spark.createDataFrame([(0, "2"), (1, "5"), (2, "77")], "ref_pos int, ref string")
-    wanted = c.select("chat_id").distinct().join(F.broadcast(refs)).select(F.col("chat_id").alias("question_id"), "chat_id", "ref_pos", "ref")
+    wanted = chunks(spark, d, body=False).select("chat_id").distinct().select(F.col("chat_id").alias("question_id"), "chat_id", F.posexplode(T.literals(("2", "5", "77"))).alias("ref_pos", "ref"))
     return scope.chapters(wanted, c).select(F.col("question_id").alias("chat_id"), "ref_pos", "ref", "id")
 
 
 @register(f"WITH {CHUNKS} SELECT chat_id, id FROM chunks WHERE contains(lower(section), 'section 4')")
 def section_scope(spark, d):
-    c = chunks(spark, d)
+    c = chunks(spark, d, body=False)
     wanted = c.select("chat_id").distinct().select(F.col("chat_id").alias("question_id"), "chat_id", F.lit(" Section 4").alias("hint"))
     return scope.sections(wanted, c).select(F.col("question_id").alias("chat_id"), "id")
 
@@ -211,26 +216,32 @@ def section_scope(spark, d):
 _REL = "(id % 13)::DOUBLE / 13"
 
 
-def _selected(spark, d):
-    c = chunks(spark, d).where("id % 3 = 0")
-    return c.select(F.col("chat_id").alias("question_id"), "chat_id", F.col("ord").alias("pos"), "ord", "id", "local_id", "previous_chunk_id", "chapter", "section", "heading", "page", "text", ((F.col("id") % 13).cast("double") / 13).alias("relevance"))
+_TENS = "sel AS (SELECT *, chat_id * 1000000 + ord // 10 AS question_id, ord AS pos FROM chunks)"
+
+
+def _selected(spark, d, body=True):
+    """All chunks, ten in a row of a chat as what one question has selected."""
+    c = chunks(spark, d, body=body)
+    question = (F.col("chat_id") * 1_000_000 + F.floor(F.col("ord") / 10)).cast("bigint").alias("question_id")
+    more = ["text"] if body else []
+    return c.select(question, "chat_id", F.col("ord").alias("pos"), "ord", "id", "local_id", "previous_chunk_id", "chapter", "section", "heading", "page", *more, ((F.col("id") % 13).cast("double") / 13).alias("relevance"))
 
 
 @register(
-    f"""WITH {CHUNKS}, s AS (SELECT chat_id AS question_id, ord AS pos, id, chapter, section, page, max({_REL}) OVER g AS best, min(ord) OVER g AS first FROM chunks WHERE id % 3 = 0 WINDOW g AS (PARTITION BY chat_id, chapter, section))
+    f"""WITH {CHUNKS}, {_TENS}, s AS (SELECT question_id, pos, id, chapter, section, page, max({_REL}) OVER g AS best, min(pos) OVER g AS first FROM sel WINDOW g AS (PARTITION BY question_id, chapter, section))
     SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY best DESC, first, page, pos) AS place FROM s"""
 )
 def context_ordering(spark, d):
-    return context.order_context(_selected(spark, d)).select("question_id", "id", F.col("place").cast("bigint").alias("place"))
+    return context.order_context(_selected(spark, d, body=False)).select("question_id", "id", F.col("place").cast("bigint").alias("place"))
 
 
-_RUNS = f"""r AS (SELECT *, sum(CASE WHEN chapter = pc AND section = ps THEN 0 ELSE 1 END) OVER (PARTITION BY chat_id ORDER BY page, paragraph_index, ord) AS run FROM
+_RUNS = f"""r AS (SELECT *, sum(CASE WHEN section <> '' AND section = ps AND chapter IS NOT DISTINCT FROM pc THEN 0 ELSE 1 END) OVER (PARTITION BY chat_id ORDER BY page, paragraph_index, ord) AS run FROM
   (SELECT *, lag(chapter) OVER w AS pc, lag(section) OVER w AS ps FROM chunks WINDOW w AS (PARTITION BY chat_id ORDER BY page, paragraph_index, ord)))"""
 
 
 @register(f"WITH {CHUNKS}, {_RUNS} SELECT chat_id, run::BIGINT AS run, any_value(chapter) AS chapter, any_value(section) AS section, count(*) AS n, min(id) AS first_id FROM r GROUP BY chat_id, run")
 def section_runs(spark, d):
-    r = scope.section_runs(chunks(spark, d))
+    r = scope.section_runs(chunks(spark, d, body=False))
     return r.groupBy("chat_id", "run").agg(F.max("chapter").alias("chapter"), F.max("section").alias("section"), F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
@@ -253,7 +264,7 @@ def overview_sample(spark, d):
     SELECT chat_id, chapter, 'section' AS level, section AS text, page, row_number() OVER w AS position, row_number() OVER w AS number FROM f WHERE n = 1 WINDOW w AS (PARTITION BY chat_id, chapter ORDER BY page, paragraph_index, ord)"""
 )
 def chapter_outline(spark, d):
-    o = context.outline(chunks(spark, d), ["chat_id", "chapter"])
+    o = context.outline(chunks(spark, d, body=False), ["chat_id", "chapter"])
     return o.select("chat_id", "chapter", "level", "text", "page", F.col("position").cast("bigint").alias("position"), "number")
 
 
@@ -262,28 +273,43 @@ def chapter_outline(spark, d):
     SELECT chat_id, document_id, page, chapter, section, r AS citation_rank FROM g WHERE r <= 12"""
 )
 def citations_distinct(spark, d):
-    c = context.distinct_citations(chunks(spark, d), ["chat_id"], "ord")
+    c = context.distinct_citations(chunks(spark, d, body=False), ["chat_id"], "ord")
     return c.select("chat_id", "document_id", "page", "chapter", "section", F.col("citation_rank").cast("bigint").alias("citation_rank"))
 
 
-@register()
+_DEDUPED = f"""n AS (SELECT question_id, id, pos, lower(array_to_string({words('text')}, ' ')) AS norm, row_number() OVER (PARTITION BY question_id ORDER BY pos) AS k FROM {{0}}),
+  fold AS (SELECT DISTINCT question_id, 0::BIGINT AS k, []::VARCHAR[] AS kept, []::BIGINT[] AS ids FROM n
+    UNION ALL SELECT f.question_id, f.k + 1, CASE WHEN held THEN kept ELSE list_append(kept, norm) END, CASE WHEN held THEN ids ELSE list_append(ids, id) END
+    FROM fold f JOIN n ON n.question_id = f.question_id AND n.k = f.k + 1, LATERAL (SELECT list_contains(ids, id) OR norm <> '' AND len(list_filter(kept, lambda x: contains(x, norm) OR contains(norm, x))) > 0 AS held)),
+  few AS (SELECT question_id, unnest(arg_max(ids, k)) AS id FROM fold GROUP BY question_id)"""
+
+
+@register(f"WITH RECURSIVE {CHUNKS}, {_TENS}, {_DEDUPED.replace('{0}', 'sel')} SELECT question_id, id FROM few")
 def containment_dedupe(spark, d):
-    """Rows only: a fold over each chat's texts in order."""
     return context.dedupe(_selected(spark, d)).select("question_id", "id")
 
 
-@register()
+_STEPPED = "sel AS (SELECT *, chat_id * 2 + CAST(ord % 5 >= 3 AS INTEGER) AS question_id, CAST((id * 7) % 31 AS INTEGER) AS pos FROM chunks)"
+_MERGED = """lk AS (SELECT a.*, b.id IS NOT NULL AS linked FROM {0} a LEFT JOIN {0} b ON b.question_id = a.question_id AND CAST(b.id AS VARCHAR) = a.previous_chunk_id AND b.chapter IS NOT DISTINCT FROM a.chapter AND b.section IS NOT DISTINCT FROM a.section),
+  rn AS (SELECT *, sum(CASE WHEN linked THEN 0 ELSE 1 END) OVER (PARTITION BY question_id ORDER BY ord) AS run FROM lk),
+  hd AS (SELECT *, NOT EXISTS (SELECT 1 FROM rn y WHERE y.question_id = x.question_id AND y.run = x.run AND y.ord < x.ord AND (y.pos, y.ord) <= (x.pos, x.ord)) AS head FROM rn x),
+  gr AS (SELECT *, max(CASE WHEN head THEN ord END) OVER (PARTITION BY question_id, run ORDER BY ord) AS grp FROM hd),
+  merged AS (SELECT question_id, arg_min(id, ord) AS id, min(ord) AS ord, arg_min(pos, ord) AS pos, arg_min(chapter, ord) AS chapter, arg_min(section, ord) AS section, arg_min(page, ord) AS page, count(*) AS merged, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS text FROM gr GROUP BY question_id, run, grp)"""
+
+
+@register(f"WITH {CHUNKS}, {_STEPPED}, {_MERGED.replace('{0}', 'sel')} SELECT question_id, id, merged, length(text) AS chars FROM merged")
 def merge_adjacent(spark, d):
-    """Rows only: gaps and islands along the links of selected chunks."""
-    c = chunks(spark, d).where("id % 4 <> 0").withColumn("pos", F.pmod(F.col("id") * 7, F.lit(31)).cast("int"))
-    m = context.merge_adjacent(c.withColumn("question_id", F.col("chat_id")))
+    """All chunks, of each five in a row three selected by one question and two by another, in a place of their own."""
+    question = (F.col("chat_id") * 2 + (F.col("ord") % 5 >= 3).cast("int")).cast("bigint")
+    c = chunks(spark, d).withColumns({"question_id": question, "pos": F.pmod(F.col("id") * 7, F.lit(31)).cast("int")})
+    m = context.merge_adjacent(c)
     return m.select("question_id", "id", "merged", F.length("text").cast("bigint").alias("chars"))
 
 
-@register(
-    f"""WITH {CHUNKS}, t AS (SELECT chat_id AS question_id, id, ord, CAST(floor(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) * 1.3::DOUBLE) AS BIGINT) AS tokens FROM chunks WHERE id % 3 = 0)
-    SELECT question_id, id, tokens, sum(tokens) OVER (PARTITION BY question_id ORDER BY ord) <= 3000 AS kept FROM t"""
-)
+_OWN = f"CAST(floor(len({words('text')}) * 1.3::DOUBLE) AS BIGINT)"
+
+
+@register(f"WITH {CHUNKS}, {_TENS}, t AS (SELECT question_id, id, pos, {_OWN} AS tokens FROM sel) SELECT question_id, id, tokens, sum(tokens) OVER (PARTITION BY question_id ORDER BY pos) <= 3000 AS kept FROM t")
 def context_budget(spark, d):
     """Without search terms nothing is compressed: chunks are dropped from the end."""
     none = F.array().cast("array<string>")
@@ -291,20 +317,54 @@ def context_budget(spark, d):
     return context.fit_budget(rows, 3000).select("question_id", "id", "tokens", "kept")
 
 
-@register()
+def _fitted(rows: str, keywords: str, numbers: str, budget: int) -> str:
+    """Rows (question_id, id, place, text, ...) with `short`, tokens, compressed, kept."""
+    est = lambda t: f"CAST(floor(len({words(t)}) * 1.3::DOUBLE) AS BIGINT)"
+    score = f"len(list_filter({keywords}, lambda k: contains(lower(x), k))) * 1.0::DOUBLE + len(list_filter({numbers}, lambda k: contains(x, k))) * 1.5::DOUBLE"
+    item = "{{'s': {0}, 'i': {1}, 'n': {2}, 't': {3}, 'kept': {4}}}"
+    none = "[]::STRUCT(i BIGINT, t VARCHAR)[]"
+    first = item.format("0::DOUBLE", "0::BIGINT", "0::BIGINT", "''", none)
+    fits = "(a.n + x.n <= target OR len(a.kept) = 0)"
+    step = item.format("0::DOUBLE", "0::BIGINT", f"CASE WHEN {fits} THEN a.n + x.n ELSE a.n END", "''", f"CASE WHEN {fits} THEN list_append(a.kept, {{'i': x.i, 't': x.t}}) ELSE a.kept END")
+    own = item.format(f"-({score})", "i::BIGINT", est("x"), "x", none)
+    return f"""b0 AS (SELECT *, {est('text')} AS own, {sentences('text')} AS parts FROM {rows}), b1 AS (SELECT *, sum(own) OVER (PARTITION BY question_id) AS total,
+    greatest(least(40, {budget}), least(own // 2, {budget})) AS target FROM b0), b2 AS (SELECT *, total > {budget} AND len({keywords}) + len({numbers}) > 0 AS over FROM b1),
+    b3 AS (SELECT *, CASE WHEN over AND own > target AND len(parts) > 1 THEN array_to_string(list_transform(list_sort(list_reduce(list_sort(list_transform(parts, lambda x, i: {own})), lambda a, x: {step}, {first}).kept), lambda k: k.t), ' ') ELSE text END AS short FROM b2),
+    b4 AS (SELECT *, {est('short')} AS less FROM b3), b5 AS (SELECT *, over AND total - coalesce(sum(own - less) OVER (PARTITION BY question_id ORDER BY place DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > {budget} AS cut FROM b4),
+    b6 AS (SELECT *, cut AND short <> text AS compressed, CASE WHEN cut THEN less ELSE own END AS tokens FROM b5),
+    fitted AS (SELECT *, sum(tokens) OVER (PARTITION BY question_id ORDER BY place) <= {budget} AS kept FROM b6)"""
+
+
+_THE, _TWELVE = "['the', 'tion']", "['12']"
+
+
+@register(f"WITH {CHUNKS}, {_TENS}, o AS (SELECT *, pos AS place FROM sel), {_fitted('o', _THE, _TWELVE, 3000)} SELECT question_id, id, tokens, compressed, kept FROM fitted")
 def context_compression(spark, d):
-    """Rows only: with terms, the last chunks are compressed to their best sentences first."""
+    """With terms, the last chunks are compressed to their best sentences first."""
     rows = _selected(spark, d).withColumns({"place": F.col("pos"), "keywords": T.literals(("the", "tion")), "numbers": T.literals(("12",))})
     return context.fit_budget(rows, 3000).select("question_id", "id", "tokens", "compressed", "kept")
 
 
-@register()
+_AROUND = """sel AS (SELECT x.question_id, c.*, c.ord AS pos FROM (SELECT DISTINCT question_id, n.id FROM top t JOIN plan USING (question_id) JOIN chunks c ON c.id = t.id JOIN chunks n ON n.chat_id = c.chat_id AND abs(n.ord - c.ord) <= CASE WHEN plan.k = 8 THEN 1 ELSE 0 END) x JOIN chunks c USING (id))"""
+_CLEANED = f"""cl AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'), {TRIM})), lambda x: x = '' OR NOT regexp_matches(x, '^[^\\p{{L}}\\p{{N}}]{{1,10}}$')) AS l FROM merged),
+  cleaned AS (SELECT * REPLACE (trim(regexp_replace(array_to_string(list_filter(l, lambda x, i: x = '' OR i = 1 OR x <> l[i - 1]), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), {TRIM}) AS text) FROM cl)"""
+_ORDERED = """rel AS (SELECT m.*, kws, nums, coalesce(top.score, 0) AS relevance FROM cleaned m JOIN plan USING (question_id) LEFT JOIN top ON top.question_id = m.question_id AND top.id = m.id),
+  og AS (SELECT *, max(relevance) OVER g AS best, min(pos) OVER g AS first FROM rel WINDOW g AS (PARTITION BY question_id, chapter, section)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY best DESC, first, page, pos) AS place FROM og)"""
+
+
+@register(
+    f"""WITH RECURSIVE {HYBRID_SQL}, {_AROUND}, {_DEDUPED.replace('{0}', 'sel')}, kept0 AS (SELECT sel.* FROM sel JOIN few USING (question_id, id)), {_MERGED.replace('{0}', 'kept0')}, {_CLEANED}, {_ORDERED}, {_fitted('o', 'kws', 'nums', 7000)}
+    SELECT question_id, id, place, tokens, compressed, merged FROM fitted WHERE kept"""
+)
 def prepared_context(spark, d):
-    """Rows only: retrieved chunks and their neighbours through dedupe, merge, cleaning, order and budget."""
+    """Retrieved chunks and their neighbours, where the question wants an explanation, through dedupe, merge, cleaning, order and budget."""
     c = chunks(spark, d)
     q = understand(asked(spark, d))
     found = retrieval.hybrid_search(q, chunks(spark, d, vectors=True))
-    near = retrieval.neighbours(found.select("question_id", "id").join(c.select("id", "chat_id", "ord"), "id"), c, DEFAULTS.explain_window)
+    places = chunks(spark, d, body=False).select("id", "chat_id", "ord")
+    picked = found.select("question_id", "id").join(places, "id").join(q.select("question_id", "depth"), "question_id")
+    near = retrieval.neighbours(picked, places, retrieval.window_of(F.col("depth")))
     rows = near.select("question_id", "id").join(c, "id").join(found.select("question_id", "id", F.col("score").alias("relevance")), ["question_id", "id"], "left")
     rows = rows.withColumn("pos", F.col("ord")).join(q.select("question_id", "keywords", "numbers"), "question_id")
-    return context.prepare(rows).where("kept").select("question_id", "id", "place", "tokens", "compressed", "merged")
+    return context.prepare(rows).where("kept").select("question_id", "id", F.col("place").cast("bigint").alias("place"), "tokens", "compressed", "merged")

@@ -22,7 +22,6 @@ class EngineConfig:
     specific_window: int = 0
     claim_support_threshold: float = 0.12
     claim_partial_threshold: float = 0.05
-    max_unsupported_claims: int = 3
     citation_required: bool = True
     page_min_chars: int = 20
     page_min_words: int = 5
@@ -40,8 +39,6 @@ class EngineConfig:
     section_batch: int = 10
     reduce_batch: int = 8
     vector_size: int = 1536
-    vector_batch: int = 256
-    embedding_batch: int = 100
 
 
 DEFAULTS = EngineConfig()

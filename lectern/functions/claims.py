@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import any_in, literals, significant, strip
+from .text import any_in, let, literals, significant, strip
 
 
 def bare(sentence: Column) -> Column:
@@ -45,7 +45,7 @@ def normal_number(x: Column) -> Column:
 
 def missing_numbers(tokens: Column, evidence: Column) -> Column:
     """Those that the squeezed evidence doesn't have as a part: 12 is found in 2012."""
-    return F.filter(tokens, lambda x: ~F.contains(normal_number(evidence), normal_number(x)))
+    return let(normal_number(evidence), lambda e: F.filter(tokens, lambda x: ~F.contains(e, normal_number(x))))
 
 
 def kind(t: Column) -> Column:
@@ -69,21 +69,25 @@ def is_major(t: Column) -> Column:
 
 def has_negation(t: Column, strict: bool = False) -> Column:
     """A negation as a word, an Arabic one as a part. Unless strict, a text that merely begins with one's letters has it too."""
-    padded = F.concat(F.lit(" "), F.lower(t), F.lit(" "))
-    begins, found = strip(padded), F.lit(False)
-    for w in fixed.NEGATIONS:
-        arabic = any("؀" <= c <= "ۿ" for c in w)
-        hit = F.contains(padded, F.lit(w if arabic else f" {w} "))
-        found = found | (hit if strict else hit | F.startswith(begins, F.lit(w)))
-    return found
+    parts = [w for w in fixed.NEGATIONS if any("؀" <= c <= "ۿ" for c in w)]
+    inside = literals([*parts, *(f" {w} " for w in fixed.NEGATIONS if w not in parts)])
+
+    def seen(padded: Column) -> Column:
+        hit = F.exists(inside, lambda w: F.contains(padded, w))
+        return hit if strict else hit | let(strip(padded), lambda begins: F.exists(literals(fixed.NEGATIONS), lambda w: F.startswith(begins, w)))
+
+    return let(F.concat(F.lit(" "), F.lower(t), F.lit(" ")), seen)
 
 
 def relevant(claim: Column, evidence: Column) -> Column:
     """The evidence's sentences that share a significant token with the claim; all of it where that says nothing."""
-    own = significant(claim)
-    parts = F.filter(F.split(evidence, rf"(?<=[{fixed.SENTENCE_END}])(?U)[\s\x1c-\x1f]+"), lambda s: strip(s) != "")
-    near = F.filter(parts, lambda s: F.arrays_overlap(significant(s), own))
-    return F.when((F.size(own) == 0) | (F.size(parts) <= 1) | (F.size(near) == 0), evidence).otherwise(F.array_join(near, " "))
+    sentences = F.filter(F.split(evidence, rf"(?<=[{fixed.SENTENCE_END}])(?U)[\s\x1c-\x1f]+"), lambda s: strip(s) != "")
+
+    def choose(own: Column, parts: Column) -> Column:
+        shared = let(F.filter(parts, lambda s: F.arrays_overlap(significant(s), own)), lambda near: F.when(F.size(near) == 0, evidence).otherwise(F.array_join(near, " ")))
+        return F.when((F.size(own) == 0) | (F.size(parts) <= 1), evidence).otherwise(shared)
+
+    return let(significant(claim), lambda own: let(sentences, lambda parts: choose(own, parts)))
 
 
 def negation_risk(claim: Column, evidence: Column, strict: bool = False) -> Column:
@@ -119,16 +123,25 @@ def enumeration(claim: Column, evidence: Column) -> Column:
     pattern = r"(?s)^(.*?" + fixed.LIST_HEAD + r")(.*)$"
     has = claim.rlike(fixed.LIST_HEAD)
     head, tail = F.regexp_extract(claim, pattern, 1), F.regexp_replace(F.regexp_extract(claim, pattern, 3), r"[ .]+$", "")
-    items = F.filter(F.transform(F.split(tail, fixed.LIST_SPLIT), strip), lambda x: x != "")
-    ev = significant(evidence)
-    kept = F.filter(items, lambda x: (F.size(missing_numbers(numeric_tokens(x), evidence)) == 0) & ((F.size(significant(x)) == 0) | F.arrays_overlap(significant(x), ev)))
-    n = F.size(kept)
-    listed = (
-        F.when(n == 1, F.get(kept, F.lit(0))).when(n == 2, F.array_join(kept, " and "))
-        .otherwise(F.concat(F.array_join(F.slice(kept, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(", and "), F.get(kept, n - 1)))
-    )
-    yes = has & (F.size(items) >= 3)
-    return F.struct(F.when(yes, F.size(items)).otherwise(0).alias("items"), F.when(yes, n).otherwise(0).alias("kept"), F.when(yes & (n > 0), F.concat(head, listed, F.lit("."))).alias("repaired"))
+    every = F.filter(F.transform(F.split(tail, fixed.LIST_SPLIT), strip), lambda x: x != "")
+
+    def stays(x: Column, ev: Column) -> Column:
+        return (F.size(missing_numbers(numeric_tokens(x), evidence)) == 0) & let(significant(x), lambda s: (F.size(s) == 0) | F.arrays_overlap(s, ev))
+
+    def listed(kept: Column) -> Column:
+        n = F.size(kept)
+        many = F.concat(F.array_join(F.slice(kept, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(", and "), F.get(kept, n - 1))
+        return F.when(n == 1, F.get(kept, F.lit(0))).when(n == 2, F.array_join(kept, " and ")).otherwise(many)
+
+    def told(items: Column, kept: Column) -> Column:
+        n = F.size(kept)
+        return F.struct(F.size(items).alias("items"), n.alias("kept"), F.when(n > 0, F.concat(head, listed(kept), F.lit("."))).alias("repaired"))
+
+    def judged(items: Column) -> Column:
+        return let(significant(evidence), lambda ev: let(F.filter(items, lambda x: stays(x, ev)), lambda kept: told(items, kept)))
+
+    none = F.struct(F.lit(0).alias("items"), F.lit(0).alias("kept"), F.lit(None).cast("string").alias("repaired"))
+    return F.when(has, let(every, lambda items: F.when(F.size(items) >= 3, judged(items)).otherwise(none))).otherwise(none)
 
 
 def verdict(reply: Column) -> Column:

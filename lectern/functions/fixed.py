@@ -134,6 +134,18 @@ AGGREGATION_CUES = ("total", "combined", "altogether", "in all", "sum", "overall
 METRICS = ("precision", "recall", "accuracy", "f1", "f1-score", "latency", "throughput", "error rate", "loss", "perplexity", "bleu", "rouge", "auc", "mae", "rmse")
 NOT_FOUND_EN, NOT_FOUND_AR = "I couldn't find that in this document.", "لم أجد ذلك في هذا المستند."
 
+# Weight in a layout: a span's flag, and names of fonts.
+BOLD_FLAG = 16
+BOLD_FONTS = ("bold", "black", "heavy")
+
+# Marks of pages as they are shown: adjacent ones are one reference.
+PAGE_MARKS = r"(?:\[p\.\s*[0-9٠-٩]+\])+"
+PAGE_MARK = r"\[p\.\s*([0-9٠-٩]+)\]"
+SHOWN_MARK = r"\[p\.\s?[\p{Nd},\-\s]+\]"
+
+# Letters that count pages.
+ABJAD = ("أ", "ب", "ج", "د", "ه", "و", "ز", "ح", "ط", "ي", "ك", "ل", "م", "ن", "س", "ع", "ف", "ص", "ق", "ر", "ش", "ت", "ث", "خ", "ذ", "ض", "ظ", "غ")
+
 # Reranking.
 NUMBER_WEIGHT, KEYWORD_WEIGHT, PAGE_WEIGHT, HEADING_WEIGHT = 0.35, 0.35, 0.15, 0.15
 # fmt: on

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(fixed.TOKEN), F.lit(0)), F.lower)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value computed once and not once for each time that body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def literals(values: tuple[str, ...] | list[str]) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
@@ -148,8 +155,7 @@ def suspicious(text: Column) -> tuple[Column, Column]:
 def page_label(token: Column) -> Column:
     """Whether a word looks like a printed page number."""
     t = F.regexp_replace(strip(token), r"^[.\-–—]+|[.\-–—]+$", "")
-    abjad = ("أ", "ب", "ج", "د", "ه", "و", "ز", "ح", "ط", "ي", "ك", "ل", "م", "ن", "س", "ع", "ف", "ص", "ق", "ر", "ش", "ت", "ث", "خ", "ذ", "ض", "ظ", "غ")
-    return t.rlike(r"^[0-9٠-٩]{1,4}$") | t.rlike(r"^[ivxlcdmIVXLCDM]{1,7}$") | t.rlike(r"^[a-zA-Z]$") | t.isin(*abjad)
+    return t.rlike(r"^[0-9٠-٩]{1,4}$") | t.rlike(r"^[ivxlcdmIVXLCDM]{1,7}$") | t.rlike(r"^[a-zA-Z]$") | t.isin(*fixed.ABJAD)
 
 
 def markdown_table(rows: Column) -> Column:
@@ -168,6 +174,21 @@ def markdown_table(rows: Column) -> Column:
     return F.when(~blank, F.array_join(F.concat(F.array(line(head), rule), body), "\n"))
 
 
+def page_marks(answer: Column) -> Column:
+    """array<string>: each run of adjacent page marks as the pages that it names, joined by ` , `."""
+    runs = F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(fixed.PAGE_MARKS), F.lit(0))
+    return F.transform(runs, lambda r: F.array_join(F.regexp_extract_all(r, F.lit(fixed.PAGE_MARK), F.lit(1)), " , "))
+
+
+def without_marks(answer: Column) -> Column:
+    """The text as it is copied: page marks go."""
+    return strip(F.regexp_replace(answer, fixed.SHOWN_MARK, ""))
+
+
+def has_arabic(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")).rlike(fixed.ARABIC)
+
+
 def pdf_date(raw: Column) -> Column:
     """D:YYYYMMDDhhmmss as an ISO time in UTC; what can't be read stays as it is."""
     digits = F.regexp_extract(raw, r"^D?:?(\d{14})", 1)

@@ -97,6 +97,15 @@ def distinct_citations(chunks: DataFrame, by: list[str], *order: str, limit: int
     return first.withColumn("citation_rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("citation_rank") <= limit)
 
 
+def citations(matched: DataFrame, cfg: EngineConfig = DEFAULTS) -> DataFrame:
+    """(question_id, citations): of a question's chunks (question_id, at, and a chunk's columns) the first of each page, section
+    and heading, in order, cfg.citation_cap at most."""
+    few = distinct_citations(matched, ["question_id"], "at", limit=cfg.citation_cap)
+    item = F.struct("citation_rank", "document_id", F.col("page").alias("physical_page"), "chapter", "section", "heading", "bbox")
+    each = F.transform(F.sort_array(F.collect_list(item)), lambda c: F.struct(*(c[n].alias(n) for n in ("document_id", "physical_page", "chapter", "section", "heading", "bbox"))))
+    return few.groupBy("question_id").agg(each.alias("citations"))
+
+
 def outline(chunks: DataFrame, by: list[str]) -> DataFrame:
     """Sections, subsections and headings in reading order, each (level, text) once: by, level, text, page, position, number.
     Sections are numbered."""

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, EngineConfig
 from ..functions import claims as C
 from ..functions import fixed, text
+from . import retrieval
 
 KEY = ["answer_id", "line_index", "claim_index"]
 ACCEPTED = ("SUPPORTED", "PARTIALLY_SUPPORTED")
@@ -128,16 +128,23 @@ def open_claims(verified: DataFrame) -> DataFrame:
     return verified.where((F.col("kind") != "conversational") & ~decided)
 
 
+def other_evidence(claims: DataFrame, answers: DataFrame, chunks: DataFrame, cfg: EngineConfig = DEFAULTS, most: int = 3) -> DataFrame:
+    """(KEY, chat_id, id, ord, overlap, rank): for each claim (KEY, bare, evidence) up to `most` chunks of the answer's chat
+    that aren't its evidence and have enough of its significant tokens, those with the most first, then in reading order."""
+    want = claims.select(*KEY, text.significant(F.col("bare")).alias("own"), F.transform("evidence", lambda x: x["id"]).alias("ids")).join(answers.select("answer_id", "chat_id"), "answer_id")
+    pairs = retrieval.token_overlap(want, KEY, chunks).where(F.col("overlap") >= cfg.claim_support_threshold)
+    pairs = pairs.join(want.select(*KEY, "ids"), KEY).where(~F.array_contains("ids", F.col("id")))
+    return retrieval.ranked(pairs.drop("ids"), KEY, F.desc("overlap"), F.col("ord")).where(F.col("rank") <= most)
+
+
 def second_search(verified: DataFrame, answers: DataFrame, chunks: DataFrame, cfg: EngineConfig = DEFAULTS) -> DataFrame:
     """verified with failing claims rescued by up to three other chunks of the chat: each overlaps the claim enough, all its
     figures are in them, and together they overlap by half. answers: answer_id, chat_id; chunks: chat_id, id, ord, page, text.
     """
-    want = verified.where("second").select(*KEY, "bare", "nums", F.transform("evidence", lambda x: x["id"]).alias("ids")).join(answers.select("answer_id", "chat_id"), "answer_id")
-    pairs = want.join(chunks.select("chat_id", "id", "ord", "page", "text"), "chat_id").where(~F.array_contains("ids", F.col("id")))
-    pairs = pairs.withColumn("ov", text.overlap(F.col("bare"), F.col("text")))
-    top = pairs.withColumn("r", F.row_number().over(W.partitionBy(*KEY).orderBy(F.desc("ov"), "ord"))).where((F.col("r") <= 3) & (F.col("ov") >= cfg.claim_support_threshold))
-    item = F.struct(F.col("r").alias("pos"), F.col("page").cast("string").alias("label"), "page", "id", "text")
-    got = top.groupBy(*KEY).agg(F.first("bare").alias("b"), F.first("nums").alias("n"), F.sort_array(F.collect_list(item)).alias("found"))
+    want = verified.where("second")
+    top = other_evidence(want, answers, chunks, cfg).join(chunks.select("chat_id", "id", "page", "text"), ["chat_id", "id"])
+    item = F.struct(F.col("rank").alias("pos"), F.col("page").cast("string").alias("label"), "page", "id", "text")
+    got = top.groupBy(*KEY).agg(F.sort_array(F.collect_list(item)).alias("found")).join(want.select(*KEY, F.col("bare").alias("b"), F.col("nums").alias("n")), KEY)
     joined = F.array_join(F.transform("found", lambda x: x["text"]), "\n")
     got = got.withColumn("ov", text.overlap(F.col("b"), joined)).where((F.size(C.missing_numbers(F.col("n"), joined)) == 0) & (F.col("ov") >= 0.5)).select(*KEY, "found", "ov")
     rows = verified.join(got, KEY, "left")
@@ -161,7 +168,8 @@ def pages(verified: DataFrame) -> Column:
 
 def repair(answers: DataFrame, verified: DataFrame, cfg: EngineConfig = DEFAULTS) -> DataFrame:
     """(answer_id, grounded_answer): what stays of each line, with page marks where the draft had none; blank lines stay, two
-    newlines at most. Nothing factual accepted: the message that it isn't in the document, in the draft's script."""
+    newlines at most. Nothing factual accepted, or nothing left, however many claims fell: the message that it isn't in the
+    document, in the draft's script."""
     accepted = F.col("status").isin(*ACCEPTED)
     marks = F.slice(F.when(F.size("cited") > 0, F.col("cited")).otherwise(F.col("pages")), 1, 3)
     marked = F.concat(F.coalesce("repaired", "text"), F.when(F.size(marks) > 0, F.concat(F.lit(" "), F.array_join(F.transform(marks, lambda p: F.concat(F.lit("[p. "), p, F.lit("]"))), ""))).otherwise(F.lit("")))
@@ -202,7 +210,15 @@ def scores(answers: DataFrame, verified: DataFrame, repaired: DataFrame, context
 def ground(answers: DataFrame, context: DataFrame, chunks: DataFrame | None = None, replies: DataFrame | None = None, cfg: EngineConfig = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """(claims, report) for answers (answer_id, chat_id, draft, retrieval_score)."""
     verified = verify(extract(answers), context, replies, cfg)
+    if chunks is not None:
+        verified = second_search(verified, answers, chunks, cfg)
+    return verified, report(answers, verified, context, None, cfg)
+
+
+def report(answers: DataFrame, verified: DataFrame, context: DataFrame, chunks: DataFrame | None = None, cfg: EngineConfig = DEFAULTS) -> DataFrame:
+    """(answer_id, retrieval_score, evidence_coverage, citation_score, grounding_score, grounded_answer) from verdicts, after a
+    second search through chunks if they are given. Best from a stored table of verdicts, which are read several times."""
     if chunks is not None:
         verified = second_search(verified, answers, chunks, cfg)
     fixed_up = repair(answers, verified, cfg)
-    return verified, scores(answers, verified, fixed_up, context).join(fixed_up, "answer_id")
+    return scores(answers, verified, fixed_up, context).join(fixed_up, "answer_id")

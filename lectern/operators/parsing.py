@@ -164,7 +164,7 @@ def chunk_blocks(blocks: DataFrame, least: int = 300, alone: int = 60) -> DataFr
 
     A chunk closes at a heading once it has half of `least` tokens, and after a block once it has `least`; a chunk under
     `alone` joins the one before on its page. A chunk's headings are those that hold when it closes, so one that a heading
-    closes is named by that heading. The state runs through a document, so each is folded in one task; a document is a row of
+    closes is named by that heading. A null text is an empty one; a document of blank blocks has no chunk. The state runs through a document, so each is folded in one task; a document is a row of
     some files' worth, and documents are spread over tasks.
     """
     size = lambda words: int(words * 1.3)
@@ -178,7 +178,7 @@ def chunk_blocks(blocks: DataFrame, least: int = 300, alone: int = 60) -> DataFr
 
         def close() -> None:
             nonlocal held, words
-            body = "\n\n".join(b["text"] for b in held).strip()
+            body = "\n\n".join(b["text"] or "" for b in held).strip()
             if body:
                 kinds = {b["level"] for b in held}
                 boxes = [b["bbox"] or {"x0": 0.0, "y0": 0.0, "x1": 0.0, "y1": 0.0} for b in held]
@@ -194,7 +194,7 @@ def chunk_blocks(blocks: DataFrame, least: int = 300, alone: int = 60) -> DataFr
             if heading and held and size(words) >= least // 2:
                 close()
             held.append(b | {"par": paragraph})
-            words += len(b["text"].split())
+            words += len((b["text"] or "").split())
             if not heading:
                 paragraph += 1
                 if size(words) >= least:
@@ -207,10 +207,8 @@ def chunk_blocks(blocks: DataFrame, least: int = 300, alone: int = 60) -> DataFr
                 merged[-1]["text"] += "\n\n" + c["text"]
             else:
                 merged.append(c)
-        rows = pd.DataFrame(merged)
-        rows.insert(0, "ord", range(len(rows)))
-        rows.insert(0, "document_id", group["document_id"].iloc[0])
-        return rows[[c.split()[0] for c in _CHUNK_OUT.split(", ")]]
+        rows = [{"document_id": group["document_id"].iloc[0], "ord": i, **c} for i, c in enumerate(merged)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in _CHUNK_OUT.split(", ")])
 
     found = contexts(blocks).select("document_id", "page", "block_index", "text", "bbox", "level", "chapter", "section", "subsection", "heading").groupBy("document_id").applyInPandas(fold, _CHUNK_OUT)
     w = W.partitionBy("document_id").orderBy("ord")

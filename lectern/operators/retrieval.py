@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,22 +41,49 @@ def idf(df: Column, n: Column) -> Column:
 
 def term_stats(chunks: DataFrame) -> DataFrame:
     """(chat_id, term, df, idf) of all terms."""
-    df = postings(chunks).groupBy("chat_id", "term").agg(F.count("*").alias("df"))
-    return df.join(corpus_stats(chunks).select("chat_id", "n"), "chat_id").select("chat_id", "term", "df", idf(F.col("df"), F.col("n")).alias("idf"))
+    # A chunk counts once for each of its terms: one aggregate, with partial counts before the shuffle.
+    df = doc_terms(chunks).select("chat_id", F.explode(F.array_distinct("toks")).alias("term")).groupBy("chat_id", "term").agg(F.count("*").alias("df"))
+    n = chunks.groupBy("chat_id").agg(F.count("*").alias("n"))
+    return df.join(n, "chat_id").select("chat_id", "term", "df", idf(F.col("df"), F.col("n")).alias("idf"))
+
+
+def token_overlap(wanted: DataFrame, keys: list[str], chunks: DataFrame) -> DataFrame:
+    """wanted (keys, chat_id, own: distinct tokens) against the chunks of its chat: (keys, chat_id, id, ord, overlap), the share of
+    own that a chunk has, for chunks that have any. Only tokens that are asked for meet in the join, never whole texts."""
+    terms = wanted.select(*keys, "chat_id", F.size("own").alias("__of"), F.explode("own").alias("term"))
+    held = chunks.select("chat_id", "id", "ord", F.explode(text.significant(F.col("text"))).alias("term"))
+    held = held.join(terms.select("chat_id", "term").distinct(), ["chat_id", "term"], "left_semi")
+    shared = terms.join(held, ["chat_id", "term"]).groupBy(*keys, "chat_id", "__of", "id", "ord").agg(F.count("*").alias("__n"))
+    return shared.select(*keys, "chat_id", "id", "ord", (F.col("__n") / F.col("__of")).alias("overlap"))
+
+
+def keyword_index(chunks: DataFrame, path: str) -> DataFrame:
+    """Writes the chunks' postings (chat_id, id, ord, term, tf, len), a chat in its own folder, and reads them back: what
+    bm25() takes instead of chunks, so that no question tokenises the corpus again. A chunk without a token has one row, its
+    term null. Chats in chunks are replaced, others stay, as they do when a document is uploaded again."""
+    toks = doc_terms(chunks).select("chat_id", "id", "ord", "len", F.explode_outer("toks").alias("term"))
+    rows = toks.groupBy("chat_id", "id", "ord", "len", "term").agg(F.count("*").alias("tf"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chat_id").parquet(path)
+    return chunks.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def bm25(questions: DataFrame, chunks: DataFrame, cfg: EngineConfig = DEFAULTS) -> DataFrame:
     """(question_id, id, ord, bm25) of all chunks of a question's chat with a positive score.
 
-    questions: question_id, chat_id, search_text. A term that a question repeats counts as often. Only the questions' terms
-    are ever counted: the exploded tokens meet them before anything is shuffled on a chunk's key.
+    questions: question_id, chat_id, search_text; chunks, or a keyword_index of them. A term that a question repeats counts as
+    often. Only the questions' terms are ever counted: the exploded tokens meet them before anything is shuffled on a chunk's
+    key.
     """
     terms = questions.select("question_id", "chat_id", F.explode(text.tokens(F.col("search_text"))).alias("term")).groupBy("question_id", "chat_id", "term").agg(F.count("*").alias("times"))
-    docs = doc_terms(chunks)
     wanted = terms.select("chat_id", "term").distinct()
-    hits = docs.select("chat_id", "id", "ord", "len", F.explode("toks").alias("term")).join(wanted, ["chat_id", "term"], "left_semi")
-    hits = hits.groupBy("chat_id", "term", "id", "ord", "len").agg(F.count("*").alias("tf"))
-    stats = docs.groupBy("chat_id").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    if "tf" in chunks.columns:
+        hits = chunks.select("chat_id", "term", "id", "ord", "len", "tf").join(wanted, ["chat_id", "term"], "left_semi")
+        stats = chunks.groupBy("chat_id", "id", "len").agg(F.count("*").alias("terms")).groupBy("chat_id").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    else:
+        docs = doc_terms(chunks)
+        hits = docs.select("chat_id", "id", "ord", "len", F.explode("toks").alias("term")).join(wanted, ["chat_id", "term"], "left_semi")
+        hits = hits.groupBy("chat_id", "term", "id", "ord", "len").agg(F.count("*").alias("tf"))
+        stats = chunks.select("chat_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(fixed.TOKEN)).alias("len")).groupBy("chat_id").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
     df = hits.groupBy("chat_id", "term").agg(F.count("*").alias("df"))
     weights = terms.join(df, ["chat_id", "term"]).join(stats, "chat_id").withColumn("w", F.col("times") * idf(F.col("df"), F.col("n")))
     k1, b = cfg.bm25_k1, cfg.bm25_b
@@ -80,7 +109,7 @@ def semantic_search(questions: DataFrame, chunks: DataFrame, k: Column | int = 8
     """
     q = questions.select("question_id", F.col("chat_id").alias("__chat"), "vector", (k if isinstance(k, Column) else F.lit(k)).alias("__k"))
     pool = chunks.where("embedding IS NOT NULL").select("chat_id", "id", "ord", "embedding")
-    pairs = pool.join(q, F.col("chat_id") == F.col("__chat")).select("question_id", "id", "ord", "__k", text.cosine(F.col("embedding"), F.col("vector")).alias("semantic_score"))
+    pairs = pool.join(q.where("vector IS NOT NULL"), F.col("chat_id") == F.col("__chat")).select("question_id", "id", "ord", "__k", text.cosine(F.col("embedding"), F.col("vector")).alias("semantic_score"))
     return ranked(pairs, ["question_id"], tied("semantic_score"), F.col("ord")).where((F.col("rank") <= F.col("__k")) & (F.col("semantic_score") >= threshold)).drop("__k")
 
 
@@ -147,31 +176,38 @@ def combined(cfg: EngineConfig = DEFAULTS) -> Column:
     return cfg.semantic_weight * F.col("semantic_score") + cfg.keyword_weight * F.col("keyword_score") + cfg.rerank_weight * F.col("rerank_score")
 
 
-def hybrid_search(questions: DataFrame, chunks: DataFrame, cfg: EngineConfig = DEFAULTS) -> DataFrame:
+def hybrid_search(questions: DataFrame, chunks: DataFrame, cfg: EngineConfig = DEFAULTS, reranker: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(question_id, id, ord, semantic_score, keyword_score, rrf, rerank_score, score, rank): the best of each question.
 
-    questions: question_id, chat_id, search_text, vector, and understand()'s columns. The semantic side is filtered by
+    questions: question_id, chat_id, search_text, vector, understand()'s columns, and document_hint where a question is put to
+    one document of its chat. A null vector leaves the keyword side. The semantic side is filtered by
     metadata first; the keyword side takes its best of the whole chat and then loses what the filter excludes. Text meets
-    the candidates only after both sides are cut to their widths.
+    the candidates only after both sides are cut to their widths. reranker: candidates (with question, text, rrf and
+    understand()'s columns) to the same with rerank_score; the local rule without one.
     """
     most = F.floor(F.lit(cfg.rerank_candidate_count) * F.col("candidate_multiplier")).cast("int")
-    meta = chunks.select("chat_id", "id", "ord", "document_id", "chapter", "section", "page")
-    hints = questions.select("question_id", F.col("chat_id").alias("__chat"), "chapter_hint", "section_hint", "filter_page")
-    hint_cols = (F.col("chapter_hint"), F.col("section_hint"), F.col("filter_page"))
-    pool = meta.join(hints, F.col("chat_id") == F.col("__chat"))
-    pool = with_fallback(pool, metadata_filter(None, *hint_cols)).select("question_id", "id")
-    sized = questions.select("question_id", "chat_id", "vector", "search_text", most.alias("most"))
-    vectors = chunks.where("embedding IS NOT NULL").select("id", "ord", "embedding")
-    q = sized.select("question_id", "vector", "most")
-    near = pool.join(vectors, "id").join(q, "question_id").select("question_id", "id", "ord", "most", text.cosine(F.col("embedding"), F.col("vector")).alias("semantic_score"))
+    keep = F.coalesce(metadata_filter(F.col("document_hint"), F.col("chapter_hint"), F.col("section_hint"), F.col("filter_page")), F.lit(False))
+    document = F.col("document_hint") if "document_hint" in questions.columns else F.lit(None).cast("string").alias("document_hint")
+    hints = questions.select("question_id", F.col("chat_id").alias("__chat"), document, "chapter_hint", "section_hint", "filter_page", most.alias("most"))
+    named = hints.where("document_hint IS NOT NULL OR chapter_hint IS NOT NULL OR section_hint IS NOT NULL OR filter_page IS NOT NULL")
+    meta = chunks.select("chat_id", "document_id", "chapter", "section", "page")
+    # Whether any chunk passes is a bit for each question that has a hint; the pairs themselves are never shuffled for it.
+    strict = meta.join(named, F.col("chat_id") == F.col("__chat")).where(keep).select("question_id").distinct().withColumn("__strict", F.lit(True))
+    sized = hints.join(strict, "question_id", "left")
+    stays = F.col("__strict").isNull() | keep
+    q = sized.join(questions.select("question_id", "vector"), "question_id")
+    pool = chunks.where("embedding IS NOT NULL").select("chat_id", "id", "ord", "document_id", "chapter", "section", "page", "embedding")
+    near = pool.join(q.where("vector IS NOT NULL"), F.col("chat_id") == F.col("__chat")).where(stays).select("question_id", "id", "ord", "most", text.cosine(F.col("embedding"), F.col("vector")).alias("semantic_score"))
     near = ranked(near, ["question_id"], tied("semantic_score"), F.col("ord")).where("rank <= most AND semantic_score >= 0").drop("most")
-    words = ranked(bm25(sized, chunks, cfg), ["question_id"], tied("bm25"), F.col("ord")).join(q.drop("vector"), "question_id").where("rank <= most")
-    words = words.select("question_id", "id", "ord", (F.col("bm25") / F.max("bm25").over(W.partitionBy("question_id"))).alias("keyword_score"), "rank")
-    words = words.join(pool, ["question_id", "id"], "left_semi")
-    words = ranked(words.drop("rank"), ["question_id"], tied("keyword_score"), F.col("ord"))
+    words = ranked(bm25(questions.select("question_id", "chat_id", "search_text"), chunks, cfg), ["question_id"], tied("bm25"), F.col("ord"))
+    words = words.join(sized, "question_id").where("rank <= most").withColumn("keyword_score", F.col("bm25") / F.max("bm25").over(W.partitionBy("question_id")))
+    # The few that are left get their headings and what the filter excludes goes.
+    words = words.join(chunks.select("id", "document_id", "chapter", "section", "page"), "id").where(stays).select("question_id", "id", "ord", "keyword_score")
+    words = ranked(words, ["question_id"], tied("keyword_score"), F.col("ord"))
     both = fuse(near, words, cfg)
-    asked = questions.select("question_id", "keywords", "numbers", "page_references", "chapter_hint", "section_hint", "depth")
-    rows = both.join(chunks.select("id", "text", "page", "chapter", "section"), "id").join(asked, "question_id").withColumn("rerank_score", local_rerank())
+    asked = questions.select("question_id", *(["question"] if "question" in questions.columns else []), "keywords", "numbers", "page_references", "chapter_hint", "section_hint", "depth")
+    rows = chunks.select("id", "text", "page", "chapter", "section").join(both, "id").join(asked, "question_id")
+    rows = reranker(rows) if reranker else rows.withColumn("rerank_score", local_rerank())
     rows = rows.withColumn("score", combined(cfg))
     k = F.when(F.col("depth") == "explain", cfg.explain_chunks).otherwise(cfg.specific_chunks)
     best = ranked(rows, ["question_id"], tied("score"), tied("rrf"), F.col("ord")).where(F.col("rank") <= k)
@@ -185,22 +221,13 @@ def out_of_scope(questions: DataFrame, retrieved: DataFrame, cfg: EngineConfig =
     return out.withColumn("is_out_of_scope", F.coalesce(F.col("best") < cfg.out_of_scope_similarity, F.lit(True)))
 
 
-def neighbours(selected: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame:
-    """(question_id, chat_id, ord) of selected chunks (question_id, chat_id, ord) and of those up to `window` places before and
-    after, in the document's order; each once. An equi-join on the place: no range join, no pass over chats not asked."""
-    around = selected.select("question_id", "chat_id", F.explode(F.sequence(F.col("ord") - window, F.col("ord") + window)).alias("ord")).distinct()
-    return around.join(chunks.select("chat_id", "ord", "id"), ["chat_id", "ord"])
-
+def window_of(depth: Column, cfg: EngineConfig = DEFAULTS) -> Column:
+    """How many places around a chunk an answer of this depth reads."""
+    return F.when(depth == "explain", cfg.explain_window).otherwise(cfg.specific_window)
 
-def lsh_search(questions: DataFrame, chunks: DataFrame, k: int = 8, bucket: float = 2.0, tables: int = 8) -> DataFrame:
-    """Approximate nearest neighbours by random projections of unit vectors; exact scores for what shares a bucket."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
 
-    unit = lambda c: F.transform(F.col(c).cast("array<double>"), lambda x: x / F.sqrt(F.aggregate(F.col(c).cast("array<double>"), F.lit(0.0), lambda s, v: s + v * v)))
-    left = questions.select("question_id", F.col("chat_id").alias("__chat"), array_to_vector(unit("vector")).alias("v"))
-    right = chunks.where("embedding IS NOT NULL").select("chat_id", "id", "ord", array_to_vector(unit("embedding")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=1).fit(right)
-    near = model.approxSimilarityJoin(left, right, 2.0, "d").where("datasetA.__chat = datasetB.chat_id")
-    rows = near.select("datasetA.question_id", "datasetB.id", "datasetB.ord", (1 - F.col("d") * F.col("d") / 2).alias("semantic_score"))
-    return ranked(rows, ["question_id"], tied("semantic_score"), F.col("ord")).where(F.col("rank") <= k)
+def neighbours(selected: DataFrame, chunks: DataFrame, window: Column | int = 1) -> DataFrame:
+    """(question_id, chat_id, ord, id) of selected chunks (question_id, chat_id, ord) and of those up to `window` places before
+    and after, in the document's order; each once. An equi-join on the place: no range join, no pass over chats not asked."""
+    around = selected.select("question_id", "chat_id", F.explode(F.sequence(F.col("ord") - window, F.col("ord") + window)).alias("ord")).distinct()
+    return around.join(chunks.select("chat_id", "ord", "id"), ["chat_id", "ord"])

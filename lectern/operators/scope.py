@@ -101,10 +101,12 @@ def resolve(questions: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def section_runs(chunks: DataFrame) -> DataFrame:
-    """chunks with `run`: numbers of stretches of equal (chapter, section) in a chat; a chunk without either is a run alone."""
+    """chunks with `run`: numbers of stretches of equal (chapter, section) in a chat, a missing chapter equal to a missing one; a
+    chunk whose section is missing or empty is a run alone."""
     by = W.partitionBy("chat_id").orderBy(*reading_order())
-    same = (F.lag("chapter").over(by) == F.col("chapter")) & (F.lag("section").over(by) == F.col("section"))
-    return chunks.withColumn("run", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(by))
+    same = F.lag("chapter").over(by).eqNullSafe(F.col("chapter")) & (F.lag("section").over(by) == F.col("section")) & (F.col("section") != "")
+    first = F.row_number().over(by) == 1
+    return chunks.withColumn("run", F.sum(F.when(F.coalesce(same, F.lit(False)) & ~first, 0).otherwise(1)).over(by))
 
 
 def summary_batches(chunks: DataFrame, cfg: EngineConfig = DEFAULTS) -> DataFrame:

@@ -94,8 +94,9 @@ def verifier_prompt(claim: Column, evidence: Column) -> Column:
     return F.concat(F.lit(f"{rule}\n\nCLAIM: "), claim, F.lit("\n\nEVIDENCE:\n"), F.coalesce(F.nullif(blocks, F.lit("")), F.lit("(none)")))
 
 
-def answer_prompt(question: Column, excerpts: Column) -> Column:
-    return F.concat(F.lit("Answer from the excerpts alone and mark each statement with its page as [p. N].\n\n"), F.array_join(excerpts, "\n---\n"), F.lit("\n\nQUESTION: "), question)
+def json_of(reply: Column) -> Column:
+    """A reply without the fence or the word json around it."""
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(reply), r"^`+|`+$", "")), r"(?i)^json", ""))
 
 
 def rerank_reply(reply: Column, place: Column) -> Column:
@@ -123,16 +124,3 @@ def rewritten(questions: DataFrame, history: DataFrame, provider: Llm, turns: in
     asked = complete(rows.where("__log IS NOT NULL"), F.concat(F.lit("Rewrite the question to stand alone.\n"), F.col("__log"), F.lit("\nQUESTION: "), F.col("question")), "__reply", provider)
     done = asked.withColumn("search_text", F.coalesce(F.nullif(F.trim(F.regexp_replace("__reply", '^\\s*"|"\\s*$', "")), F.lit("")), F.col("question"))).drop("__reply")
     return fresh.unionByName(done).drop("__log")
-
-
-def map_reduce(batches: DataFrame, provider: Llm, per: int = 8) -> DataFrame:
-    """batches (chat_id, n, text) summarised one by one, then by `per` at a time until at most `per` remain, then in one."""
-    rows = complete(batches, F.concat(F.lit("Summarise:\n"), F.col("text")), "s", provider).select("chat_id", "n", F.coalesce("s", "text").alias("text"))
-    while True:
-        most = rows.groupBy("chat_id").count().agg(F.max("count")).first()[0] or 0
-        last = most <= per
-        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n\n")
-        rows = rows.groupBy("chat_id", (F.lit(0).cast("bigint") if last else F.floor(F.col("n") / per).cast("bigint")).alias("n")).agg(joined.alias("text"))
-        rows = complete(rows, F.concat(F.lit("Merge:\n"), F.col("text")), "s", provider).select("chat_id", "n", F.coalesce("s", "text").alias("text"))
-        if last:
-            return rows.select("chat_id", F.col("text").alias("summary"))

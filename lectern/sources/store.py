@@ -2,25 +2,66 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, EngineConfig
 
+T = TypeVar("T")
+
 
 class StoreError(Exception):
     """A table can't do what was asked of it."""
 
 
+class StoreUnavailable(StoreError):
+    """A call failed as often as it was tried."""
+
+
+class TableNotFound(StoreError):
+    """There is no table yet."""
+
+
 class DimensionError(StoreError):
     """A vector has another size than the table's."""
 
 
-class UnfilteredDelete(StoreError):
+class InsertFailed(StoreError):
+    """Rows couldn't be written."""
+
+
+class DeleteFailed(StoreError):
+    """Rows couldn't be taken away."""
+
+
+class UnfilteredDelete(DeleteFailed):
     """A delete without any condition is refused."""
 
 
+class SearchFailed(StoreError):
+    """A search couldn't be run."""
+
+
+def with_retry(call: Callable[[], T], tries: int = 3, backoff: float = 0.5, name: str = "call") -> T:
+    """What call() gives; tried again after `backoff` seconds, twice that, and so on. An error that another try can't mend (a
+    wrong type or name, or one of the store's own) is raised at once."""
+    for attempt in range(1, max(1, tries) + 1):
+        try:
+            return call()
+        except (AttributeError, TypeError, StoreError):
+            raise
+        except Exception as error:
+            if attempt >= tries:
+                raise StoreUnavailable(f"{name} failed {attempt} times") from error
+            time.sleep(backoff * attempt)
+    raise AssertionError
+
+
 class ChunkStore:
     """Chunks with their vectors in one table, partitioned by chat_id; so there is no second copy to keep in step."""
 
@@ -33,12 +74,16 @@ class ChunkStore:
         return bool(where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where))
 
     def all(self) -> DataFrame:
+        if not self.exists():
+            raise TableNotFound(self.path)
         return self.spark.read.parquet(self.path)
 
     def save_many(self, chunks: DataFrame) -> DataFrame:
         """Appends chunks; ids that are null are numbered on from the chat's greatest, in `ord`. Returns what was written."""
         if self.exists():
-            top = self.all().groupBy("chat_id").agg(F.max("id").alias("__top"))
+            # Only the folders of the chats that are written to are read.
+            own = chunks.select("chat_id").distinct()
+            top = self.all().select("chat_id", "id").join(F.broadcast(own), "chat_id", "left_semi").groupBy("chat_id").agg(F.max("id").alias("__top"))
             chunks = chunks.join(top, "chat_id", "left")
         else:
             chunks = chunks.withColumn("__top", F.lit(None).cast("bigint"))

@@ -22,24 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def chunks(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
+def chunks(spark: SparkSession, sf_dir: str, vectors: bool = False, body: bool = True) -> DataFrame:
     """Documents as the chunks of their source's chat: ten to a chapter, five to a section, two to a page; some lack either.
 
-    `ord` counts from 0 within a chat. Vectors are joined on request only, so other queries never read them.
+    `ord` counts from 0 within a chat. Places and links come from a window over ids alone; texts meet them by id, so that no
+    text is sorted within its source. Without `body` no text is read. Vectors are joined on request only.
     """
     docs = table(spark, sf_dir, "documents")
     order = W.partitionBy("source").orderBy("doc_id")
     o = F.row_number().over(order)
     found = docs.select(
-        F.regexp_extract("source", r"(\d+)$", 1).cast("bigint").alias("chat_id"), F.col("source").alias("document_id"), F.col("doc_id").alias("id"), o.alias("o"), "text",
+        F.regexp_extract("source", r"(\d+)$", 1).cast("bigint").alias("chat_id"), F.col("source").alias("document_id"), F.col("doc_id").alias("id"), o.alias("o"),
         F.lag("doc_id").over(order).cast("string").alias("previous_chunk_id"), F.lead("doc_id").over(order).cast("string").alias("next_chunk_id"), F.col("lang").alias("language"),
     )
+    if body:
+        found = docs.select(F.col("doc_id").alias("id"), "text").join(found, "id")
     found = found.select(
         "chat_id", "document_id", "id", (F.col("o") - 1).alias("ord"), (F.floor((F.col("o") - 1) / 2) + 1).cast("int").alias("page"),
         F.when(F.col("o") % 17 != 0, F.concat(F.lit("Chapter "), (F.floor((F.col("o") - 1) / 10) + 1).cast("string"))).alias("chapter"),
         F.when(F.col("o") % 11 != 0, F.concat(F.lit("Section "), (F.floor((F.col("o") - 1) / 5) + 1).cast("string"))).alias("section"),
         F.lit(None).cast("string").alias("subsection"), F.lit(None).cast("string").alias("heading"), ((F.col("o") - 1) % 2).alias("paragraph_index"),
-        "text", "language", "previous_chunk_id", "next_chunk_id", F.col("id").cast("string").alias("local_id"),
+        *(["text"] if body else []), "language", "previous_chunk_id", "next_chunk_id", F.col("id").cast("string").alias("local_id"),
     )
     if vectors:
         vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("__vec"), "embedding")
@@ -51,14 +54,19 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("id"), "role", F.col("text").alias("content"))
 
 
+HTML_HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+HTML_BLOCK = r"(?i)<(/?)(h[1-6]|p|li|td|th|title|div|ul|ol|table|tr|body|head|html|article|section|header|footer|nav|main|aside|blockquote|pre|br|hr)\b[^>]*>"
+
+
 def html_blocks(pages: DataFrame) -> DataFrame:
-    """Layout blocks of web pages (page_id, html), the stand-in for a PDF parser's: headings by level, paragraphs, list items.
+    """Layout blocks of web pages (page_id, html), the stand-in for a PDF parser's: headings by level, paragraphs, list items,
+    and whatever else stands between block tags.
 
-    One pass of expressions: scripts and styles go, block tags cut, other tags go, entities that matter are put back.
+    One pass of expressions: scripts and styles go, the text is cut at each block tag, open or closed, other tags go, entities
+    that matter are put back. block_index counts all cuts; blank blocks are left out. A null page has no block.
     """
-    cut = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
-    parts = F.regexp_extract_all(cut, F.lit(r"(?is)<(h[1-6]|p|li|td|title)\b[^>]*>(.*?)(?=<(?:/?(?:h[1-6]|p|li|td|title|div|ul|ol|table|tr|body|html))\b|$)"), F.lit(0))
-    blocks = pages.select("page_id", F.posexplode(parts).alias("block_index", "raw"))
+    cut = F.regexp_replace(F.regexp_replace("html", HTML_HIDDEN, " "), HTML_BLOCK, "\x1e<$1$2>")
+    blocks = pages.select("page_id", F.posexplode(F.split(cut, "\x1e", -1)).alias("block_index", "raw"))
     tag = F.lower(F.regexp_extract("raw", r"(?i)^<([a-z0-9]+)", 1))
     body = F.regexp_replace(F.regexp_replace("raw", r"(?s)<[^>]*>", " "), r"&nbsp;", " ")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):

@@ -2,9 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.config import EngineConfig
+from lectern.functions import text
+from lectern.operators import layout, retrieval
+from lectern.plans import longform
 from lectern.plans.engine import Engine
 from lectern.plans.providers import ExtractiveLlm, HashingEmbedder
-from lectern.sources.store import ChunkStore, UnfilteredDelete, vector_filter
+from lectern.sources.chats import ChatTable, MessageTable, owned_rows
+from lectern.sources.store import ChunkStore, StoreUnavailable, TableNotFound, UnfilteredDelete, vector_filter, with_retry
 from lectern.streaming.activity import windowed_activity
 
 
@@ -33,6 +37,180 @@ def test_store(spark, engine, tmp_path):
         store.save_many(store.all().limit(1).withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>")))
 
 
+def test_answers(spark, engine):
+    asked = {
+        1: "How do penguins swim under cold water?", 2: "Explain chapter 2", 3: "Explain chapter 9", 4: "Give me an outline of the whole document", 5: " ", 6: "zzqx vvkw?", 7: "Study notes for chapter 1", 8: "What is on page 2?",
+    }
+    df = spark.createDataFrame([(i, 7, q) for i, q in asked.items()], "question_id long, chat_id long, question string")
+    got = {r.question_id: r for r in engine.ask(df).collect()}
+    assert sorted(got) == list(asked)
+    assert "Penguins swim" in got[1].answer and "[p. 1]" in got[1].answer and not got[1].is_out_of_scope and got[1].citations[0].physical_page == 1
+    assert got[1].evidence_coverage == got[1].citation_score == 1.0 and 0 < got[1].confidence <= 1 and got[1].used_chunks
+    assert "Cats sleep" in got[2].answer and got[2].confidence == 1.0 and got[2].used_chunks == [2]
+    assert got[3].answer == "I couldn't find Chapter 9 in this document." and got[3].confidence == 0.0 and got[3].citations == []
+    assert got[4].answer == "" and got[4].citations and got[4].grounding_score == 1.0
+    assert got[5].answer is None and got[5].confidence is None
+    assert got[6].is_out_of_scope and got[6].confidence == 0.0
+    assert "Penguins" in got[7].answer
+    assert "Cats" in got[8].answer and [c.physical_page for c in got[8].citations] == [2]
+
+
+def test_scanned_pages_go_to_ocr(spark, tmp_path):
+    cfg = EngineConfig(vector_size=64)
+    e = Engine(spark, ChunkStore(spark, str(tmp_path / "chunks"), cfg), cfg, HashingEmbedder(64))
+    box = (0.0, 0.0, 9.0, 9.0)
+    good = "A native page with quite enough words to be told from a scanned one. " * 3
+    blocks = [("d", 1, 0, good, box, 10.0, 10.0, False), ("d", 2, 0, "x", box, 10.0, 10.0, False), ("d", 3, 0, "\ufffd" * 60 + " b c d e f g", box, 10.0, 10.0, False), ("d", 4, 0, "y", box, 10.0, 10.0, False)]
+    blocks = spark.createDataFrame(blocks, "document_id string, page int, block_index int, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>, max_font_size double, avg_font_size double, is_bold boolean")
+    pages = spark.createDataFrame([("d", n, 100.0, 100.0, 5000.0 if n in (2, 4) else 0.0, b"%d" % n) for n in (1, 2, 3, 4)], "document_id string, page int, width double, height double, image_area double, image binary")
+
+    def read(image, dpi):
+        if image == b"4":
+            return "", None
+        if image == b"3" and dpi < 300:
+            return "too few", None
+        return f"Page {image.decode()} as read at {dpi}. " * 20, None
+
+    rated = {r.page: r for r in e.ingest(blocks, pages, spark.createDataFrame([("d", 1)], "document_id string, chat_id long"), read).collect()}
+    assert [rated[n].classification for n in (1, 2, 3)] == ["native", "scanned", "corrupted"] and [rated[n].source_type for n in (1, 2, 3, 4)] == ["native_text", "ocr", "ocr", "ocr"]
+    assert [rated[n].retry_count for n in (1, 2, 3, 4)] == [0, 0, 1, 2] and rated[4].excluded and not rated[3].excluded
+    text = " ".join(r.text for r in e.store.get_for_chat(1).collect())
+    assert "native page" in text and "read at 200" in text and "read at 300" in text and "\ufffd" not in text
+    none = Engine(spark, ChunkStore(spark, str(tmp_path / "other"), cfg), cfg, HashingEmbedder(64))
+    kept = {r.page: r for r in none.ingest(blocks, pages, spark.createDataFrame([("d", 1)], "document_id string, chat_id long")).collect()}
+    assert kept[3].excluded and kept[3].raw_text.startswith("\ufffd") and kept[1].raw_text is None
+
+
+def test_chats_and_messages(spark, tmp_path):
+    chats, log = ChatTable(spark, str(tmp_path / "chats")), MessageTable(spark, str(tmp_path / "log"))
+    assert chats.list_for_user(1).count() == 0 and log.last(2).count() == 0
+    ids = [r.chat_id for r in chats.create(spark.createDataFrame([(1, "a", "a.pdf"), (1, "b", "b.pdf"), (2, "c", None)], "user_id long, title string, pdf_name string")).orderBy("chat_id").collect()]
+    assert ids == [1, 2, 3] and [r.chat_id for r in chats.list_for_user(1).collect()] == [2, 1]
+    assert chats.owned(2, 1).count() == 0 and chats.owned(1, 1).first().title == "a"
+    chats.set_overview(1, 1, "topics")
+    assert chats.owned(1, 1).first().overview == "topics"
+    with pytest.raises(TableNotFound):
+        chats.delete(2, 1)
+    chats.delete(1, 2)
+    assert [r.chat_id for r in chats.list_for_user(1).collect()] == [1]
+    ddl = "chat_id long, turn int, role string, content string"
+    log.add(spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "x")], ddl))
+    log.add(spark.createDataFrame([(1, 0, "user", "q2")], ddl))
+    assert [(r.id, r.content) for r in log.all(1).collect()] == [(1, "q"), (2, "a"), (3, "q2")]
+    assert sorted((r.chat_id, r.id) for r in log.last(2).collect()) == [(1, 2), (1, 3), (2, 1)]
+    assert owned_rows(log.last(9), chats.list_for_user(1), 1).count() == 3
+
+
+def test_retry():
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("gone")
+        return 5
+
+    assert with_retry(flaky, 3, 0.0) == 5
+    with pytest.raises(StoreUnavailable):
+        with_retry(lambda: 1 / 0, 2, 0.0)
+    with pytest.raises(TypeError):
+        with_retry(lambda: len(3), 5, 10.0)
+
+
+def Scripted(*rules):
+    class Llm:  # a class of its own goes to the workers by value
+        def complete(self, prompts):
+            return [next((reply for key, reply in rules if key in (p or "")), None) for p in prompts]
+
+    return Llm()
+
+
+def test_map_reduce(spark):
+    cfg = EngineConfig(single_shot_chars=50, section_batch=2, reduce_batch=3)
+    rows = [(q, i, "C", f"S{i // 20}", i // 2, 0, i, f"text {i} of {q}") for q, n in ((1, 41), (2, 2), (3, 9)) for i in range(n)]
+    chunks = spark.createDataFrame(rows, "question_id long, position int, chapter string, section string, page int, paragraph_index int, ord int, text string")
+    asked = spark.createDataFrame([(q, "what?", "all", "simple", "auto") for q in (1, 2, 3, 4)], "question_id long, question string, focus string, explanation_mode string, response_length string")
+
+    class Counting:
+        def complete(self, prompts):
+            return [("whole" if p.startswith("Explain") else "final" if "REQUEST" in p else "merge" if p.startswith("Put") else "part") + str(p.count("\n---\n") + 1 if "---" in p else p.count("part") + p.count("merge")) for p in prompts]
+
+    got = {r.question_id: r.draft for r in longform.explain_scope(asked, chunks, Counting(), cfg).collect()}
+    # 41 chunks: runs of 20, 20 and 1 are 10 + 10 + 1 batches, then 7 merges, 3 merges, one final; 9 chunks: 5 batches, 2 merges.
+    assert got == {1: "final3", 2: "whole2", 3: "final2", 4: longform.EMPTY}
+
+
+def test_model_replies(spark):
+    fence = chr(96) * 3
+    llm = Scripted(("alpha", fence + 'json\n{"intent": "list", "complexity": "advanced"}\n' + fence), ("beta", '{"intent": "nonsense", "complexity": "advanced"}'), ("gamma", "no json"))
+    df = spark.createDataFrame([(1, "alpha"), (2, "compare beta and gamma"), (3, "define gamma")], "question_id long, question string")
+    got = {r.question_id: (r.intent, r.complexity) for r in longform.model_intents(df, llm).collect()}
+    assert got == {1: ("list", "advanced"), 2: ("comparison", "intermediate"), 3: ("definition", "intermediate")}
+    rows = spark.createDataFrame([(1, "q", i, i, 1.0 - i / 10, t, [], ["one"], [], None, None, 1, None, None) for i, t in enumerate(("one", "two", "three"))] + [(2, "other", 9, 0, 0.5, "one thing", [], ["one"], [], None, None, 1, None, None)], "question_id long, question string, id long, ord int, rrf double, text string, numbers array<string>, keywords array<string>, page_references array<int>, chapter_hint string, section_hint string, page int, chapter string, section string")
+    told = longform.model_reranker(Scripted(("QUERY: q", '{"0": 7, "1": 20, "2": -1}')))(rows)
+    assert {(r.question_id, r.id): r.rerank_score for r in told.collect()} == {(1, 0): 0.7, (1, 1): 1.0, (1, 2): 0.0, (2, 9): 0.35}
+    encoded = longform.cross_encoder(lambda pairs: [0.0 if t == "one" else 2.0 for _, t in pairs])(rows).collect()
+    assert {r.id: round(r.rerank_score, 4) for r in encoded} == {0: 0.5, 1: 0.8808, 2: 0.8808, 9: 0.8808}
+    broken = longform.cross_encoder(lambda pairs: 1 / 0)(rows).collect()
+    assert {r.id: r.rerank_score for r in broken} == {r.id: r.rerank_score for r in longform.cross_encoder(None)(rows).collect()} == {0: 0.35, 1: 0.0, 2: 0.0, 9: 0.35}
+    guide = Scripted(("study guide", '{"key_concepts": ["a", "b"], "definitions": [{"term": "t", "definition": "d"}], "exam_questions": ["q?"]}'))
+    chunk = spark.createDataFrame([(1, 0, "C", "S", 1, "body")], "question_id long, position int, chapter string, section string, page int, text string")
+    asked = spark.createDataFrame([(1, "it")], "question_id long, focus string")
+    g = longform.study_guides(asked, chunk, guide).first().guide
+    assert g.key_concepts == ["a", "b"] and g.definitions[0].term == "t" and g.flashcards == []
+    assert longform.study_guides(asked, chunk, Scripted()).first().guide.key_concepts == []
+
+
+def test_layout(spark):
+    spans = [("d", 1, 0, 0, 1, "lo", 12.0, 0, "Arial"), ("d", 1, 0, 0, 0, "Hel", 10.0, 16, "Arial"), ("d", 1, 0, 1, 0, "  ", 40.0, 16, "x"), ("d", 1, 0, 2, 0, "there", 11.0, 0, "Arial-Black"), ("d", 1, 1, 0, 0, " ", 9.0, 0, "x"), ("d", 1, 2, 0, 0, "thin", 9.0, 0, None)]
+    df = spark.createDataFrame(spans, "document_id string, page int, block_index int, line_index int, span_index int, text string, size double, flags int, font string")
+    got = {r.block_index: tuple(r)[3:] for r in layout.span_blocks(df).collect()}
+    assert got == {0: ("Hello\nthere", 12.0, 11.0, True), 2: ("thin", 9.0, 9.0, False)}
+    tables = spark.createDataFrame([("d", 1, 1, [["b"], ["2"]]), ("d", 1, 0, [["a", "c"], ["1"]]), ("d", 1, 2, [[""]])], "document_id string, page int, table_index int, rows array<array<string>>")
+    assert layout.table_notes(tables).first().notes == ["| a | c |\n| --- | --- |\n| 1 |  |", "| b |\n| --- |\n| 2 |"]
+    docs = spark.createDataFrame([("d", "T", "", None, "k", "D:20240102030405", "odd")], "document_id string, title string, author string, subject string, keywords string, creation_date string, modification_date string")
+    pages = spark.createDataFrame([("d", 1, "en"), ("d", 2, "ar")], "document_id string, page int, language string")
+    assert tuple(layout.metadata(docs, pages).first()) == ("d", "T", None, None, "k", 2, "mixed", "2024-01-02T03:04:05+00:00", "odd")
+
+
+def test_marks(spark):
+    df = spark.createDataFrame([("A [p. 1][p. ٢] b [p. 4]. [p. 4-7]",), (None,)], "t string")
+    got = [tuple(r) for r in df.select(text.page_marks(F.col("t")), text.without_marks(F.col("t")), text.has_arabic(F.lit("لا"))).collect()]
+    assert got[0][0] == ["1 , ٢", "4"] and got[0][1] == "A  b ." and got[1][0] == []
+
+
+def test_keyword_index(spark, tmp_path):
+    rows = [(1, 0, 0, "a b b"), (1, 1, 1, "b c"), (1, 2, 2, None), (2, 0, 0, "a a d")]
+    chunks = spark.createDataFrame(rows, "chat_id long, id long, ord int, text string")
+    asked = spark.createDataFrame([(1, 1, "b a b"), (2, 2, "d")], "question_id long, chat_id long, search_text string")
+    index = retrieval.keyword_index(chunks, str(tmp_path / "index"))
+    key = lambda df: sorted((r.question_id, r.id, round(r.bm25, 9)) for r in df.collect())
+    assert key(retrieval.bm25(asked, index)) == key(retrieval.bm25(asked, chunks))
+    new = spark.createDataFrame([(2, 5, 0, "d d")], "chat_id long, id long, ord int, text string")
+    index = retrieval.keyword_index(new, str(tmp_path / "index"))
+    assert {r.id for r in retrieval.bm25(asked, index).where("question_id = 2").collect()} == {5}
+
+
+def test_without_the_training_data_operators(tmp_path):
+    """The rest works when both llm folders are gone, with corpus_pipeline.py or without."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    for name in ("lectern", "__spark_entry__.py", "corpus_pipeline.py"):
+        source = root / name
+        if source.is_dir():
+            shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        elif source.exists():
+            shutil.copy(source, tmp_path / name)
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 50 and set(s) <= set(q) and 'pipeline' not in q and not any(n.startswith('op1_') for n in q)"
+    for _ in range(2):
+        subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True)
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
 def test_activity(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert windowed_activity(events).agg(F.sum("n")).first()[0] == events.count()
