@@ -158,7 +158,7 @@ _FEATURES = f"""ctx AS (SELECT chat_id, ord, page::VARCHAR AS label, text FROM c
     v AS (SELECT *, CASE WHEN wrong THEN 'cited page is not part of the supplied evidence' WHEN len(missing) > 0 THEN 'figure not present in evidence'
       WHEN len(nums) > 0 THEN CASE WHEN (has OR ov >= 0.5::DOUBLE) AND NOT negated THEN 'figure matches evidence exactly (Stage 1)' WHEN negated THEN 'negation cue present; cannot verify polarity without semantic check' ELSE 'figure present but low overall overlap (Stage 2 unavailable)' END
       WHEN NOT negated AND NOT risky AND (has AND ov >= 0.5::DOUBLE OR ov >= 0.6::DOUBLE) THEN 'high lexical overlap with cited evidence (Stage 1)' WHEN negated THEN 'negation cue present; cannot verify polarity without semantic check'
-      WHEN risky AND ov < 0.6::DOUBLE THEN ''' || kind || ''' claims require semantic verification to accept' WHEN has OR ov >= 0.12::DOUBLE OR n_words <= 4 THEN 'lexical overlap heuristic (Stage 2 unavailable)'
+      WHEN risky AND ov < 0.6::DOUBLE THEN '''' || kind || ''' claims require semantic verification to accept' WHEN has OR ov >= 0.12::DOUBLE OR n_words <= 4 THEN 'lexical overlap heuristic (Stage 2 unavailable)'
       WHEN ov >= 0.05::DOUBLE THEN 'partial lexical overlap heuristic (Stage 2 unavailable)' ELSE 'no lexical overlap with evidence' END AS reason FROM i),
     verdicts AS (SELECT *, CASE WHEN reason IN ('cited page is not part of the supplied evidence', 'figure not present in evidence', 'no lexical overlap with evidence') THEN 'UNSUPPORTED' WHEN starts_with(reason, 'negation') OR ends_with(reason, 'to accept') THEN 'UNCERTAIN'
       WHEN starts_with(reason, 'partial') OR starts_with(reason, 'figure present') THEN 'PARTIALLY_SUPPORTED' ELSE 'SUPPORTED' END AS status,

@@ -38,7 +38,7 @@ def _put_back(column: str) -> str:
 
 
 @register(
-    f"""WITH c AS (SELECT page_id, string_split(regexp_replace(regexp_replace(html, {quoted(HTML_HIDDEN)}, ' ', 'g'), {quoted(HTML_BLOCK)}, chr(30) || '<\1\2>', 'g'), chr(30)) AS p FROM pages),
+    f"""WITH c AS (SELECT page_id, string_split(regexp_replace(regexp_replace(html, {quoted(HTML_HIDDEN)}, ' ', 'g'), {quoted(HTML_BLOCK)}, chr(30) || '<\\1\\2>', 'g'), chr(30)) AS p FROM pages),
     b AS (SELECT page_id, unnest(p) AS raw, generate_subscripts(p, 1) - 1 AS i FROM c),
     t AS (SELECT *, lower(regexp_extract(raw, '(?i)^<([a-z0-9]+)', 1)) AS tag, trim(regexp_replace({_put_back("regexp_replace(raw, '(?s)<[^>]*>', ' ', 'g')")}, '[\\s\\x0b]+', ' ', 'g'), {TRIM}) AS text FROM b)
     SELECT page_id::VARCHAR AS document_id, i::BIGINT AS block_index, tag, text, CASE WHEN tag = 'title' THEN 24::DOUBLE WHEN regexp_matches(tag, '^h[1-6]$') THEN 22::DOUBLE - 2::DOUBLE * CAST(substr(tag, 2, 1) AS DOUBLE) ELSE 10::DOUBLE END AS max_font_size,

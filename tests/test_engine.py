@@ -154,7 +154,7 @@ def test_model_replies(spark):
     broken = longform.cross_encoder(lambda pairs: 1 / 0)(rows).collect()
     assert {r.id: r.rerank_score for r in broken} == {r.id: r.rerank_score for r in longform.cross_encoder(None)(rows).collect()} == {0: 0.35, 1: 0.0, 2: 0.0, 9: 0.35}
     guide = Scripted(("study guide", '{"key_concepts": ["a", "b"], "definitions": [{"term": "t", "definition": "d"}], "exam_questions": ["q?"]}'))
-    chunk = spark.createDataFrame([(1, 0, "C", "S", 1, "body")], "question_id long, position int, chapter string, section string, page int, text string")
+    chunk = spark.createDataFrame([(1, 0, "C", "S", 1, 0, 0, "body")], "question_id long, position int, chapter string, section string, page int, paragraph_index int, ord int, text string")
     asked = spark.createDataFrame([(1, "it")], "question_id long, focus string")
     g = longform.study_guides(asked, chunk, guide).first().guide
     assert g.key_concepts == ["a", "b"] and g.definitions[0].term == "t" and g.flashcards == []
