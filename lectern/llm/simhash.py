@@ -116,13 +116,28 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives an empty result; rows with a null id keep it and don't lower a component's id.
     """
     prints = stored(fingerprints(docs, id_col, text_col, width), "simhash-prints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-classes")
     roots = connected_components(close_pairs(classes, distance))
     linked = roots.join(classes.withColumnRenamed("fp", "node"), "node")
     low = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     found = roots.join(low, "root").select(F.col("node").alias("fp"), "component_id")
-    named = classes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = stored(classes.join(found, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "simhash-named")
+    out = _meeting(prints, named, "fp")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Keys that hold a row in so many or more are joined by broadcast: there can be no more of them than that.
+HOT = 1024
+
+
+def _meeting(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """rows joined to named, a stored table with a row for each key and n, its number of rows. Keys with a HOT-th of all rows or
+    more, HOT at most, go to every task, so that no group of copies is one task's; the others are shuffled."""
+    total = named.agg(F.sum("n")).first()[0] or 0
+    hot = rows.sparkSession.createDataFrame(named.where(F.col("n") * HOT >= total).collect(), named.schema)
+    first = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(named.where(F.col("n") * HOT < total), key)
+    return first.unionByName(rest)
 
 
 def _marked(docs: DataFrame, mark: Callable[[bytes | None], bytes], name: str) -> tuple[DataFrame, DataFrame]:
