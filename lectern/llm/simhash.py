@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, connected_components, documents, stored
+from .common import byte_texts, connected_components, documents, sliced, stored
 
 SEED = 42
 _STEP = 1 << 16
@@ -53,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp): fp is the 64-bit fingerprint as a signed long. Reads the two columns only; a null text has no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = b"".join([fingerprint(t, width) for t in byte_texts(b.column(1))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.frombuffer(found, ">i8").astype(np.int64))], ["doc_id", "fp"])
 
@@ -146,7 +147,7 @@ def _marked(docs: DataFrame, mark: Callable[[bytes | None], bytes], name: str) -
     rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             marks = pa.array([mark(t) for t in byte_texts(b.column(3))], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], marks], ["__row", "doc_id", "__h", "__mark"])
 
@@ -159,9 +160,10 @@ def _first_of_each(rows: DataFrame, marks: DataFrame, edges: DataFrame) -> DataF
     """Of each component (marks: __row, __node; edges: links of nodes) exactly one of rows: that with the least id, nulls last, then
     with the least hash of its text. A shared id takes no row away."""
     roots = connected_components(edges).withColumnRenamed("node", "__node")
-    named = marks.select("__row", "__node", "doc_id", "__h").join(roots, "__node", "left")
+    # Copies are one row before anything meets their component.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__h", "__row")).alias("first")
-    keep = named.groupBy(F.coalesce("root", "__node").alias("c")).agg(first).select("first.__row")
+    named = marks.groupBy("__node").agg(first).join(roots, "__node", "left")
+    keep = named.groupBy(F.coalesce("root", "__node").alias("c")).agg(F.min("first").alias("first")).select("first.__row")
     return rows.join(keep, "__row", "left_semi").drop("__row")
 
 
@@ -190,9 +192,14 @@ def signature(data: bytes | None, width: int = 5) -> bytes:
     return least.astype("<u2").tobytes()
 
 
-def similar_pairs(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(u, v): links of distinct signatures (__node, __mark) that share a block key and whose equal minima are a share of
-    `similarity` or more. In a block all that is reachable over such links gets linked, by as few as that takes."""
+#: Signatures that are compared with each other in one task at most. How near to a pivot (as a share of minima that differ) a
+#: signature of a larger group must be to be done with once it is linked. Rounds of pivots before blocks are compared two by two.
+LIMIT, CORE, ROUNDS = 1024, 0.05, 16
+
+
+def _linked(blocks: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) for blocks (key, __node, __mark) of LIMIT rows each, about: all that is reachable over links of similar signatures
+    in a block gets linked, by as few links as that takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(nodes: list[int], marks: list[bytes]) -> None:
@@ -201,32 +208,91 @@ def similar_pairs(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
                 front, left = [left[0]], left[1:]
                 while front and len(left):
                     at = front.pop()
-                    near = np.concatenate([(signs[left[i : i + 4096]] == signs[at]).mean(axis=1) >= similarity for i in range(0, len(left), 4096)])
+                    near = (signs[left] == signs[at]).mean(axis=1) >= similarity
                     found.extend((nodes[at], nodes[j]) for j in left[near])
                     front.extend(left[near])
                     left = left[~near]
 
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
+
         key, nodes, marks = None, [], []
+        found: list[tuple[int, int]] = []
         for b in batches:
-            found: list[tuple[int, int]] = []
             for k, node, mark in zip(*(c.to_pylist() for c in b.columns)):
                 if k != key:
                     links(nodes, marks)
                     key, nodes, marks = k, [], []
                 nodes.append(node)
                 marks.append(mark)
-            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
-        found = []
+            yield batch()
+            found.clear()
         links(nodes, marks)
-        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
+        yield batch()
+
+    return blocks.select("key", "__node", "__mark").repartition("key").sortWithinPartitions("key", "__node").mapInArrow(run, "u long, v long")
+
 
+def _from_pivots(rows: DataFrame) -> DataFrame:
+    """rows (key, __node, __mark, pivot, __pivot) with d, the share of minima in which a signature differs from its key's pivot.
+    Row by row: a key may lie in many tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, z = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, MINIMA) for i in (2, 4))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array((a != z).mean(axis=1))], ["key", "__node", "__mark", "pivot", "d"])
+
+    return rows.select("key", "__node", "__mark", "pivot", "__pivot").mapInArrow(run, "key long, __node long, __mark binary, pivot long, d double")
+
+
+def _crossed(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Blocks in which each row of one meets each of other of its key, about LIMIT rows of either in a block."""
+    sizes = [df.groupBy("key").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias(n)) for df, n in ((one, "m"), (other, "n"))]
+    both = sizes[0].join(sizes[1], "key")
+    part = F.pmod(F.xxhash64("__node", F.lit("part")), F.col("own")).cast("int")
+    out = []
+    for i, (df, own, far) in enumerate(((one, "m", "n"), (other, "n", "m"))):
+        rows = df.join(both, "key").select("key", "__node", "__mark", F.col(own).alias("own"), F.explode(F.sequence(F.lit(0), F.col(far) - 1)).alias("far"))
+        place = (part, F.col("far")) if i == 0 else (F.col("far"), part)
+        out.append(rows.select(F.xxhash64("key", *place).alias("key"), "__node", "__mark"))
+    return out[0].union(out[1])
+
+
+def similar_pairs(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(u, v): links of distinct signatures (__node, __mark) that share a block key and whose equal minima are a share of
+    `similarity` or more; what is reachable over such links stays so.
+
+    Blocks of up to LIMIT signatures are compared in one task. Of a larger one every signature is compared with a pivot, row by
+    row. Differing minima are a distance: what differs from the pivot in CORE at most can only be similar to signatures that
+    differ from it in 1 - similarity + CORE at most. So such ones, the bulk of any large group of near copies, are linked and
+    leave the block, and only those that are nearly similar to the pivot meet them again, in blocks of bounded size. The rest has
+    another pivot; after ROUNDS, blocks of bounded size meet each other. No group is gathered in one task, no link is given up.
+    """
     size = 2 * EACH
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("__mark", 1 + size * i, size)) for i in range(BANDS)))
     keyed = classes.select("__node", F.explode(keys).alias("key"))
     # Keys of one signature only carry none.
-    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "minhash-keys")
-    blocks = keyed.join(shared, "key").join(classes, "__node").select("key", "__node", "__mark")
-    return blocks.repartition("key").sortWithinPartitions("key", "__node").mapInArrow(run, "u long, v long")
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "minhash-keys")
+    rows = keyed.join(shared, "key").join(classes, "__node").select("key", "__node", "__mark", "n")
+    found = [_linked(rows.where(F.col("n") <= LIMIT), similarity)]
+    if shared.where(F.col("n") > LIMIT).isEmpty():
+        return found[0]
+    open_, apart = stored(rows.where(F.col("n") > LIMIT).drop("n"), "minhash-large"), 1 - similarity
+    for _ in range(ROUNDS):
+        counts = open_.groupBy("key").agg(F.count("*").alias("n"), F.min("__node").alias("pivot"))
+        large = counts.where(F.col("n") > LIMIT).join(classes.select(F.col("__node").alias("pivot"), F.col("__mark").alias("__pivot")), "pivot").select("key", "pivot", "__pivot")
+        large = stored(large, "minhash-pivots")
+        found.append(_linked(open_.join(large.select("key"), "key", "left_anti"), similarity))
+        if large.isEmpty():
+            return reduce(DataFrame.union, found)
+        near = stored(_from_pivots(open_.join(large, "key")), "minhash-compared")
+        found.append(near.where((F.col("d") <= apart + 1e-9) & (F.col("__node") != F.col("pivot"))).select(F.col("pivot").alias("u"), F.col("__node").alias("v")))
+        core, edge = near.where(F.col("d") <= CORE), near.where((F.col("d") > apart + 1e-9) & (F.col("d") <= apart + CORE + 1e-9))
+        if not edge.isEmpty():
+            found.append(_linked(_crossed(core.join(edge.select("key").distinct(), "key", "left_semi"), edge), similarity))
+        open_ = near.where(F.col("d") > CORE).select("key", "__node", "__mark")
+    found.append(_linked(_crossed(open_, open_), similarity))
+    return reduce(DataFrame.union, found)
 
 
 def one_of_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:

@@ -26,7 +26,7 @@ def brute(rows):
     return {(i, f"{prints[i]:016x}", root[i]) for i in prints}
 
 
-def test_brute_force(spark):
+def test_brute_force(spark, monkeypatch):
     rng = random.Random(1)
     words = [f"W{i}ä" for i in range(300)]
     rows = [(0, None), (1, ""), (2, " \t\n"), (3, "One"), (4, "one two"), (5, "ONE\ttwo")]
@@ -40,6 +40,9 @@ def test_brute_force(spark):
     rows.append((500, "z " * 200_000))
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], DDL)
     assert {tuple(r) for r in simhash.components(df).collect()} == brute(rows)
+    for hot in (1, 8):  # few or none are joined by broadcast
+        monkeypatch.setattr(simhash, "HOT", hot)
+        assert {tuple(r) for r in simhash.components(df).collect()} == brute(rows)
     kept = {r.doc_id for r in simhash.one_of_each(df.union(df)).collect()}
     assert kept == {r[2] for r in brute(rows)}
     assert simhash.one_of_each(df.union(df)).count() == len(kept)
@@ -103,3 +106,38 @@ def test_one_row_of_each_group_whatever_its_id(spark):
     for keep in (simhash.one_of_each, simhash.one_of_similar):
         got = sorted((r.text, r.doc_id) for r in keep(df).collect())
         assert got == sorted(zip(texts, [None, None, 7, 3, 9]))
+
+
+def test_large_blocks_of_similar_texts_lose_no_link(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(2000)]
+    texts = []
+    for n, most in ((120, 3), (60, 30), (40, 8)):
+        base = [rng.choice(words) for _ in range(200)]
+        for _ in range(n):
+            new = list(base)
+            for _ in range(rng.randrange(most)):
+                new[rng.randrange(200)] = rng.choice(words)
+            texts.append(" ".join(new))
+    texts += [" ".join(rng.choice(words) for _ in range(50)) for _ in range(30)]
+    marks = sorted({simhash.signature(t.encode()) for t in texts})
+    df = spark.createDataFrame(list(enumerate(marks)), "__node long, __mark binary")
+
+    def components(pairs):
+        root = list(range(len(marks)))
+
+        def top(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for u, v in pairs:
+            root[max(top(u), top(v))] = min(top(u), top(v))
+        return [top(i) for i in range(len(marks))]
+
+    want = components(map(tuple, simhash.similar_pairs(df).collect()))
+    assert len(set(want)) < len(marks) - 40
+    for limit, core, rounds in ((8, 0.05, 16), (8, 0.02, 2), (16, 0.0, 1)):
+        for name, value in (("LIMIT", limit), ("CORE", core), ("ROUNDS", rounds)):
+            monkeypatch.setattr(simhash, name, value)
+        assert components(map(tuple, simhash.similar_pairs(df).collect())) == want, (limit, core, rounds)
