@@ -47,6 +47,35 @@ def test_mix_of_the_fixture(spark):
     assert counts == {r.doc_id: r.taken // r["size"] for r in rows if r.taken}
 
 
+def test_a_closer_look_changes_nothing(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("source", F.lit("all"))
+    want = sorted(tuple(r) for r in mixing.mix_sources(df).select("doc_id", "taken").collect())
+    monkeypatch.setattr(mixing, "MOST_ROWS", 200)
+    monkeypatch.setattr(mixing, "FILL", 100)
+    monkeypatch.setattr(mixing, "BUCKETS", 4)
+    assert sorted(tuple(r) for r in mixing.mix_sources(df).select("doc_id", "taken").collect()) == want
+    counts = {r.doc_id: r["count"] for r in mixing.mixed(df).groupBy("doc_id").count().collect()}
+    size = {r.doc_id: r["size"] for r in mixing.mix_sources(df).collect()}
+    assert counts == {i: t // size[i] for i, t in want if t}
+
+
+def test_repeated_rows_are_counted_each(spark):
+    rows = [(1, "a b c", "x", None)] * 4000 + [(i, "d e f", "x", "q") for i in range(10, 40)] + [(None, "g h i", "y", None)] * 7 + [(5, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __row string").repartition(3)
+    got = mixing.mix_sources(df).collect()
+    assert len(got) == len(rows) and all(r.taken <= 2 * r["size"] for r in got)
+    for s in ("x", "y"):
+        own = [r for r in got if r.source == s]
+        assert own[0].target - 3 <= sum(r.taken for r in own) <= own[0].target
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    assert out.groupBy("source").count().collect()
+    for s in ("x", "y"):
+        assert out.where(F.col("source") == s).count() * 3 == sum(r.taken for r in got if r.source == s)
+    assert out.where("text IS NULL").count() == 1
+    assert mixing.mixed(df.limit(0)).count() == 0
+
+
 def test_edges(spark):
     rows = [(1, None, None, "x", "y", "z"), (2, "", "a", "x", "y", "z"), (3, "one two", None, "x", "y", "z"), (3, "one two", None, "x", "y", "z"), (4, "w " * 50_000, "b", "", "", "")]
     got = sorted(tuple(r) for r in mixing.mix_sources(spark.createDataFrame(rows, DDL)).select("doc_id", "size", "source_size", "taken").collect())
