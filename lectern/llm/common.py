@@ -49,6 +49,13 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, so that no more texts than those are Python objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The column's UTF-8 bytes, without decoding."""
     if isinstance(column, pa.ChunkedArray):

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, sliced, stored
 from .tokens import ids_of
 
 #: The longest code in bits; a decoding table has 1 << LIMIT cells.
@@ -119,7 +119,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
         ids = ids_of(tokenizer)
         width = ids.width
         end = end_id.to_bytes(width, "little")
-        for b in batches:
+        for b in sliced(batches):
             found = [x + end for x in ids.many(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // width for x in found], pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n", "ids"])
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_volume, byte_texts, crc_mod, documents
+from .common import by_volume, byte_texts, crc_mod, documents, sliced
 
 #: Families of language codes. A code that isn't here is a family of its own.
 FAMILIES = {
@@ -202,7 +202,7 @@ def predict(docs: DataFrame, learn: Column, sample: int = 3200, id_col: str = "d
     shared = docs.sparkSession.sparkContext.broadcast(model)  # (1 << BITS) rows by the number of machines
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             names, scores = shared.value.predict(byte_texts(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -228,7 +228,7 @@ def identified(docs: DataFrame, sample: int = 3200) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, least = shared.value
-        for b in batches:
+        for b in sliced(batches):
             texts = byte_texts(b.column(at))
             scores = model.predict(texts)[1]
             yield b.filter(pa.array([bool(t) and has_letter(t) and s >= least for t, s in zip(texts, scores)], pa.bool_()))

@@ -18,14 +18,17 @@ from .common import byte_texts, crc_mod, documents, stored
 
 #: The end of a document as a token. No word holds white space, so no word is this one.
 END = b"\n"
-#: The most frequent tokens, sent to all workers; the rest meets its counts in a join. A fixed number, whatever the corpus.
-FREQUENT = 1 << 17
+#: The most frequent tokens of at most LONGEST bytes, sent to all workers; the rest meets its counts in a join. A fixed number,
+#: whatever the corpus.
+FREQUENT, LONGEST = 1 << 17, 64
 #: Words with weights of their own, in classes of PER; all others fall into RARE classes by their last two bytes, and within
 #: one have the shares that their smoothed counts give them.
 WORDS, PER, RARE = 2048, 32, 64
 HIDDEN, LANES, STEPS = 32, 64, 16
 #: The pass over all tokens: lanes of a learner, tokens it holds at once, about the tokens of a learner, weights in a row.
 WIDE, PORTION, OWN, SLICE = 256, 1 << 20, 1 << 21, 1 << 12
+#: Rows whose softmax is taken at once, so that it stays within a core's cache.
+BLOCK = 1 << 11
 
 
 def tokens(data: bytes | None) -> list[bytes]:
@@ -93,8 +96,8 @@ class Vocabulary:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """From a stored table of counts. To the driver come FREQUENT tokens at most, and a sum for each rare class.
 
-    Which tokens: those from the least count on, in eighths of a power of two, that at most FREQUENT tokens reach. So only
-    they are sent, however many tasks the table has.
+    Which tokens: those from the least count on, in eighths of a power of two, that at most FREQUENT tokens reach, and of the
+    next level those whose hash is low enough. So only they are sent, however many tasks the table has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,14 +108,21 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(RARE)), pa.array(weight)], ["r", "w"])
 
     n, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    level = F.floor(F.log2("c") * 8).cast("int")
-    sizes, least, room = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), 1 << 30, FREQUENT
+    level, part = F.floor(F.log2("c") * 8).cast("int"), F.pmod(F.xxhash64("token", F.lit("level")), F.lit(4096)).cast("int")
+    short = counts.where(F.octet_length("token") <= LONGEST)
+    sizes, least, room, next_, upto = short.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), 1 << 30, FREQUENT, None, 0
     for r in sorted(sizes, key=lambda r: -r.level):
-        room -= r.n
-        if room < 0:
+        if r.n > room:
+            next_ = r.level
             break
-        least = r.level
-    top = sorted(counts.where(level >= least).collect(), key=lambda r: (-r.c, bytes(r.token)))
+        least, room = r.level, room - r.n
+    if next_ is not None:
+        for r in sorted(short.where(level == next_).groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect(), key=lambda r: r.part):
+            if r.n > room:
+                break
+            upto, room = r.part + 1, room - r.n
+    chosen = (level >= least) if next_ is None else (level >= least) | ((level == next_) & (part < upto))
+    top = sorted(short.where(chosen).collect(), key=lambda r: (-r.c, bytes(r.token)))
     weight = np.full(RARE, 0.5)  # for a token that isn't counted
     for r in counts.mapInArrow(run, "r long, w double").groupBy("r").agg(F.sum("w").alias("w")).collect():
         weight[r.r] += r.w
@@ -122,7 +132,20 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order that sorts small keys, and in that order (key, begin, end) of each run of equal ones."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    cuts = [0, *(np.nonzero(ordered[1:] != ordered[:-1])[0] + 1).tolist(), len(keys)]
+    return order, [(int(ordered[a]), a, b) for a, b in zip(cuts, cuts[1:])] if len(keys) else []
 
 
 class Adam:
@@ -132,14 +155,25 @@ class Adam:
         self.s = {name: np.zeros_like(v) for name, v in p.items()}
 
     def step(self, g: dict[str, np.ndarray], rate: float) -> None:
-        """The gradients' norm is cut to 1."""
+        """The gradients' norm is cut to 1. The gradients are used up."""
         self.i += 1
-        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+        norm = np.sqrt(sum(float(np.vdot(v, v)) for v in g.values()))
+        cut, fix = min(1.0, 1 / (norm + 1e-9)), float(np.sqrt(1 - 0.999**self.i))
         for name, v in g.items():
-            v *= min(1.0, 1 / (norm + 1e-9))
-            self.m[name] += 0.1 * (v - self.m[name])
-            self.s[name] += 0.001 * (v * v - self.s[name])
-            self.p[name] -= (rate * self.m[name] / (1 - 0.9**self.i) / (np.sqrt(self.s[name] / (1 - 0.999**self.i)) + 1e-8)).astype(np.float32)
+            m, s = self.m[name], self.s[name]
+            # m and s hold the running means divided by 0.1 and 0.001.
+            m *= 0.9
+            v *= cut
+            m += v
+            s *= 0.999
+            v *= v
+            s += v
+            np.sqrt(s, out=v)
+            v *= float(np.sqrt(0.001)) / fix
+            v += 1e-8
+            np.divide(m, v, out=v)
+            v *= rate * 0.1 / (1 - 0.9**self.i)
+            self.p[name] -= v
 
 
 class Recurrent:
@@ -167,76 +201,119 @@ class Recurrent:
     def split(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class, and place in the class (-1 in a rare one)."""
         word = ids < self.words
-        return np.where(word, ids // PER, self.classes + ids - self.words), np.where(word, ids % PER, -1)
+        return np.where(word, ids // PER, self.classes + ids - self.words).astype(np.uint16), np.where(word, ids % PER, -1)
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         a, k = self.p["x"][x], HIDDEN
-        zr = _sigmoid(a[:, : 2 * k] + h @ self.p["u"])
+        zr = h @ self.p["u"]
+        zr += a[:, : 2 * k]
+        _sigmoid(zr)
         z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(a[:, 2 * k :] + (r * h) @ self.p["n"])
-        return h + z * (n - h), z, r, n
+        n = (r * h) @ self.p["n"]
+        n += a[:, 2 * k :]
+        np.tanh(n, out=n)
+        new = n - h
+        new *= z
+        new += h
+        return new, z, r, n
 
     def log_probs(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of the ids after the states h."""
         cls, place = self.split(ids)
-        logits = h @ self.p["c"] + self.p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        out = (logits[np.arange(len(ids)), cls] - np.log(np.exp(logits).sum(axis=1))).astype(np.float64)
+        out = np.empty(len(ids))
+        for i in range(0, len(ids), BLOCK):
+            logits = h[i : i + BLOCK] @ self.p["c"]
+            logits += self.p["cb"]
+            logits -= logits.max(axis=1, keepdims=True)
+            own = logits[np.arange(len(logits)), cls[i : i + BLOCK]]
+            np.exp(logits, out=logits)
+            out[i : i + BLOCK] = own - np.log(logits.sum(axis=1))
         words = np.nonzero(place >= 0)[0]
-        words = words[np.argsort(cls[words], kind="stable")]
-        for rows in np.split(words, np.nonzero(np.diff(cls[words]))[0] + 1):
-            if len(rows):
-                c = cls[rows[0]]
-                e = h[rows] @ self.p["w"][c] + (self.p["wb"][c] + self.void[c])
-                e -= e.max(axis=1, keepdims=True)
-                out[rows] += e[np.arange(len(rows)), place[rows]] - np.log(np.exp(e).sum(axis=1))
+        order, runs = _runs(cls[words])
+        words = words[order]
+        states, places = h[words], place[words]
+        for c, a, b in runs:
+            e = states[a:b] @ self.p["w"][c]
+            e += self.p["wb"][c] + self.void[c]
+            e -= e.max(axis=1, keepdims=True)
+            own = e[np.arange(b - a), places[a:b]]
+            np.exp(e, out=e)
+            out[words[a:b]] += own - np.log(e.sum(axis=1))
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], float, np.ndarray]:
         """Of a window (steps by lanes): truncated backpropagation; the state that comes in is a constant. fresh: where a
         document starts, whose state is zero. Returns gradients, the mean loss and the last state."""
         p, k, (steps, lanes) = self.p, HIDDEN, x.shape
-        kept = []
+        kept, old = [], (~fresh).astype(p["u"].dtype)[:, :, None]
+        states = np.empty((steps, lanes, k), p["u"].dtype)
         for t in range(steps):
-            h = h * ~fresh[t][:, None]
-            new, z, r, n = self.step(x[t], h)
+            h = h * old[t]
+            states[t], z, r, n = self.step(x[t], h)
             kept.append((h, z, r, n))
-            h = new
-        states = np.concatenate([before + z * (n - before) for before, z, _, n in kept])
+            h = states[t]
         ids, size = y.reshape(-1), steps * lanes
+        flat, ds = states.reshape(size, k), np.empty((size, k), states.dtype)
         cls, place = self.split(ids)
         g = {name: np.zeros_like(v) for name, v in p.items()}
-        logits = states @ p["c"] + p["cb"]
-        d = np.exp(logits - logits.max(axis=1, keepdims=True))
-        d /= d.sum(axis=1, keepdims=True)
-        loss = -np.log(d[np.arange(size), cls] + 1e-30).sum()
-        d[np.arange(size), cls] -= 1
-        g["c"], g["cb"] = states.T @ d, d.sum(axis=0)
-        ds = d @ p["c"].T
-        for c in np.unique(cls[place >= 0]):
-            rows = np.nonzero(cls == c)[0]
-            e = states[rows] @ p["w"][c] + (p["wb"][c] + self.void[c])
-            e = np.exp(e - e.max(axis=1, keepdims=True))
+        loss = 0.0
+        for i in range(0, size, BLOCK):
+            own, part = cls[i : i + BLOCK], flat[i : i + BLOCK]
+            d = part @ p["c"]
+            d += p["cb"]
+            d -= d.max(axis=1, keepdims=True)
+            np.exp(d, out=d)
+            d /= d.sum(axis=1, keepdims=True)
+            rows = np.arange(len(own))
+            loss -= float(np.log(d[rows, own] + 1e-30).sum())
+            d[rows, own] -= 1
+            d /= size
+            g["c"] += part.T @ d
+            g["cb"] += d.sum(axis=0)
+            ds[i : i + BLOCK] = d @ p["c"].T
+        words = np.nonzero(place >= 0)[0]
+        order, runs = _runs(cls[words])
+        words = words[order]
+        after, places, more = flat[words], place[words], np.empty((len(words), k), states.dtype)
+        for c, a, b in runs:
+            e = after[a:b] @ p["w"][c]
+            e += p["wb"][c] + self.void[c]
+            e -= e.max(axis=1, keepdims=True)
+            np.exp(e, out=e)
             e /= e.sum(axis=1, keepdims=True)
-            loss -= np.log(e[np.arange(len(rows)), place[rows]] + 1e-30).sum()
-            e[np.arange(len(rows)), place[rows]] -= 1
-            g["w"][c], g["wb"][c] = states[rows].T @ e, e.sum(axis=0)
-            ds[rows] += e @ p["w"][c].T
+            rows = np.arange(b - a)
+            loss -= float(np.log(e[rows, places[a:b]] + 1e-30).sum())
+            e[rows, places[a:b]] -= 1
+            e /= size
+            g["w"][c], g["wb"][c] = after[a:b].T @ e, e.sum(axis=0)
+            more[a:b] = e @ p["w"][c].T
+        ds[words] += more
         ds = ds.reshape(steps, lanes, k)
-        carry, da = np.zeros((lanes, k), np.float32), np.empty((steps, lanes, 3 * k), np.float32)
+        carry, da = np.zeros((lanes, k), states.dtype), np.empty((steps, lanes, 3 * k), states.dtype)
+        reset = np.empty((steps, lanes, k), states.dtype)
         for t in reversed(range(steps)):
             before, z, r, n = kept[t]
             dh = ds[t] + carry
-            dn = dh * z * (1 - n * n)
-            g["n"] += (r * before).T @ dn
+            dz = dh * z
+            dn = da[t, :, 2 * k :]
+            np.multiply(dz, 1 - n * n, out=dn)
             dq = dn @ p["n"].T
-            da[t, :, :k] = dh * (n - before) * z * (1 - z)
-            da[t, :, k : 2 * k] = dq * before * r * (1 - r)
-            da[t, :, 2 * k :] = dn
-            g["u"] += before.T @ da[t, :, : 2 * k]
-            carry = (dh * (1 - z) + dq * r + da[t, :, : 2 * k] @ p["u"].T) * ~fresh[t][:, None]
-        np.add.at(g["x"], x.reshape(-1), da.reshape(size, 3 * k))
-        return {name: v / size for name, v in g.items()}, float(loss / size), h
+            dz *= n - before
+            np.multiply(dz, 1 - z, out=da[t, :, :k])
+            dq *= r
+            reset[t] = r * before
+            np.multiply(dq * before, 1 - r, out=da[t, :, k : 2 * k])
+            dh *= 1 - z
+            dh += dq
+            dh += da[t, :, : 2 * k] @ p["u"].T
+            dh *= old[t]
+            carry = dh
+        da = da.reshape(size, 3 * k)
+        g["n"] = reset.reshape(size, k).T @ da[:, 2 * k :]
+        g["u"] = np.concatenate([before for before, *_ in kept]).T @ da[:, : 2 * k]
+        order, runs = _runs(x.reshape(-1).astype(np.uint16))
+        g["x"][[c for c, _, _ in runs]] = np.add.reduceat(da[order], [a for _, a, _ in runs], axis=0)
+        return g, loss / size, h
 
     def fit(self, texts: list[np.ndarray], updates: int = 1500, rate: float = 0.01) -> list[float]:
         """Adam over windows of STEPS by LANES; each lane reads documents one after another, its state carried on."""
@@ -326,10 +403,18 @@ def model_ids(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text")).mapInArrow(run, "h long, ids binary")
 
 
-def training_ids(docs: DataFrame, shared, share: float, id_col: str, text_col: str) -> list[np.ndarray]:
-    """Model ids of whole texts chosen by a hash of the id: about `share` of them come to the driver."""
-    some = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("lm")), F.lit(1_000_000)) < int(share * 1_000_000))
-    return [np.frombuffer(x, "<u2") for x in sorted(bytes(r.ids) for r in model_ids(some, shared, id_col, text_col).select("ids").collect())]
+def training_ids(docs: DataFrame, shared, share: float, most: int, id_col: str, text_col: str) -> list[np.ndarray]:
+    """Model ids of texts chosen by a hash of the row, `most` of them at most: about `share` of all texts come to the driver, a
+    partition at a time, until it has enough. What a long text has beyond that is cut off here."""
+    some = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("lm")), F.lit(1_000_000)) < int(share * 1_000_000))
+    cut = model_ids(some, shared, id_col, text_col).select("h", F.substring("ids", 1, 2 * most).alias("ids"))
+    out: list[np.ndarray] = []
+    for r in cut.orderBy("h", "ids").toLocalIterator():
+        out.append(np.frombuffer(bytes(r.ids), "<u2")[:most])
+        most -= len(out[-1])
+        if most <= 0:
+            break
+    return sorted(out, key=lambda x: x.tobytes())
 
 
 def pass_over(docs: DataFrame, shared, model: Recurrent, total: int, id_col: str, text_col: str) -> int:
@@ -376,8 +461,8 @@ def scored(docs: DataFrame, learn: Column, sample_tokens: int = 400_000, id_col:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
 
     learn: which rows are learned from. Their tokens are all counted; the recurrent model is first fitted on `sample_tokens`
-    of them in expectation, and then reads all of them once. A null text is an empty one, whose end alone is scored. Repeated rows stay; other columns are not
-    read. Nothing to learn from: counts of zero and an untrained model. A word outside the model's own has its rare class's
+    of them in expectation, twice as many at most, and then reads all of them once. A null text is an empty one, whose end
+    alone is scored. Repeated rows stay; other columns are not read. Nothing to learn from: counts of zero and an untrained model. A word outside the model's own has its rare class's
     probability times its share (c + 0.5) of the class, one place of 0.5 standing for all that is unseen.
     """
     spark = docs.sparkSession
@@ -385,7 +470,7 @@ def scored(docs: DataFrame, learn: Column, sample_tokens: int = 400_000, id_col:
     v = vocabulary(counts)
     spread = spark.sparkContext.broadcast(v)
     model = Recurrent(v.words)
-    model.fit(training_ids(docs.where(learn), spread, min(1.0, sample_tokens / max(1, v.total)), id_col, text_col), updates)
+    model.fit(training_ids(docs.where(learn), spread, min(1.0, sample_tokens / max(1, v.total)), 2 * sample_tokens, id_col, text_col), updates)
     pass_over(docs.where(learn), spread, model, v.total, id_col, text_col)
     both = spark.sparkContext.broadcast((v, model))
     kind = docs.schema[id_col].dataType.simpleString()

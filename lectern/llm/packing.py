@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, sliced
 from .tokens import ids_of
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
@@ -104,7 +104,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
             out.clear()
             return batch
 
-        for b in batches:
+        for b in sliced(batches):
             for doc, data in zip(b.column(0).to_pylist(), ids.many(b.column(1).to_pylist())):
                 all_ids = np.append(np.frombuffer(data, ids.kind).astype("<u4"), np.uint32(end_id)).astype("<u4")
                 n = len(all_ids)
