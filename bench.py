@@ -12,7 +12,7 @@ from lectern import catalog
 
 HEADLINE = (
     "tokenize_stats", "bm25_idf", "bm25_search_topk", "bm25_batch_queries", "cosine_batch_topk", "hybrid_rerank_topk", "neighbor_expansion", "clean_text_lines", "sentence_scoring",
-    "page_signals_and_class", "fixed_size_chunks", "block_levels", "hierarchy_tree", "claim_extraction", "lexical_overlap",
+    "page_signals_and_class", "fixed_size_chunks", "block_levels", "hierarchy_tree", "claim_extraction", "claim_status_stage1", "lexical_overlap",
 )
 
 

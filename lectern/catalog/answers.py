@@ -67,6 +67,20 @@ def claim_kind(spark, d):
     return c.select("answer_id", F.col("line_index").cast("bigint").alias("line_index"), F.col("claim_index").cast("bigint").alias("claim_index"), "kind", C.is_major(F.col("bare")).alias("major"))
 
 
+_RE_MARKS = re2(fixed.PAGE_MARKS.replace("٠-٩", r"\x{0660}-\x{0669}"))
+_RE_MARK = re2(fixed.PAGE_MARK.replace("٠-٩", r"\x{0660}-\x{0669}"))
+
+
+@register(
+    f"""WITH {_A} SELECT answer_id, array_to_string(list_transform(regexp_extract_all(draft, {_RE_MARKS}), lambda r: array_to_string(regexp_extract_all(r, {_RE_MARK}, 1), ' , ')), '|') AS marks,
+    trim(regexp_replace(draft, {re2(fixed.SHOWN_MARK)}, '', 'g'), {_WS}) AS plain, regexp_matches(draft, '[\\x{{0600}}-\\x{{06FF}}]') AS arabic FROM a"""
+)
+def page_references(spark, d):
+    """Marks as the client shows them, and the text as it is copied."""
+    x = F.col("draft")
+    return drafts(spark, d).select("answer_id", F.array_join(T.page_marks(x), "|").alias("marks"), T.without_marks(x).alias("plain"), T.has_arabic(x).alias("arabic"))
+
+
 def _nums(column: str) -> str:
     rules = (fixed.PERCENT, fixed.MONEY, fixed.VERSION, fixed.DECIMAL, fixed.CLAIM_YEAR, fixed.PLAIN_NUMBER)
     return "flatten([" + ", ".join(f"regexp_extract_all({column}, {re2(r)})" for r in rules) + "])"

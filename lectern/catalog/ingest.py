@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import parsing
+from ..operators import layout, parsing
 from ..sources.tables import HTML_BLOCK, HTML_HIDDEN, html_blocks, table
 from .common import TRIM, quoted, registry
 
@@ -122,3 +122,55 @@ def column_detection(spark, d):
     geometry = p.select(F.col("page_id").cast("string").alias("document_id"), F.lit(1).alias("page"), F.lit(600.0).alias("width"))
     out = parsing.two_columns(b, geometry)
     return out.select("document_id", "block_index", "is_two_column", "column", F.col("reading_order").cast("bigint").alias("reading_order"))
+
+
+@register(
+    """WITH w AS (SELECT page_id, i, (page_id * 13 + i * 7) % 700::DOUBLE AS y0, CASE (page_id + i) % 6 WHEN 0 THEN page_id::VARCHAR WHEN 1 THEN 'xii' WHEN 2 THEN '-4-' WHEN 3 THEN '12345' ELSE 'word' END AS word FROM pages, range(9) t(i)),
+    s AS (SELECT page_id, arg_min(word, i) AS seen FROM w WHERE (y0 < 70 OR y0 > 630) AND regexp_matches(regexp_replace(word, '^[.-]+|[.-]+$', '', 'g'), '^([0-9]{1,4}|[ivxlcdmIVXLCDM]{1,7}|[a-zA-Z])$') GROUP BY 1)
+    SELECT page_id::VARCHAR AS document_id, coalesce(CASE WHEN page_id % 5 = 0 THEN 'C' || page_id END, seen) AS page_label FROM pages LEFT JOIN s USING (page_id)"""
+)
+def page_labels(spark, d):
+    """The catalogue's label, else a word at the edge of a page that looks like one."""
+    p = table(spark, d, "pages").select("page_id", F.col("page_id").cast("string").alias("document_id"), F.lit(1).alias("page"))
+    words = p.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))).alias("word_index"))
+    kind = (F.col("page_id") + F.col("word_index")) % 6
+    word = F.when(kind == 0, F.col("page_id").cast("string")).when(kind == 1, "xii").when(kind == 2, "-4-").when(kind == 3, "12345").otherwise("word")
+    words = words.withColumns({"word": word, "y0": ((F.col("page_id") * 13 + F.col("word_index") * 7) % 700).cast("double")})
+    geometry = p.withColumns({"height": F.lit(700.0), "catalog_label": F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("C"), F.col("page_id").cast("string")))})
+    return parsing.page_labels(words, geometry).select("document_id", "page_label")
+
+
+@register(
+    """WITH b AS (SELECT page_id, i, (page_id * 13 + i * 7) % 700 + 5::DOUBLE AS mid, 'block ' || i AS text FROM pages, range(9) t(i)), m AS (SELECT page_id, j, (page_id * 29 + j * 311) % 700 + 20::DOUBLE AS mid FROM pages, range(2) t(j))
+    SELECT m.page_id::VARCHAR AS document_id, m.j AS image_index, arg_min(b.text, (abs(m.mid - b.mid), b.i)) AS nearby_text FROM m JOIN b USING (page_id) GROUP BY ALL"""
+)
+def nearest_blocks(spark, d):
+    """The block beside each of two images of a page."""
+    p = table(spark, d, "pages").select("page_id", F.col("page_id").cast("string").alias("document_id"), F.lit(1).alias("page"))
+    box = lambda y, h: F.struct(F.lit(0.0).alias("x0"), y.cast("double").alias("y0"), F.lit(9.0).alias("x1"), (y + h).cast("double").alias("y1"))
+    b = p.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))).alias("block_index"))
+    b = b.withColumns({"text": F.concat(F.lit("block "), F.col("block_index").cast("string")), "bbox": box((F.col("page_id") * 13 + F.col("block_index") * 7) % 700, 10)})
+    m = p.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("image_index"))
+    m = m.withColumn("bbox", box((F.col("page_id") * 29 + F.col("image_index") * 311) % 700, 40))
+    return parsing.nearest_blocks(m, b).select("document_id", "image_index", "nearby_text")
+
+
+@register(
+    """WITH l AS (SELECT doc_id, i - 1 AS line, w FROM (SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))),
+    s AS (SELECT doc_id, line, unnest(p) AS word, generate_subscripts(p, 1) AS k FROM (SELECT doc_id, line, string_split(w, ' ') AS p FROM l)),
+    z AS (SELECT *, 8 + length(word) % 5::DOUBLE AS size, CAST(length(word) % 7 = 0 AS INTEGER) + CAST(length(word) % 11 = 3 AS INTEGER) AS votes FROM s),
+    n AS (SELECT doc_id, line, string_agg(word || ' ', '' ORDER BY k) AS text, max(size) FILTER (trim(word) <> '') AS most, sum(size) FILTER (trim(word) <> '') AS total, count(*) FILTER (trim(word) <> '') AS n, coalesce(sum(votes) FILTER (trim(word) <> ''), 0) AS votes FROM z GROUP BY 1, 2),
+    b AS (SELECT doc_id, line // 3 AS block, trim(string_agg(text, chr(10) ORDER BY line) FILTER (trim(text) <> ''), ' ' || chr(10)) AS text, max(most) AS most, sum(total) / nullif(sum(n), 0) AS avg, sum(n) AS n, sum(votes) AS votes FROM n GROUP BY 1, 2)
+    SELECT doc_id::VARCHAR AS document_id, block::BIGINT AS block_index, md5(text) AS text, most AS max_font_size, round(avg, 6) AS avg_font_size, n > 0 AND votes >= greatest(1, n // 2) AS is_bold FROM b WHERE text <> ''"""
+)
+def font_statistics(spark, d):
+    """Each word of a document as a span, its size and weight by its length; three lines to a block."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("line", "w"))
+    words = lines.select("document_id", "line", F.posexplode(F.split("w", " ", -1)).alias("span_index", "word"))
+    n = F.length("word")
+    spans = words.select(
+        "document_id", F.lit(1).alias("page"), F.floor(F.col("line") / 3).alias("block_index"), (F.col("line") % 3).alias("line_index"), "span_index", F.concat("word", F.lit(" ")).alias("text"), (8 + n % 5).cast("double").alias("size"),
+        F.when(n % 7 == 0, 16).otherwise(0).alias("flags"), F.when(n % 11 == 3, "Face-Heavy").otherwise("Face").alias("font"),
+    )
+    out = layout.span_blocks(spans)
+    return out.select("document_id", "block_index", F.md5(F.col("text").cast("binary")).alias("text"), "max_font_size", F.round("avg_font_size", 6).alias("avg_font_size"), "is_bold")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import query as Q
 from ..operators import scope
+from ..plans import longform
 from ..sources.tables import chunks, table
 from .common import CHUNKS, first_of, quoted, re2, registry
 
@@ -44,6 +45,12 @@ def answer_style(spark, d):
     return all_questions(spark, d).select("question_id", Q.style(F.col("question")).alias("style"))
 
 
+@register(f"WITH {_Q} SELECT question_id, CASE WHEN regexp_matches(q, {re2(fixed.EXPLAIN)}) THEN 'explain' ELSE 'specific' END AS depth, regexp_matches(q, {re2(fixed.OUTLINE_REQUEST)}) AS outline FROM q")
+def explain_and_outline(spark, d):
+    q = F.col("question")
+    return all_questions(spark, d).select("question_id", Q.explains(q).alias("depth"), longform.wants_outline(q, F.lit("document_query")).alias("outline"))
+
+
 def _group(pattern: str, group: int = 1) -> str:
     return f"CASE WHEN regexp_matches(q, {re2(pattern)}) THEN regexp_extract(q, {re2(pattern)}, {group}) END"
 
@@ -108,14 +115,21 @@ def long_context_scope(spark, d):
     return s.withColumn("chapters", F.array_join("chapters", ","))
 
 
-_L = f"q AS (SELECT * FROM (VALUES {_VALUES}) t(question_id, chat_id, q))"
-_MATCH = f"""hit AS (SELECT question_id, r.pos AS ref_pos, c.id, c.page, c.paragraph_index, c.ord FROM scopes s, LATERAL (SELECT unnest(range(len(string_split(s.chapters, ',')))) AS pos, unnest(string_split(s.chapters, ',')) AS ref) r JOIN chunks c ON TRUE
+_NAMED = "named AS (SELECT * FROM scopes WHERE query_type <> 'normal_query')"
+
+
+def _scoped(spark, d):
+    """Questions that name a scope; the others never meet the chunks."""
+    return all_questions(spark, d).withColumn("scope", Q.scope(F.col("question"))).where("scope.query_type <> 'normal_query'")
+
+
+_MATCH = f"""hit AS (SELECT question_id, r.pos AS ref_pos, c.id, c.page, c.paragraph_index, c.ord FROM named s, LATERAL (SELECT unnest(range(len(string_split(s.chapters, ',')))) AS pos, unnest(string_split(s.chapters, ',')) AS ref) r JOIN chunks c ON TRUE
     WHERE c.chat_id = s.chat_id AND CASE s.query_type WHEN 'page_range' THEN c.page BETWEEN s.page_from AND s.page_to WHEN 'section_query' THEN coalesce(contains(lower(c.section), lower(s.section_hint)), false)
     WHEN 'document_query' THEN true WHEN 'normal_query' THEN true ELSE coalesce(TRY_CAST(regexp_extract(c.chapter, '[0-9]+') AS INTEGER) = TRY_CAST(r.ref AS INTEGER), false) END)"""
 
 
 @register(
-    f"""WITH {CHUNKS}, {_L}, {SCOPES}, {_MATCH}, g AS (SELECT s.*, count(h.id) AS n, count(DISTINCT h.ref_pos) AS refs, min(h.ref_pos) AS first FROM scopes s LEFT JOIN hit h USING (question_id) GROUP BY ALL),
+    f"""WITH {CHUNKS}, {_Q}, {SCOPES}, {_NAMED}, {_MATCH}, g AS (SELECT s.*, count(h.id) AS n, count(DISTINCT h.ref_pos) AS refs, min(h.ref_pos) AS first FROM named s LEFT JOIN hit h USING (question_id) GROUP BY ALL),
     f AS (SELECT *, CASE query_type WHEN 'page_range' THEN CASE WHEN page_from = page_to THEN 'page ' || page_from ELSE 'pages ' || page_from || '-' || page_to END WHEN 'chapter_query' THEN 'Chapter ' || chapters
       WHEN 'multi_chapter_query' THEN 'chapter ' || string_split(chapters, ',')[1] || ' and chapter ' || string_split(chapters, ',')[2] WHEN 'section_query' THEN 'the section on "' || section_hint || '"' ELSE 'the document' END AS named, query_type = 'multi_chapter_query' AND refs = 1 AS half,
       query_type NOT IN ('document_query', 'normal_query') AND n = 0 AS lost FROM g)
@@ -123,13 +137,11 @@ _MATCH = f"""hit AS (SELECT question_id, r.pos AS ref_pos, c.id, c.page, c.parag
     CASE WHEN lost AND query_type = 'section_query' THEN 'I couldn''t find a section on "' || section_hint || '" in this document.' WHEN lost THEN 'I couldn''t find ' || named || ' in this document.' END AS not_found, n AS chunks FROM f"""
 )
 def scope_resolution_failclosed(spark, d):
-    q = fixed_questions(spark).withColumn("scope", Q.scope(F.col("question")))
-    return scope.resolve(q, chunks(spark, d))[1]
+    return scope.resolve(_scoped(spark, d), chunks(spark, d))[1]
 
 
 @register(
-    f"""WITH {CHUNKS}, {_L}, {SCOPES}, {_MATCH} SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY ref_pos, page, paragraph_index, ord) AS position, id FROM hit"""
+    f"""WITH {CHUNKS}, {_Q}, {SCOPES}, {_NAMED}, {_MATCH} SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY ref_pos, page, paragraph_index, ord) AS position, id FROM hit"""
 )
 def scope_chunks(spark, d):
-    q = fixed_questions(spark).withColumn("scope", Q.scope(F.col("question")))
-    return scope.resolve(q, chunks(spark, d))[0].select("question_id", F.col("position").cast("bigint").alias("position"), "id")
+    return scope.resolve(_scoped(spark, d), chunks(spark, d))[0].select("question_id", F.col("position").cast("bigint").alias("position"), "id")

@@ -368,3 +368,12 @@ def prepared_context(spark, d):
     rows = near.select("question_id", "id").join(c, "id").join(found.select("question_id", "id", F.col("score").alias("relevance")), ["question_id", "id"], "left")
     rows = rows.withColumn("pos", F.col("ord")).join(q.select("question_id", "keywords", "numbers"), "question_id")
     return context.prepare(rows).where("kept").select("question_id", "id", F.col("place").cast("bigint").alias("place"), "tokens", "compressed", "merged")
+
+
+_ASKED = "[" + ", ".join(f"'{w}'" for w in _QUERY.split() if len(w) > 2) + "]"
+
+
+@register(f"WITH {CHUNKS} SELECT id, least(1::DOUBLE, len(list_filter({_ASKED}, lambda w: contains(lower(text), w))) / len({_ASKED})) AS score FROM chunks")
+def plain_rerank(spark, d):
+    """Every chunk against one question of which nothing is known but its words."""
+    return chunks(spark, d).select("id", retrieval.plain_rerank(F.lit(_QUERY)).alias("score"))
