@@ -102,15 +102,21 @@ def _high(span: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 def spans(docs: DataFrame, text_col: str = "text", base_col: str = "__base", all_col: str = "__all") -> DataFrame:
     """docs with base_col and all_col: sorted arrays of spans (start, rank, kind, end, value) in code points, end exclusive.
 
-    A null text is an empty one and has none. Base kinds may overlap each other; an entropy span that overlaps a base span
-    is that secret again and is not added. The whole text is searched, however long.
+    A null text is an empty one and has none. Base kinds may overlap each other. Entropy spans are candidates of high entropy,
+    and runs of letters and digits that are by themselves, whatever name or path they are glued to; one that overlaps a span
+    already found is that secret again and is not added. The whole text is searched, however long.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     assign = F.filter(_found(text, ASSIGN, "assign", 1), lambda x: F.length(x["value"]) >= 8)
     base = F.array_sort(F.concat(assign, _found(text, ACCESS, "access"), _found(text, HEX, "hex")))
+
+    def added(found: Column, to: str, rules: tuple[Rule, ...]) -> Column:
+        fresh = F.filter(found, lambda x: ~F.exists(F.col(to), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+        return F.array_sort(F.concat(F.col(to), F.filter(fresh, lambda x: _high(x, rules))))
+
     with_base = docs.withColumn(base_col, base)
-    more = F.filter(_found(text, CANDIDATE, "entropy"), lambda x: ~F.exists(F.col(base_col), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return with_base.withColumn(all_col, F.array_sort(F.concat(F.col(base_col), F.filter(more, lambda x: _high(x)))))
+    whole = with_base.withColumn(all_col, added(_found(text, CANDIDATE, "entropy"), base_col, RULES))
+    return whole.withColumn(all_col, added(_found(text, RUN, "entropy"), all_col, RUN_RULES))
 
 
 def _joined(array: str) -> Column:
@@ -160,21 +166,27 @@ def _sql() -> str:
         return f"""SELECT row, {KINDS.index(kind)} AS rank, '{kind}' AS kind, unnest(range(len(m))) AS i, m, g, gaps FROM (
             SELECT row, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {group}) AS g, string_split_regex(t, {p}) AS gaps FROM d)"""
 
-    verdict = "ELSE false"
-    for r in reversed(RULES):
-        top = f"list_max(list_transform(range(1, len(value) - {r.window} + 2), lambda i: list_entropy(string_split(substr(value, i, {r.window}), ''))))"
-        verdict = f"WHEN regexp_matches(value, {quoted(r.only)}) THEN coalesce({top}, 0) > {r.bits} {verdict}"
+    def verdict(rules: tuple[Rule, ...]) -> str:
+        out = "ELSE false"
+        for r in reversed(rules):
+            top = f"list_max(list_transform(range(1, len(value) - {r.window} + 2), lambda i: list_entropy(string_split(substr(value, i, {r.window}), ''))))"
+            out = f"WHEN regexp_matches(value, {quoted(r.only)}) THEN coalesce({top}, 0) > {r.bits} {out}"
+        return f"CASE {out} END"
+
     allowed = " OR ".join(f"regexp_matches(value, {quoted(p)})" for p in ALLOWED)
     joined = "coalesce(string_agg({0}kind || ':' || b || ':' || e, ',' ORDER BY b, rank, e){1}, '')"
     return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
-      m AS ({" UNION ALL ".join((part("assign", ASSIGN, 1), part("access", ACCESS, 0), part("hex", HEX, 0), part("entropy", CANDIDATE, 0)))}),
+      m AS ({" UNION ALL ".join((part("assign", ASSIGN, 1), part("access", ACCESS, 0), part("hex", HEX, 0), part("entropy", CANDIDATE, 0), part("entropy", RUN, 0).replace("'entropy' AS kind", "'run' AS kind")))}),
       s AS (SELECT row, rank, kind, g[i + 1] AS value,
               list_sum(list_transform(gaps[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS b,
               b + length(m[i + 1]) AS e FROM m),
       base AS (SELECT row, rank, kind, value, b, e FROM s WHERE kind IN ('access', 'hex') OR kind = 'assign' AND length(value) >= 8),
-      more AS (SELECT row, rank, kind, value, b, e FROM s WHERE kind = 'entropy' AND NOT ({allowed}) AND CASE {verdict} END
+      more AS (SELECT row, rank, kind, value, b, e FROM s WHERE kind = 'entropy' AND NOT ({allowed}) AND {verdict(RULES)}
               AND NOT EXISTS (SELECT 1 FROM base x WHERE x.row = s.row AND x.b < s.e AND s.b < x.e)),
-      u AS (SELECT *, true AS own FROM base UNION ALL SELECT *, false FROM more)
+      seen AS (SELECT * FROM base UNION ALL SELECT * FROM more),
+      runs AS (SELECT row, rank, 'entropy' AS kind, value, b, e FROM s WHERE kind = 'run' AND NOT ({allowed}) AND {verdict(RUN_RULES)}
+              AND NOT EXISTS (SELECT 1 FROM seen x WHERE x.row = s.row AND x.b < s.e AND s.b < x.e)),
+      u AS (SELECT *, true AS own FROM base UNION ALL SELECT *, false FROM more UNION ALL SELECT *, false FROM runs)
       SELECT doc_id, CAST(count(*) FILTER (kind = 'assign') AS BIGINT) AS n_assign, CAST(count(*) FILTER (kind = 'access') AS BIGINT) AS n_access,
         CAST(count(*) FILTER (kind = 'hex') AS BIGINT) AS n_hex,
         sha256({joined.format("", " FILTER (own)")}) AS base_sha256, {joined.format("", " FILTER (kind IS NOT NULL)")} AS spans

@@ -10,10 +10,10 @@ from lectern.llm import secrets
 DDL = "doc_id long, text string, __base string, spans string, value string"
 
 
-def high(value):
+def high(value, rules=secrets.RULES):
     if any(re.search(p, value) for p in secrets.ALLOWED):
         return False
-    for r in secrets.RULES:
+    for r in rules:
         if re.search(r.only, value):
             found = [Counter(value[i : i + r.window]) for i in range(len(value) - r.window + 1)]
             return any(sum(-c / r.window * math.log2(c / r.window) for c in f.values()) > r.bits for f in found)
@@ -26,6 +26,7 @@ def brute(text):
     base += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     base += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
     more = [(m.start(), 3, "entropy", m.end()) for m in re.finditer(secrets.CANDIDATE, text) if high(m[0]) and not any(b[0] < m.end() and m.start() < b[3] for b in base)]
+    more += [(m.start(), 3, "entropy", m.end()) for m in re.finditer(secrets.RUN, text) if high(m[0], secrets.RUN_RULES) and not any(b[0] < m.end() and m.start() < b[3] for b in base + more)]
     join = lambda spans: ",".join(f"{k}:{b}:{e}" for b, _, k, e in sorted(spans))
     kinds = Counter(k for _, _, k, _ in base)
     return kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(join(base).encode()).hexdigest(), join(base + more)
@@ -35,7 +36,7 @@ HEX32 = hashlib.md5(b"x").hexdigest()
 TEXTS = [
     None, "", " ", "é" * 40 + " password=abcdefgh12 PASSWORD : 'short' apikey:\"abcdefgh\"", "token=api_key : value123456", "AKIAAKIAAKIAAKI AKIAABCDEFGH1234",
     f"😀 secret={HEX32} {HEX32}{HEX32}", "key Zk3v9QpX7LmN2tRb8WcY4dHs here and q7Hn2XvB9kLmP4sT6wYz8cRd_", "uuid 123e4567-e89b-42d3-a456-426614174000 01234567890123456789 abcdefghijklmnopqrstuvwxyz1",
-    "f3a9c0d17be24586ac1f9d07", "aaaaaaaaaaaaaaaaaaaaaaaa1", "x" * 300_000 + " token: tok_9fK2mQ", "password=password=password=abc",
+    "f3a9c0d17be24586ac1f9d07", "sk_f3a9c0d17be24586ac1f9d07 /srv/example/Zk3v9QpX7LmN2tRb8WcY key=JBSWY3DPEHPK3PXPJBSW", "aaaaaaaaaaaaaaaaaaaaaaaa1", "x" * 300_000 + " token: tok_9fK2mQ", "password=password=password=abc",
 ]
 
 
