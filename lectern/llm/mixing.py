@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -48,50 +47,60 @@ def flow(patterns: list[tuple[tuple, int]], quotas: dict, epochs: int = 2) -> li
     A network: pattern to each source that it belongs to, source to sink with its quota, and into the pattern one arc per
     epoch with the pattern's words as its capacity and the epoch's number as its cost, so that repetition costs more the
     more there is of it (convex). Successive shortest paths: an epoch's arcs are used up before the next epoch's, and within
-    one a path may push flow back out of a source to hand it another pattern. Graph size: patterns times their members.
+    one a path may push flow back out of a source to hand it another pattern. Paths are sought among sources alone: one leads
+    to another by any pattern that gives to the first and belongs to the other. What can't reach the sink once never can again.
     """
     left = {s: int(round(q)) for s, q in quotas.items()}
     through = [dict.fromkeys(m, 0) for m, _ in patterns]
-    users: dict = {s: [] for s in quotas}
-    for p, (m, _) in enumerate(patterns):
-        for s in m:
-            users[s].append(p)
+    #: Of each pair of sources the patterns that give to the first and belong to the second, in the order of their coming.
+    ways: dict = {s: {} for s in quotas}
+    dead: set = set()
+    begin = object()
+
+    def add(p: int, s: object, n: int) -> None:
+        before, through[p][s] = through[p][s], through[p][s] + n
+        if (before > 0) != (through[p][s] > 0):
+            for other in patterns[p][0]:
+                if other != s:
+                    own = ways[s].setdefault(other, {})
+                    if before:
+                        del own[p]
+                    else:
+                        own[p] = None
 
     def push(p: int, room: int) -> int:
         """Moves up to `room` words from pattern p to the sink along one path; 0 if there is none."""
-        came: dict = {("p", p): None}
-        queue = [("p", p)]
-        for node in queue:
-            kind, x = node
-            for nxt in [("s", s) for s in patterns[x][0]] if kind == "p" else [("p", q) for q in users[x] if through[q][x]]:
-                if nxt not in came:
-                    came[nxt] = node
-                    queue.append(nxt)
-            if kind == "s" and left[x]:
-                path = [node]
-                while came[path[-1]]:
+        came: dict = {s: begin for s in patterns[p][0] if s not in dead}
+        queue = list(came)
+        for s in queue:
+            if left[s]:
+                path = [s]
+                while came[path[-1]] is not begin:
                     path.append(came[path[-1]])
                 path.reverse()
-                most = min([room, left[x]] + [through[b[1]][a[1]] for a, b in zip(path, path[1:]) if a[0] == "s"])
-                for a, b in zip(path, path[1:]):
-                    if a[0] == "p":
-                        through[a[1]][b[1]] += most
-                    else:
-                        through[b[1]][a[1]] -= most
-                left[x] -= most
+                hands = [next(iter(ways[a][b])) for a, b in zip(path, path[1:])]
+                most = min([room, left[s]] + [through[q][a] for q, a in zip(hands, path)])
+                add(p, path[0], most)
+                for q, a, b in zip(hands, path, path[1:]):
+                    add(q, a, -most)
+                    add(q, b, most)
+                left[s] -= most
                 return most
+            for other, by in ways[s].items():
+                if by and other not in came and other not in dead:
+                    came[other] = s
+                    queue.append(other)
+        dead.update(came)
         return 0
 
     taken = [0] * len(patterns)
+    order = sorted((len(m), i) for i, (m, n) in enumerate(patterns) if n)
     for _ in range(epochs):
-        room = [n for _, n in patterns]
         # Patterns with the fewest sources first: they have the fewest other ways.
-        ready = [(len(m), i) for i, (m, n) in enumerate(patterns) if n]
-        heapq.heapify(ready)
-        while ready:
-            _, i = heapq.heappop(ready)
-            while room[i] and (moved := push(i, room[i])):
-                room[i] -= moved
+        for _, i in order:
+            room = patterns[i][1]
+            while room and (moved := push(i, room)):
+                room -= moved
                 taken[i] += moved
     return taken
 

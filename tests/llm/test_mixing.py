@@ -15,9 +15,9 @@ def test_targets():
 
 def test_flow_against_all_ways():
     for sizes in product((1, 2), repeat=3):
-        patterns = [(("a",), sizes[0]), (("a", "b"), sizes[1]), (("b", "c"), sizes[2])]
+        patterns = [((None,), sizes[0]), ((None, "b"), sizes[1]), (("b", "c"), sizes[2])]  # null is a source too
         for q in product((0, 1, 3), repeat=3):
-            quotas = dict(zip("abc", q))
+            quotas = dict(zip((None, "b", "c"), q))
             got = mixing.flow(patterns, quotas)
             best = None
             ranges = [range(2 * n + 1) for _, n in patterns]
@@ -30,6 +30,24 @@ def test_flow_against_all_ways():
             assert (sum(got), -sum(t + max(0, t - n) for t, (_, n) in zip(got, patterns))) == best, (sizes, q, got)
 
 
+def test_flow_of_many_patterns():
+    import random
+    import time
+
+    rng = random.Random(3)
+    names = [f"s{i:02d}" for i in range(60)]
+    patterns = [(tuple(sorted(rng.sample(names, rng.randrange(1, 6)))), rng.randrange(1, 1000)) for _ in range(mixing.MOST_PATTERNS)]
+    every = sum(n for _, n in patterns)
+    for share in (0.4, 1.2, 3.0):
+        quotas = {s: share * every * (i + 1) / sum(range(61)) for i, s in enumerate(names)}
+        start = time.process_time()
+        got = mixing.flow(patterns, quotas)
+        took = time.process_time() - start
+        assert took < 120 and all(g <= 2 * n for g, (_, n) in zip(got, patterns))
+        assert sum(got) <= min(2 * every, sum(quotas.values()) + 60)
+        print(share, round(took, 1), sum(got) / every)
+
+
 def test_mix_of_the_fixture(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("size", F.lit("clash")).repartition(3)
     rows = mixing.mix_sources(df).collect()
