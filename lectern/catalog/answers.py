@@ -43,8 +43,8 @@ def fixed_drafts(spark):
 
 
 def fixed_context(spark):
-    own = spark.createDataFrame([(i, str(p), p, 1000 + p, x) for i, (p, x) in enumerate(EVIDENCE)], "pos int, label string, page int, id long, text string")
-    return fixed_drafts(spark).select("answer_id").join(F.broadcast(own))
+    own = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(str(p)).alias("label"), F.lit(p).alias("page"), F.lit(1000 + p).cast("long").alias("id"), F.lit(x).alias("text")) for i, (p, x) in enumerate(EVIDENCE)))
+    return fixed_drafts(spark).select("answer_id", F.explode(own).alias("e")).select("answer_id", "e.*")
 
 
 _NUMBERS = (fixed.PERCENT, fixed.MONEY, fixed.PLAIN_NUMBER, fixed.DECIMAL)
@@ -127,7 +127,7 @@ def negation_scope(spark, d):
 )
 def citation_validation(spark, d):
     a = drafts(spark, d)
-    labels = a.select("answer_id").join(F.broadcast(spark.createDataFrame([(str(p),) for p, _ in EVIDENCE], "label string")))
+    labels = a.select("answer_id", F.explode(T.literals([str(p) for p, _ in EVIDENCE])).alias("label"))
     v = grounding.validate_citations(a, labels)
     return v.select("answer_id", F.array_join("valid", "|").alias("valid"), F.array_join("invalid", "|").alias("invalid"), "penalty")
 

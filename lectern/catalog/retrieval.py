@@ -72,8 +72,8 @@ def bm25_batch_queries(spark, d):
 )
 def cosine_topk(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id = 7").select(F.col("embedding").alias("vector"))
-    scored = e.join(F.broadcast(q)).select("vec_id", T.cosine(F.col("embedding"), F.col("vector")).alias("s"))
+    q = e.where("vec_id = 7").select("embedding").scalar()
+    scored = e.select("vec_id", "embedding", q.alias("vector")).select("vec_id", T.let(F.col("vector"), lambda v: T.cosine(F.col("embedding"), v)).alias("s"))
     return scored.orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", F.round("s", 6).alias("score"))
 
 
