@@ -155,14 +155,15 @@ def _filled(group: pd.DataFrame) -> pd.DataFrame:
     """Rows (h, doc_id, size, copies) of a pattern around the end of its quota: how many of the copies are taken once more."""
     # Buckets are the leading bits, so hashes are ordered as numbers without a sign.
     group = group.assign(u=group["h"].to_numpy().astype("uint64")).sort_values(["u", "doc_id", "size"], kind="stable", na_position="last")
-    rest, taken, sizes, owners = int(group["rest"].iloc[0]), [0] * len(group), [], []
-    for i, (n, copies) in enumerate(zip(group["size"], group["copies"])):
+    rest, taken, sizes, owners, held = int(group["rest"].iloc[0]), [0] * len(group), [], [], 0
+    for i, (n, copies) in enumerate(zip(group["size"].astype(int).tolist(), group["copies"].astype(int).tolist())):
         # Of very many copies those well within what is left are taken, those well beyond it aren't; the rest are weighed.
-        sure = max(0, min(int(copies), rest // int(n)) - LOOK) if not sizes else 0
-        taken[i], rest = sure, rest - sure * int(n)
-        few = min(int(copies) - sure, FILL + LOOK)
-        sizes += [int(n)] * few
+        sure = max(0, min(copies, (rest - held) // n) - LOOK)
+        taken[i], rest = sure, rest - sure * n
+        few = min(copies - sure, FILL + LOOK)
+        sizes += [n] * few
         owners += [i] * few
+        held += n * few
     for i, more in zip(owners, fitting(sizes, rest)):
         taken[i] += more
     return group.assign(taken=taken)[["p", "h", "doc_id", "size", "taken"]]
