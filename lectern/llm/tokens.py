@@ -14,7 +14,7 @@ import numpy as np
 _ODD = tuple(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _CHUNKS = re.compile(r"\s*\S+|\s+")
 #: Chunks kept in each of two generations; memory stays bounded however many different ones a task meets.
-_KEEP = 300_000
+_KEEP = 500_000
 #: A word and its punctuation are cut from each other by both kinds of vocabulary: letters, then marks, never a contraction.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _MARKED = re.compile("([\0\n]?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|]+)").fullmatch
@@ -93,9 +93,8 @@ class Ids:
                 self.young[key] = found
         return found
 
-    def _learn(self, keys: set[str]) -> dict[str, bytes]:
-        """The ids of each key: what is known from the older generation, words, words and marks put together, and the rest, which
-        is encoded. Only parts are kept: a word with its marks is quickly made and seldom seen twice."""
+    def _learn(self, keys: set[str]) -> None:
+        """Takes what is known from the older generation, asks for words, puts words and marks together, and has the rest encoded."""
         parts, rest = {}, set()
         for k in keys:
             if self._known(k) is None:
@@ -105,8 +104,8 @@ class Ids:
                 else:
                     rest.add(k)
         self._encode_all(list(rest))
-        made = {k: self.young[word] + self.young[marks] for k, (word, marks) in parts.items()}
-        return made | {k: self.young[k] for k in keys if k not in made}
+        for k, (word, marks) in parts.items():
+            self.young[k] = self.young[word] + self.young[marks]
 
     def _encode_all(self, keys: list[str]) -> None:
         texts = [self._spelled(k) for k in keys]
@@ -138,9 +137,9 @@ class Ids:
                 new = {k for j in open_ for k, x in zip(part[j], found[j]) if x is None}
                 if len(self.young) + len(new) > _KEEP:
                     self.old, self.young = self.young, {}
-                learned = self._learn(new)
+                self._learn(new)
                 for j in open_:
-                    found[j] = [learned[k] if x is None else x for k, x in zip(part[j], found[j])]
+                    found[j] = [self.young[k] if x is None else x for k, x in zip(part[j], found[j])]
             for t, got in zip(texts[i : i + _TEXTS], found):
                 yield self.encode(t) if got is None else b"".join(got)
 
