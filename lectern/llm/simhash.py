@@ -174,41 +174,60 @@ def one_of_each(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame
     return _first_of_each(rows, marks, close_pairs(stored(marks.select(F.col("__node").alias("fp")).distinct(), "simhash-classes"), distance))
 
 
-#: Minima of a signature; those of the first BANDS * EACH make up the keys of blocks. Two texts of similarity 0.8 share one of
-#: them in 998 cases of 1,000.
-MINIMA, BANDS, EACH = 256, 20, 6
+#: Words of 64 bits in a wide fingerprint; minima beside it, and how many of them make up a key of a block. Two texts of similarity
+#: 0.8 share one of the MINIMA // EACH keys in 998 cases of 1,000.
+WORDS, MINIMA, EACH = 16, 120, 6
 _FACTORS, _SHIFTS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, MINIMA, 1), dtype=np.uint32)
 _FACTORS |= np.uint32(1)
+_SPREAD = np.random.default_rng(SEED + 1).integers(0, 1 << 63, WORDS - 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    """WORDS words of hash bits for each hash, the first of them itself."""
+    more = h[:, None] * _SPREAD
+    return np.hstack([h[:, None], more ^ (more >> np.uint64(32))])
 
 
 def signature(data: bytes | None, width: int = 5) -> bytes:
-    """16 bits of the least of the shingles' hashes under each of MINIMA permutations: of two texts, the share of equal ones
-    estimates the Jaccard similarity of their sets of shingles. No word: all ones."""
-    least = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
-    for part in _digests(data or b"", width):
-        h = np.frombuffer(part, "<u4")[::2]
-        for i in range(0, len(h), 512):
-            np.minimum(least, (h[i : i + 512] * _FACTORS + _SHIFTS).min(axis=1), out=least)
-    return least.astype("<u2").tobytes()
+    """The wide fingerprint of the set of shingles, 64 * WORDS bits, the first 64 those of `fingerprint` where no shingle recurs; then
+    16 bits of the least of the shingles' hashes under each of MINIMA permutations. No word: zeros, then ones."""
+    h = np.unique(np.frombuffer(b"".join(_digests(data or b"", width)), ">u8").astype(np.uint64))
+    total, least = np.zeros(64 * WORDS, np.int64), np.full(MINIMA, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(h), 255):
+        part = h[i : i + 255]
+        bits = np.unpackbits(_spread(part).astype(">u8").view(np.uint8).reshape(len(part), -1), axis=1)
+        total += bits.view(np.uint64).sum(axis=0).view(np.uint8)  # 255 rows can't overflow a byte
+        np.minimum(least, ((part >> np.uint64(32)).astype(np.uint32) * _FACTORS + _SHIFTS).min(axis=1), out=least)
+    return np.packbits(2 * total > len(h)).tobytes() + least.astype("<u2").tobytes()
+
+
+def differing(similarity: float) -> float:
+    """The share of fingerprint bits in which two equally large sets of this Jaccard similarity differ: their angle over pi."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-#: Signatures that are compared with each other in one task at most. How near to a pivot (as a share of minima that differ) a
-#: signature of a larger group must be to be done with once it is linked. Rounds of pivots before blocks are compared two by two.
-LIMIT, CORE, ROUNDS = 1024, 0.05, 16
+def _apart(signs: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The share of differing bits, row by row; fingerprints as rows of 64-bit words."""
+    return np.bitwise_count(signs ^ other).sum(axis=1) / (64 * WORDS)
 
 
-def _linked(blocks: DataFrame, similarity: float) -> DataFrame:
-    """(u, v) for blocks (key, __node, __mark) of LIMIT rows each, about: all that is reachable over links of similar signatures
+#: Fingerprints that are compared with each other in one task at most. How near to a pivot (as a share of differing bits) one of a
+#: larger group must be to be done with once it is linked. Rounds of pivots before blocks are compared two by two.
+LIMIT, CORE, ROUNDS = 1024, 0.07, 16
+
+
+def _linked(blocks: DataFrame, apart: float) -> DataFrame:
+    """(u, v) for blocks (key, __node, __mark) of LIMIT rows each, about: all that is reachable over links of near fingerprints
     in a block gets linked, by as few links as that takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(nodes: list[int], marks: list[bytes]) -> None:
-            left, signs = np.arange(len(nodes)), np.frombuffer(b"".join(marks), "<u2").reshape(-1, MINIMA)
+            left, signs = np.arange(len(nodes)), np.frombuffer(b"".join(marks), np.uint64).reshape(-1, WORDS)
             while len(left):
                 front, left = [left[0]], left[1:]
                 while front and len(left):
                     at = front.pop()
-                    near = (signs[left] == signs[at]).mean(axis=1) >= similarity
+                    near = _apart(signs[left], signs[at]) <= apart
                     found.extend((nodes[at], nodes[j]) for j in left[near])
                     front.extend(left[near])
                     left = left[~near]
@@ -234,13 +253,13 @@ def _linked(blocks: DataFrame, similarity: float) -> DataFrame:
 
 
 def _from_pivots(rows: DataFrame) -> DataFrame:
-    """rows (key, __node, __mark, pivot, __pivot) with d, the share of minima in which a signature differs from its key's pivot.
+    """rows (key, __node, __mark, pivot, __pivot) with d, the share of bits in which a fingerprint differs from its key's pivot.
     Row by row: a key may lie in many tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, z = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, MINIMA) for i in (2, 4))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array((a != z).mean(axis=1))], ["key", "__node", "__mark", "pivot", "d"])
+            a, z = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(-1, WORDS) for i in (2, 4))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(_apart(a, z))], ["key", "__node", "__mark", "pivot", "d"])
 
     return rows.select("key", "__node", "__mark", "pivot", "__pivot").mapInArrow(run, "key long, __node long, __mark binary, pivot long, d double")
 
@@ -259,47 +278,53 @@ def _crossed(one: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def similar_pairs(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(u, v): links of distinct signatures (__node, __mark) that share a block key and whose equal minima are a share of
-    `similarity` or more; what is reachable over such links stays so.
-
-    Blocks of up to LIMIT signatures are compared in one task. Of a larger one every signature is compared with a pivot, row by
-    row. Differing minima are a distance: what differs from the pivot in CORE at most can only be similar to signatures that
-    differ from it in 1 - similarity + CORE at most. So such ones, the bulk of any large group of near copies, are linked and
-    leave the block, and only those that are nearly similar to the pivot meet them again, in blocks of bounded size. The rest has
-    another pivot; after ROUNDS, blocks of bounded size meet each other. No group is gathered in one task, no link is given up.
+    """(u, v): links of distinct signatures (__node, __mark) that share a block and whose wide fingerprints are within the Hamming
+    distance of `similarity`; what is reachable over such links stays so.
+
+    Blocks are the six of `close_pairs` over the first 64 bits, which no two fingerprints within two bits there escape, and, as no
+    blocks of bits are narrow enough at a distance of 155 in 1,024, those of EACH minima.
+
+    Blocks of up to LIMIT fingerprints are compared in one task. Of a larger one each is compared with a pivot, row by row.
+    What differs from the pivot in CORE at most can only be near to such as differ from it in the distance + CORE at most. So
+    such ones, the bulk of any large group of near copies, are linked and leave the block, and only those that are nearly
+    near to the pivot meet them again, in blocks of bounded size. The rest has another pivot; after ROUNDS, blocks of
+    bounded size meet each other. No group is gathered in one task, no link is given up.
     """
-    size = 2 * EACH
-    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("__mark", 1 + size * i, size)) for i in range(BANDS)))
+    size, first, apart = 2 * EACH, 8 * WORDS, differing(similarity) + 1e-9
+    bits = F.conv(F.hex(F.substring("__mark", 1, 8)), 16, -10).cast("long")
+    pigeonholes = [F.xxhash64(F.lit(-1 - i), bits.bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(_masks(list(range(64)), 4, 2))]
+    keys = F.array(*pigeonholes, *(F.xxhash64(F.lit(i), F.substring("__mark", 1 + first + size * i, size)) for i in range(MINIMA // EACH)))
     keyed = classes.select("__node", F.explode(keys).alias("key"))
-    # Keys of one signature only carry none.
-    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "minhash-keys")
+    classes = classes.select("__node", F.substring("__mark", 1, first).alias("__mark"))
+    # Keys of one signature only carry no link.
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
     rows = keyed.join(shared, "key").join(classes, "__node").select("key", "__node", "__mark", "n")
-    found = [_linked(rows.where(F.col("n") <= LIMIT), similarity)]
+    found = [_linked(rows.where(F.col("n") <= LIMIT), apart)]
     if shared.where(F.col("n") > LIMIT).isEmpty():
         return found[0]
-    open_, apart = stored(rows.where(F.col("n") > LIMIT).drop("n"), "minhash-large"), 1 - similarity
+    open_ = stored(rows.where(F.col("n") > LIMIT).drop("n"), "simhash-large")
     for _ in range(ROUNDS):
         counts = open_.groupBy("key").agg(F.count("*").alias("n"), F.min("__node").alias("pivot"))
         large = counts.where(F.col("n") > LIMIT).join(classes.select(F.col("__node").alias("pivot"), F.col("__mark").alias("__pivot")), "pivot").select("key", "pivot", "__pivot")
-        large = stored(large, "minhash-pivots")
-        found.append(_linked(open_.join(large.select("key"), "key", "left_anti"), similarity))
+        large = stored(large, "simhash-pivots")
+        found.append(_linked(open_.join(large.select("key"), "key", "left_anti"), apart))
         if large.isEmpty():
             return reduce(DataFrame.union, found)
-        near = stored(_from_pivots(open_.join(large, "key")), "minhash-compared")
-        found.append(near.where((F.col("d") <= apart + 1e-9) & (F.col("__node") != F.col("pivot"))).select(F.col("pivot").alias("u"), F.col("__node").alias("v")))
-        core, edge = near.where(F.col("d") <= CORE), near.where((F.col("d") > apart + 1e-9) & (F.col("d") <= apart + CORE + 1e-9))
+        near = stored(_from_pivots(open_.join(large, "key")), "simhash-compared")
+        found.append(near.where((F.col("d") <= apart) & (F.col("__node") != F.col("pivot"))).select(F.col("pivot").alias("u"), F.col("__node").alias("v")))
+        core, edge = near.where(F.col("d") <= CORE), near.where((F.col("d") > apart) & (F.col("d") <= apart + CORE))
         if not edge.isEmpty():
-            found.append(_linked(_crossed(core.join(edge.select("key").distinct(), "key", "left_semi"), edge), similarity))
+            found.append(_linked(_crossed(core.join(edge.select("key").distinct(), "key", "left_semi"), edge), apart))
         open_ = near.where(F.col("d") > CORE).select("key", "__node", "__mark")
-    found.append(_linked(_crossed(open_, open_), similarity))
+    found.append(_linked(_crossed(open_, open_), apart))
     return reduce(DataFrame.union, found)
 
 
 def one_of_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """docs without near copies: of each component of texts whose shingles of `width` words are similar, one row."""
-    rows, marks = _marked(docs, lambda t: signature(t, width), "minhash-rows")
+    """docs without near copies: of each component of texts whose wide fingerprints of shingles of `width` words are near, one row."""
+    rows, marks = _marked(docs, lambda t: signature(t, width), "simhash-rows")
     marks = marks.withColumn("__node", F.xxhash64("__mark"))
-    classes = stored(marks.groupBy("__node").agg(F.min("__mark").alias("__mark")), "minhash-classes")
+    classes = stored(marks.groupBy("__node").agg(F.min("__mark").alias("__mark")), "simhash-classes")
     return _first_of_each(rows, marks, similar_pairs(classes, similarity))
 
 

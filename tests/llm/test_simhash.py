@@ -141,3 +141,30 @@ def test_large_blocks_of_similar_texts_lose_no_link(spark, monkeypatch):
         for name, value in (("LIMIT", limit), ("CORE", core), ("ROUNDS", rounds)):
             monkeypatch.setattr(simhash, name, value)
         assert components(map(tuple, simhash.similar_pairs(df).collect())) == want, (limit, core, rounds)
+
+
+def test_near_copies_are_linked_by_their_fingerprints(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(2000)]
+    texts = []
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(rng.randrange(20, 400))]
+        texts.append(" ".join(base))
+        new = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            new[rng.randrange(len(new))] = rng.choice(words)
+        texts.append(" ".join(new))
+    first = 8 * simhash.WORDS
+    marks = [simhash.signature(t.encode()) for t in texts]
+    assert all(m[:8] == simhash.fingerprint(t.encode(), 5) for m, t in zip(marks, texts))
+    # The same minima, but another fingerprint: no link. Other minima and two bits in 1,024: a link.
+    marks.append(bytes(255 - x for x in marks[0][:first]) + marks[0][first:])
+    marks.append(bytes([marks[2][0] ^ 0x81]) + marks[2][1:first] + bytes(2 * simhash.MINIMA))
+    prints = [int.from_bytes(m[:first], "big") for m in marks]
+    most = 64 * simhash.WORDS * simhash.differing(0.8)
+    want = {(i, j) for i in range(len(marks)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= most}
+    df = spark.createDataFrame(list(enumerate(marks)), "__node long, __mark binary")
+    got = {(max(r), min(r)) for r in simhash.similar_pairs(df).collect()}
+    assert 20 < len(want) < 60 and got <= want and (len(marks) - 1, 2) in want
+    ends = lambda pairs: dict(map(tuple, simhash.connected_components(spark.createDataFrame(sorted(pairs), "u long, v long")).collect()))
+    assert ends(got) == ends(want)
