@@ -114,18 +114,26 @@ class Model:
         return found
 
 
+#: Rows that are doubles at a time while a machine is fitted.
+_ROWS = 256
+
+
 def _machine(x: np.ndarray, y: np.ndarray, rounds: int = 150, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Linear support vector machine by squared hinge loss and accelerated gradient steps; classes weigh the same.
-    Returns weights with the offset last, and the slope that turns margins into probabilities."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    Returns weights with the offset last, and the slope that turns margins into probabilities. Beside x it holds _ROWS rows."""
     c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    rate = 1 / (2 * float((c * (x * x).sum(axis=1)).sum()) + decay)
-    w = v = np.zeros(x.shape[1])
+    rate = 1 / (2 * float((c * (np.einsum("ij,ij->i", x, x) + 1)).sum()) + decay)
+    w = v = np.zeros(x.shape[1] + 1)
     for t in range(rounds):
-        loss = np.maximum(0, 1 - y * (x @ v))
-        step = v - rate * (decay * v - 2 * ((c * y * loss) @ x))
+        pull = np.zeros(len(w))
+        for i in range(0, len(x), _ROWS):
+            rows, side = x[i : i + _ROWS].astype(np.float64), y[i : i + _ROWS]
+            g = c[i : i + _ROWS] * side * np.maximum(0, 1 - side * (rows @ v[:-1] + v[-1]))
+            pull[:-1] += g @ rows
+            pull[-1] += g.sum()
+        step = v - rate * (decay * v - 2 * pull)
         v, w = step + t / (t + 3) * (step - w), step
-    m, slope = y * (x @ w), 1.0
+    m, slope = y * np.concatenate([x[i : i + _ROWS] @ w[:-1] + w[-1] for i in range(0, len(x), _ROWS)]), 1.0
     for _ in range(30):  # one-dimensional logistic fit
         q = 1 / (1 + np.exp(-np.clip(slope * m, -30, 30)))
         slope += ((c * (1 - q) * m).sum() - 1e-3 * slope) / ((c * q * (1 - q) * m * m).sum() + 1e-3)

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -102,3 +103,14 @@ def test_a_null_id_and_repeats_bound_the_sample(spark):
     rows = language.sampled(df, crc_mod("doc_id", 3) != 1, 100, "doc_id", "text", "lang")
     assert len(rows) <= 200
     assert df.select((crc_mod("doc_id", 3) == 1).alias("x")).where("x IS NULL").count() == 0
+
+
+def test_a_machine_holds_few_rows_beside_its_own():
+    rng = np.random.default_rng(5)
+    x = rng.random((3000, 1 << language.BITS), np.float32)
+    y = np.where(x[:, 0] > 0.5, 1.0, -1.0)
+    tracemalloc.start()
+    w, _ = language._machine(x, y, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(w) == x.shape[1] + 1 and peak < x.nbytes / 2
