@@ -19,7 +19,7 @@ _CHUNKS = re.compile(r"\s*\S+|\s+")
 #: Chunks kept in each of two generations; memory stays bounded however many different ones a task meets.
 _KEEP = 500_000
 #: Texts that are looked up together: so many characters, about. How many new chunks the library encodes at a time.
-_VOLUME, _JOINED = 1 << 22, 2000
+_VOLUME, _JOINED = 1 << 21, 2000
 
 
 class _Merges:
