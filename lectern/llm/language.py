@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -167,18 +168,18 @@ def train(rows: list[tuple[str, bytes]]) -> Model:
     return Model(families, groups, pairs, weights, np.array([s for _, s in columns]))
 
 
-def sampled(docs: DataFrame, learn: Column, sample: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, bytes]]:
-    """About `sample` labelled rows, an equal share for each language, chosen by a hash of id and text, never more than twice as
-    many. What comes to the driver is their n-gram counts (1 << BITS cells at most each), not their texts."""
+def chosen(docs: DataFrame, learn: Column, sample: int, id_col: str, text_col: str, lang_col: str) -> DataFrame | None:
+    """(lang, packed): about `sample` labelled rows, an equal share for each language, chosen by a hash of id and text, never more
+    than twice as many, in one partition. packed: n-gram counts (1 << BITS cells at most). None where no row has a language."""
     labelled = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
     share = sample / max(1, len(counts))
     odds = [(lang, int(min(1.0, share / n) * 1_000_000)) for lang, n in counts.items()]
     if not odds:
-        return []
+        return None
     most = F.create_map(*[F.lit(v) for pair in odds for v in pair])
     key = F.xxhash64(F.col(id_col), F.col(text_col), F.lit("language"))
-    chosen = labelled.where(F.pmod(key, F.lit(1_000_000)) < most[F.col(lang_col)])
+    some = labelled.where(F.pmod(key, F.lit(1_000_000)) < most[F.col(lang_col)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,9 +195,27 @@ def sampled(docs: DataFrame, learn: Column, sample: int, id_col: str, text_col:
                 packed.append(cells.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], ["h", "lang", "packed"])
 
-    got = chosen.select(key.alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "h long, lang string, packed binary")
+    got = some.select(key.alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "h long, lang string, packed binary")
     # Repeated rows share a hash and come together: the order and the limit bound them all the same.
-    return sorted((r.lang, bytes(r.packed)) for r in got.orderBy("h", "lang", "packed").limit(2 * sample).collect())
+    return got.orderBy("h", "lang", "packed").limit(2 * sample).select("lang", "packed")
+
+
+def sampled(docs: DataFrame, learn: Column, sample: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, bytes]]:
+    """The rows of `chosen` in order, on the driver."""
+    got = chosen(docs, learn, sample, id_col, text_col, lang_col)
+    return sorted((r.lang, bytes(r.packed)) for r in got.collect()) if got else []
+
+
+def fitted(rows: DataFrame | None, fit: Callable[[list[tuple[str, bytes]]], object]) -> object:
+    """What fit makes of the rows of `chosen`, in one task: neither they nor the matrices that machines are fitted on come to the
+    driver, only the result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sorted(pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(own))], pa.binary())], ["made"])
+
+    made = rows.coalesce(1).mapInArrow(run, "made binary").first() if rows else None
+    return pickle.loads(bytes(made.made)) if made else fit([])
 
 
 def predict(docs: DataFrame, learn: Column, sample: int = 3200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -206,7 +225,7 @@ def predict(docs: DataFrame, learn: Column, sample: int = 3200, id_col: str = "d
     no language can be learned. Equal texts get equal predictions, whatever rows stand beside them; repeated rows stay; other
     columns are not read. An empty table gives an empty result.
     """
-    model = train(sampled(docs, learn, sample, id_col, text_col, lang_col))
+    model = fitted(chosen(docs, learn, sample, id_col, text_col, lang_col), train)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # (1 << BITS) rows by the number of machines
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,14 +243,19 @@ def undecided(model: Model, rows: list[tuple[str, bytes]]) -> float:
     return 0.5 * min((score for (lang, _), (name, score) in zip(rows, found) if name == lang), default=0.0)
 
 
+def held_against(rows: list[tuple[str, bytes]]) -> tuple[Model, float]:
+    """A model of four fifths of the rows, and `undecided` by the others."""
+    held_out = [zlib.crc32(packed) % 5 == 1 for _, packed in rows]
+    model = train([r for r, out in zip(rows, held_out) if not out])
+    return model, undecided(model, [r for r, out in zip(rows, held_out) if out])
+
+
 def identified(docs: DataFrame, sample: int = 3200) -> DataFrame:
     """docs without those that have no letter and those whose language is undecided: that score less than half of what the
     least certain of the labelled rows held out from training does. With no language to learn, all that have a letter stay."""
     kept = docs.schema
-    rows = sampled(docs, F.lit(True), sample * 5 // 4, "doc_id", "text", "lang")
-    held_out = [zlib.crc32(packed) % 5 == 1 for _, packed in rows]
-    model = train([r for r, out in zip(rows, held_out) if not out])
-    shared = docs.sparkSession.sparkContext.broadcast((model, undecided(model, [r for r, out in zip(rows, held_out) if out])))
+    rows = chosen(docs, F.lit(True), sample * 5 // 4, "doc_id", "text", "lang")
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(rows, held_against))
     at = kept.fieldNames().index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

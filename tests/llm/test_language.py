@@ -114,3 +114,29 @@ def test_a_machine_holds_few_rows_beside_its_own():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(w) == x.shape[1] + 1 and peak < x.nbytes / 2
+
+
+def test_machines_are_fitted_on_a_worker(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(language.sampled(df, F.lit(True), 3200, "doc_id", "text", "lang"))
+    held = language.held_against(language.sampled(df, F.lit(True), 4000, "doc_id", "text", "lang"))
+    got, own, kind = [], language.fitted, type(df)
+
+    def counted(self, collect=kind.collect):
+        rows = collect(self)
+        got.extend(len(c) for r in rows for c in r if isinstance(c, (bytes, bytearray)))
+        return rows
+
+    def refused(*a):
+        raise AssertionError("fitted on the driver")
+
+    found = []
+    monkeypatch.setattr(kind, "collect", counted)
+    monkeypatch.setattr(language, "_machine", refused)
+    monkeypatch.setattr(language, "fitted", lambda *a: found.append(own(*a)) or found[-1])
+    language.predict(df, F.lit(True))
+    language.identified(df)
+    assert 2 * model.weights.nbytes < sum(got) < 2 * model.weights.nbytes + 10_000
+    # A driver's BLAS may have more threads, and so another order of its sums.
+    assert np.allclose(found[0].weights, model.weights, atol=1e-6) and found[0].languages == model.languages
+    assert np.allclose(found[1][0].weights, held[0].weights, atol=1e-6) and abs(found[1][1] - held[1]) < 1e-5
