@@ -28,7 +28,9 @@ HIDDEN, LANES, STEPS = 32, 64, 16
 #: The pass over all tokens: lanes of a learner, tokens it holds at once, about the tokens of a learner, weights in a row.
 WIDE, PORTION, OWN, SLICE = 256, 1 << 20, 1 << 21, 1 << 12
 #: Rows whose softmax is taken at once, so that it stays within a core's cache.
-BLOCK = 1 << 11
+BLOCK = 1 << 9
+#: Texts that are scored side by side.
+ABREAST = 1 << 10
 
 
 def tokens(data: bytes | None) -> list[bytes]:
@@ -88,7 +90,7 @@ class Vocabulary:
         """For each token its model id (a word, or words + its rare class), and its rank, -1 if it isn't frequent."""
         ranks = np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
         ids = self.ids[ranks] if len(self.ids) else np.zeros(len(words), np.int64)
-        tail = np.nonzero(ranks < 0)[0]
+        tail = np.nonzero(ranks < 0)[0].tolist()
         ids[tail] = [self.words + rare_class(words[i]) for i in tail]
         return ids.astype(np.int32), ranks
 
@@ -131,21 +133,28 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary([bytes(r.token) for r in top], np.array([r.c for r in top], np.int64), int(n), int(distinct), np.maximum(weight, 0.5))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x *= 0.5
-    x += 0.5
-    return x
-
-
-def _runs(keys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """The order that sorts small keys, and in that order (key, begin, end) of each run of equal ones."""
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts small keys, and in that order the key and the begin of each run of equal ones."""
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
-    cuts = [0, *(np.nonzero(ordered[1:] != ordered[:-1])[0] + 1).tolist(), len(keys)]
-    return order, [(int(ordered[a]), a, b) for a, b in zip(cuts, cuts[1:])] if len(keys) else []
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), ordered[1:] != ordered[:-1]]))
+    return order, ordered[starts], starts
+
+
+#: Logits up to this have exponentials, and sums of them, that single precision holds: no maximum need be taken off first.
+SAFE = 60.0
+
+
+def _exp(logits: np.ndarray, own: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Logits, `most` in size at most, become exponentials in place, each row's divided by whatever keeps them within range. Returns
+    the log-probability of the place `own` of each row, and the rows' sums, as a column."""
+    if most > SAFE:
+        logits -= logits.max(axis=1, keepdims=True)
+    told = logits[np.arange(len(logits)), own]
+    np.exp(logits, out=logits)
+    sums = logits @ np.ones((logits.shape[1], 1), logits.dtype)
+    told -= np.log(sums[:, 0])
+    return told, sums
 
 
 class Adam:
@@ -194,126 +203,173 @@ class Recurrent:
             "c": normal(h, self.outputs, scale=0.05), "cb": np.zeros(self.outputs, np.float32),
             "w": normal(self.classes, h, PER, scale=0.05), "wb": np.zeros((self.classes, PER), np.float32),
         }
+        self.rooms: dict[str, np.ndarray] = {}
         #: Places in the last class that stand for no word.
         self.void = np.zeros((self.classes, PER), np.float32)
         self.void.reshape(-1)[words:] = -1e9
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rooms": {}}
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array of this shape that is used again and again under its name: fresh memory for each window costs more time than
+        most of what is computed there."""
+        kind, size = self.p["u"].dtype, int(np.prod(shape))
+        held = self.rooms.get(name)
+        if held is None or held.size < size or held.dtype != kind:
+            held = self.rooms[name] = np.empty(size, kind)
+        return held[:size].reshape(shape)
+
     def split(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class, and place in the class (-1 in a rare one)."""
         word = ids < self.words
         return np.where(word, ids // PER, self.classes + ids - self.words).astype(np.uint16), np.where(word, ids % PER, -1)
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        a, k = self.p["x"][x], HIDDEN
-        zr = h @ self.p["u"]
+        """The states after h and the inputs x, both gates side by side, and the candidates; the latter two only until the next call."""
+        n, k = len(x), HIDDEN
+        zr, candidates = self.room("gates", n, 2 * k), self.room("candidates", n, k)
+        return self.moved(self.inputs(x), h, np.empty((n, k), h.dtype), zr, candidates, self.room("reset", n, k), self.p["u"] * 0.5), zr, candidates
+
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        """The rows of the input weights, those of the gates halved."""
+        a = np.take(self.p["x"], x, axis=0, out=self.room("inputs", *x.shape, 3 * HIDDEN), mode="clip")
+        a[..., : 2 * HIDDEN] *= 0.5
+        return a
+
+    def moved(self, a: np.ndarray, h: np.ndarray, new: np.ndarray, zr: np.ndarray, n: np.ndarray, rh: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The states after h, in `new`; both gates side by side in zr, the candidate in n, what the second gate leaves of h in rh.
+        a: `inputs`; u: halved like them, as a gate is half of one more than the hyperbolic tangent of half its sum."""
+        k = HIDDEN
+        np.matmul(h, u, out=zr)
         zr += a[:, : 2 * k]
-        _sigmoid(zr)
-        z, r = zr[:, :k], zr[:, k:]
-        n = (r * h) @ self.p["n"]
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        np.multiply(zr[:, k:], h, out=rh)
+        np.matmul(rh, self.p["n"], out=n)
         n += a[:, 2 * k :]
         np.tanh(n, out=n)
-        new = n - h
-        new *= z
+        np.subtract(n, h, out=new)
+        new *= zr[:, :k]
         new += h
-        return new, z, r, n
+        return new
+
+    def sizes(self, h: np.ndarray) -> tuple[float, float]:
+        """How large logits of classes, and of words, can be after states such as h, or such as come from them."""
+        far, p = max(1.0, float(h.max(initial=0)), -float(h.min(initial=0))), self.p
+        classes = (far * np.abs(p["c"]).sum(axis=0) + np.abs(p["cb"])).max(initial=0)
+        return float(classes), float((far * np.abs(p["w"]).sum(axis=1) + np.abs(p["wb"])).max(initial=0))
+
+    def in_class(self, states: np.ndarray, places: np.ndarray, cls: np.ndarray, starts: np.ndarray, most: float) -> tuple:
+        """For states in runs of classes (cls and starts of the runs): exponentials of the class's logits, `_exp` of them, the runs."""
+        runs = list(zip(cls.tolist(), starts.tolist(), [*starts[1:].tolist(), len(states)]))
+        e, bias = self.room("words", len(states), PER), self.p["wb"] + self.void
+        for c, a, b in runs:
+            own = np.matmul(states[a:b], self.p["w"][c], out=e[a:b])
+            own += bias[c]
+        return e, *_exp(e, places, most), runs
 
     def log_probs(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of the ids after the states h."""
         cls, place = self.split(ids)
         out = np.empty(len(ids))
+        of_class, of_word = self.sizes(h)
         for i in range(0, len(ids), BLOCK):
-            logits = h[i : i + BLOCK] @ self.p["c"]
+            part = h[i : i + BLOCK]
+            logits = np.matmul(part, self.p["c"], out=self.room("classes", len(part), self.outputs))
             logits += self.p["cb"]
-            logits -= logits.max(axis=1, keepdims=True)
-            own = logits[np.arange(len(logits)), cls[i : i + BLOCK]]
-            np.exp(logits, out=logits)
-            out[i : i + BLOCK] = own - np.log(logits.sum(axis=1))
+            out[i : i + BLOCK] = _exp(logits, cls[i : i + BLOCK], of_class)[0]
         words = np.nonzero(place >= 0)[0]
-        order, runs = _runs(cls[words])
+        order, keys, starts = _runs(cls[words])
         words = words[order]
-        states, places = h[words], place[words]
-        for c, a, b in runs:
-            e = states[a:b] @ self.p["w"][c]
-            e += self.p["wb"][c] + self.void[c]
-            e -= e.max(axis=1, keepdims=True)
-            own = e[np.arange(b - a), places[a:b]]
-            np.exp(e, out=e)
-            out[words[a:b]] += own - np.log(e.sum(axis=1))
+        out[words] += self.in_class(h[words], place[words], keys, starts, of_word)[1]
         return out
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], float, np.ndarray]:
+    def gradients(
+        self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, g: dict[str, np.ndarray] | None = None
+    ) -> tuple[dict[str, np.ndarray], float, np.ndarray]:
         """Of a window (steps by lanes): truncated backpropagation; the state that comes in is a constant. fresh: where a
-        document starts, whose state is zero. Returns gradients, the mean loss and the last state."""
+        document starts, whose state is zero. Returns gradients (in g, if it's given), the mean loss and the last state."""
         p, k, (steps, lanes) = self.p, HIDDEN, x.shape
-        kept, old = [], (~fresh).astype(p["u"].dtype)[:, :, None]
-        states = np.empty((steps, lanes, k), p["u"].dtype)
+        of_class, of_word = self.sizes(h)
+        kind, size, room = p["u"].dtype, steps * lanes, self.room
+        old, breaks = (~fresh).astype(kind)[:, :, None], fresh.any(axis=1).tolist()
+        states, before, n, reset = (room(name, steps, lanes, k) for name in ("states", "before", "candidates", "reset"))
+        zr, inputs, half = room("gates", steps, lanes, 2 * k), self.inputs(x), p["u"] * 0.5
         for t in range(steps):
-            h = h * old[t]
-            states[t], z, r, n = self.step(x[t], h)
-            kept.append((h, z, r, n))
-            h = states[t]
-        ids, size = y.reshape(-1), steps * lanes
-        flat, ds = states.reshape(size, k), np.empty((size, k), states.dtype)
+            np.multiply(h, old[t], out=before[t]) if breaks[t] else np.copyto(before[t], h)
+            h = self.moved(inputs[t], before[t], states[t], zr[t], n[t], reset[t], half)
+        last = h.copy()
+        ids = y.reshape(-1)
+        flat, ds = states.reshape(size, k), room("ds", size, k)
         cls, place = self.split(ids)
-        g = {name: np.zeros_like(v) for name, v in p.items()}
+        g = g or {name: np.empty_like(v) for name, v in p.items()}
+        for name in ("x", "c", "cb", "w", "wb"):
+            g[name].fill(0)
         loss = 0.0
         for i in range(0, size, BLOCK):
             own, part = cls[i : i + BLOCK], flat[i : i + BLOCK]
-            d = part @ p["c"]
+            d = np.matmul(part, p["c"], out=room("classes", len(part), self.outputs))
             d += p["cb"]
-            d -= d.max(axis=1, keepdims=True)
-            np.exp(d, out=d)
-            d /= d.sum(axis=1, keepdims=True)
+            told, sums = _exp(d, own, of_class)
             rows = np.arange(len(own))
-            loss -= float(np.log(d[rows, own] + 1e-30).sum())
-            d[rows, own] -= 1
-            d /= size
+            loss -= float(told.sum())
+            sums *= size
+            d /= sums
+            d[rows, own] -= 1 / size
             g["c"] += part.T @ d
-            g["cb"] += d.sum(axis=0)
-            ds[i : i + BLOCK] = d @ p["c"].T
+            g["cb"] += np.ones(len(d), kind) @ d
+            np.matmul(d, p["c"].T, out=ds[i : i + BLOCK])
         words = np.nonzero(place >= 0)[0]
-        order, runs = _runs(cls[words])
+        order, keys, starts = _runs(cls[words])
         words = words[order]
-        after, places, more = flat[words], place[words], np.empty((len(words), k), states.dtype)
+        after, rows, places = flat[words], np.arange(len(words)), place[words]
+        e, told, sums, runs = self.in_class(after, places, keys, starts, of_word)
+        loss -= float(told.sum())
+        sums *= size
+        e /= sums
+        e[rows, places] -= 1 / size
+        more = np.empty_like(after)
         for c, a, b in runs:
-            e = after[a:b] @ p["w"][c]
-            e += p["wb"][c] + self.void[c]
-            e -= e.max(axis=1, keepdims=True)
-            np.exp(e, out=e)
-            e /= e.sum(axis=1, keepdims=True)
-            rows = np.arange(b - a)
-            loss -= float(np.log(e[rows, places[a:b]] + 1e-30).sum())
-            e[rows, places[a:b]] -= 1
-            e /= size
-            g["w"][c], g["wb"][c] = after[a:b].T @ e, e.sum(axis=0)
-            more[a:b] = e @ p["w"][c].T
+            np.matmul(after[a:b].T, e[a:b], out=g["w"][c])
+            np.matmul(e[a:b], p["w"][c].T, out=more[a:b])
+        if runs:
+            g["wb"][keys] = np.add.reduceat(e, starts, axis=0)
         ds[words] += more
         ds = ds.reshape(steps, lanes, k)
-        carry, da = np.zeros((lanes, k), states.dtype), np.empty((steps, lanes, 3 * k), states.dtype)
-        reset = np.empty((steps, lanes, k), states.dtype)
+        # What the chain rule multiplies by at each step, for all steps at once.
+        z, r = zr[:, :, :k], zr[:, :, k:]
+        keep = np.subtract(1, z, out=room("keep", steps, lanes, k))
+        to_z = np.subtract(n, before, out=room("to_z", steps, lanes, k))
+        to_z *= z
+        to_z *= keep
+        to_n = np.multiply(n, n, out=n)
+        np.subtract(1, to_n, out=to_n)
+        to_n *= z
+        to_r = np.subtract(1, r, out=room("to_r", steps, lanes, k))
+        to_r *= reset
+        carry, da = np.zeros((lanes, k), kind), room("da", steps, lanes, 3 * k)
+        dq, dh = room("dq", lanes, k), room("dh", lanes, k)
+        back_n, back_u = np.ascontiguousarray(p["n"].T), np.ascontiguousarray(p["u"].T)
         for t in reversed(range(steps)):
-            before, z, r, n = kept[t]
-            dh = ds[t] + carry
-            dz = dh * z
-            dn = da[t, :, 2 * k :]
-            np.multiply(dz, 1 - n * n, out=dn)
-            dq = dn @ p["n"].T
-            dz *= n - before
-            np.multiply(dz, 1 - z, out=da[t, :, :k])
-            dq *= r
-            reset[t] = r * before
-            np.multiply(dq * before, 1 - r, out=da[t, :, k : 2 * k])
-            dh *= 1 - z
-            dh += dq
-            dh += da[t, :, : 2 * k] @ p["u"].T
-            dh *= old[t]
-            carry = dh
+            carry += ds[t]
+            dn = np.multiply(carry, to_n[t], out=da[t, :, 2 * k :])
+            np.multiply(carry, to_z[t], out=da[t, :, :k])
+            np.matmul(dn, back_n, out=dq)
+            np.multiply(dq, to_r[t], out=da[t, :, k : 2 * k])
+            carry *= keep[t]
+            dq *= r[t]
+            carry += dq
+            carry += np.matmul(da[t, :, : 2 * k], back_u, out=dh)
+            if breaks[t]:
+                carry *= old[t]
         da = da.reshape(size, 3 * k)
-        g["n"] = reset.reshape(size, k).T @ da[:, 2 * k :]
-        g["u"] = np.concatenate([before for before, *_ in kept]).T @ da[:, : 2 * k]
-        order, runs = _runs(x.reshape(-1).astype(np.uint16))
-        g["x"][[c for c, _, _ in runs]] = np.add.reduceat(da[order], [a for _, a, _ in runs], axis=0)
-        return g, loss / size, h
+        np.matmul(reset.reshape(size, k).T, da[:, 2 * k :], out=g["n"])
+        np.matmul(before.reshape(size, k).T, da[:, : 2 * k], out=g["u"])
+        order, keys, starts = _runs(x.reshape(-1).astype(np.uint16))
+        g["x"][keys] = np.add.reduceat(np.take(da, order, axis=0, out=room("ordered", size, 3 * k), mode="clip"), starts, axis=0)
+        return g, loss / size, last
 
     def fit(self, texts: list[np.ndarray], updates: int = 1500, rate: float = 0.01) -> list[float]:
         """Adam over windows of STEPS by LANES; each lane reads documents one after another, its state carried on."""
@@ -325,20 +381,21 @@ class Recurrent:
         before = np.where(first, self.start, np.roll(ids, 1)).astype(np.int32)
         at = np.linspace(0, len(ids), LANES, endpoint=False).astype(int)
         h = np.zeros((LANES, HIDDEN), np.float32)
-        adam = Adam(self.p)
+        adam, room = Adam(self.p), None
         losses = []
         for i in range(1, updates + 1):
             where = (at + np.arange(STEPS)[:, None]) % len(ids)
             at = (at + STEPS) % len(ids)
-            g, loss, h = self.gradients(before[where], ids[where], first[where], h)
+            room, loss, h = self.gradients(before[where], ids[where], first[where], h, room)
             losses.append(loss)
-            adam.step(g, rate * min(1.0, i / 50) * (1 - 0.9 * i / updates))
+            adam.step(room, rate * min(1.0, i / 50) * (1 - 0.9 * i / updates))
         return losses
 
     def read(self, texts: Iterator[np.ndarray], rate: float = 0.003) -> int:
         """One pass of Adam over every token of texts, PORTION of them in memory at once, a longer text in several portions.
         Returns the number of tokens."""
         adam, total, held, waiting = Adam(self.p), 0, [], 0
+        room = {name: np.empty_like(v) for name, v in self.p.items()}
 
         def learn() -> None:
             ids, before, first = (np.concatenate(c) for c in zip(*held))
@@ -346,8 +403,8 @@ class Recurrent:
             at, h = np.linspace(0, len(ids), lanes, endpoint=False).astype(int), np.zeros((lanes, HIDDEN), np.float32)
             for t in range(0, -(-len(ids) // lanes), STEPS):
                 where = (at + t + np.arange(STEPS)[:, None]) % len(ids)
-                g, _, h = self.gradients(before[where], ids[where], first[where], h)
-                adam.step(g, rate * min(1.0, (adam.i + 1) / 50))
+                h = self.gradients(before[where], ids[where], first[where], h, room)[2]
+                adam.step(room, rate * min(1.0, (adam.i + 1) / 50))
 
         for text in texts:
             for i in range(0, len(text), PORTION):
@@ -368,28 +425,41 @@ class Recurrent:
         """Natural log-likelihood of each whole text. Texts run side by side, longest first, window after window, and those
         that have ended drop out; a state is carried from a text's first token to its last."""
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        sizes = np.array([len(texts[i]) for i in order])
-        flat = np.concatenate([texts[i] for i in order]) if texts else np.zeros(0, np.int32)
-        starts = np.cumsum(sizes) - sizes
-        total = np.zeros(len(texts))
-        h = np.zeros((len(texts), HIDDEN), np.float32)
-        for t0 in range(0, int(sizes.max(initial=0)), STEPS):
-            states, wanted, owners = [], [], []
-            for t in range(t0, t0 + STEPS):
-                live = int(np.searchsorted(-sizes, -t, "left"))  # texts longer than t
-                if not live:
-                    break
-                x = flat[starts[:live] + t - 1] if t else np.full(live, self.start)
-                h = self.step(x, h[:live])[0]
-                states.append(h)
-                wanted.append(flat[starts[:live] + t])
-                owners.append(np.arange(live))
-            got = self.log_probs(np.concatenate(states), np.concatenate(wanted))
-            total += np.bincount(np.concatenate(owners), got, len(texts))
         out = np.zeros(len(texts))
-        out[order] = total
+        for i in range(0, len(order), ABREAST):
+            some = order[i : i + ABREAST]
+            out[some] = self.abreast([texts[j] for j in some])
         return out
 
+    def abreast(self, texts: list[np.ndarray]) -> np.ndarray:
+        """`score` of texts in order of their lengths, longest first."""
+        sizes = np.array([len(t) for t in texts])
+        flat, starts = np.concatenate(texts), np.cumsum(sizes) - sizes
+        total, h = np.zeros(len(texts)), np.zeros((len(texts), HIDDEN), self.p["u"].dtype)
+        longest = int(sizes[0])
+        live = np.searchsorted(-sizes, -np.arange(longest), "left").tolist()  # texts longer than t
+        k, u = HIDDEN, self.p["u"] * 0.5
+        for t0 in range(0, longest, STEPS):
+            counts = live[t0 : t0 + STEPS]
+            n = counts[0]
+            # A window's places in flat, those past a text's end too, which no state is made of.
+            at = np.minimum(starts[:n] + np.arange(t0, t0 + len(counts))[:, None], len(flat) - 1)
+            x = flat[at - 1]
+            if not t0:
+                x[0] = self.start
+            a, held = self.inputs(x), self.room("states", sum(counts), k)
+            zr, candidates, rh = self.room("gates", n, 2 * k), self.room("candidates", n, k), self.room("reset", n, k)
+            end = 0
+            for t, n in enumerate(counts):
+                h = self.moved(a[t, :n], h[:n], held[end : end + n], zr[:n], candidates[:n], rh[:n], u)
+                end += n
+            h = h.copy()
+            got, end = self.log_probs(held, flat[np.concatenate([row[:n] for row, n in zip(at, counts)])]), 0
+            for n in counts:
+                total[:n] += got[end : end + n]
+                end += n
+        return total
+
 
 def model_ids(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
     """(h, ids): a hash of the row, and the model ids of its whole text."""
@@ -417,8 +487,8 @@ def training_ids(docs: DataFrame, shared, share: float, most: int, id_col: str,
     return sorted(out, key=lambda x: x.tobytes())
 
 
-def pass_over(docs: DataFrame, shared, model: Recurrent, total: int, id_col: str, text_col: str) -> int:
-    """Every token of docs goes through truncated backpropagation once; returns how many did.
+def pass_over(docs: DataFrame, shared, model: Recurrent, total: int, id_col: str, text_col: str, ids: DataFrame | None = None) -> int:
+    """Every token of docs (ids: what `model_ids` gives of them, if that is there already) goes through truncated backpropagation once; returns how many did.
 
     Learners, one for about OWN of the `total` tokens, start from the model and read their rows, which a hash gives them
     whatever the split of the input. The model becomes the mean of theirs, each weighing as its tokens: summed slice by
@@ -446,7 +516,8 @@ def pass_over(docs: DataFrame, shared, model: Recurrent, total: int, id_col: str
                 own[0], own[1] = own[0] + n, own[1] + np.frombuffer(w, "<f4").astype(np.float64) * n
         yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([w.tobytes() for _, w in sums.values()], pa.binary())], ["slice", "n", "w"])
 
-    rows = model_ids(docs, shared, id_col, text_col).repartition(-(-total // OWN), "h").sortWithinPartitions("h", "ids").select("ids")
+    ids = model_ids(docs, shared, id_col, text_col) if ids is None else ids
+    rows = ids.repartition(-(-total // OWN), "h").sortWithinPartitions("h", "ids").select("ids")
     learned = stored(rows.mapInArrow(learn, "slice int, learner int, n long, w binary"), "lm-learned")
     summed = learned.repartition("slice").sortWithinPartitions("slice", "learner").select("slice", "n", "w").mapInArrow(add, "slice int, n long, w binary")
     got = sorted(summed.collect(), key=lambda r: r.slice)
@@ -471,46 +542,60 @@ def scored(docs: DataFrame, learn: Column, sample_tokens: int = 400_000, id_col:
     spread = spark.sparkContext.broadcast(v)
     model = Recurrent(v.words)
     model.fit(training_ids(docs.where(learn), spread, min(1.0, sample_tokens / max(1, v.total)), 2 * sample_tokens, id_col, text_col), updates)
-    pass_over(docs.where(learn), spread, model, v.total, id_col, text_col)
-    both = spark.sparkContext.broadcast((v, model))
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["row", "doc_id", "n_tokens", "known", "base", "score", "token", "n"]
+    names = ["row", "h", "learned", "doc_id", "n_tokens", "known", "base", "own", "ids", "token", "n"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), None, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, model = both.value
-        v.prepare()
+        v = spread.value.prepare()
         row, log_rare, floor = TaskContext.get().partitionId() << 36, np.log10(v.rare_weight), np.log10(v.total + 0.5 * (v.distinct + 1))
         for b in batches:
+            own_kinds = dict(zip(names, kinds)) | {"doc_id": b.schema.field(2).type}
             first, ids, base, own, known, sizes = row, [], [], [], [], []
             rows, found, times = [], [], []
-            for t in byte_texts(b.column(1)):
+            for t in byte_texts(b.column(3)):
                 words = tokens(t)
                 i, ranks = v.look_up(words)
                 seen = ranks[ranks >= 0]
-                ids.append(i)
+                ids.append(i.astype("<u2").tobytes())
                 sizes.append(len(words))
                 known.append(len(seen))
                 base.append(float(v.log_count[seen].sum()) - len(words) * floor)
                 rare = i[i >= v.words] - v.words
                 own.append(float(v.log_count[seen[seen >= v.words]].sum() - log_rare[rare].sum()))
-                for w, n in Counter([words[j] for j in np.nonzero(ranks < 0)[0]]).items():
-                    rows.append(row)
-                    found.append(w)
-                    times.append(n)
+                if len(seen) < len(words):
+                    tail = Counter([words[j] for j in np.nonzero(ranks < 0)[0].tolist()])
+                    rows.extend(repeat(row, len(tail)))
+                    found.extend(tail)
+                    times.extend(tail.values())
                 row += 1
                 if len(rows) >= 50_000:
-                    yield _batch(names, b.schema.field(0).type, row=rows, token=found, n=times)
+                    yield _batch(own_kinds, row=rows, token=found, n=times)
                     rows, found, times = [], [], []
             if rows:
-                yield _batch(names, b.schema.field(0).type, row=rows, token=found, n=times)
-            score = model.score(ids) / np.log(10) + np.array(own)
-            yield _batch(names, b.schema.field(0).type, row=range(first, row), doc_id=b.column(0), n_tokens=sizes, known=known, base=base, score=score)
+                yield _batch(own_kinds, row=rows, token=found, n=times)
+            yield _batch(own_kinds, row=range(first, row), h=b.column(0), learned=b.column(1), doc_id=b.column(2), n_tokens=sizes, known=known, base=base, own=own, ids=ids)
+
+    ddl = f"row long, h long, learned boolean, doc_id {kind}, n_tokens long, known long, base double, own double, ids binary, token binary, n long"
+    read = docs.select(
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.coalesce(learn, F.lit(False)).alias("learned"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")
+    )
+    # Every text is cut into tokens and looked up once, for the pass and for the scores.
+    made = stored(read.mapInArrow(run, ddl), "lm-ids")
+    pass_over(docs.where(learn), spread, model, v.total, id_col, text_col, made.where("learned").select("h", "ids"))
+    both = spark.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = both.value.score([np.frombuffer(x, "<u2").astype(np.int32) for x in b.column(4).to_pylist()])
+            score = found / np.log(10) + b.column(5).to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], b.column(6), pa.array(score)], ["row", "doc_id", "n_tokens", "known", "base", "score"])
 
-    ddl = f"row long, doc_id {kind}, n_tokens long, known long, base double, score double, token binary, n long"
-    made = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl), "lm-scores")
+    texts = made.where("token IS NULL").select("row", "doc_id", "n_tokens", "known", "ids", "own", "base")
+    scores = stored(texts.mapInArrow(score, f"row long, doc_id {kind}, n_tokens long, known long, base double, score double"), "lm-scores")
     tail = made.where("token IS NOT NULL").select("row", "token", "n").join(counts, "token", "left")
     tail = tail.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("also"))
-    out = made.where("token IS NULL").join(tail, "row", "left")
+    out = scores.join(tail, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
@@ -518,11 +603,10 @@ def scored(docs: DataFrame, learn: Column, sample_tokens: int = 400_000, id_col:
     )
 
 
-def _batch(names: list[str], kind: pa.DataType, **columns: object) -> pa.RecordBatch:
-    kinds = dict(zip(names, [pa.int64(), kind, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]))
+def _batch(kinds: dict[str, pa.DataType], **columns: object) -> pa.RecordBatch:
     n = len(columns["row"])
     arrays = [pa.nulls(n, k) if (c := columns.get(x)) is None else c if isinstance(c, pa.Array) else pa.array(c, k) for x, k in kinds.items()]
-    return pa.RecordBatch.from_arrays(arrays, names)
+    return pa.RecordBatch.from_arrays(arrays, list(kinds))
 
 
 def _query(spark, sf_dir: str) -> DataFrame:

@@ -117,3 +117,51 @@ def test_every_token_is_learned_from(spark, monkeypatch):
     monkeypatch.setattr(lm, "pass_over", lambda *a: 0)
     blind = lm.scored(df, F.lit(True), sample_tokens=0).where("doc_id = 400").first()
     assert got.score > blind.score + 0.1 * got.n_tokens
+
+
+def test_a_text_is_looked_up_once_for_the_pass_and_the_scores(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"some words of {i} " * 20) for i in range(50)] + [(None, None)], "doc_id long, text string")
+    docs, asked, own = df.where("doc_id < 40 OR doc_id IS NULL"), [], lm.model_ids
+    want = sorted(bytes(r.ids) for r in own(docs, spark.sparkContext.broadcast(lm.vocabulary(lm.stored(lm.token_counts(docs, "text"), "lm-counts"))), "doc_id", "text").collect())
+    monkeypatch.setattr(lm, "model_ids", lambda *a: asked.append(a) or own(*a))
+    given = []
+    real = lm.pass_over
+    monkeypatch.setattr(lm, "pass_over", lambda *a: given.append(sorted(bytes(r.ids) for r in a[6].collect())) or real(*a))
+    got = lm.scored(df, F.expr("doc_id < 40 OR doc_id IS NULL"), updates=5).collect()
+    # The sample's texts alone are looked up apart.
+    assert len(asked) == 1 and given == [want] and len(got) == 51
+
+
+def test_windows_in_reused_memory():
+    rng = np.random.default_rng(4)
+    m = lm.Recurrent(70)
+
+    def window(steps, lanes):
+        x, y = rng.integers(0, m.start + 1, (steps, lanes)), rng.integers(0, m.start, (steps, lanes))
+        return x, y, rng.random((steps, lanes)) < 0.1, np.tanh(rng.normal(size=(lanes, lm.HIDDEN))).astype(np.float32)
+
+    first = window(16, 20)
+    g, loss, h = m.gradients(*first)
+    room = {k: np.full_like(v, np.nan) for k, v in m.p.items()}
+    kept = {k: v.copy() for k, v in g.items()}, h.copy()
+    m.gradients(*window(9, 7), room)
+    m.score([rng.integers(0, m.start, n) for n in (40, 3, 900)])
+    again = m.gradients(*first, room)
+    assert all(np.array_equal(kept[0][k], g[k]) and np.array_equal(g[k], again[0][k]) for k in g) and again[0]["x"] is room["x"]
+    assert np.array_equal(kept[1], h) and np.array_equal(h, again[2]) and loss == again[1]
+
+
+def test_large_logits_keep_within_range():
+    rng = np.random.default_rng(6)
+    m = lm.Recurrent(70)
+    m.p["c"] *= 4000
+    m.p["w"] *= 4000
+    h = np.tanh(rng.normal(size=(1, lm.HIDDEN))).astype(np.float32)
+    assert min(m.sizes(h)) > 300
+    got = m.log_probs(np.repeat(h, m.start, axis=0), np.arange(m.start))
+    c = (h.astype(float) @ m.p["c"].astype(float))[0]
+    w = np.einsum("k,ckp->cp", h[0].astype(float), m.p["w"].astype(float)) + m.void
+    c -= np.log(np.exp(c - c.max()).sum()) + c.max()
+    w -= np.log(np.exp(w - w.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) + w.max(axis=1, keepdims=True)
+    want = np.concatenate([(c[: m.classes, None] + w).reshape(-1)[:70], c[m.classes :]])
+    assert want.min() < -500 and np.abs(got - want).max() < 0.01
