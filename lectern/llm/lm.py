@@ -3,24 +3,25 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, crc_mod, documents, stored
+from .common import crc_mod, documents, stored
 
 #: The end of a document as a token. No word holds white space, so no word is this one.
 END = b"\n"
 #: The most frequent tokens of at most LONGEST bytes, sent to all workers; the rest meets its counts in a join. A fixed number,
 #: whatever the corpus.
 FREQUENT, LONGEST = 1 << 17, 64
+#: Bytes of text that are cut into words at once.
+VOLUME = 1 << 23
 #: Words with weights of their own, in classes of PER; all others fall into RARE classes by their last two bytes, and within
 #: one have the shares that their smoothed counts give them.
 WORDS, PER, RARE = 2048, 32, 64
@@ -33,10 +34,20 @@ BLOCK = 1 << 9
 ABREAST = 1 << 10
 
 
-def tokens(data: bytes | None) -> list[bytes]:
-    words = (data or b"").lower().split()
-    words.append(END)
-    return words
+def cut(column: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """For ranges of rows with about VOLUME bytes: where the range starts, its words (A-Z in lower case) one after another, and for
+    each row where in them its own begin, with the end of all. A null text has none."""
+    column = pc.fill_null(column, "")
+    ends = np.cumsum(pc.binary_length(column).to_numpy().astype(np.int64))
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + VOLUME, "right")))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(column.slice(i, j - i)))
+        words, at = lists.values, lists.offsets.to_numpy()
+        full = pc.not_equal(words, "")
+        before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+        yield i, words.filter(full).cast(pa.binary()), before[at]
+        i = j
 
 
 def rare_class(token: bytes) -> int:
@@ -47,18 +58,11 @@ def token_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(token, c) over whole texts, summed in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(counts: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["token", "c"])
-
-        counts: Counter = Counter()
         for b in batches:
-            for t in byte_texts(b.column(0)):
-                counts.update(tokens(t))
-                if len(counts) >= 300_000:
-                    yield rows(counts)
-                    counts = Counter()
-        if counts:
-            yield rows(counts)
+            for _, words, starts in cut(b.column(0)):
+                found = words.value_counts()
+                token, c = pa.concat_arrays([found.field(0), pa.array([END], pa.binary())]), pa.concat_arrays([found.field(1), pa.array([len(starts) - 1])])
+                yield pa.RecordBatch.from_arrays([token, c], ["token", "c"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -80,19 +84,41 @@ class Vocabulary:
 
     def prepare(self) -> Vocabulary:
         if self.rank is None:
-            self.rank = {t: i for i, t in enumerate(self.frequent)}
+            self.rank = pa.array(self.frequent, pa.binary())
+            self.end = self.frequent.index(END) if END in self.frequent else -1
             self.log_count = np.log10(self.counts + 0.5)
             self.ids = np.arange(len(self.frequent))
             self.ids[self.words :] = [self.words + rare_class(t) for t in self.frequent[self.words :]]
         return self
 
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """For each token its model id (a word, or words + its rare class), and its rank, -1 if it isn't frequent."""
-        ranks = np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
-        ids = self.ids[ranks] if len(self.ids) else np.zeros(len(words), np.int64)
-        tail = np.nonzero(ranks < 0)[0].tolist()
-        ids[tail] = [self.words + rare_class(words[i]) for i in tail]
-        return ids.astype(np.int32), ranks
+    def look_up(self, words: pa.Array, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of texts as `cut` gives them: for each token, each text's end too, its model id (a word, or words + its rare class) and its
+        rank, -1 if it isn't frequent; where each text's tokens begin, with the end of all; for each token of no rank its place in
+        the last result, which has them once each."""
+        n = len(starts) - 1
+        cuts = starts + np.arange(n + 1)
+        ranks = np.full(len(words) + n, self.end, np.int64)
+        is_word = np.ones(len(ranks), bool)
+        is_word[cuts[1:] - 1] = False
+        found = pc.index_in(words, value_set=self.rank)
+        ranks[is_word] = pc.fill_null(found, -1).to_numpy()
+        tail = words.filter(found.is_null())
+        if self.end < 0:
+            tail, at = pa.concat_arrays([tail, pa.array([END], pa.binary())]).dictionary_encode(), np.nonzero(is_word[ranks < 0])[0]
+            codes = np.full(len(at) + n, tail.indices[-1].as_py(), np.int64)
+            codes[at] = tail.indices.to_numpy()[:-1]
+        else:
+            tail = tail.dictionary_encode()
+            codes = tail.indices.to_numpy().astype(np.int64)
+        ids = self.ids[ranks] if len(self.ids) else np.zeros(len(ranks), np.int64)
+        rare = np.array([self.words + rare_class(t) for t in tail.dictionary.to_pylist()], np.int64)
+        ids[ranks < 0] = rare[codes]
+        return ids, ranks, cuts, codes, tail.dictionary
+
+
+def _packed(ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Each text's ids as bytes."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer((2 * cuts).astype(np.int64)), pa.py_buffer(ids.astype("<u2"))]).cast(pa.binary())
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -467,8 +493,9 @@ def model_ids(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value.prepare()
         for b in batches:
-            ids = pa.array([v.look_up(tokens(t))[0].astype("<u2").tobytes() for t in byte_texts(b.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["h", "ids"])
+            for i, words, starts in cut(b.column(1)):
+                ids, _, cuts, *_ = v.look_up(words, starts)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(cuts) - 1), _packed(ids, cuts)], ["h", "ids"])
 
     return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text")).mapInArrow(run, "h long, ids binary")
 
@@ -549,32 +576,23 @@ def scored(docs: DataFrame, learn: Column, sample_tokens: int = 400_000, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = spread.value.prepare()
         row, log_rare, floor = TaskContext.get().partitionId() << 36, np.log10(v.rare_weight), np.log10(v.total + 0.5 * (v.distinct + 1))
+        log_count = np.append(v.log_count, 0.0)  # the last: that of no rank
         for b in batches:
             own_kinds = dict(zip(names, kinds)) | {"doc_id": b.schema.field(2).type}
-            first, ids, base, own, known, sizes = row, [], [], [], [], []
-            rows, found, times = [], [], []
-            for t in byte_texts(b.column(3)):
-                words = tokens(t)
-                i, ranks = v.look_up(words)
-                seen = ranks[ranks >= 0]
-                ids.append(i.astype("<u2").tobytes())
-                sizes.append(len(words))
-                known.append(len(seen))
-                base.append(float(v.log_count[seen].sum()) - len(words) * floor)
-                rare = i[i >= v.words] - v.words
-                own.append(float(v.log_count[seen[seen >= v.words]].sum() - log_rare[rare].sum()))
-                if len(seen) < len(words):
-                    tail = Counter([words[j] for j in np.nonzero(ranks < 0)[0].tolist()])
-                    rows.extend(repeat(row, len(tail)))
-                    found.extend(tail)
-                    times.extend(tail.values())
-                row += 1
-                if len(rows) >= 50_000:
-                    yield _batch(own_kinds, row=rows, token=found, n=times)
-                    rows, found, times = [], [], []
-            if rows:
-                yield _batch(own_kinds, row=rows, token=found, n=times)
-            yield _batch(own_kinds, row=range(first, row), h=b.column(0), learned=b.column(1), doc_id=b.column(2), n_tokens=sizes, known=known, base=base, own=own, ids=ids)
+            for i, words, starts in cut(b.column(3)):
+                ids, ranks, cuts, codes, odd = v.look_up(words, starts)
+                n, at = len(cuts) - 1, cuts[:-1]
+                sizes, told, rare = np.diff(cuts), log_count[ranks], ids >= v.words
+                own = np.where(rare, told - log_rare[np.where(rare, ids - v.words, 0)], 0.0)
+                base, known = np.add.reduceat(told, at) - sizes * floor, np.add.reduceat((ranks >= 0).astype(np.int64), at)
+                yield _batch(
+                    own_kinds, row=np.arange(row, row + n), h=b.column(0).slice(i, n), learned=b.column(1).slice(i, n), doc_id=b.column(2).slice(i, n),
+                    n_tokens=sizes, known=known, base=base, own=np.add.reduceat(own, at), ids=_packed(ids, cuts),
+                )
+                if len(codes):
+                    pairs, times = np.unique(np.repeat(np.arange(n), sizes)[ranks < 0] * len(odd) + codes, return_counts=True)
+                    yield _batch(own_kinds, row=row + pairs // len(odd), token=odd.take(pa.array(pairs % len(odd))), n=times)
+                row += n
 
     ddl = f"row long, h long, learned boolean, doc_id {kind}, n_tokens long, known long, base double, own double, ids binary, token binary, n long"
     read = docs.select(

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,25 @@ def test_large_logits_keep_within_range():
     w -= np.log(np.exp(w - w.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) + w.max(axis=1, keepdims=True)
     want = np.concatenate([(c[: m.classes, None] + w).reshape(-1)[:70], c[m.classes :]])
     assert want.min() < -500 and np.abs(got - want).max() < 0.01
+
+
+def test_words_are_cut_as_bytes_split_them(monkeypatch):
+    texts = [None, "", " \t\n\v\f\r", "A\x1cb\x85C d  É x", "Zz " * 50, "\x00 a\x00", *[f"w{i}\v" for i in range(9)]]
+    want = [(t or "").encode().lower().split() for t in texts]
+    frequent = [b"zz", lm.END, b"w3", b"w4"]
+    for most in (1, 7, 1 << 23):
+        monkeypatch.setattr(lm, "VOLUME", most)
+        for known in (frequent, [b"w3"], []):
+            v = lm.Vocabulary(known, np.arange(9, 9 - len(known), -1), 99, 20, np.ones(lm.RARE)).prepare()
+            got, next_ = [], 0
+            for i, words, starts in lm.cut(pa.array(["left out", *texts, "too"]).slice(1, len(texts))):
+                assert i == next_
+                next_ += len(starts) - 1
+                got += [words.to_pylist()[a:b] for a, b in zip(starts, starts[1:])]
+                ids, ranks, cuts, codes, odd = v.look_up(words, starts)
+                flat = [w for k in range(i, next_) for w in (*want[k], lm.END)]
+                assert ranks.tolist() == [known.index(w) if w in known else -1 for w in flat] and len(flat) == cuts[-1]
+                assert ids.tolist() == [r if 0 <= r < v.words else v.words + lm.rare_class(w) for w, r in zip(flat, ranks)]
+                assert [odd[int(c)].as_py() for c in codes] == [w for w, r in zip(flat, ranks) if r < 0]
+                assert [np.frombuffer(x, "<u2").tolist() for x in lm._packed(ids, cuts).to_pylist()] == [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])]
+            assert got == want
